@@ -99,12 +99,16 @@ def _map_side(few: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
     return vectors.mapInArrow(score, _PAIR)
 
 
-def _blocked(side: DataFrame, own: str, keys: list[str], counts: DataFrame) -> DataFrame:
+def _blocked(side: DataFrame, own: str, keys: list[str], counts: list[DataFrame]) -> DataFrame:
     """Cut one side into blocks and copy each row to all blocks of the other side."""
     other = "qb" if own == "vb" else "vb"
     id_col = "item_id" if own == "vb" else "query_id"
-    joined = side.join(counts, keys) if keys else side.join(F.broadcast(counts))
-    return joined.select(
+    n_v, n_q = counts
+    if keys:
+        side = side.join(n_v.join(n_q, keys), keys)  # only buckets that both sides fill
+    else:
+        side = side.withColumn("n_vb", n_v.scalar()).withColumn("n_qb", n_q.scalar())
+    return side.select(
         *keys, id_col, "embedding",
         F.pmod(F.xxhash64(F.col(id_col)), F.col(f"n_{own}")).cast("int").alias(own),
         F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other),
@@ -121,9 +125,7 @@ def _block_join(
             F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias(name)
         )
 
-    n_v, n_q = blocks(vectors, "n_vb"), blocks(queries, "n_qb")
-    # Without keys both are single rows; with keys the join keeps only buckets both sides fill.
-    counts = n_v.join(n_q, keys) if keys else n_v.join(n_q)
+    counts = [blocks(vectors, "n_vb"), blocks(queries, "n_qb")]
     group = [*keys, "vb", "qb"]
     v_side = _blocked(vectors, "vb", keys, counts).groupBy(*group)
     q_side = _blocked(queries, "qb", keys, counts).groupBy(*group)

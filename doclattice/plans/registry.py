@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclattice.session import plain_unions
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -16,7 +18,7 @@ class Tables:
     """The given tables of one folder, read lazily by attribute name."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = plain_unions(spark)
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:

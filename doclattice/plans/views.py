@@ -103,6 +103,33 @@ CTE["chunks_v"] = ((), f"""
               where regexp_matches(text, '[^{B}]')))""")
 
 
+# -- document catalogue -----------------------------------------------------------------------
+
+def docs_v(t: Tables) -> DataFrame:
+    """Catalogue rows: name, type, status, size and a creation time hashed from the id."""
+    minutes = (F.col("doc_id") * 7919 % 525600).cast("int")
+    u = hash_unit(F.lit("status"), F.col("doc_id"))
+    return t.documents.select(
+        "doc_id",
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
+        F.col("lang").alias("document_type"),
+        F.col("source").alias("collection"),
+        F.when(u < 0.7, "completed").when(u < 0.8, "failed").when(u < 0.9, "processing")
+        .otherwise("pending").alias("status"),
+        "n_chars",
+        (F.expr("timestamp_ntz'2023-01-01 00:00:00'")
+         + F.make_dt_interval(mins=minutes)).alias("created_at"),
+    )
+
+
+CTE["docs_v"] = ((), f"""
+  select doc_id, source || '/' || doc_id || '.txt' as name, lang as document_type,
+         source as collection, case when u < 0.7 then 'completed' when u < 0.8 then 'failed'
+           when u < 0.9 then 'processing' else 'pending' end as status, n_chars,
+         timestamp '2023-01-01 00:00:00' + to_minutes(doc_id * 7919 % 525600) as created_at
+  from (select *, {sql_hash_unit("'status'", 'doc_id')} as u from documents)""")
+
+
 # -- invoices out of the order tables ---------------------------------------------------------
 
 def invoices_v(t: Tables) -> DataFrame:
@@ -217,13 +244,14 @@ TABLE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_s
 
 def table_rows_v(t: Tables) -> DataFrame:
     """Invoice lines as rows of cells; a page of an invoice holds the lines of one ship month."""
-    return t.lineitem.select(
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return t.lineitem.join(parts, "l_partkey", "left").select(
         F.col("l_orderkey").alias("doc_id"),
         F.expr("year(l_shipdate) * 12 + month(l_shipdate) - 1").cast("bigint").alias("page_number"),
         *TABLE_ORDER,
         F.array(
             F.col("l_linenumber").cast("string"),
-            F.concat(F.lit("part "), F.col("l_partkey").cast("string")),
+            F.col("p_name"),
             F.format_string("%.2f", F.col("l_extendedprice")),
             F.nullif(F.col("l_returnflag"), F.lit("N")),
         ).alias("cells"),
@@ -237,9 +265,9 @@ def tables_v(t: Tables) -> DataFrame:
 CTE["table_rows_v"] = ((), """
   select l_orderkey as doc_id, year(l_shipdate) * 12 + month(l_shipdate) - 1 as page_number,
          l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate,
-         [cast(l_linenumber as varchar), 'part ' || l_partkey,
+         [cast(l_linenumber as varchar), p_name,
           printf('%.2f', l_extendedprice), nullif(l_returnflag, 'N')] as cells
-  from lineitem""")
+  from lineitem left join part on p_partkey = l_partkey""")
 CTE["tables_v"] = (("table_rows_v",), """
   select doc_id, page_number,
          list(cells order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, cells)

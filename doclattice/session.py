@@ -21,7 +21,18 @@ def local_session(cores: int | str = 8, app: str = "doclattice", **conf: str) ->
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return plain_unions(builder.getOrCreate())
+
+
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Turn off partition-preserving unions.
+
+    Spark 4.1 lets a union of equally partitioned inputs skip the next shuffle; when adaptive
+    execution later changes one input, a join above it stops with "Can't zip RDDs". Plans here
+    that fuse ranked lists and join the result need the plain union.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
 
 
 def shared_dir(spark: SparkSession, default: str | None = None) -> str:
