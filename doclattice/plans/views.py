@@ -220,10 +220,11 @@ def invoice_fields_v(t: Tables) -> DataFrame:
             F.expr(
                 "stack(5, 'vendor_name', vendor, 'date', cast(invoice_date as string),"
                 " 'due_date', cast(due_date as string), 'total_amount', format_string('%.2f', amount),"
-                " 'tax_amount', format_string('%.2f', tax)) as (field_name, field_value)"
+                " 'tax_amount', if(tax is null, null, format_string('%.2f', tax)))"
+                " as (field_name, field_value)"
             ),
         )
-        .filter("field_value is not null and field_value <> 'null'")
+        .filter("field_value is not null")
     )
 
 
