@@ -137,7 +137,9 @@ def invoices_v(t: Tables) -> DataFrame:
     lines = t.lineitem.groupBy("l_orderkey").agg(
         F.min(F.struct("l_linenumber", "l_suppkey"))["l_suppkey"].alias("s_suppkey"),
         F.max("l_shipdate").alias("due"),
-        F.round(F.sum(F.col("l_extendedprice") * F.col("l_tax")), 2).alias("tax"),
+        # Money adds up exactly as decimals, so that half cents round the same everywhere.
+        F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")
+                      * F.col("l_tax").cast("decimal(4,2)")), 2).cast("double").alias("tax"),
         F.count("*").alias("n_lines"),
     )
     vendors = t.supplier.select("s_suppkey", F.col("s_name").alias("vendor"))
@@ -163,7 +165,8 @@ CTE["invoices_v"] = ((), """
          o_orderstatus as status
   from orders left join (
       select l_orderkey, min((l_linenumber, l_suppkey)).l_suppkey as sk, max(l_shipdate) as due,
-             round(sum(l_extendedprice * l_tax), 2) as tax, count(*) as n_lines
+             cast(round(sum(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(4,2))), 2)
+               as double) as tax, count(*) as n_lines
       from (select l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice, l_tax
             from lineitem) group by 1) on o_orderkey = l_orderkey
   left join supplier on s_suppkey = sk""".replace(
