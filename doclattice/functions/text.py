@@ -187,3 +187,62 @@ def normalize_answer(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " ")
     text = F.regexp_replace(text, PUNCTUATION_CLASS, "")
     return F.array_join(words(text), " ")
+
+
+def let(value: Column, body) -> Column:
+    """Bind a value once inside an expression: ``body`` may use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def token_runs(tokens: Column) -> Column:
+    """(token, count) of an array, from its sorted form; linear after the sort."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
+        )
+        counted = let(
+            starts,
+            lambda st: F.transform(
+                st,
+                lambda p, j: F.struct(
+                    F.get(s, p).alias("token"),
+                    (F.coalesce(F.get(st, j + 1), F.size(s)) - p).alias("n"),
+                ),
+            ),
+        )
+        return F.when(F.size(s) > 0, counted).otherwise(
+            F.array().cast("array<struct<token:string,n:int>>")
+        )
+
+    return let(F.array_sort(tokens), runs)
+
+
+def numbered_tokens(tokens: Column) -> Column:
+    """Tokens with their occurrence number, so that set intersection counts repeats."""
+    return F.flatten(
+        F.transform(
+            token_runs(tokens),
+            lambda r: F.transform(
+                F.sequence(F.lit(1), r["n"]),
+                lambda k: F.concat(r["token"], F.lit("\u0001"), k.cast("string")),
+            ),
+        )
+    )
+
+
+def multiset_overlap(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two token arrays."""
+    return F.size(F.array_intersect(numbered_tokens(a), numbered_tokens(b)))
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """Word n-grams of an array."""
+    return F.when(
+        F.size(tokens) >= n,
+        F.transform(
+            F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
+            lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
