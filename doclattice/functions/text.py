@@ -190,7 +190,10 @@ def normalize_answer(text: Column) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """Bind a value once inside an expression: ``body`` may use it many times."""
+    """Bind a value once inside an expression: ``body`` may use it many times.
+
+    An expression named inside a lambda is evaluated again for every element; a bound one is not.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -239,10 +242,13 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Word n-grams of an array."""
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-            lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return let(
+        tokens,
+        lambda w: F.when(
+            F.size(w) >= n,
+            F.transform(
+                F.sequence(F.lit(1), F.size(w) - (n - 1)),
+                lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "),
+            ),
+        ).otherwise(F.array().cast("array<string>")),
+    )

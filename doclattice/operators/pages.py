@@ -14,13 +14,14 @@ STORED_TABLE_ROWS = 100
 
 def split_pages(documents: DataFrame, lines_per_page: int = 10) -> DataFrame:
     """Cut texts into pages of whole lines, inside the row."""
-    lines = F.split("text", "\n")
-    page_no = F.sequence(
-        F.lit(0), F.floor((F.size(lines) - 1) / F.lit(lines_per_page)).cast("int")
-    )
-    pages = F.transform(
-        page_no,
-        lambda p: F.array_join(F.slice(lines, p * lines_per_page + 1, F.lit(lines_per_page)), "\n"),
+    pages = tx.let(
+        F.split("text", "\n"),
+        lambda lines: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / F.lit(lines_per_page)).cast("int")),
+            lambda p: F.array_join(
+                F.slice(lines, p * lines_per_page + 1, F.lit(lines_per_page)), "\n"
+            ),
+        ),
     )
     return documents.select("doc_id", F.posexplode(pages).alias("p", "text")).select(
         "doc_id", (F.col("p") + 1).alias("page_number"), "text"

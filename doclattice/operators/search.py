@@ -246,13 +246,16 @@ def substring_matches(queries: DataFrame, texts: DataFrame, id_cols: list[str])
         F.explode(F.when(F.length("_q") < GRAM, F.array("_q")).otherwise(_grams(F.col("_q"), GRAM)))
         .alias("gram"),
     )
-    grams = F.explode(F.concat(*[_grams(F.col("_t"), n) for n in range(1, GRAM + 1)])).alias("gram")
     t = texts.select(*id_cols, F.lower("text").alias("_t"))
+    # Grams travel with the ids only. The semi joins can build just their right, small side, so
+    # the exploded table is never the one that gets broadcast or sorted with its texts.
+    exploded = t.select(
+        *id_cols,
+        F.explode(F.concat(*[_grams(F.col("_t"), n) for n in range(1, GRAM + 1)])).alias("gram"),
+    )
     counts = (
-        t.select(grams)
-        .join(q.select("gram").distinct(), "gram", "left_semi")
-        .groupBy("gram")
-        .agg(F.count("*").alias("n"))
+        exploded.select("gram").join(q.select("gram").distinct(), "gram", "left_semi")
+        .groupBy("gram").agg(F.count("*").alias("n"))
     )
     n = F.coalesce("n", F.lit(0)).alias("n")
     rarest = (
@@ -260,9 +263,11 @@ def substring_matches(queries: DataFrame, texts: DataFrame, id_cols: list[str])
         .groupBy("query_id", "_q")
         .agg(F.min(F.struct(n, F.col("gram")))["gram"].alias("gram"))
     )
+    candidates = exploded.join(rarest.select("gram").distinct(), "gram", "left_semi").join(
+        rarest, "gram"
+    )
     return (
-        t.select(*id_cols, "_t", grams)
-        .join(rarest, "gram")
+        candidates.join(t, id_cols)
         .filter(F.contains(F.col("_t"), F.col("_q")))
         .select("query_id", *id_cols)
     )
@@ -289,20 +294,29 @@ def compress(content: Column, query_text: Column, max_sentences: int = COMPRESSE
 
     Equal overlaps keep the earlier sentence; every repeat of a kept sentence stays.
     """
-    parts = tx.loose_sentences(content)
-    wanted = F.array_distinct(tx.words(F.lower(query_text)))
-    ranked = F.array_sort(
-        F.transform(
-            parts,
-            lambda s, i: F.struct(
-                (-F.size(F.array_intersect(wanted, tx.words(F.lower(s))))).alias("o"),
-                i.alias("i"), s.alias("s"),
-            ),
+
+    def kept_sentences(parts: Column, wanted: Column) -> Column:
+        ranked = F.array_sort(
+            F.transform(
+                parts,
+                lambda s, i: F.struct(
+                    (-F.size(F.array_intersect(wanted, tx.words(F.lower(s))))).alias("o"),
+                    i.alias("i"), s.alias("s"),
+                ),
+            )
         )
-    )
-    kept = F.transform(F.slice(ranked, 1, max_sentences), lambda r: r["s"])
-    chosen = F.filter(parts, lambda s: F.array_contains(kept, s))
-    return F.when(F.size(parts) <= max_sentences, content).otherwise(F.array_join(chosen, " "))
+        return F.transform(F.slice(ranked, 1, max_sentences), lambda r: r["s"])
+
+    def shorten(parts: Column) -> Column:
+        kept = tx.let(
+            F.array_distinct(tx.words(F.lower(query_text))), lambda w: kept_sentences(parts, w)
+        )
+        return F.when(F.size(parts) <= max_sentences, content).otherwise(
+            tx.let(kept, lambda k: F.array_join(
+                F.filter(parts, lambda s: F.array_contains(k, s)), " "))
+        )
+
+    return tx.let(tx.loose_sentences(content), shorten)
 
 
 def temporal_boost(
