@@ -3,7 +3,7 @@
 from importlib import import_module
 
 AREAS = ("ingest_queries", "chunk_queries", "vector_queries", "search_queries", "answer_queries", "catalog_queries", "field_queries", "sample_queries",
-         "metric_queries", "usage_queries")
+         "metric_queries", "usage_queries", "workflow_queries")
 
 
 def load_all() -> None:

@@ -24,7 +24,7 @@ def _(t: Tables):
 @query("chk_02_fixed_size_chunks", with_ctes(["chunks_v"], """
     select doc_id, cast(chunk_index as bigint) as chunk_index, content, token_count from chunks_v"""))
 def _(t: Tables):
-    return v.chunks_v(t).select(
+    return chunking.fixed_size_chunks(t.documents, keys=("doc_id",)).select(
         "doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "content",
         F.col("token_count").cast("bigint").alias("token_count"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,28 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+# Tables whose rows are costly to process, with the key to spread them by.
+HEAVY = {"documents": "doc_id", "lineitem": "l_orderkey"}
+
+_STORED: dict[tuple[str, str, str], str] = {}
+_LOCAL_ROOT: dict[str, str] = {}
+
+
+def store_root(spark: SparkSession) -> str | None:
+    """Folder for built indexes: the cluster's shared one, or a fresh temporary one in local mode.
+
+    None on a cluster that names no shared folder; the views are then computed in the query.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if spark.sparkContext.master.startswith("local"):
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOT:
+            _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="doclattice-")
+        return _LOCAL_ROOT[app]
+    return None
+
 
 class Tables:
     """The given tables of one folder, read lazily by attribute name."""
@@ -23,9 +47,34 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return self._spread(df, HEAVY[name]) if name in HEAVY else df
         raise AttributeError(name)
 
+    def _spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Share out an input that has fewer splits than there are cores (a small file); a large
+        table already has more and is left as it is."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """An index table built once per session and folder, then read column by column.
+
+        Search runs against built chunk, postings and vector tables, as any deployment would,
+        instead of cutting and tokenizing the corpus again for every use in a plan.
+        """
+        root = store_root(self.spark)
+        if root is None:
+            return build()
+        app = self.spark.sparkContext.applicationId
+        key = (app, self.folder, name)
+        if key not in _STORED:
+            folder_id = hashlib.md5(self.folder.encode()).hexdigest()[:12]
+            path = f"{root}/doclattice/{app}/{folder_id}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -20,11 +20,11 @@ def queries_v(t: Tables) -> DataFrame:
 
 
 def index_v(t: Tables) -> DataFrame:
-    return lexical.postings(v.chunks_v(t))
+    return t.stored("postings", lambda: lexical.postings(v.chunks_v(t)))
 
 
 def stats_v(t: Tables) -> DataFrame:
-    return lexical.corpus_statistics(v.chunks_v(t))
+    return t.stored("statistics", lambda: lexical.corpus_statistics(v.chunks_v(t)))
 
 
 def keyword_v(t: Tables, k: int = 2 * TOP) -> DataFrame:
@@ -106,7 +106,7 @@ def ids(df: DataFrame, *names: str) -> DataFrame:
 @query("sch_01_postings", with_ctes(["postings_v"], """
     select chunk_id, doc_id, term, tf, dl from postings_v"""))
 def _(t: Tables):
-    return ids(index_v(t))
+    return ids(lexical.postings(v.chunks_v(t)))
 
 
 _S = """case when regexp_matches(w, 'ies$') and not regexp_matches(w, '(e|a)ies$')

@@ -36,7 +36,7 @@ SQL_COS = "round(list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a
 
 
 def chunk_vectors_v(t: Tables) -> DataFrame:
-    return embedding.embed_chunks(v.chunks_v(t))
+    return t.stored("vectors", lambda: embedding.embed_chunks(v.chunks_v(t)))
 
 
 def query_vectors_v(t: Tables) -> DataFrame:
@@ -75,7 +75,7 @@ CTE["stored_v"] = ((), """
       select chunk_id, unnest(range(64)) as d, unnest(embedding) as x from chunk_vectors_v)
     where x > 0"""))
 def _(t: Tables):
-    return chunk_vectors_v(t).select(
+    return embedding.embed_chunks(v.chunks_v(t)).select(
         "chunk_id", F.posexplode("embedding").alias("dim", "weight")
     ).filter("weight > 0").select(
         "chunk_id", F.col("dim").cast("bigint").alias("dim"), F.round("weight", 6).alias("weight")

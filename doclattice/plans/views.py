@@ -81,9 +81,9 @@ CTE["pages_v"] = ((), """
 
 def chunks_v(t: Tables) -> DataFrame:
     """Fixed-size chunks, keyed by document; chunk_id is document and index in one number."""
-    return with_chunk_id(
+    return t.stored("chunks", lambda: with_chunk_id(
         chunking.fixed_size_chunks(t.documents, keys=("doc_id", "lang", "source"))
-    )
+    ))
 
 
 def with_chunk_id(chunks: DataFrame) -> DataFrame:
