@@ -41,7 +41,7 @@ def invoice_anomalies(
     for name, limit in reversed(Z_LIMITS):
         level = F.when(F.abs("_z") >= limit, name).otherwise(level)
     unusual = judged.withColumn("_z", z).filter(F.abs("_z") >= Z_LIMITS[-1][1]).select(
-        *_finding("unusual_amount", level, F.concat(F.lit("z="), F.format_string("%.2f", F.col("_z"))))
+        *_finding("unusual_amount", level, F.concat(F.lit("z="), F.format_string("%.4f", F.col("_z"))))
     )
     new_vendor = judged.filter(F.col("invoice_date") == F.col("_first")).select(
         *_finding("new_vendor", "LOW", F.concat(F.lit("first invoice of "), F.col("vendor")))

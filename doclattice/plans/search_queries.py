@@ -338,20 +338,22 @@ def _(t: Tables):
     return ids(hits, "query_id", "rank", "doc_id", "page_number", "table_index", "content", "score")
 
 
-def sql_compress(content: str, q: str, n: int = 5) -> str:
-    """Compression of a text column ``content`` by the words of ``q`` (both plain column names)."""
-    cut = f"regexp_replace({content}, '([.!?])[{v.B}]+', '\\1' || chr(1), 'g')"
-    return f"""case when len(string_split({cut}, chr(1))) <= {n} then {content} else
-      array_to_string(list_filter(string_split({cut}, chr(1)), lambda s: list_contains(
-        list_transform(list_sort(list_transform(string_split({cut}, chr(1)), lambda s, i: {{
-          'o': -len(list_intersect(list_distinct({v.sql_words(f'lower({q})')}),
-                                   {v.sql_words('lower(s)')})), 'i': i, 's': s}}))[1:{n}],
-          lambda r: r.s), s)), ' ') end"""
+_CUT = f"regexp_replace(content, '([.!?])[{v.B}]+', '\\1' || chr(1), 'g')"
 
 
 @query("sch_12_compression", with_ctes(["expanded_v", "queries_v"], f"""
-    select query_id, chunk_id, {sql_compress('content', 'query_text')} as content
-    from expanded_v join queries_v using (query_id)"""))
+    , p as (select query_id, chunk_id, content, string_split({_CUT}, chr(1)) as parts,
+        list_distinct({v.sql_words('lower(query_text)')}) as q
+      from expanded_v join queries_v using (query_id)),
+    s as (select query_id, chunk_id, q, unnest(range(len(parts))) as i, unnest(parts) as s from p
+      where len(parts) > 5),
+    r as (select *, row_number() over (partition by query_id, chunk_id order by
+        len(list_intersect(q, list_distinct({v.sql_words('lower(s)')}))) desc, i) as r from s),
+    k as (select distinct query_id, chunk_id, s from r where r <= 5),
+    j as (select query_id, chunk_id, string_agg(s, ' ' order by i) as short from s
+      semi join k using (query_id, chunk_id, s) group by 1, 2)
+    select query_id, chunk_id, coalesce(short, content) as content
+    from p left join j using (query_id, chunk_id)""".replace("\n    , p as", ", p as", 1)))
 def _(t: Tables):
     hits = expanded_v(t).join(queries_v(t), "query_id")
     return hits.select("query_id", "chunk_id",

@@ -22,7 +22,7 @@ from doclattice.plans.views import with_ctes
         case when due_date is null then 'due_date' end, case when tax is null then 'tax' end],
         lambda x: x is not null), ',') as names from invoices_v)
     select doc_id, 'unusual_amount' as anomaly, case when abs(z) >= 3 then 'HIGH' when abs(z) >= 2
-      then 'MEDIUM' else 'LOW' end as severity, 'z=' || printf('%.2f', z) as detail from z
+      then 'MEDIUM' else 'LOW' end as severity, 'z=' || printf('%.4f', z) as detail from z
       where abs(z) >= 1.5
     union all select doc_id, 'new_vendor', 'LOW', 'first invoice of ' || vendor
       from invoices_v join s using (vendor) where invoice_date = first
