@@ -12,10 +12,14 @@ SEPARATOR = " | "
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | None = None
+    spark: SparkSession, path: str, schema: StructType | None = None, header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(good rows, dead letters). Broken rows keep their text instead of failing the read."""
-    reader = spark.read.option("header", "true").option("mode", "PERMISSIVE")
+    """(good rows, dead letters). Broken rows keep their text instead of failing the read.
+
+    Dead letters carry ``file``, ``line`` and whatever columns could be parsed; Spark wants at
+    least one of those read along with the line.
+    """
+    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
     if schema is None:
         schema = reader.option("inferSchema", "true").csv(path).schema
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
@@ -25,7 +29,8 @@ def read_csv(
         .withColumn("pos", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()))
     )
     good = rows.filter("_corrupt is null").drop("_corrupt")
-    return good, rows.filter("_corrupt is not null").select("file", F.col("_corrupt").alias("line"))
+    return good, rows.filter("_corrupt is not null").drop("pos").withColumnRenamed(
+        "_corrupt", "line")
 
 
 def as_cells(rows: DataFrame, columns: list[str]) -> DataFrame:
