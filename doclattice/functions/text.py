@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 BLANK = r"\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}"
 INLINE_BLANK = r"\t\x0B\f\r\x1c-\x1f\x85\p{Z}"
 
+# The same blanks spelled out, for trimming without a regex.
+BLANK_CHARS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # ---------------------------------------------------------------------------------------------
 # Noise patterns that cleaning has to remove, in the order in which they apply.
 PAGE_NUMBER_PATTERNS = (
@@ -47,7 +53,7 @@ def remove_all(text: Column, patterns: Iterable[str]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def is_blank(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
+from doclattice.functions.rows import unnest
 
 CHUNK_TOKENS = 400
 OVERLAP = 0.15
@@ -68,12 +69,13 @@ def fixed_size_chunks(
     windows = F.filter(
         F.transform(F.sequence(F.lit(0), last), window), lambda w: w["content"] != ""
     )
-    return (
+    tokens = (
         non_blank_pages(pages, text_col)
         .select(*keys, pieces(F.col(text_col)).alias("_pieces"))
         .withColumn("_segments", segments)
-        .select(*keys, F.posexplode(windows).alias("chunk_index", "_w"))
-        .select(*keys, "chunk_index", "_w.*")
+    )
+    return unnest(tokens, list(keys), windows, "chunk_index", "_w").select(
+        *keys, "chunk_index", "_w.*"
     )
 
 
@@ -137,7 +139,7 @@ def _pack(sents: Column, size: int, carry: int) -> Column:
 
 
 def sentence_groups_to_chunks(df: DataFrame, keys: tuple[str, ...], groups: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(groups).alias("chunk_index", "_g")).select(
+    return unnest(df, list(keys), groups, "chunk_index", "_g").select(
         *keys, "chunk_index", _joined(F.col("_g")).alias("content"),
         _tokens(F.col("_g")).alias("token_count"),
     )
@@ -206,12 +208,12 @@ def merge_small_groups(
         join = (F.size(acc["last"]) < min_sentences) | (
             _tokens(acc["last"]) + _tokens(g) <= size
         )
-        return F.struct(
-            F.when(join, acc["done"])
+        return tx.let(join, lambda j: F.struct(
+            F.when(j, acc["done"])
             .otherwise(F.concat(acc["done"], F.array(acc["last"])))
             .alias("done"),
-            F.when(join, F.concat(acc["last"], g)).otherwise(g).alias("last"),
-        )
+            F.when(j, F.concat(acc["last"], g)).otherwise(g).alias("last"),
+        ))
 
     return F.aggregate(
         groups, start, merge, lambda acc: F.concat(acc["done"], F.array(acc["last"]))

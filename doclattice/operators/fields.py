@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
+from doclattice.functions.rows import unnest
 
 # ---------------------------------------------------------------------------------------------
 # Field patterns.
@@ -60,10 +61,8 @@ def extract_patterns(
         )
         for name, p in patterns.items()
     ])
-    return (
-        documents.select("doc_id", F.explode(per_field).alias("_f"))
-        .select("doc_id", "_f.field_name", F.explode("_f.v").alias("field_value"))
-    )
+    matched = unnest(documents, ["doc_id"], per_field, "_n", "_f")
+    return unnest(matched, ["doc_id", "_f.field_name"], "_f.v", "_n", "field_value").drop("_n")
 
 
 def pattern_spans(text: Column, pattern: str, label: str) -> Column:
@@ -93,7 +92,7 @@ def tag_entities(
 ) -> DataFrame:
     """Entity rows (doc, label, value, start, end) by the default pattern tagger."""
     spans = F.concat(*[pattern_spans(F.col(text_col), p, n) for n, p in patterns.items()])
-    return documents.select("doc_id", F.explode(spans).alias("_e")).select("doc_id", "_e.*")
+    return unnest(documents, ["doc_id"], spans, "_n", "_e").select("doc_id", "_e.*")
 
 
 def entity_fields(entities: DataFrame) -> DataFrame:
@@ -221,12 +220,10 @@ def spans_until_break(forms: DataFrame) -> DataFrame:
         F.lower(F.substring(F.get(labels, s["p"]), 3, 1000)).alias("field_name"),
         F.array_join(F.slice(words, s["p"] + 1, s["e"] - s["p"]), " ").alias("field_value"),
     ))
-    return (
-        forms.filter(n > 0)
-        .withColumn("_stops", _positions(labels, lambda x: ~F.startswith(x, F.lit("I-"))))
-        .select("doc_id", F.posexplode(rows).alias("pos", "_s"))
-        .select("doc_id", "pos", "_s.*")
+    marked = forms.withColumn(
+        "_stops", F.when(n > 0, _positions(labels, lambda x: ~F.startswith(x, F.lit("I-"))))
     )
+    return unnest(marked, ["doc_id"], rows, "pos", "_s").select("doc_id", "pos", "_s.*")
 
 
 def spans_by_type(forms: DataFrame) -> DataFrame:
@@ -248,11 +245,11 @@ def spans_by_type(forms: DataFrame) -> DataFrame:
             F.array_min(F.transform(members, lambda i: F.get(conf, i))).alias("confidence"),
         )
 
-    return (
-        forms.filter(n > 0)
-        .withColumn("_starts", _positions(labels, lambda x: F.startswith(x, F.lit("B-"))))
-        .select("doc_id", F.posexplode(F.transform(starts, row)).alias("pos", "_s"))
-        .select("doc_id", "pos", "_s.*")
+    marked = forms.withColumn(
+        "_starts", F.when(n > 0, _positions(labels, lambda x: F.startswith(x, F.lit("B-"))))
+    )
+    return unnest(marked, ["doc_id"], F.transform(starts, row), "pos", "_s").select(
+        "doc_id", "pos", "_s.*"
     )
 
 

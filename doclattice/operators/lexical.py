@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
+from doclattice.functions.rows import unnest
 from doclattice.operators.vectors import rank_per_query
 
 K1 = 1.2
@@ -39,12 +40,12 @@ def postings(
             (F.coalesce(F.get(F.col("_starts"), j + 1), n) - p).alias("tf"),
         ),
     )
-    return (
+    sorted_terms = (
         chunks.select(*keep, F.array_sort(_lexemes(F.col(text_col), stop_words, stem)).alias("_s"))
-        .filter(F.size("_s") > 0)
-        .withColumn("_starts", starts)
-        .select(*keep, F.size("_s").alias("dl"), F.explode(counted).alias("_p"))
-        .select(*keep, "_p.term", "_p.tf", "dl")
+        .withColumn("_starts", F.when(n > 0, starts))
+    )
+    return unnest(sorted_terms, [*keep, n.alias("dl")], counted, "_i", "_p").select(
+        *keep, "_p.term", "_p.tf", "dl"
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
+from doclattice.functions.rows import unnest
 
 MIN_NATIVE_CHARS = 50
 LOW_OCR_CONFIDENCE = 0.5
@@ -23,7 +24,7 @@ def split_pages(documents: DataFrame, lines_per_page: int = 10) -> DataFrame:
             ),
         ),
     )
-    return documents.select("doc_id", F.posexplode(pages).alias("p", "text")).select(
+    return unnest(documents, ["doc_id"], pages, "p", "text").select(
         "doc_id", (F.col("p") + 1).alias("page_number"), "text"
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
+from doclattice.functions.rows import unnest
 from doclattice.operators import lexical, vectors
 from doclattice.session import plain_unions
 
@@ -247,12 +248,16 @@ def substring_matches(queries: DataFrame, texts: DataFrame, id_cols: list[str])
         .alias("gram"),
     )
     t = texts.select(*id_cols, F.lower("text").alias("_t"))
+    # Shorter grams are cut only if some query is that short.
+    shortest = q.agg(F.min(F.length("_q"))).scalar()
+    none = F.array().cast("array<string>")
+    cut = F.concat(
+        _grams(F.col("_t"), GRAM),
+        *[F.when(shortest <= n, _grams(F.col("_t"), n)).otherwise(none) for n in range(1, GRAM)],
+    )
     # Grams travel with the ids only. The semi joins can build just their right, small side, so
     # the exploded table is never the one that gets broadcast or sorted with its texts.
-    exploded = t.select(
-        *id_cols,
-        F.explode(F.concat(*[_grams(F.col("_t"), n) for n in range(1, GRAM + 1)])).alias("gram"),
-    )
+    exploded = unnest(t, id_cols, cut, "_n", "gram").drop("_n")
     counts = (
         exploded.select("gram").join(q.select("gram").distinct(), "gram", "left_semi")
         .groupBy("gram").agg(F.count("*").alias("n"))

@@ -109,7 +109,8 @@ def _blocked(side: DataFrame, own: str, keys: list[str], counts: list[DataFrame]
     else:
         side = side.withColumn("n_vb", n_v.scalar()).withColumn("n_qb", n_q.scalar())
     return side.select(
-        *keys, id_col, "embedding",
+        # Fresh names: both sides may come from the same table.
+        *[F.col(c).alias(c) for c in (*keys, id_col, "embedding")],
         F.pmod(F.xxhash64(F.col(id_col)), F.col(f"n_{own}")).cast("int").alias(own),
         F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
+from doclattice.functions.rows import unnest
 from doclattice.operators.vectors import rank_per_query
 
 # |z| limits of an unusual amount, by severity.
@@ -92,8 +93,9 @@ def sentence_scores(documents: DataFrame) -> DataFrame:
     Sentences are exploded once; word counts and sentence sums are aggregates on (doc, word) and
     (doc, pos), keys without hot values.
     """
-    sents = documents.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
-    words = sents.select("doc_id", "pos", F.explode(tx.token_runs(tx.lexemes(F.col("sentence")))).alias("_r"))
+    sents = unnest(documents, ["doc_id"], tx.sentences(F.col("text")), "pos", "sentence")
+    runs = tx.token_runs(tx.lexemes(F.col("sentence")))
+    words = unnest(sents, ["doc_id", "pos"], runs, "_i", "_r")
     words = words.select("doc_id", "pos", F.col("_r.token").alias("w"), F.col("_r.n").alias("n"))
     tf = words.groupBy("doc_id", "w").agg(F.sum("n").alias("tf"))
     scores = words.join(tf, ["doc_id", "w"]).groupBy("doc_id", "pos").agg(

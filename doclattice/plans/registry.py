@@ -16,7 +16,7 @@ TABLES = (
 ).split()
 
 # Tables whose rows are costly to process, with the key to spread them by.
-HEAVY = {"documents": "doc_id", "lineitem": "l_orderkey"}
+HEAVY = {"documents": "doc_id", "lineitem": "l_orderkey", "orders": "o_orderkey"}
 
 _STORED: dict[tuple[str, str, str], str] = {}
 _LOCAL_ROOT: dict[str, str] = {}

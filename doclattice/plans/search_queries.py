@@ -325,10 +325,10 @@ def part_queries_v(t: Tables) -> DataFrame:
 def table_texts_v(t: Tables) -> DataFrame:
     from doclattice.operators.pages import table_text
 
-    return v.tables_v(t).select(
+    return t.stored("table_texts", lambda: v.tables_v(t).select(
         "doc_id", "page_number", F.col("table.table_index").cast("bigint").alias("table_index"),
         table_text(F.col("table.rows")).alias("text"),
-    )
+    ))
 
 
 @query("sch_11_table_search", with_ctes(["table_hits_v"], """

@@ -21,7 +21,7 @@ MAX_UPLOAD_MB = 50
 def read_blobs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Raw objects by path (path, modificationTime, length, content) from any Hadoop file system.
 
-    Leave ``content`` unselected and only the listing is read.
+    Leave ``content`` unselected and only the listing is read. Spark lists no files without bytes.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:

@@ -20,6 +20,8 @@ def read_csv(
     least one of those read along with the line.
     """
     reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    # Every column is parsed whatever is selected later: a pruned column could not be found broken.
+    reader = reader.option("columnPruning", "false")
     if schema is None:
         schema = reader.option("inferSchema", "true").csv(path).schema
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
