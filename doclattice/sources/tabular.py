@@ -20,8 +20,6 @@ def read_csv(
     least one of those read along with the line.
     """
     reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
-    # Every column is parsed whatever is selected later: a pruned column could not be found broken.
-    reader = reader.option("columnPruning", "false")
     if schema is None:
         schema = reader.option("inferSchema", "true").csv(path).schema
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
@@ -30,6 +28,10 @@ def read_csv(
         .withColumn("file", F.col("_metadata.file_path"))
         .withColumn("pos", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()))
     )
+    # The scan converts only the columns a plan uses and so finds only those broken. This test is
+    # always true but names every column, so a row is judged as a whole whatever is selected later.
+    whole = F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in schema.fields])) >= 0
+    rows = rows.filter(whole)
     good = rows.filter("_corrupt is null").drop("_corrupt")
     return good, rows.filter("_corrupt is not null").drop("pos").withColumnRenamed(
         "_corrupt", "line")
