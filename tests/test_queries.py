@@ -7,6 +7,8 @@ from tests.compare import connect, differences
 
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
+# Cache hits: 1,000 events hold none, 10,000 do.
+SPARSE = {"rag_08_cached_messages", "str_04_cached_answers"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,7 @@ def test_query(spark, data, con, name):
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     if name in ORACLES:
-        assert differences(df, con, ORACLES[name]) == []
+        assert differences(df, con, ORACLES[name], name in SPARSE) == []
     else:
         assert df.count() > 0
 
