@@ -253,12 +253,19 @@ def request_log(raw: DataFrame) -> DataFrame:
 
 # -- agent traces -----------------------------------------------------------------------------
 
-def step_rows(runs: DataFrame) -> DataFrame:
-    """One row per step of each run with cut texts (runs have ``steps`` arrays of structs)."""
+def unpacked_steps(runs: DataFrame) -> DataFrame:
+    """Step rows of runs that carry their steps as an array of structs."""
     return runs.select("run_id", "workflow", F.posexplode("steps").alias("step", "_s")).select(
-        "run_id", "workflow", "step", "_s.step_type", "_s.tool_name",
-        F.substring("_s.content", 1, STEP_CHARS).alias("content"),
-        F.substring("_s.tool_result", 1, RESULT_CHARS).alias("tool_result"), "_s.duration_ms",
+        "run_id", "workflow", "step", "_s.*"
+    )
+
+
+def step_rows(steps: DataFrame) -> DataFrame:
+    """One trace row per step, texts cut to their limits."""
+    return steps.select(
+        "run_id", "workflow", "step", "step_type", "tool_name",
+        F.substring("content", 1, STEP_CHARS).alias("content"),
+        F.substring("tool_result", 1, RESULT_CHARS).alias("tool_result"), "duration_ms",
     )
 
 

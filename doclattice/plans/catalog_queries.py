@@ -171,7 +171,7 @@ _CSV = """
 
 def order_rows(t: Tables) -> DataFrame:
     return t.lineitem.select(
-        F.col("l_orderkey").alias("file"),
+        F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("block"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pos"),
         F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
                 F.format_string("%.2f", F.col("l_extendedprice"))).alias("cells"),

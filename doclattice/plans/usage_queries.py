@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclattice.operators import usage
@@ -213,17 +213,17 @@ def _(t: Tables):
 
 
 # Agent traces: a conversation is a run, its turns the steps.
-def runs_with_steps(t: Tables) -> DataFrame:
+def steps_v(t: Tables) -> DataFrame:
     tool = F.when(F.col("role") == "assistant", F.element_at(
         F.array(*map(F.lit, ("search_documents", "compare_documents", "generate_with_llm"))),
         (F.col("conv_id") % 3 + 1).cast("int")))
-    step = F.struct(
-        "turn", F.when(F.col("role") == "user", "reasoning").otherwise("tool_call").alias("step_type"),
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return usage.step_rows(t.conversations.select(
+        F.col("conv_id").alias("run_id"), F.lit("research").alias("workflow"), number.alias("step"),
+        F.when(F.col("role") == "user", "reasoning").otherwise("tool_call").alias("step_type"),
         tool.alias("tool_name"), F.col("text").alias("content"), F.col("text").alias("tool_result"),
         F.length("text").cast("double").alias("duration_ms"),
-    )
-    return t.conversations.groupBy(F.col("conv_id").alias("run_id")).agg(
-        F.array_sort(F.collect_list(step)).alias("steps")).withColumn("workflow", F.lit("research"))
+    ))
 
 
 CTE["steps_v"] = ((), """
@@ -236,21 +236,21 @@ CTE["steps_v"] = ((), """
 
 @query("ana_12_agent_steps", with_ctes(["steps_v"], "select * from steps_v"))
 def _(t: Tables):
-    return ids(usage.step_rows(runs_with_steps(t)))
+    return ids(steps_v(t))
 
 
 @query("ana_12_tool_statistics", with_ctes(["steps_v"], """
     select tool_name, count(*) as n, round(avg(duration_ms), 3) as avg_ms, max(duration_ms) as max_ms,
       count(*) filter (step_type = 'error') as errors from steps_v where tool_name is not null group by 1"""))
 def _(t: Tables):
-    return usage.tool_statistics(usage.step_rows(runs_with_steps(t)))
+    return usage.tool_statistics(steps_v(t))
 
 
 @query("wrk_05_approval_queue", with_ctes(["steps_v"], """
     select run_id, step, tool_name from steps_v where tool_name in ('compare_documents',
       'generate_with_llm') and run_id not in (select doc_id from labels where quality = 1)"""))
 def _(t: Tables):
-    steps = usage.step_rows(runs_with_steps(t))
+    steps = steps_v(t)
     granted = steps.join(t.labels.filter("quality = 1").select(F.col("doc_id").alias("run_id")),
                          "run_id", "left_semi")
     return ids(usage.approval_queue(steps, granted), "run_id", "step", "tool_name")

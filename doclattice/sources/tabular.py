@@ -26,7 +26,8 @@ def read_csv(
     rows = (
         reader.option("columnNameOfCorruptRecord", "_corrupt").schema(full).csv(path)
         .withColumn("file", F.col("_metadata.file_path"))
-        .withColumn("pos", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()))
+        .withColumn("block", F.col("_metadata.file_block_start"))
+        .withColumn("pos", F.struct("block", F.monotonically_increasing_id()))
     )
     # The scan converts only the columns a plan uses and so finds only those broken. This test is
     # always true but names every column, so a row is judged as a whole whatever is selected later.
@@ -38,9 +39,9 @@ def read_csv(
 
 
 def as_cells(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(file, pos, cells) from typed rows; NULL cells read ``nan`` as in the page text."""
+    """(file, block, pos, cells) from typed rows; NULL cells read ``nan`` as in the page text."""
     cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns])
-    return rows.select("file", "pos", cells.alias("cells"))
+    return rows.select("file", "block", "pos", cells.alias("cells"))
 
 
 def _row_text(cells: Column) -> Column:
@@ -53,12 +54,19 @@ def tabular_pages(
     """Page text of each file: a ``Columns:`` line, a blank line, the rows joined by a pipe.
 
     A file up to ``rows_per_page`` rows is one page; larger ones go on, so that no text grows
-    without bound. ``rows(file, pos, cells)``.
+    without bound. ``rows(file, block, pos, cells)``: blocks are the splits of a file, in the order
+    of ``pos``. Rows are numbered inside their block and moved by the sizes of the blocks before
+    it, so even one huge file is numbered in parallel.
     """
-    number = F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("pos")) - 1
     return (
-        rows.select("file", "pos", _row_text(F.col("cells")).alias("_t"))
-        .withColumn("_n", number)
+        rows.select("file", "block", "pos", _row_text(F.col("cells")).alias("_t"))
+        .withColumn("_r", inside)
+        .join(offsets, ["file", "block"])
+        .withColumn("_n", F.col("_o") + F.col("_r"))
         .withColumn("page_number", (F.floor(F.col("_n") / rows_per_page) + 1).cast("int"))
         .groupBy("file", "page_number")
         .agg(F.expr("listagg(_t, '\\n') within group (order by _n)").alias("_body"))

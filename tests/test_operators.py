@@ -306,3 +306,12 @@ def test_missing_embedding_follows_content(spark):
     changed = chunks.withColumn("content", F.when(F.col("chunk_id") == 2, "c").otherwise(F.col("content")))
     left = embedding.missing_embeddings(changed, stored, embedding.HASH_MODEL)
     assert [r.chunk_id for r in left.collect()] == [2]
+
+
+def test_unpacked_steps(spark):
+    runs = spark.createDataFrame(
+        [("r1", "w", [("reasoning", None, "x" * 3000, None, 1.0), ("tool_call", "t", "y", "z" * 900, 2.0)])],
+        "run_id string, workflow string, steps array<struct<step_type:string,tool_name:string,"
+        "content:string,tool_result:string,duration_ms:double>>")
+    rows = usage.step_rows(usage.unpacked_steps(runs)).orderBy("step").collect()
+    assert [(r.step, len(r.content), len(r.tool_result or "")) for r in rows] == [(0, 2000, 0), (1, 1, 500)]
