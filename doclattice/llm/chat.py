@@ -51,35 +51,34 @@ def pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Jump tables (tree_id, node_id, up, steps) for 1, 2, 4 ... steps, and per node its depth and
     the sum of scores up to its root. Nodes on or below a cycle have no root and are left out."""
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"))
-    links = nodes.filter(F.col("parent_id").isNotNull()).select("tree_id", "parent_id", "node_id", "score")
+    links = nodes.filter(F.col("parent_id").isNotNull()).select("tree_id", "parent_id", "node_id")
     links = links.join(known, ["tree_id", "parent_id"], "left_semi")
-    reached = nodes.select("tree_id", "node_id", "score").join(
-        links.select("tree_id", "node_id", F.col("parent_id").alias("up")), ["tree_id", "node_id"], "left"
-    ).select("tree_id", "node_id", "up", F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"))
-    state = written(reached, "chat-state")
-    jumps, span, total = [], 1, None
-    while True:
-        open_, count, = state.agg(F.count("up"), F.count(F.lit(1))).first()
-        total = total or count
-        if not open_ or span > 2 * total:
-            break
-        jumps.append(state.filter(F.col("up").isNotNull()).select("tree_id", "node_id", "up"))
-        above = state.select(
+    state = written(
+        nodes.select("tree_id", "node_id", "score").join(
+            links.select("tree_id", "node_id", F.col("parent_id").alias("up")), ["tree_id", "node_id"], "left"
+        ).select("tree_id", "node_id", "up", F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum")),
+        "chat-state",
+    )
+    # Only nodes whose pointer is not at a root yet are joined again; the others are looked up.
+    done, jumps, span = state.filter(F.col("up").isNull()), [], 1
+    opened = state.filter(F.col("up").isNotNull())
+    most = opened.count()
+    while span <= 2 * most and not opened.isEmpty():
+        jumps.append(opened.select("tree_id", "node_id", "up"))
+        above = done.unionByName(opened).select(
             "tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"),
             F.col("steps").alias("steps2"), F.col("sum").alias("sum2"),
         )
         state = written(
-            state.join(above, ["tree_id", "up"], "left").select(
+            opened.join(above, ["tree_id", "up"]).select(
                 "tree_id", "node_id", F.col("up2").alias("up"),
-                (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-                (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
+                (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("sum") + F.col("sum2")).alias("sum"),
             ),
             "chat-state",
         )
+        done, opened = done.unionByName(state.filter(F.col("up").isNull())), state.filter(F.col("up").isNotNull())
         span *= 2
-    ends = state.filter(F.col("up").isNull()).select(
-        "tree_id", "node_id", F.col("steps").alias("depth"), F.col("sum").alias("path_score")
-    )
+    ends = done.select("tree_id", "node_id", F.col("steps").alias("depth"), F.col("sum").alias("path_score"))
     return jumps, ends
 
 
@@ -120,7 +119,7 @@ def conversations(nodes: DataFrame, branches: int | None = 1, loss_roles: tuple[
     score (more columns are ignored); see :func:`clean_nodes` for NULLs and repeated rows. An empty
     table gives no rows. A conversation is one value, so its length bounds a row's size.
     """
-    nodes = clean_nodes(nodes)
+    nodes = written(clean_nodes(nodes), "chat-nodes")
     turn = F.struct("depth", "role", "text")
     paths = (
         best_paths(nodes, branches)

@@ -9,7 +9,6 @@ subtraction and one multiplication with the inverse power (the bases are odd, so
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
@@ -33,8 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _byte_values(seed: int) -> np.ndarray:
+def byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed * 7919 + 1))
 
 
@@ -57,12 +55,20 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+class Ranges:
+    """Hashes of values[start:end] for any positions, before mixing."""
+
+    def __init__(self, values: np.ndarray, seed: int):
+        power, self.inverse = _powers(seed, len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, _U)
+        np.cumsum(values * power[:-1], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+
+
 def range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of values[start:end] for each pair of positions, before mixing."""
-    power, inverse = _powers(seed, len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * power[:-1], out=sums[1:])
-    return (sums[ends] - sums[starts]) * inverse[starts]
+    return Ranges(values, seed)(starts, ends)
 
 
 class Block:
@@ -75,10 +81,10 @@ class Block:
         self.text_start = np.cumsum(lengths + 1) - lengths - 1
         self.text_length = lengths
 
-    def split_words(self) -> None:
+    def split_words(self, separator: np.ndarray = _SEPARATOR) -> None:
         """Set word_start, word_end, word_text and first (index of each text's first word)."""
         inside = np.zeros(len(self.data) + 2, bool)
-        inside[1:-1] = ~_SEPARATOR[self.data]
+        inside[1:-1] = ~separator[self.data]
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.word_start, self.word_end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.word_start, np.append(self.text_start, len(self.data) + 1))
@@ -86,7 +92,7 @@ class Block:
         self.word_text = np.repeat(np.arange(self.n), self.n_words)
 
     def word_hashes(self, seed: int = 0, lower: bool = False) -> np.ndarray:
-        table = _byte_values(seed)
+        table = byte_table(seed)
         if lower:
             table = table.copy()
             table[65:91] = table[97:123]
@@ -99,7 +105,7 @@ class Block:
         return at[self.word_text[at] == self.word_text[at + width - 1]]
 
     def byte_values(self, seed: int = 0) -> np.ndarray:
-        return _byte_values(seed)[self.data]
+        return byte_table(seed)[self.data]
 
 
 def window_hashes(word_hashes: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -120,3 +126,10 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
 
 def encoded(texts: list[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in texts]
+
+
+def sums_by(mask: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of mask[begin:end] for each range; empty ranges give 0."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[end] - total[begin]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclattice.llm import chat, secrets
+from doclattice.llm import chat, language, quality, secrets, toxicity
+from doclattice.llm.batches import crc32_mod
 from doclattice.llm.tables import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,8 +41,8 @@ WITH d AS (SELECT doc_id, source AS src, coalesce(text, '') AS text FROM documen
 m AS ({" UNION ALL ".join(_MATCHES.format(rank=i, kind=k, pattern=p, group=g, least=n) for i, (k, p, g, n) in enumerate(_KINDS))}),
 p AS (
   SELECT doc_id, src, rank, kind, vals[i] AS v, length(found[i]) AS n,
-    list_sum(list_transform(gaps[:i], x -> length(x)))::BIGINT
-      + coalesce(list_sum(list_transform(found[:i - 1], x -> length(x))), 0)::BIGINT AS start, least
+    list_sum(list_transform(gaps[:i], lambda x: length(x)))::BIGINT
+      + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0)::BIGINT AS start, least
   FROM m, unnest(range(1, len(found) + 1)) AS r(i)),
 s AS (
   SELECT *, start + n AS stop FROM p WHERE length(v) >= least
@@ -113,3 +114,32 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(spoken, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op3_quality_trees")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.judge(docs, model).drop("text")
+
+
+@query("op7_toxic_segments")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from labelled rows whose crc32(doc_id) mod 3 is not 1; scores all."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").filter(crc32_mod("doc_id", 3) != 1)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), spans=True)
+    return scored.select(
+        "doc_id", F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), "toxic_spans",
+    )
+
+
+@query("op8_hierarchical_language")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 3 is not 1; predicts all."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, keep=crc32_mod("doc_id", 3) != 1)
+    held_out = F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
