@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclattice.llm import chat, language, quality, secrets, toxicity
+from doclattice.llm import chat, language, packing, quality, secrets, toxicity
 from doclattice.llm.batches import crc32_mod
 from doclattice.llm.tables import text_or_empty
 
@@ -143,3 +143,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False))
     return language.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def token_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces of at most 1024 tokens of the public 50k byte vocabulary. The rank file holds the same
+    vocabulary and merges as byte_bpe_50k.json and gives the same ids several times faster."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pieces(docs, ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(token_pieces(table(spark, folder, "documents"))).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
