@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclattice.llm import chat, language, packing, quality, secrets, toxicity
+from doclattice.llm import chat, language, packing, quality, secrets, toxicity, window_dedup
 from doclattice.llm.batches import crc32_mod
 from doclattice.llm.tables import text_or_empty
 
@@ -158,3 +158,8 @@ def token_pieces(docs: DataFrame) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(token_pieces(table(spark, folder, "documents"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op1_window_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return window_dedup.remove_repeats(table(spark, folder, "documents"))
