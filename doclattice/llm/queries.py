@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclattice.llm import chat, language, packing, quality, secrets, toxicity, window_dedup
+from doclattice.llm import byte_dedup, chat, language, packing, quality, secrets, toxicity, window_dedup
 from doclattice.llm.batches import crc32_mod
 from doclattice.llm.tables import text_or_empty
 
@@ -163,3 +163,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_window_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return window_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op10_byte_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_dedup.remove_repeats(table(spark, folder, "documents"))
