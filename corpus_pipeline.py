@@ -1,21 +1,50 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: five stages, each on all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclattice.llm import secrets
+from doclattice.llm import decontamination, near_dedup, packing, queries, secrets, toxicity
+from doclattice.llm.batches import crc32_mod
 from doclattice.llm.tables import written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go. Learned from labels whose crc32(doc_id) mod 3 is not 1."""
+    labels = queries.table(spark, sf_dir, "labels").filter(crc32_mod("doc_id", 3) != 1)
+    return toxicity.without_toxic(docs, labels)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a passage of the benchmark go."""
+    return decontamination.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Owner-specific credentials are replaced in the text; no document goes."""
     return secrets.redact(docs)
 
 
-STAGES = [("secret scans", redact_secrets)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequence and place in it."""
+    return packing.pack(queries.token_pieces(docs)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("packing", pack_sequences),
+]
 
-#: The stages score texts with fitted models and pack sequences: SQL cannot express that.
+#: Toxicity is a fitted model and packing needs a tokenizer: SQL cannot express these stages.
 ORACLE_SQL = None
 
 

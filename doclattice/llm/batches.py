@@ -18,7 +18,9 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean
 def with_text_columns(docs: DataFrame, fields: dict[str, str], make: Callable[[], Callable[[list[bytes]], dict]],
                       text: str = "text") -> DataFrame:
     """``docs`` and the columns named in ``fields`` (name -> type). ``make()`` runs once a task and
-    gives the function from a block of UTF-8 texts (NULL: empty) to equally long columns."""
+    gives the function from a block of UTF-8 texts (NULL: empty) to equally long columns. Columns of
+    the input that have one of these names are replaced."""
+    docs = docs.drop(*fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

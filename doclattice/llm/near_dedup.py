@@ -268,3 +268,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = own.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but the smallest doc_id of each group of near
+    duplicates. Of rows with the same doc_id and text one stays; rows without doc_id stay."""
+    found = written(near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

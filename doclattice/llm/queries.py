@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclattice.llm import byte_dedup, chat, language, near_dedup, packing, quality, secrets, toxicity, window_dedup
+from doclattice.llm import byte_dedup, chat, decontamination, language, near_dedup, packing, quality, secrets, toxicity, window_dedup
 from doclattice.llm.batches import crc32_mod
 from doclattice.llm.tables import text_or_empty
 
@@ -173,3 +173,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_minhash_near_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_spaced_seed_decontamination")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -66,14 +66,14 @@ def spans_of(text: Column, kind: str) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """(row, doc_id, repository, owner, spans): all candidate spans of every row, in a written
+    """(row, doc_id, hashed, repository, owner, spans): all candidate spans of every row, in a written
     table. NULL text is empty; rows that share a doc_id stay rows of their own."""
     whole = text_or_empty(text)
     spans = F.array_sort(F.concat(*(spans_of(F.col("_text"), kind) for kind in KINDS)))
     return written(
         docs.select(F.col("doc_id").alias("doc_id"), F.col(repository).cast("string").alias("repository"),
                     F.col(owner).cast("string").alias("owner"), whole.alias("_text"))
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", spans.alias("spans")),
+        .select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("_text").alias("hashed"), "repository", "owner", spans.alias("spans")),
         "secret-spans",
     )
 
@@ -135,8 +135,9 @@ def redact(docs: DataFrame, example_owners: int = 3, mark: str = "<secret>") ->
     ``n_chars`` (if there is one) counted anew. Overlapping spans become one mark. Values that many
     owners share are documentation examples and stay."""
     names = docs.columns
-    found = ownership_verdicts(docs, example_owners)
-    kept = docs.join(found, "doc_id", "left")
+    found = live_spans(docs, example_owners)
+    same = docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(text_or_empty(docs["text"])) == found["_hashed"])
+    kept = docs.join(found, same, "left")
     text = F.col("text")
     step = F.aggregate(
         F.col("_live"),
@@ -154,11 +155,12 @@ def redact(docs: DataFrame, example_owners: int = 3, mark: str = "<secret>") ->
     return out.select(*names)
 
 
-def ownership_verdicts(docs: DataFrame, example_owners: int) -> DataFrame:
-    """(doc_id, _live): live spans of the documents that have any, one row a doc_id."""
+def live_spans(docs: DataFrame, example_owners: int) -> DataFrame:
+    """(_doc, _hashed, _live): the live spans of every text that has any. A text is known by its
+    doc_id and hash, so rows that share an id, or have none, keep their own spans."""
     found, spans = judged(docs, example_owners=example_owners)
-    live = spans.filter("live").join(found.select("row", "doc_id"), "row")
-    return live.groupBy("doc_id").agg(
+    live = spans.filter("live").join(found.select("row", "doc_id", "hashed"), "row")
+    return live.groupBy(F.col("doc_id").alias("_doc"), F.col("hashed").alias("_hashed")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_live")
     )
 

@@ -221,15 +221,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     return model
 
 
-def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1; empty and NULL texts too) and, on request, the significant
+def score(docs: DataFrame, model: Model, spans: bool = False, column: str = "toxicity") -> DataFrame:
+    """``docs`` with ``column`` (0 to 1; empty and NULL texts too) and, on request, the significant
     passages as ``toxic_spans`` ("first:last:score" of tokens). One row per input row."""
 
     def make():
         def work(texts):
             n, found, _ = segments(texts, model)
             e = evidence(n, found, model)
-            out = {"toxicity": 1 / (1 + np.exp(-np.clip(model.slope * e + model.offset, -50, 50)))}
+            out = {column: 1 / (1 + np.exp(-np.clip(model.slope * e + model.offset, -50, 50)))}
             if spans:
                 level = np.log(model.scale * np.maximum(n, 1) + 1e-9)
                 out["toxic_spans"] = [",".join(f"{a}:{b}:{s:.3f}" for a, b, s in own if model.decay * s > at) for own, at in zip(found, level)]
@@ -237,4 +237,10 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
         return work
 
-    return with_text_columns(docs, {"toxicity": "double"} | ({"toxic_spans": "string"} if spans else {}), make)
+    return with_text_columns(docs, {column: "double"} | ({"toxic_spans": "string"} if spans else {}), make)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that score less than ``at``."""
+    column = "_toxicity_of_row"
+    return score(docs, fit(docs, labels), column=column).filter(F.col(column) < at).select(*docs.columns)
