@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from doclattice.llm.tables import partitions
 
-#: Text per part. Larger parts mean fewer, longer rows between parts and shards.
-PART_BYTES = 8 << 20
+#: Text per part. Larger parts mean fewer, longer rows between parts and shards, and more memory: a
+#: task holds some fifty bytes for each byte of its part.
+PART_BYTES = 3 << 20
 
 
 def in_parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
