@@ -35,7 +35,8 @@ COORDINATES, MATCHES = 64, 25
 PREFIX = COORDINATES - MATCHES + 1
 #: Counters for how common a token is: a fixed number, so they can travel to every task. Any table
 #: gives a right order of tokens; a fuller one only orders rare tokens less well.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
+_RUN = 4096  # counters to a row
 #: Linked from 100 * intersection >= SIMILARITY * union on.
 SIMILARITY = 75
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=_U)) | _U(1)
@@ -111,13 +112,20 @@ def token_counts(classes: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             total += np.bincount((_tokens(_matrix(batch.column(0))) % _U(COUNTERS)).astype(np.int64).ravel(), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    rows = classes.select("signature").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
-    out[rows["at"]] = rows["n"]
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+        rows = total.reshape(-1, _RUN)
+        full = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([rows[i].tobytes() for i in full], pa.binary())], ["at", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, np.int64) for b in table.column("n").to_pylist())
+        small = np.minimum(total, 2**31 - 1).astype("<i4")
+        return pa.table({"at": table.column("at").slice(0, 1), "n": pa.array([small.tobytes()], pa.binary())})
+
+    rows = classes.select("signature").mapInArrow(run, "at long, n binary").groupBy("at").applyInArrow(add, "at long, n binary")
+    out = np.zeros((COUNTERS // _RUN, _RUN), np.int32)
+    for row in rows.collect():  # COUNTERS / _RUN rows
+        out[row["at"]] = np.frombuffer(row["n"], "<i4")
+    return out.ravel()
 
 
 def posted(classes: DataFrame) -> DataFrame:
