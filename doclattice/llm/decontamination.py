@@ -80,8 +80,9 @@ def best_run(words: Column, item: Column, shift: Column) -> Column:
     """Struct (words, first, last) of the best-scoring run along a shift (text place minus item
     place): its equal words, and its first and last place in the text (1-based)."""
     begin = F.greatest(F.lit(1), 1 - shift)
-    n = F.least(F.size(item), F.size(words) - shift) - begin + 1
-    equal = F.zip_with(F.slice(words, begin + shift, n), F.slice(item, begin, n), lambda a, b: a == b)
+    n = F.greatest(F.lit(0), F.least(F.size(item), F.size(words) - shift) - begin + 1)
+    begin = F.least(begin, F.size(item))
+    equal = F.zip_with(F.slice(words, F.greatest(F.lit(1), begin + shift), n), F.slice(item, begin, n), lambda a, b: a == b)
     zero = F.lit(0)
     start = F.struct(*(zero.alias(c) for c in ("at", "score", "same", "first", "top", "words", "from", "to")))
 

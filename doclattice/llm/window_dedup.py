@@ -159,7 +159,7 @@ def repeated(docs: DataFrame, marks: DataFrame, shards: int, width: int, gram: i
         # A row without digests holds what its part settled alone; it goes back as it is.
         back = [s[later[a:b]].tobytes() if b > a else s.tobytes() for s, a, b in zip(starts, cut, cut[1:])]
         keep = [i for i, b in enumerate(back) if b]
-        return pa.table({"part": table.column("part").take(keep), "starts": pa.array([back[i] for i in keep], pa.binary())})
+        return pa.table({"part": table.column("part").take(pa.array(keep, pa.int64())), "starts": pa.array([back[i] for i in keep], pa.binary())})
 
     sent = docs.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(
         ask, "shard int, part int, high binary, low binary, starts binary, ids binary, counts binary")
