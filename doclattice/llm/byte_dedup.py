@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from doclattice.llm.hashing import Block, Ranges, blocks, byte_table, mix
-from doclattice.llm.parts import arrays, documents, in_parts, runs, shard_of
+from doclattice.llm.parts import arrays, dealt, documents, in_parts, runs, shard_of
 from doclattice.llm.window_dedup import least_places
 
 _U = np.uint64
@@ -196,7 +196,7 @@ def settled(docs: DataFrame, shards: int, width: int, gram: int, most: int) -> D
                          "states": pa.array([out[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
     sent = docs.groupBy("part").applyInArrow(ask, "shard int, part int, gram binary, wide binary, narrow binary, several binary")
-    return sent.groupBy("shard").applyInArrow(merge, "part int, shard int, states binary")
+    return dealt(sent).applyInArrow(merge, "part int, shard int, states binary")
 
 
 def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +303,7 @@ def repeated(docs: DataFrame, states: DataFrame, shards: int, width: int, gram:
 
     sent = docs.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(
         ask, "shard int, part int, " + ", ".join(f"{c} binary" for c in _COLUMNS))
-    return sent.groupBy("shard").applyInArrow(find, "part int, spans binary")
+    return dealt(sent).applyInArrow(find, "part int, spans binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 100, most: int = 256, part_bytes: int | None = None,

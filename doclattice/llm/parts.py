@@ -57,3 +57,9 @@ def runs(*sorted_keys: np.ndarray) -> np.ndarray:
     for key in sorted_keys:
         new[1:] |= key[1:] != key[:-1]
     return new
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows by shard, in as many partitions as the session has: shards are dealt by what they cost to
+    work on, not by their few bytes, so adaptive execution must not merge them into one task."""
+    return rows.repartition(partitions(rows.sparkSession), "shard").groupBy("shard")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from doclattice.llm.hashing import Block, mix, window_hashes
-from doclattice.llm.parts import arrays, documents, in_parts, runs, shard_of
+from doclattice.llm.parts import arrays, dealt, documents, in_parts, runs, shard_of
 
 _U = np.uint64
 ROWS = 2  # rows of counters in a sketch
@@ -94,7 +94,7 @@ def sketched(docs: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
         return pa.table({"part": table.column("part"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
 
     sent = docs.groupBy("part").applyInArrow(ask, "shard int, part int, cells binary")
-    return sent.groupBy("shard").applyInArrow(merge, "part int, shard int, bits binary")
+    return dealt(sent).applyInArrow(merge, "part int, shard int, bits binary")
 
 
 def repeated(docs: DataFrame, marks: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
@@ -163,7 +163,7 @@ def repeated(docs: DataFrame, marks: DataFrame, shards: int, width: int, gram: i
 
     sent = docs.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(
         ask, "shard int, part int, high binary, low binary, starts binary, ids binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(group, "part int, starts binary")
+    return dealt(sent).applyInArrow(group, "part int, starts binary")
 
 
 def keep_words(block: Block, keep: np.ndarray) -> list[memoryview]:
