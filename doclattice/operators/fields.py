@@ -217,7 +217,7 @@ def spans_until_break(forms: DataFrame) -> DataFrame:
     )
     spans = F.filter(spans, lambda s: F.startswith(F.get(labels, s["p"]), F.lit("B-")))
     rows = F.transform(spans, lambda s: F.struct(
-        F.lower(F.substring(F.get(labels, s["p"]), 3, 1000)).alias("field_name"),
+        F.lower(F.substr(F.get(labels, s["p"]), F.lit(3))).alias("field_name"),
         F.array_join(F.slice(words, s["p"] + 1, s["e"] - s["p"]), " ").alias("field_value"),
     ))
     marked = forms.withColumn(
@@ -234,7 +234,7 @@ def spans_by_type(forms: DataFrame) -> DataFrame:
 
     def row(p: Column, j: Column) -> Column:
         end = F.coalesce(F.get(starts, j + 1), n)
-        kind = F.substring(F.get(labels, p), 3, 1000)
+        kind = F.substr(F.get(labels, p), F.lit(3))
         members = F.filter(
             F.sequence(p, end - 1),
             lambda i: (i == p) | (F.get(labels, i) == F.concat(F.lit("I-"), kind)),

@@ -63,8 +63,17 @@ def document_filter(filters: DataFrame, documents: DataFrame) -> Callable[[DataF
 
 # -- lists and fusion -------------------------------------------------------------------------
 
+def with_filters(query_vectors: DataFrame, chunk_vectors: DataFrame, filters: DataFrame,
+                 documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a vector search with what ``vectors.exact_top_k`` needs to apply the filters of
+    :func:`document_filter`. Vectors of unknown documents drop out, as keyword candidates do."""
+    wanted = filters.select("query_id", *vectors.FILTERS)
+    attributes = documents.select("doc_id", "document_type", "created_at")
+    return query_vectors.join(wanted, "query_id", "left"), chunk_vectors.join(attributes, "doc_id")
+
+
 def semantic_search(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
-    items = chunk_vectors.select(F.col("chunk_id").alias("item_id"), "embedding")
+    items = chunk_vectors.withColumnRenamed("chunk_id", "item_id")
     return vectors.exact_top_k(query_vectors, items, k).select(
         "query_id", F.col("item_id").alias("chunk_id"),
         F.round("score", lexical.SCORE_DIGITS).alias("score"), "rank",
@@ -95,13 +104,18 @@ def search(
     chunk_vectors: DataFrame,
     mode: str = "hybrid",
     top_k: int = 10,
-    allowed: Callable[[DataFrame], DataFrame] | None = None,
+    filters: DataFrame | None = None,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Candidate lists of twice ``top_k`` per query, fused in hybrid mode.
 
-    ``allowed`` restricts the keyword side per query; restrict ``chunk_vectors`` to the same
-    documents with ``vectors.restrict_vectors`` before the call.
+    ``filters`` with ``documents`` (see :func:`document_filter`) restrict both sides of every mode,
+    query by query, before the best are taken.
     """
+    allowed = None
+    if filters is not None:
+        allowed = document_filter(filters, documents)
+        query_vectors, chunk_vectors = with_filters(query_vectors, chunk_vectors, filters, documents)
     depth = top_k * OVERFETCH
     if mode not in ("hybrid", "semantic", "keyword"):
         raise ValueError(f"unknown search mode {mode}")

@@ -235,10 +235,18 @@ def alarm_states(
     per = period_values(samples, statistic, seconds)
     breach = F.col("value") > threshold if comparison == ">" else F.col("value") < threshold
     marked = per.withColumn("breach", breach)
-    # Enough breaches inside the last ``in_row`` periods means all of them breached.
-    w = Window.partitionBy(F.lit(0)).orderBy("period").rangeBetween(-(in_row - 1), 0)
-    return marked.withColumn(
-        "alarm", F.sum(F.col("breach").cast("int")).over(w) >= in_row
+    return in_a_row(marked, in_row)
+
+
+def in_a_row(marked: DataFrame, in_row: int) -> DataFrame:
+    """``alarm``: this and the periods right before it breach, ``in_row`` in all. Every breach counts
+    for the periods it can reach, so periods are summed by key and never sorted in one task."""
+    reach = marked.filter("breach").select(
+        F.explode(F.sequence(F.col("period"), F.col("period") + (in_row - 1))).alias("period"))
+    counted = reach.groupBy("period").agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        marked.join(counted, "period", "left")
+        .withColumn("alarm", F.coalesce(F.col("_n"), F.lit(0)) >= in_row).drop("_n")
     )
 
 

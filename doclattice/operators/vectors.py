@@ -1,12 +1,9 @@
 """Cosine search of whole query tables over whole vector tables.
 
-Exact search has two paths with the same result:
-
-* few queries (checked against ``MAX_MAP_QUERIES``): the query matrix travels with the task, every
-  Arrow batch of vectors is multiplied by it and gives up at most k rows per query. The vector
-  table is neither shuffled nor copied.
-* any number of queries: both sides are cut into blocks of bounded size, each pair of blocks meets
-  in one co-grouped task, multiplies, and gives up k rows per query.
+Exact search cuts both sides into blocks of bounded size; each pair of blocks meets in one co-grouped
+task, multiplies, and gives up k rows per query. That is the only path, whatever the size of either
+side, and nothing runs while the plan is made. Filters of a query hold inside the task, before its
+best k are taken.
 
 The approximate search meets vectors only in hash buckets, with the same block task inside, so a
 bucket of any size is cut into bounded blocks and never emits its pairs.
@@ -19,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_MAP_QUERIES = 4096
 BLOCK_ROWS = 20_000
+QUERY_ROWS = 4_000
+SCORED_AT_ONCE = 256
 SCORE_DIGITS = 9
 _PAIR = "query_id long, item_id long, score double"
 
@@ -50,19 +48,57 @@ def _unit_rows(vectors: pa.Array) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)
 
 
-def _best(q_ids, q_unit, v_ids, v_unit, k: int) -> pa.Table:
-    """Top k items of each query by rounded score, then smaller id."""
-    if not len(q_ids) or not len(v_ids):
-        empty = np.zeros(0, dtype=np.int64)
-        return pa.table({"query_id": empty, "item_id": empty, "score": np.zeros(0)})
-    scores = np.round(q_unit @ v_unit.T, SCORE_DIGITS) + 0.0
-    by_id = np.argsort(v_ids, kind="stable")
-    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-    return pa.table({
-        "query_id": np.repeat(q_ids, order.shape[1]),
-        "item_id": v_ids[order].reshape(-1),
-        "score": np.take_along_axis(scores, order, axis=1).reshape(-1),
-    })
+#: What a query may ask of a vector's document; every field may be NULL, dates are inclusive.
+FILTERS = ("document_type", "document_ids", "date_from", "date_to")
+ATTRIBUTES = ("doc_id", "document_type", "created_at")
+
+
+def _allowed(queries: pa.Table, items: pa.Table) -> np.ndarray | None:
+    """Which items (columns) each query (rows) may get; None if the tables hold no filters."""
+    if "document_ids" not in queries.column_names or "created_at" not in items.column_names:
+        return None
+    doc, kind = (np.array(items[c].to_pylist(), object) for c in ATTRIBUTES[:2])
+    stamp = items["created_at"].to_numpy(zero_copy_only=False).astype("datetime64[us]")
+    known: dict = {}
+    out = np.ones((queries.num_rows, items.num_rows), bool)
+    for i, asked in enumerate(queries.select(list(FILTERS)).to_pylist()):
+        key = repr(asked)  # queries with the same filter share one mask
+        if key not in known:
+            mask = np.ones(items.num_rows, bool)
+            if asked["document_type"] is not None:
+                mask &= kind == asked["document_type"]
+            if asked["document_ids"] is not None:
+                mask &= np.isin(doc.astype(str), [str(x) for x in asked["document_ids"]])
+            for name, side in (("date_from", np.greater_equal), ("date_to", np.less_equal)):
+                if asked[name] is not None:
+                    mask &= side(stamp, np.datetime64(asked[name].replace(tzinfo=None), "us"))
+            known[key] = mask
+        out[i] = known[key]
+    return out
+
+
+def _best(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
+    """Top k allowed items of each query by rounded score, then smaller id."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if queries.num_rows and items.num_rows:
+        items = items.sort_by("item_id")
+        q_ids, v_ids = queries["query_id"].to_numpy(), items["item_id"].to_numpy()
+        q_unit, v_unit = _unit_rows(queries["embedding"]), _unit_rows(items["embedding"])
+        allowed = _allowed(queries, items)
+        for at in range(0, len(q_ids), SCORED_AT_ONCE):
+            part = slice(at, at + SCORED_AT_ONCE)
+            scores = np.round(q_unit[part] @ v_unit.T, SCORE_DIGITS) + 0.0
+            if allowed is not None:
+                scores[~allowed[part]] = -np.inf
+            n = min(k, scores.shape[1])
+            least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+            row, col = np.nonzero((scores >= least) & (scores > -np.inf))
+            value = scores[row, col]
+            order = np.lexsort((col, -value, row))  # items are by id, so columns break ties
+            row, col, value = row[order], col[order], value[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((q_ids[part][row[keep]], v_ids[col[keep]], value[keep]))
+    return pa.table(dict(zip(("query_id", "item_id", "score"), (np.concatenate(c) for c in zip(*found)))))
 
 
 def rank_per_query(pairs: DataFrame, k: int, item: str = "item_id") -> DataFrame:
@@ -71,32 +107,16 @@ def rank_per_query(pairs: DataFrame, k: int, item: str = "item_id") -> DataFrame
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int, max_map_queries: int = MAX_MAP_QUERIES
-) -> DataFrame:
-    """``queries(query_id, embedding)`` x ``vectors(item_id, embedding)`` -> ranked cosine hits."""
-    queries = queries.select(F.col("query_id").cast("long"), "embedding")
-    vectors = vectors.select(F.col("item_id").cast("long"), "embedding")
-    if max_map_queries > 0:
-        few = queries.limit(max_map_queries + 1).toArrow()
-        if few.num_rows <= max_map_queries:
-            return rank_per_query(_map_side(few, vectors, k), k)
-    return rank_per_query(_block_join(queries, vectors, [], k), k)
-
-
-def _map_side(few: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
-    q_ids = few["query_id"].to_numpy()
-    q_unit = _unit_rows(few["embedding"])
-
-    def score(batches):
-        for batch in batches:
-            if batch.num_rows:
-                best = _best(
-                    q_ids, q_unit, batch["item_id"].to_numpy(), _unit_rows(batch["embedding"]), k
-                )
-                yield from best.to_batches()
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``queries(query_id, embedding)`` x ``vectors(item_id, embedding)`` -> ranked cosine hits.
 
-    return vectors.mapInArrow(score, _PAIR)
+    Queries that also have the columns FILTERS get only vectors (with the columns ATTRIBUTES) of
+    documents that fit.
+    """
+    extra = lambda df, names: [c for c in names if c in df.columns]
+    queries = queries.select(F.col("query_id").cast("long"), "embedding", *extra(queries, FILTERS))
+    vectors = vectors.select(F.col("item_id").cast("long"), "embedding", *extra(vectors, ATTRIBUTES))
+    return rank_per_query(_block_join(queries, vectors, [], k), k)
 
 
 def _blocked(side: DataFrame, own: str, keys: list[str], counts: list[DataFrame]) -> DataFrame:
@@ -111,31 +131,30 @@ def _blocked(side: DataFrame, own: str, keys: list[str], counts: list[DataFrame]
     return side.select(
         # Fresh names: both sides may come from the same table.
         *[F.col(c).alias(c) for c in (*keys, id_col, "embedding")],
+        *[F.col(c).alias(c) for c in dict.fromkeys(FILTERS + ATTRIBUTES) if c in side.columns and c not in keys],
         F.pmod(F.xxhash64(F.col(id_col)), F.col(f"n_{own}")).cast("int").alias(own),
         F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other),
     )
 
 
 def _block_join(
-    queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, block: int = BLOCK_ROWS
+    queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, block: int = BLOCK_ROWS,
+    query_block: int = QUERY_ROWS,
 ) -> DataFrame:
     """Multiply query and vector blocks that share ``keys`` (all of them without keys)."""
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
+    def blocks(df: DataFrame, name: str, rows: int) -> DataFrame:
         return df.groupBy(*keys).agg(
-            F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias(name)
+            F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).cast("int").alias(name)
         )
 
-    counts = [blocks(vectors, "n_vb"), blocks(queries, "n_qb")]
+    counts = [blocks(vectors, "n_vb", block), blocks(queries, "n_qb", min(block, query_block))]
     group = [*keys, "vb", "qb"]
     v_side = _blocked(vectors, "vb", keys, counts).groupBy(*group)
     q_side = _blocked(queries, "qb", keys, counts).groupBy(*group)
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best(
-            left["query_id"].to_numpy(), _unit_rows(left["embedding"]),
-            right["item_id"].to_numpy(), _unit_rows(right["embedding"]), k,
-        )
+        return _best(left, right, k)
 
     return q_side.cogroup(v_side).applyInArrow(multiply, _PAIR)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
@@ -151,6 +151,54 @@ def _(t: Tables):
     return ids(hits.drop("search_method"))
 
 
+# Filters that differ from query to query; every third query has none, ids only for some.
+def filters_v(t: Tables) -> DataFrame:
+    q, lang = F.col("query_id"), F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])
+    return queries_v(t).filter(q % 3 != 0).select(
+        "query_id", F.when(q % 2 == 0, F.get(lang, (q % 4).cast("int"))).alias("document_type"),
+        F.when(q % 5 == 0, F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: i * 7 + q % 7)).alias("document_ids"),
+        F.when(q % 4 == 1, F.expr("timestamp_ntz'2023-02-01 00:00:00'")).alias("date_from"),
+        F.when(q % 4 < 2, F.expr("timestamp_ntz'2023-11-30 00:00:00'")).alias("date_to"),
+    )
+
+
+CTE["allowed_v"] = (("queries_v", "docs_v"), """
+  select query_id, doc_id from queries_v, docs_v where query_id % 3 = 0 or (
+    (query_id % 2 <> 0 or document_type = ['en', 'de', 'fr', 'es'][query_id % 4 + 1])
+    and (query_id % 5 <> 0 or (doc_id - query_id % 7) % 7 = 0 and (doc_id - query_id % 7) // 7 between 0 and 200)
+    and (query_id % 4 <> 1 or created_at >= timestamp '2023-02-01 00:00:00')
+    and (query_id % 4 >= 2 or created_at <= timestamp '2023-11-30 00:00:00'))""")
+CTE["allowed_keyword_v"] = (("matches_v", "allowed_v"), sql_top("""(
+    select query_id, chunk_id, score from matches_v join allowed_v using (query_id, doc_id))""", 20))
+CTE["allowed_semantic_v"] = (("query_vectors_v", "chunk_vectors_v", "chunks_v", "allowed_v"), sql_top("""(
+    select q.item_id as query_id, c.chunk_id, round(list_inner_product(q.embedding, c.embedding), 6) + 0 as score
+    from query_vectors_v q, chunk_vectors_v c join chunks_v k using (chunk_id)
+    where exists (select 1 from allowed_v a where a.query_id = q.item_id and a.doc_id = k.doc_id))""", 20))
+
+
+def _filtered(t: Tables, mode: str) -> DataFrame:
+    chunk_vectors = vq.chunk_vectors_v(t)
+    if "doc_id" not in chunk_vectors.columns:
+        chunk_vectors = chunk_vectors.join(v.chunks_v(t).select("chunk_id", "doc_id"), "chunk_id")
+    return search.search(queries_v(t), index_v(t), stats_v(t), vq.query_vectors_v(t), chunk_vectors,
+                         mode, TOP, filters_v(t), v.docs_v(t))
+
+
+@query("sch_04_filtered_semantic", with_ctes(["allowed_semantic_v"], """
+    select query_id, chunk_id, round(score, 4) as score, rank from allowed_semantic_v"""))
+def _(t: Tables):
+    return ids(_filtered(t, "semantic").drop("search_method").withColumn("score", F.round("score", 4)))
+
+
+@query("sch_04_filtered_hybrid", with_ctes(["allowed_semantic_v", "allowed_keyword_v"], """
+    select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (
+      select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as score from (
+        select query_id, chunk_id, rank from allowed_semantic_v
+        union all select query_id, chunk_id, rank from allowed_keyword_v) group by 1, 2)"""))
+def _(t: Tables):
+    return ids(_filtered(t, "hybrid").drop("search_method"))
+
+
 @query("sch_05_rrf", with_ctes(["centroids_v", "stored_v"], f"""
     , cos_v as (select q.query_id, s.item_id, {vq.SQL_COS.format(a='q.embedding', b='s.embedding')}
         as score from centroids_v q, stored_v s),
@@ -187,8 +235,8 @@ def _(t: Tables):
 def _(t: Tables):
     from doclattice.operators import answers
 
-    hits = hybrid_hits_v(t)
-    graded = hits.join(answers.confidence(queries_v(t), hits), "query_id")
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    graded = hybrid_hits_v(t).withColumn("confidence", answers.bucket(best))
     return ids(graded, "query_id", "rank", "score", "chunk_id", "doc_id", "document_name",
                "chunk_index", "content", "search_method", "confidence")
 

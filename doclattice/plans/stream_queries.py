@@ -20,10 +20,36 @@ from doclattice.plans.views import with_ctes
 from doclattice.streaming import limiter, usage
 
 
+PIECES = 5
+LATENESS = "2 days"
+#: A last event that only moves the watermark past all others; no result counts it.
+END = "timestamp_ntz'2100-01-01 00:00:00'"
+
+
 def event_stream(t: Tables) -> DataFrame:
-    return t.spark.readStream.schema(t.events.schema).parquet(
-        f"{t.folder}/events.parquet*"
-    )
+    """The events as a stream of several files, read one a batch: in order of time, but every
+    eleventh event of each piece comes with the next one (late, by less than LATENESS of stream
+    time), and a closing event comes last."""
+    root = store_root(t.spark)
+    if root is None:
+        raise ValueError("streams need a shared folder in spark.checkpoint.dir")
+    out = f"{root}/doclattice/streams/events-{uuid.uuid4().hex}"
+    bounds = t.events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    seconds = max((bounds["high"] - bounds["low"]).total_seconds(), 1.0)
+    since = F.timestamp_diff("MICROSECOND", F.lit(bounds["low"]).cast("timestamp_ntz"), F.col("ts")) / 1e6
+    # Late events lie in the last day before the border to the next piece.
+    border = F.ceil(since / (seconds / PIECES)) * (seconds / PIECES)
+    late = (F.col("event_id") % 11 == 0) & (border - since < 86400)
+    piece = F.least(F.floor(since / (seconds / PIECES)), F.lit(PIECES - 1)) + late.cast("int")
+    rows = t.events.withColumn("_piece", piece.cast("int"))
+    for n in range(PIECES + 1):  # one file each, in their order of arrival
+        rows.filter(F.col("_piece") == n).drop("_piece").coalesce(1).write.mode("append").parquet(out)
+    closing = t.events.limit(1).select(*[
+        F.expr(END).alias(c) if c == "ts" else F.lit(-1).cast(k).alias(c) if c in ("event_id", "user_id")
+        else F.lit("end").alias(c) if c == "event_type" else F.lit(None).cast(k).alias(c) for c, k in t.events.dtypes])
+    closing.coalesce(1).write.mode("append").parquet(out)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(out)
+    return stream
 
 
 def drained(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -50,32 +76,34 @@ def drained(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> Da
 def _(t: Tables):
     # Complete mode keeps also the window that the last watermark has not closed yet.
     u = v.hash_unit(F.lit("conf"), F.col("event_id"))
-    events = event_stream(t).select(
+    events = event_stream(t).filter("event_id >= 0").select(
         usage.instant(F.col("ts")).alias("ts"), F.col("event_type").alias("kind"), F.round("value", 1).alias("latency_ms"),
         F.when(u < 0.3, "high").when(u < 0.6, "medium").otherwise("low").alias("confidence"),
     )
-    out = drained(t, usage.rolling_counters(events, "1 day"), "counters", "complete")
+    out = drained(t, usage.rolling_counters(events, "1 day", LATENESS), "counters", "complete")
     return out.select(F.date_format(usage.wall_time(F.col("window_start")), "yyyy-MM-dd HH:mm:ss")
                       .alias("window_start"),
                       "kind", "n", F.round("latency_avg", 4).alias("latency_avg"), "n_high")
 
 
+def _limited(t: Tables, name: str, count_rejected: bool) -> DataFrame:
+    stream = event_stream(t).select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("caller"), usage.instant(F.col("ts")).alias("ts"))
+    limited = limiter.rate_limit(stream, uq.LIMIT, uq.SECONDS, count_rejected, LATENESS)
+    return drained(t, limited, name).drop("ts").filter("request_id >= 0")
+
+
 @query("str_03_rate_limit", f"""
     select event_id as request_id, user_id as caller, n - 1 as in_window, n - 1 < {uq.LIMIT} as allowed
     from (select *, count(*) over (partition by user_id order by ts range between
       interval '{uq.SECONDS - 1} seconds 999999 microseconds' preceding and current row) as n from events)""")
 def _(t: Tables):
-    stream = event_stream(t).select(
-        F.col("event_id").alias("request_id"), F.col("user_id").alias("caller"), "ts")
-    return drained(t, limiter.rate_limit(stream, uq.LIMIT, uq.SECONDS), "limit").drop("ts")
+    return _limited(t, "limit", True)
 
 
-@query("str_03_admitted_only_limit")
+@query("str_03_admitted_only_limit", uq.ADMITTED_SQL)
 def _(t: Tables):
-    stream = event_stream(t).select(
-        F.col("event_id").alias("request_id"), F.col("user_id").alias("caller"), "ts")
-    limited = limiter.rate_limit(stream, uq.LIMIT, uq.SECONDS, count_rejected=False)
-    return drained(t, limited, "admitted").drop("ts")
+    return _limited(t, "admitted", False)
 
 
 @query("str_04_cached_answers", with_ctes(["lookup_v"], """
@@ -88,7 +116,7 @@ def _(t: Tables):
         F.col("event_id").alias("request_id"), "ts", key.alias("key"))
     given = s.filter("event_type = 'purchase'").select(
         F.col("event_id").alias("answer_id"), "ts", key.alias("key"))
-    out = drained(t, limiter.cached_answers(asked, given), "cache")
+    out = drained(t, limiter.cached_answers(asked, given, lateness=LATENESS), "cache")
     # The newest of the matching answers is what the cache held at the time of the request.
     return out.groupBy("request_id", "key").agg(
         F.max_by("answer_id", F.struct("answer_ts", "answer_id")).alias("answer_id"))
@@ -97,7 +125,7 @@ def _(t: Tables):
 @query("str_05_first_arrivals", """
     select distinct user_id, event_type from events""")
 def _(t: Tables):
-    s = event_stream(t).select("user_id", "event_type", usage.instant(F.col("ts")).alias("ts"))
+    s = event_stream(t).filter("event_id >= 0").select("user_id", "event_type")
     out = drained(t, usage.first_arrivals(s, ["user_id", "event_type"]), "first")
     return out.select("user_id", "event_type")
 
@@ -111,7 +139,7 @@ def _(t: Tables):
 def _(t: Tables):
     errors = event_stream(t).filter("event_type = 'error'").select(
         usage.instant(F.col("ts")).alias("ts"), F.lit(1.0).alias("value"))
-    closed = drained(t, usage.alarm_periods(errors, "sum", uq._PERIOD), "alarms", "complete")
+    closed = drained(t, usage.alarm_periods(errors, "sum", uq._PERIOD, LATENESS), "alarms", "complete")
     return ids(usage.consecutive_breaches(closed, ">", 10.0, uq._PERIOD, 2),
                "period", "value", "breach", "alarm")
 
@@ -120,6 +148,6 @@ def _(t: Tables):
     select cast(json_extract_string(props, '$.k') as bigint) as doc_id, count(*) as access_count
     from events group by 1""")
 def _(t: Tables):
-    accesses = event_stream(t).select(
+    accesses = event_stream(t).filter("event_id >= 0").select(
         F.get_json_object("props", "$.k").cast("bigint").alias("doc_id"))
     return drained(t, usage.popularity(accesses), "popularity", "complete")

@@ -82,7 +82,7 @@ def _(t: Tables):
     return usage.snapshot(usage_v(t), accesses_v(t))
 
 
-# Model calls: one per dialogue turn, the arm drawn by hash, the text as prompt and answer.
+# Model calls: one per dialogue turn, the arm drawn by hash, the text as prompt, the next turn as answer.
 def calls_v(t: Tables) -> DataFrame:
     key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     task = F.when(F.col("turn") % 2 == 0, "summarization").otherwise("chat")
@@ -90,7 +90,8 @@ def calls_v(t: Tables) -> DataFrame:
         key.alias("request_id"),
         usage.assigned_provider(key, task, 0.5, 0.5).alias("provider"),
         usage.estimated_tokens(F.col("text")).alias("input_tokens"),
-        usage.estimated_tokens(F.substring("text", 1, 20)).alias("output_tokens"),
+        usage.estimated_tokens(F.coalesce(F.lead("text").over(
+            Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))).alias("output_tokens"),
         (F.length("text") * 1.5).cast("double").alias("latency_ms"),
     )
     return calls.withColumn("cost_usd", usage.call_cost(
@@ -104,7 +105,7 @@ CTE["calls_v"] = ((), """
         cast('0x' || substr(md5(conv_id || '/' || turn), 1, 7) as bigint) / 268435456.0::double >= 0.5
       then 'local_finetuned' else 'gemini_api' end as provider,
     greatest(1, length(text) // 4) as input_tokens,
-    greatest(1, length(substr(text, 1, 20)) // 4) as output_tokens,
+    greatest(1, length(coalesce(lead(text) over (partition by conv_id order by turn), '')) // 4) as output_tokens,
     (length(text) * 1.5)::double as latency_ms from conversations)""")
 
 
@@ -156,7 +157,21 @@ def _(t: Tables):
     return usage.sliding_window_limit(requests_v(t), LIMIT, SECONDS).drop("ts")
 
 
-@query("ana_09_admitted_only_limit")
+# Each verdict needs the one before: one recursion step per request of a caller.
+ADMITTED_SQL = f"""
+    with recursive e as (select user_id as caller, event_id, epoch_us(ts) as us,
+        row_number() over (partition by user_id order by ts, event_id) as rn from events),
+    r as (
+      select caller, rn, event_id, [us] as times, 0::bigint as in_window, true as allowed from e where rn = 1
+      union all
+      select caller, rn, event_id, case when len(l) < {LIMIT} then list_append(l, us) else l end,
+        len(l)::bigint, len(l) < {LIMIT}
+      from (select e.*, list_filter(r.times, lambda x: e.us - x < {SECONDS * 1_000_000}) as l
+            from r join e on e.caller = r.caller and e.rn = r.rn + 1))
+    select event_id as request_id, caller, in_window, allowed from r"""
+
+
+@query("ana_09_admitted_only_limit", ADMITTED_SQL)
 def _(t: Tables):
     return usage.admitted_only_limit(requests_v(t), LIMIT, SECONDS).drop("ts")
 

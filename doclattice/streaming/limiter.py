@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,35 +13,55 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def rate_limit(
-    requests: DataFrame, limit: int, seconds: int = 60, count_rejected: bool = True
+    requests: DataFrame, limit: int, seconds: int = 60, count_rejected: bool = True, lateness: str = "10 minutes"
 ) -> DataFrame:
-    """Verdict per request with the caller's times of the last window as state.
+    """Verdict per request, in order of time, with the caller's times of the last window as state.
 
-    ``requests(request_id, caller, ts)``. At most ``limit`` admitted times are kept when rejected
-    ones do not count; otherwise only what is younger than the window.
+    ``requests(request_id, caller, ts)``, ``ts`` a TIMESTAMP. A request waits in the state until the
+    watermark (the newest time less ``lateness``) has passed it; then all that came before it is
+    there, in whatever batch it arrived, and verdicts are given by (ts, request_id). Later ones are
+    dropped by the watermark. At most ``limit`` admitted times are kept when rejected ones do not
+    count; otherwise only what is younger than the window. A caller's state ends when the watermark
+    is a window past its last request.
     """
     width = seconds * 1_000_000
 
     def admit(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        micros = rows["ts"].astype("datetime64[us]").astype("int64")
-        filled, allowed = [], []
-        for us in micros:
-            times = [x for x in times if us - x < width]
-            filled.append(len(times))
-            ok = len(times) < limit
-            allowed.append(ok)
-            if ok or count_rejected:
-                times.append(int(us))
-        state.update((times,))
-        yield rows[["request_id", "caller", "ts"]].assign(in_window=filled, allowed=allowed)
+        waiting, ids, times = (list(x) for x in state.get) if state.exists else ([], [], [])
+        for rows in batches:
+            waiting += rows["us"].tolist()
+            ids += rows["request_id"].tolist()
+        passed = state.getCurrentWatermarkMs() * 1000
+        order = sorted(zip(waiting, ids))
+        ready = [x for x in order if x[0] < passed]
+        later = order[len(ready):]
+        window, filled, allowed = deque(times), [], []
+        for us, _ in ready:
+            while window and us - window[0] >= width:
+                window.popleft()
+            filled.append(len(window))
+            allowed.append(len(window) < limit)
+            if allowed[-1] or count_rejected:
+                window.append(us)
+        ends = later[0][0] if later else (window[-1] + width if window else 0)
+        if later or (window and ends > passed):
+            state.update(([x[0] for x in later], [x[1] for x in later], list(window)))
+            state.setTimeoutTimestamp(max(ends, passed) // 1000 + 1)
+        else:
+            state.remove()
+        if ready:
+            yield pd.DataFrame({
+                "request_id": [i for _, i in ready], "caller": [key[0]] * len(ready),
+                "ts": pd.to_datetime(np.array([us for us, _ in ready], "int64"), unit="us", utc=True),
+                "in_window": filled, "allowed": allowed,
+            })
 
     kind = requests.schema["caller"].dataType.simpleString()
-    stamp = requests.schema["ts"].dataType.simpleString()
-    return requests.groupBy("caller").applyInPandasWithState(
-        admit, f"request_id long, caller {kind}, ts {stamp}, in_window long, allowed boolean",
-        "times array<long>", "append", GroupStateTimeout.NoTimeout,
+    timed = requests.withWatermark("ts", lateness).select(
+        "request_id", "caller", "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("caller").applyInPandasWithState(
+        admit, f"request_id long, caller {kind}, ts timestamp, in_window long, allowed boolean",
+        "waiting array<long>, ids array<long>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclattice.operators.usage import in_a_row
+
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -42,9 +44,9 @@ def popularity(accesses: DataFrame) -> DataFrame:
     return accesses.groupBy("doc_id").agg(F.count("*").alias("access_count"))
 
 
-def first_arrivals(requests: DataFrame, keys: list[str], lateness: str = "10 minutes") -> DataFrame:
-    """First arrival of each key; the state of a key ends with the watermark."""
-    return requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
+def first_arrivals(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """First arrival of each key, once and for all: the state holds one entry for a key."""
+    return requests.dropDuplicates(keys)
 
 
 def alarm_periods(
@@ -72,8 +74,4 @@ def consecutive_breaches(
     """Alarm state of stored closed periods (period_start, value), for use in ``foreachBatch``."""
     breach = F.col("value") > threshold if comparison == ">" else F.col("value") < threshold
     number = F.floor(F.unix_seconds("period_start") / seconds)
-    w = Window.partitionBy(F.lit(0)).orderBy("period").rangeBetween(-(in_row - 1), 0)
-    return (
-        periods.withColumn("period", number).withColumn("breach", breach)
-        .withColumn("alarm", F.sum(F.col("breach").cast("int")).over(w) >= in_row)
-    )
+    return in_a_row(periods.withColumn("period", number).withColumn("breach", breach), in_row)

@@ -35,15 +35,38 @@ def hits_of(df):
     return out
 
 
-def test_both_exact_paths_equal_brute_force(spark, monkeypatch):
+def test_exact_search_equals_brute_force(spark):
     q, q_rows = vector_table(spark, "query_id", 30, 1)
     v, v_rows = vector_table(spark, "item_id", 200, 2)
     want = brute(q_rows, v_rows, 5)
     assert hits_of(vectors.exact_top_k(q, v, 5)) == want
-    # Blocks of 16 rows: the second path cuts both sides.
-    blocked = vectors._block_join(q, v, [], 5, block=16)
+    # Blocks of 16 and 7 rows cut both sides.
+    blocked = vectors._block_join(q, v, [], 5, block=16, query_block=7)
     assert hits_of(vectors.rank_per_query(blocked, 5)) == want
-    assert hits_of(vectors.exact_top_k(q, v, 5, max_map_queries=0)) == want
+
+
+def test_filtered_search_equals_brute_force(spark):
+    from datetime import datetime
+
+    q, q_rows = vector_table(spark, "query_id", 12, 1)
+    v, v_rows = vector_table(spark, "item_id", 90, 2)
+    day = lambda n: datetime(2023, 1, 1 + n)
+    docs = [(i, "en" if i % 2 else "de", day(i % 20)) for i in range(30)]
+    asked = {0: ("en", None, None, None), 1: (None, [1, 2, 3], None, None), 2: ("de", None, day(3), day(9)), 3: (None, [], None, None)}
+    filters = spark.createDataFrame([(k, *f) for k, f in asked.items()],
+                                    "query_id long, document_type string, document_ids array<long>, date_from timestamp_ntz, date_to timestamp_ntz")
+    documents = spark.createDataFrame(docs, "doc_id long, document_type string, created_at timestamp_ntz")
+    chunk_vectors = v.selectExpr("item_id as chunk_id", "item_id % 30 as doc_id", "embedding")
+    got = hits_of(search.semantic_search(*search.with_filters(q, chunk_vectors, filters, documents), 6).withColumnRenamed("chunk_id", "item_id"))
+
+    def fits(query, item):
+        kind, ids, low, high = asked.get(query, (None,) * 4)
+        i, t, d = docs[item % 30]
+        return (kind in (None, t)) and (ids is None or i in ids) and (low is None or d >= low) and (high is None or d <= high)
+
+    everything = brute(q_rows, v_rows, 90)
+    want = {k: [i for i in items if fits(k, i)][:6] for k, items in everything.items()}
+    assert got == {k: items for k, items in want.items() if items}
 
 
 def test_approximate_search(spark):
