@@ -171,53 +171,44 @@ def sentence_chunks(
 
 
 def topic_groups(sents: Column, sims: Column, threshold: float = TOPIC_THRESHOLD) -> Column:
-    """Cut an array of sentence structs wherever the similarity to the next one is too low."""
-    start = F.struct(
-        _empty(f"array<{_SENTENCES}>").alias("done"), _empty(_SENTENCES).alias("cur")
-    )
-    marked = F.transform(
-        sents,
-        lambda x, i: F.struct(
-            x.alias("x"), (F.coalesce(F.get(sims, i - 1), F.lit(1.0)) < threshold).alias("cut")
-        ),
-    )
-    return F.aggregate(
-        marked,
-        start,
-        lambda acc, m: F.struct(
-            F.when(m["cut"], F.concat(acc["done"], F.array(acc["cur"])))
-            .otherwise(acc["done"])
-            .alias("done"),
-            F.concat(
-                F.when(m["cut"], _empty(_SENTENCES)).otherwise(acc["cur"]), F.array(m["x"])
-            ).alias("cur"),
-        ),
-        lambda acc: F.concat(acc["done"], F.array(acc["cur"])),
+    """Cut an array of sentence structs wherever the similarity to the next one is too low.
+
+    The places of the cuts come first, each group is then one slice, so nothing is copied twice.
+    """
+    n = F.size(sents)
+    starts = F.filter(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: (i == 0) | (F.coalesce(F.get(sims, i - 1), F.lit(1.0)) < threshold),
     )
+    groups = tx.let(starts, lambda c: F.transform(
+        c, lambda p, j: F.slice(sents, p + 1, F.coalesce(F.get(c, j + 1), n) - p)))
+    return F.when(n > 0, groups).otherwise(F.array(_empty(_SENTENCES)))
 
 
 def merge_small_groups(
     groups: Column, size: int = CHUNK_TOKENS, min_sentences: int = MIN_TOPIC_SENTENCES
 ) -> Column:
     """Append a group to the one before it if that one is short or both fit into ``size``."""
-    start = F.struct(
-        _empty(f"array<{_SENTENCES}>").alias("done"), _empty(_SENTENCES).alias("last")
-    )
+    # The fold keeps only numbers: where merged groups begin, and the size of the last one.
+    number = lambda name, value: F.lit(value).cast("int").alias(name)
+    start = F.struct(_empty("array<int>").alias("starts"), number("at", 0), number("sents", 0), number("tokens", 0))
 
     def merge(acc: Column, g: Column) -> Column:
-        join = (F.size(acc["last"]) < min_sentences) | (
-            _tokens(acc["last"]) + _tokens(g) <= size
-        )
+        join = (acc["sents"] < min_sentences) | (acc["tokens"] + _tokens(g) <= size)
         return tx.let(join, lambda j: F.struct(
-            F.when(j, acc["done"])
-            .otherwise(F.concat(acc["done"], F.array(acc["last"])))
-            .alias("done"),
-            F.when(j, F.concat(acc["last"], g)).otherwise(g).alias("last"),
+            F.when(j, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"]))).alias("starts"),
+            (acc["at"] + 1).alias("at"),
+            F.when(j, acc["sents"] + F.size(g)).otherwise(F.size(g)).alias("sents"),
+            F.when(j, acc["tokens"] + _tokens(g)).otherwise(_tokens(g)).cast("int").alias("tokens"),
         ))
 
-    return F.aggregate(
-        groups, start, merge, lambda acc: F.concat(acc["done"], F.array(acc["last"]))
-    )
+    def cut(bound: Column) -> Column:
+        n = F.size(bound)
+        starts = F.aggregate(bound, start, merge, lambda acc: F.concat(F.array(F.lit(0)), acc["starts"]))
+        return tx.let(starts, lambda c: F.transform(
+            c, lambda p, j: F.flatten(F.slice(bound, p + 1, F.coalesce(F.get(c, j + 1), n) - p))))
+
+    return tx.let(groups, cut)
 
 
 def split_large_groups(groups: Column, size: int = CHUNK_TOKENS) -> Column:
