@@ -122,8 +122,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shifts = written(shifts, "alignments").join(items.withColumnRenamed("words", "wanted"), "item")
     shifts = shifts.withColumnRenamed("doc_id", "_doc")
     n = F.size("wanted")
+    whole = docs.select("doc_id", text_or_empty("text").alias("_text"))
     return (
-        shifts.join(texts, F.col("_doc").eqNullSafe(F.col("doc_id")))
+        # Texts are joined as they are: only those with an alignment are cut into words again.
+        shifts.join(whole, F.col("_doc").eqNullSafe(F.col("doc_id")))
+        .withColumn("words", word_hashes(F.col("_text")))
         .select("doc_id", "item_id", n.alias("n"), best_run(F.col("words"), F.col("wanted"), F.col("shift")).alias("run"))
         .filter(F.col("run.words") >= F.least(F.lit(LEAST_WORDS), F.ceil(F.col("n") * LEAST_SHARE)))
         .groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
