@@ -183,12 +183,11 @@ _ALARM_SQL = """
       (select count(*) from p q where q.period between p.period - {n} + 1 and p.period
         and q.value {cmp} {limit}) >= {n} as alarm from p"""
 _PERIOD = 21600
-_RULES = (
-    ("backend_5xx", "sum", "sum(value)", ">", 10.0, 2),
-    ("backend_latency", "p95", "quantile_cont(value, 0.95)", ">", 140.0, 3),
-    ("unhealthy_targets", "max", "max(value)", ">", 250.0, 2),
-    ("db_cpu", "avg", "avg(value)", ">", 48.0, 3),
-    ("db_storage", "avg", "avg(value)", "<", 45.0, 1),
+_LIMITS = {"backend_5xx": 10.0, "backend_latency": 140.0, "unhealthy_targets": 250.0, "db_cpu": 48.0, "db_storage": 45.0}
+_SQL_STATISTIC = {"p95": "quantile_cont(value, 0.95)"}
+_RULES = tuple(
+    (name, statistic, _SQL_STATISTIC.get(statistic, f"{statistic}(value)"), comparison, _LIMITS[name], in_row)
+    for name, (statistic, comparison, _, _, in_row) in usage.ALARMS.items()
 )
 CTE["errors_v"] = ((), "select ts, 1.0::double as value from events where event_type = 'error'")
 CTE["loads_v"] = ((), "select ts, value from events")

@@ -84,27 +84,26 @@ def _(t: Tables):
 
 @query("vec_02_upsert_embeddings", """
     with stored as (select vec_id as chunk_id, label, case when label < 5 then 'model-a' else
-        'model-b' end as model_name, embedding[1]::double as first_value from embeddings),
+        'model-b' end as model_name, embedding from embeddings),
     fresh as (select vec_id as chunk_id, label, 'model-a' as model_name,
-        -(embedding[1]::double) as first_value from embeddings where label % 2 = 0)
-    select chunk_id, label::bigint as label, model_name, round(first_value, 6) as first_value from fresh
-    union all select chunk_id, label::bigint, model_name, round(first_value, 6) from stored s
-    where not exists (select 1 from fresh f where f.chunk_id = s.chunk_id
-                      and f.model_name = s.model_name)""")
+        list_transform(embedding, lambda x: -x) as embedding from embeddings where label % 2 = 0),
+    kept as (select * from fresh union all select * from stored s where not exists (
+      select 1 from fresh f where f.chunk_id = s.chunk_id and f.model_name = s.model_name))
+    select chunk_id, label::bigint as label, model_name, i - 1 as dim, round(embedding[i]::double, 6) as weight
+    from kept, unnest(range(1, len(embedding) + 1)) as r(i)""")
 def _(t: Tables):
     base = t.embeddings.select(
-        F.col("vec_id").alias("chunk_id"), F.col("label").cast("bigint").alias("label"),
-        F.element_at("embedding", 1).cast("double").alias("first_value"),
-    )
+        F.col("vec_id").alias("chunk_id"), F.col("label").cast("bigint").alias("label"), "embedding")
     stored = base.withColumn(
         "model_name", F.when(F.col("label") < 5, "model-a").otherwise("model-b")
     )
     fresh = base.filter("label % 2 = 0").withColumn("model_name", F.lit("model-a")).withColumn(
-        "first_value", -F.col("first_value")
-    )
-    return embedding.upsert_embeddings(stored, fresh).withColumn(
-        "first_value", F.round("first_value", 6)
+        "embedding", F.transform("embedding", lambda x: -x)
     )
+    kept = embedding.upsert_embeddings(stored, fresh)
+    return kept.select("chunk_id", "label", "model_name", F.posexplode("embedding").alias("dim", "weight")).select(
+        "chunk_id", "label", "model_name", F.col("dim").cast("bigint").alias("dim"),
+        F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
 _TOP = """
