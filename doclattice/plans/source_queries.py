@@ -31,6 +31,24 @@ def text_files(t: Tables, name: str) -> str:
     return path
 
 
+def written_files(rows, path: str) -> None:
+    """(kind, name, value) as files ``name.kind``: each row is a file of its own."""
+
+    def save(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        for batch in batches:
+            for kind, name, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                target.create_dir(f"{base}/{kind}")
+                with target.open_output_stream(f"{base}/{kind}/{name}.{kind}") as out:
+                    out.write(value.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.select("kind", "name", "value").mapInArrow(save, "n long").agg(F.sum("n")).collect()
+
+
 @query("src_01_text_files", """
     select source, count(*) as files, sum(chars)::bigint as chars, true as clean from (
       select source, sum(length('# ' || doc_id || chr(10) || text) + 1) as chars from documents group by 1)
@@ -112,13 +130,30 @@ def _(t: Tables):
     return files.read_json_lines(t.spark, path, "conv_id long, turn long, role string, text string")
 
 
-@query("str_01_incremental_ingest")
+# The inbox: every document as a text file of its own, nations as CSV files by region, and files of
+# types nothing here can read. One row per type, outcome and reason.
+@query("str_01_incremental_ingest", """
+    with f as (
+      select 'txt' as kind, 'completed' as status, null as reason from documents
+      union all select 'csv', 'completed', null from (select distinct n_regionkey from nation)
+      union all select 'exe', 'failed', 'Unsupported file type: application/octet-stream' from region
+      union all select 'pdf', 'failed', 'No engine for: pdf' from region)
+    select kind, status, reason, count(*) as files from f group by 1, 2, 3""")
 def _(t: Tables):
-    path, root = text_files(t, "inbox"), fresh_folder(t, "ingested")
-    stream = ingest.new_files(t.spark, path, files_per_batch=7)
+    inbox, root = fresh_folder(t, "inbox"), fresh_folder(t, "ingested")
+    docs = t.documents.select(
+        F.lit("txt").alias("kind"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"),
+        F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value"))
+    lines = F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit(', land"')))
+    csv = t.nation.groupBy(F.lit("csv").alias("kind"), F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("name")).agg(
+        F.concat(F.lit("key,name\n"), F.array_join(F.array_sort(F.collect_list(lines)), "\n")).alias("value"))
+    odd = t.region.select(F.explode(F.array(F.lit("exe"), F.lit("pdf"))).alias("kind"), F.col("r_regionkey").alias("k")).select(
+        "kind", F.concat(F.lit("r"), F.col("k").cast("string")).alias("name"),
+        F.when(F.col("kind") == "pdf", "%PDF-1.7 body").otherwise("MZ body").alias("value"))
+    written_files(docs.unionByName(csv).unionByName(odd), inbox)
+    stream = ingest.new_files(t.spark, inbox, files_per_batch=400)
     ingest.start_ingest(stream, root, f"{root}/state", available_now=True).awaitTermination()
-    chunks = t.spark.read.parquet(f"{root}/chunks")
-    pages = t.spark.read.parquet(f"{root}/pages").select(
-        "doc_id", F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"))
-    return ids(chunks.join(pages, "doc_id").groupBy("source").agg(
-        F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens")))
+    done = t.spark.read.parquet(f"{root}/status").filter("step = 1")
+    kind = F.regexp_extract("path", r"\.([a-z]+)$", 1)
+    return done.join(t.spark.read.parquet(f"{root}/files").select("doc_id", kind.alias("kind")), "doc_id").groupBy(
+        "kind", "status", F.col("error").alias("reason")).agg(F.count("*").alias("files"))

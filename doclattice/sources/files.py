@@ -16,6 +16,12 @@ EXTRACTORS = {
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "csv",
 }
 MAX_UPLOAD_MB = 50
+# File extension -> MIME type.
+EXTENSIONS = {
+    "pdf": "application/pdf", "txt": "text/plain", "csv": "text/csv", "xls": "application/vnd.ms-excel",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+}
 
 
 def read_blobs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

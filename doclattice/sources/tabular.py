@@ -48,6 +48,26 @@ def _row_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit("nan"))), SEPARATOR)
 
 
+def csv_text(text: Column) -> Column:
+    """Page text of one delimited file held in a value: the header line, then its rows.
+
+    Fields may be quoted and hold commas and doubled quotes, but no line breaks; empty ones read
+    ``nan``. Blank lines are skipped.
+    """
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.trim(x) != "")
+    field = F.lit('(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))')
+
+    def cells(line: Column) -> Column:
+        quoted, plain = (F.regexp_extract_all(line, field, F.lit(g)) for g in (1, 2))
+        both = F.zip_with(quoted, plain, lambda q, p: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p))
+        return F.transform(both, lambda c: F.when(c == "", "nan").otherwise(c))
+
+    rows = F.transform(lines, lambda x: F.array_join(cells(x), SEPARATOR))
+    head = F.concat(F.lit("Columns: "), F.get(rows, F.lit(0)))
+    return F.when(F.size(lines) > 0, F.concat(
+        head, F.lit("\n\n"), F.array_join(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "\n")))
+
+
 def tabular_pages(
     rows: DataFrame, headers: tuple[str, ...], rows_per_page: int = PAGE_ROWS
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from doclattice.functions import text as tx
 from doclattice.operators import chunking, embedding, lexical
-from doclattice.sources import files, writers
+from doclattice.sources import files, tabular, writers
 
 
 def new_files(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -22,32 +22,70 @@ def new_files(spark: SparkSession, path: str, files_per_batch: int = 10_000) ->
     )
 
 
+#: Extractors that work on bytes alone; the others need an engine this package does not bring.
+READABLE = ("txt", "csv")
+
+
+def routed(batch: DataFrame) -> DataFrame:
+    """Files with mime_type (by leading bytes, then by extension) and extractor (NULL: none)."""
+    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    known = F.create_map(*[F.lit(x) for pair in files.EXTENSIONS.items() for x in pair])
+    lead = F.hex(F.substring("content", 1, 4))
+    mime = (
+        F.when(lead == "25504446", "application/pdf")
+        .when((lead == "504B0304") & ~extension.isin("docx", "xlsx"), "application/zip")
+        .otherwise(F.coalesce(known[extension], F.lit("application/octet-stream")))
+    )
+    typed = batch.withColumn("mime_type", mime)
+    return typed.withColumn("extractor", files.extractor_of(F.col("mime_type")))
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, root: str, max_mb: int = files.MAX_UPLOAD_MB) -> None:
     """Write one batch below ``root``; a repeated batch overwrites its own partition only.
 
-    Too large or empty files go to ``rejected``. Ids derive from the path, so they stay the same.
+    Every file is read once, into ``files``: its page text, or why it has none (type, size, no
+    text). ``pages``, ``rejected``, ``status``, ``chunks``, ``postings`` and ``embeddings`` follow from
+    written tables. Ids are 128-bit digests of the path, chunk ids add the chunk's number, so they
+    stay the same and do not collide.
     """
     mark = F.lit(batch_id).alias("batch_id")
-    doc_id = F.xxhash64("path").alias("doc_id")
-    too_big = F.col("length") > max_mb * 1024 * 1024
-    pages = files.text_pages(batch.filter(~too_big)).select(
-        doc_id, "*").withColumn("text", tx.clean_text(F.col("text")))
-    blank = tx.is_blank(F.col("text"))
-    rejected = batch.filter(too_big).select(
-        doc_id, "path", F.lit("too large").alias("reason"), mark
-    ).unionByName(pages.filter(blank).select(
-        "doc_id", "path", F.lit("no text").alias("reason"), mark))
-    chunks = chunking.reindex_chunks(chunking.fixed_size_chunks(pages.filter(~blank))).withColumn(
-        "chunk_id", F.xxhash64("doc_id", "chunk_index")
+    spark = batch.sparkSession
+    doc_id = F.md5("path").alias("doc_id")
+    typed = routed(batch)
+    reason = (
+        F.when(F.col("extractor").isNull(), F.concat(F.lit("Unsupported file type: "), "mime_type"))
+        .when(~F.col("extractor").isin(*READABLE), F.concat(F.lit("No engine for: "), "extractor"))
+        .when(F.col("length") > max_mb * 1024 * 1024, f"File exceeds max size of {max_mb}MB")
     )
-    writers.write_table(rejected, f"{root}/rejected")
-    writers.write_table(pages.filter(~blank).select("*", mark), f"{root}/pages")
+    raw = F.col("content").cast("string")
+    text = F.when(F.col("extractor") == "csv", tabular.csv_text(F.make_valid_utf8(raw))).otherwise(F.make_valid_utf8(raw))
+    read = typed.select(
+        doc_id, "path", "mime_type", "extractor", reason.alias("reason"),
+        F.when(reason.isNull(), tx.clean_text(text)).alias("text"),
+        F.when(F.is_valid_utf8(raw), "utf-8").otherwise("utf-8/replaced").alias("encoding"), mark,
+    ).withColumn("reason", F.coalesce("reason", F.when(tx.is_blank(F.col("text")), "No text")))
+    writers.write_table(read, f"{root}/files")
+
+    def own(name: str) -> DataFrame:
+        return spark.read.parquet(f"{root}/{name}").filter(F.col("batch_id") == batch_id)
+
+    kept = own("files")
+    writers.write_table(kept.filter("reason is not null").select("doc_id", "path", "mime_type", "reason", mark), f"{root}/rejected")
+    pages = kept.filter("reason is null").select(
+        "doc_id", "path", F.lit(1).alias("page_number"), "text",
+        F.when(F.col("extractor") == "csv", "tabular").otherwise("plain_text").alias("extraction_method"),
+        F.lit(1.0).alias("confidence"), "encoding", mark)
+    writers.write_table(pages, f"{root}/pages")
+    steps = F.when(F.col("reason").isNull(), F.array(*map(F.lit, ("processing", "completed")))).otherwise(
+        F.array(*map(F.lit, ("processing", "failed"))))
+    writers.write_table(kept.select(
+        "doc_id", F.posexplode(steps).alias("step", "status"), F.col("reason").alias("error"), mark), f"{root}/status")
+    chunks = chunking.reindex_chunks(chunking.fixed_size_chunks(own("pages"))).withColumn(
+        "chunk_id", F.concat_ws("-", "doc_id", F.col("chunk_index").cast("string")))
     writers.write_table(chunks.select("*", mark), f"{root}/chunks")
     # The index and the vectors start from the written chunks: nothing is cut twice.
-    spark = batch.sparkSession
-    written = spark.read.parquet(f"{root}/chunks").filter(F.col("batch_id") == batch_id)
-    writers.write_table(lexical.postings(written).select("*", mark), f"{root}/postings")
-    writers.write_table(embedding.embed_chunks(written).select("*", mark), f"{root}/embeddings")
+    writers.write_table(lexical.postings(own("chunks")).select("*", mark), f"{root}/postings")
+    writers.write_table(embedding.embed_chunks(own("chunks")).select("*", mark), f"{root}/embeddings")
 
 
 def start_ingest(

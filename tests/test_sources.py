@@ -70,3 +70,9 @@ def test_ingest_in_two_runs_equals_batch(spark, tmp_path):
     assert chunks.count() == want == spark.read.parquet(f"{root}/embeddings").count()
     assert spark.read.parquet(f"{root}/rejected").select("reason").collect()[0].reason == "no text"
     assert spark.read.parquet(f"{root}/postings").select("chunk_id").distinct().count() == want
+
+
+def test_csv_text_in_a_value(spark):
+    rows = [("a,b\n1,\"x, \"\"y\"\"\"\n\n2,\n",), ("",), ("only",), (None,)]
+    out = spark.createDataFrame(rows, "t string").select(tabular.csv_text(F.col("t")).alias("p")).collect()
+    assert [r.p for r in out] == ['Columns: a | b\n\n1 | x, "y"\n2 | nan', None, "Columns: only\n\n", None]
