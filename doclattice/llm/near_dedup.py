@@ -87,18 +87,18 @@ def signed(docs: DataFrame) -> DataFrame:
             signature, digest = [None] * len(sets), [None] * len(sets)
             if full:
                 for i, row in zip(full, signatures([sets[i] for i in full])):
-                    signature[i] = row.tobytes()
+                    signature[i] = row.view("<i4")
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())],
+                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.list_(pa.int32()))],
                 ["doc_id", "n_shingles", "digest", "signature"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, signature binary")
+        run, "doc_id long, n_shingles long, digest binary, signature array<int>")
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
+    return np.asarray(column.flatten()).view("<u4").reshape(-1, COORDINATES)
 
 
 def _tokens(signature: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _agree(a: str, b: str):
     """Number of equal coordinates of two signatures."""
     return sum(
-        F.when(F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4), 1).otherwise(0) for i in range(COORDINATES)
+        F.when(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), 1).otherwise(0) for i in range(COORDINATES)
     )
 
 
