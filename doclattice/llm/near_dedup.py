@@ -1,18 +1,19 @@
 """Near-duplicate documents by an inverted join of MinHash signature coordinates.
 
 A document's set holds its distinct 5-word shingles. Equal sets are one class from the start. The
-``COORDINATES`` minima of a class's set are its signature; every (coordinate, value) is a token with
-a list of the classes that have it. Sets with a Jaccard similarity of 0.75 agree in 48 of 64
-coordinates on average, in fewer than ``MATCHES`` with a probability of about 1e-10, so pairs are
-kept from ``MATCHES`` equal coordinates on. Such a pair also shares one of the first
-``COORDINATES - MATCHES + 1`` tokens of either (prefix merging), tokens ordered by how common they
-are: the commonest tokens of a document are skipped, so a line that is everywhere posts next to
-nothing.
+``COORDINATES`` first minima of a class's set are its signature; every (coordinate, value) is a token
+with a list of the classes that have it. Sets with a Jaccard similarity of 0.75 agree in 96 of 128
+coordinates on average, in fewer than ``MATCHES`` with a probability of about 1e-9. Pairs with
+``MATCHES`` equal coordinates share one of the first ``COORDINATES - MATCHES + 1`` tokens of either
+(prefix merging), tokens ordered by how common they are: the commonest tokens of a document are
+skipped, so lines and passages that are everywhere post next to nothing. Collisions are then counted
+on one bit of each of ``BITS`` minima: a pair is kept if at most ``MOST_APART`` bits differ, which a
+similarity of 0.75 exceeds with a probability of about 1e-9, and 0.6 falls below in a few per cent.
 
 A list never becomes pairs. Every member is first compared with one member of the list (its leader,
 another one for every token); confirmed links join classes to components. Only members outside the
 component that is most frequent in their list are then compared with the members of the other
-components, coordinates being counted inside the join. What remains is confirmed on full sets.
+components, bits being counted inside the join. What remains is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -31,15 +32,18 @@ from doclattice.llm.tables import written
 
 _U = np.uint64
 SHINGLE = 5
-COORDINATES, MATCHES = 64, 25
+COORDINATES, MATCHES = 128, 66
+BITS, MOST_APART = 1024, 200
 PREFIX = COORDINATES - MATCHES + 1
 #: Counters for how common a token is: a fixed number, so they can travel to every task. Any table
 #: gives a right order of tokens; a fuller one only orders rare tokens less well.
 COUNTERS = 1 << 18
 _RUN = 4096  # counters to a row
+#: Bytes of text worked on at once: their shingles stay in the processor's cache.
+CACHED = 1 << 19
 #: Linked from 100 * intersection >= SIMILARITY * union on.
 SIMILARITY = 75
-_FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=_U)) | _U(1)
+_FACTORS = (mix(np.arange(1, BITS + 1, dtype=_U)) >> _U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -63,38 +67,46 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of COORDINATES minima per set; sets must not be empty."""
-    joined = np.concatenate(sets)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BITS minima per set; sets must not be empty."""
+    joined = (np.concatenate(sets) >> _U(32)).astype(np.uint32)
     start = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    return np.stack([np.minimum.reduceat(joined * f, start) >> _U(32) for f in _FACTORS], axis=1).astype("<u4")
+    return np.stack([np.minimum.reduceat(joined * f, start) for f in _FACTORS], axis=1)
+
+
+def sketches(least: np.ndarray) -> np.ndarray:
+    """One bit of every minimum, in rows of BITS / 64 longs."""
+    bit = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(bit.astype(bool), axis=1).view("<i8")
 
 
 def _blocks_of(batches):
     for batch in batches:
         texts = encoded(batch.column(1).to_pylist())
-        for a, b in blocks(texts):
+        for a, b in blocks(texts, CACHED):
             yield batch.column(0).slice(a, b - a), texts[a:b]
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature); empty sets have neither digest nor signature."""
+    """(doc_id, n_shingles, digest, signature, sketch); empty sets have none of the last three."""
 
     def run(batches):
         for ids, texts in _blocks_of(batches):
             sets = shingle_sets(texts)
             full = [i for i, s in enumerate(sets) if len(s)]
-            signature, digest = [None] * len(sets), [None] * len(sets)
+            signature, sketch, digest = ([None] * len(sets) for _ in range(3))
             if full:
-                for i, row in zip(full, signatures([sets[i] for i in full])):
-                    signature[i] = row.view("<i4")
+                least = minima([sets[i] for i in full])
+                for i, row, bits in zip(full, least[:, :COORDINATES].view("<i4"), sketches(least)):
+                    signature[i], sketch[i] = row, bits
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "digest", "signature"])
+                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+                 pa.array(signature, pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "digest", "signature", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, signature array<int>")
+        run, "doc_id long, n_shingles long, digest binary, signature array<int>, sketch array<long>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -142,29 +154,26 @@ def posted(classes: DataFrame) -> DataFrame:
             pick = np.argsort(rank, axis=1, kind="stable")[:, :PREFIX]
             node = np.repeat(batch.column(0).to_numpy(), PREFIX)
             token = np.take_along_axis(tokens, pick, axis=1).ravel()
-            rank = mix(token ^ node.view(_U)) >> _U(1)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(rank.view(np.int64))], ["token", "node", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node)], ["token", "node"])
 
-    rows = classes.select("node", "signature").mapInArrow(run, "token long, node long, rank long")
+    rows = classes.select("node", "signature").mapInArrow(run, "token long, node long")
     own = W.partitionBy("token")
     return (
         rows.withColumn("n", F.count(F.lit(1)).over(own))
-        .withColumn("leader", F.min(F.struct("rank", "node")).over(own)["node"])
+        .withColumn("leader", F.min(F.struct(F.xxhash64("token", "node"), "node")).over(own)["node"])
         .filter("n > 1").select("token", "node", "leader")
     )
 
 
 def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds n_a, s_a, n_b, s_b: set sizes and signatures of both."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
+    """Adds n_a, s_a, n_b, s_b: set sizes and sketches of both."""
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def _agree(a: str, b: str):
-    """Number of equal coordinates of two signatures."""
-    return sum(
-        F.when(F.get(a, F.lit(i)) == F.get(b, F.lit(i)), 1).otherwise(0) for i in range(COORDINATES)
-    )
+def _apart_bits(a: str, b: str):
+    """Number of bits in which two sketches differ."""
+    return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64))
 
 
 def _sizes_fit(a: str, b: str):
@@ -213,12 +222,12 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes (node, n_shingles, signature), enough of them to join
+    """Confirmed links (a, b) between classes (node, n_shingles, signature, sketch), enough of them to join
     everything that belongs together: a pair is left out only if both are joined already."""
     lists = written(posted(classes), "postings")
     led = lists.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    led = _with_classes(led, classes).filter(_sizes_fit("n_a", "n_b")).withColumn("agree", _agree("s_a", "s_b"))
-    led = written(led.filter(F.col("agree") >= MATCHES).select("a", "b", "agree"), "led-pairs")
+    led = _with_classes(led, classes).filter(_sizes_fit("n_a", "n_b")).withColumn("agree", -_apart_bits("s_a", "s_b"))
+    led = written(led.filter(F.col("agree") >= -MOST_APART).select("a", "b", "agree"), "led-pairs")
 
     ends = led.select(F.col("a").alias("node")).unionByName(led.select(F.col("b").alias("node"))).distinct()
     sets = written(full_sets(docs, ends), "shingle-sets")
@@ -239,14 +248,14 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     weight = member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     main = weight.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
     mixed = main.filter("parts > 1").select("token", F.col("m.component").alias("main"))
-    member = member.join(mixed, "token").join(classes.select("node", "n_shingles", "signature"), "node")
+    member = member.join(mixed, "token").join(classes.select("node", "n_shingles", "sketch"), "node")
     member = written(member, "mixed-lists")
     side = lambda c: member.select(
-        "token", "main", F.col("node").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
+        "token", "main", F.col("node").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     x, y = side("a").filter("c_a <> main"), side("b").drop("main")
     once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
     more = x.join(y, "token").filter((F.col("c_a") != F.col("c_b")) & once & _sizes_fit("n_a", "n_b"))
-    more = more.filter(_agree("s_a", "s_b") >= MATCHES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = more.filter(_apart_bits("s_a", "s_b") <= MOST_APART).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = written(more.join(led.select("a", "b"), ["a", "b"], "left_anti"), "mixed-pairs")
     if not more.isEmpty():
         ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
@@ -268,8 +277,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = written(signed(docs), "signatures")
     full = own.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    one = F.min(F.struct("doc_id", "n_shingles", "signature")).alias("m")
-    classes = full.groupBy("digest").agg(one).select("digest", F.col("m.doc_id").alias("node"), "m.n_shingles", "m.signature")
+    one = F.min(F.struct("doc_id", "n_shingles", "signature", "sketch")).alias("m")
+    classes = full.groupBy("digest").agg(one).select("digest", F.col("m.doc_id").alias("node"), "m.n_shingles", "m.signature", "m.sketch")
     classes = written(classes, "classes")
     labels = components(links(docs, classes))
     named = written(_labelled(classes.select("digest", "node"), labels, "node", "component").select("digest", "component"), "class-components")

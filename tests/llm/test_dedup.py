@@ -146,15 +146,17 @@ def test_near_duplicates_kept_rows(spark):
 
 
 def test_signature_misses():
-    """Sets at the threshold agree in far more coordinates than are asked for."""
+    """Sets of similarity 0.71 stay on the right side of both thresholds."""
     rng = np.random.default_rng(5)
-    least = 64
+    least, most = 128, 0
     for _ in range(300):
-        own = rng.integers(0, 2**63, 700).astype(np.uint64)
+        own = rng.integers(0, 2**63, 700).astype(np.uint64) * np.uint64(2)
         a, b = own[:600], own[100:]
-        sa, sb = near_dedup.signatures([np.sort(a), np.sort(b)])
-        least = min(least, int((sa == sb).sum()))
-    assert least > near_dedup.MATCHES
+        both = near_dedup.minima([np.sort(a), np.sort(b)])
+        least = min(least, int((both[0, :128] == both[1, :128]).sum()))
+        x, y = near_dedup.sketches(both).view(np.uint64)
+        most = max(most, int(np.bitwise_count(x ^ y).sum()))
+    assert least > near_dedup.MATCHES and most < near_dedup.MOST_APART
 
 
 def test_components(spark):
