@@ -55,7 +55,31 @@ def _(t: Tables):
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("chk_05_sentence_packing")
+def sql_packed(size: int, carry: int) -> str:
+    """Greedy packing, one recursion step per sentence: packed_v(doc_id, g, first, last, sents, toks)."""
+    return f"""
+    with recursive d as (select doc_id, text, s as sents, list_transform(s, lambda x: len({v.sql_words('x')})) as toks
+      from (select doc_id, text, {v.sql_sentences('text')} as s from documents) where len(s) > 0),
+    r as (
+      select doc_id, 1::bigint as i, 0::bigint as g, 1::bigint as first, toks[1]::bigint as n from d
+      union all
+      select doc_id, i + 1, g + full_up::bigint, case when full_up then fresh else first end,
+        case when full_up then coalesce(list_sum(toks[fresh:i]), 0)::bigint else n end + toks[i + 1]
+      from (select r.*, toks, n + toks[i + 1] > {size} as full_up,
+              case when {carry} > 0 and i - first + 1 > {carry} then i - {carry} + 1 else i + 1 end as fresh
+            from r join d using (doc_id) where i < len(toks))),
+    packed_v as (select doc_id, g, min(first) as first, max(i) as last from r group by 1, 2)"""
+
+
+_PACKED = """
+      select doc_id, cast(g as integer) as chunk_index, array_to_string(sents[first:last], ' ') as content,
+        cast(list_sum(toks[first:last]) as integer) as token_count from packed_v join d using (doc_id)"""
+
+
+@query("chk_05_sentence_packing", f"""{sql_packed(120, chunking.OVERLAP_SENTENCES)}
+    select * from ({_PACKED}) where doc_id in (select doc_id from d where list_sum(toks) > 120)
+    union all select doc_id, 0::integer, {v.sql_strip('text')}, cast(list_sum(toks) as integer) from d
+    where list_sum(toks) <= 120""")
 def _(t: Tables):
     return chunking.sentence_chunks(t.documents, keys=("doc_id",), size=120)
 
@@ -74,7 +98,7 @@ def _(t: Tables):
     return chunking.sentence_groups_to_chunks(df, ("doc_id",), "_g")
 
 
-@query("chk_09_split_large_groups")
+@query("chk_09_split_large_groups", f"{sql_packed(60, 0)} {_PACKED}")
 def _(t: Tables):
     df = t.documents.withColumn(
         "_g", chunking.split_large_groups(
