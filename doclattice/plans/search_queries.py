@@ -171,7 +171,7 @@ CTE["allowed_v"] = (("queries_v", "docs_v"), """
 CTE["allowed_keyword_v"] = (("matches_v", "allowed_v"), sql_top("""(
     select query_id, chunk_id, score from matches_v join allowed_v using (query_id, doc_id))""", 20))
 CTE["allowed_semantic_v"] = (("query_vectors_v", "chunk_vectors_v", "chunks_v", "allowed_v"), sql_top("""(
-    select q.item_id as query_id, c.chunk_id, round(list_inner_product(q.embedding, c.embedding), 6) + 0 as score
+    select q.item_id as query_id, c.chunk_id, round(round(list_inner_product(q.embedding, c.embedding), 9), 6) + 0 as score
     from query_vectors_v q, chunk_vectors_v c join chunks_v k using (chunk_id)
     where exists (select 1 from allowed_v a where a.query_id = q.item_id and a.doc_id = k.doc_id))""", 20))
 
@@ -185,9 +185,9 @@ def _filtered(t: Tables, mode: str) -> DataFrame:
 
 
 @query("sch_04_filtered_semantic", with_ctes(["allowed_semantic_v"], """
-    select query_id, chunk_id, round(score, 4) as score, rank from allowed_semantic_v"""))
+    select query_id, chunk_id, score, rank from allowed_semantic_v"""))
 def _(t: Tables):
-    return ids(_filtered(t, "semantic").drop("search_method").withColumn("score", F.round("score", 4)))
+    return ids(_filtered(t, "semantic").drop("search_method"))
 
 
 @query("sch_04_filtered_hybrid", with_ctes(["allowed_semantic_v", "allowed_keyword_v"], """
