@@ -39,6 +39,9 @@ PREFIX = COORDINATES - MATCHES + 1
 #: gives a right order of tokens; a fuller one only orders rare tokens less well.
 COUNTERS = 1 << 18
 _RUN = 4096  # counters to a row
+#: Bits that mark which documents' sets are wanted: a fixed number, so they travel to every task and no
+#: text is shuffled. More documents than that only let more sets through, which later joins drop.
+ID_BITS = 1 << 23
 #: Bytes of text worked on at once: their shingles stay in the processor's cache.
 CACHED = 1 << 19
 #: Linked from 100 * intersection >= SIMILARITY * union on.
@@ -180,16 +183,47 @@ def _sizes_fit(a: str, b: str):
     return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes): the whole sets of the documents that stand for the given classes."""
+def _id_bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(_U)) % _U(ID_BITS)).astype(np.int64)
+
+
+def wanted_bits(nodes: DataFrame) -> np.ndarray:
+    """One bit for every node's id, packed: partial bitmaps of the tasks, united by pieces."""
 
     def run(batches):
-        for ids, texts in _blocks_of(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["node", "hashes"])
+        marks = np.zeros(ID_BITS, bool)
+        for batch in batches:
+            marks[_id_bit(batch.column(0).to_numpy())] = True
+        pieces = np.packbits(marks).reshape(-1, _RUN)
+        full = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([pieces[i].tobytes() for i in full], pa.binary())], ["at", "bits"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+        return pa.table({"at": table.column("at").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    rows = nodes.select("node").mapInArrow(run, "at long, bits binary").groupBy("at").applyInArrow(unite, "at long, bits binary")
+    out = np.zeros((ID_BITS // 8 // _RUN, _RUN), np.uint8)
+    for row in rows.collect():  # ID_BITS / 8 bytes in all
+        out[row["at"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return own.mapInArrow(run, "node long, hashes binary")
+
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes): the whole sets of the documents that stand for the given classes, and of the
+    few others whose ids fall on the same bits."""
+    marks = docs.sparkSession.sparkContext.broadcast(wanted_bits(nodes))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            at = _id_bit(ids)
+            mine = (marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            for own, texts in _blocks_of([batch.filter(pa.array(mine))]):
+                yield pa.RecordBatch.from_arrays([own, pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["node", "hashes"])
+
+    known = docs.filter(F.col("doc_id").isNotNull())
+    return known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
