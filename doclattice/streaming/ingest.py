@@ -63,7 +63,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, max_mb: int = files
         doc_id, "path", "mime_type", "extractor", reason.alias("reason"),
         F.when(reason.isNull(), tx.clean_text(text)).alias("text"),
         F.when(F.is_valid_utf8(raw), "utf-8").otherwise("utf-8/replaced").alias("encoding"), mark,
-    ).withColumn("reason", F.coalesce("reason", F.when(tx.is_blank(F.col("text")), "No text")))
+    ).withColumn("reason", F.coalesce("reason", F.when(tx.is_blank(F.col("text")), "no text")))
     writers.write_table(read, f"{root}/files")
 
     def own(name: str) -> DataFrame:
