@@ -11,7 +11,7 @@ then never leave their task; those of a larger benchmark are joined by a shuffle
 
 from __future__ import annotations
 
-from functools import partial
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 from doclattice.functions.rows import unnest
 from doclattice.llm.tables import text_or_empty, written
 
-#: Masks as runs (first place, words): 1111.111 and 11..1111 ignore one and two words.
-MASKS = (((0, 4), (5, 3)), ((0, 2), (4, 4)))
+#: Places of the words of a seed: 111.1..1..1, 1111..1.1, 111.111 and 111.1..11. A run that overlaps()
+#: accepts has a positive score (+1, MISMATCH) up to and from each of its words; every such run of an
+#: item of SPAN words or more holds one of these (a test lists the runs).
+MASKS = ((0, 1, 2, 4, 7, 10), (0, 1, 2, 3, 6, 8), (0, 1, 2, 4, 5, 6), (0, 1, 2, 4, 7, 8))
 SPAN = 8
+#: The same for shorter items, by their words: with so few words at most one of seven may differ.
+SHORT_MASKS = {1: (0,), 2: (0, 1), 3: (0, 1, 2), 4: (0, 1, 2, 3), 5: (0, 1, 2, 3), 6: (0, 1, 2, 3, 4), 7: (0, 1, 2, 4, 5)}
 #: Most seeds (16 bytes each) that are sent to every task.
 BROADCAST_SEEDS = 1_000_000
 #: A run of so many equal words is an overlap; for shorter items this share of their words.
@@ -35,45 +39,37 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed(words: Column, at: Column, mask: int) -> Column:
-    """Hash of the words of a mask that starts at the 1-based place ``at``."""
-    return F.xxhash64(F.lit(mask), *(F.slice(words, at + first, n) for first, n in MASKS[mask]))
+def masks_of(n: int) -> dict[int, tuple[int, ...]]:
+    """The masks, by number, of items of ``n`` words; SPAN stands for all longer ones."""
+    return dict(enumerate(MASKS)) if n >= SPAN else {-n: SHORT_MASKS[n]}
 
 
-def _whole(words: Column, n: int, at: Column) -> Column:
-    return F.xxhash64(F.lit(-n), F.slice(words, at, n))
+def seeds_at(words: Column, at: Column, masks: dict[int, tuple[int, ...]]) -> Column:
+    """Hashes of the words of each mask that starts at the 0-based place ``at``; past the end of the
+    words NULL, which no item has."""
+    return F.array(*(
+        F.when(at + places[-1] < F.size(words), F.xxhash64(F.lit(mask), *(F.get(words, at + i) for i in places)))
+        for mask, places in masks.items()))
 
 
-def _places(words: Column, span: int) -> Column:
-    n = F.size(words)
-    return F.when(n >= span, F.sequence(F.lit(1), n - (span - 1))).otherwise(F.array().cast("array<int>"))
+def seeds(rows: DataFrame, key: str, masks: dict[int, tuple[int, ...]]) -> DataFrame:
+    """(key, hash, place): the seeds at all places (0-based) of all rows (key, words). Words become
+    rows first, so hashing runs in generated code and not in a lambda."""
+    at_all = unnest(rows, [key, "words"], F.col("words"), "place", "_word")
+    hashed = unnest(at_all, [key, "place"], seeds_at(F.col("words"), F.col("place"), masks), "_mask", "hash")
+    return hashed.filter(F.col("hash").isNotNull()).select(key, "hash", "place")
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """(hash, item, at): seeds of all items (item, words); the mask goes into the hash. An item of
-    fewer than SPAN words has one seed, all its words, with minus its length as mask."""
-    rows = None
-    for mask in range(len(MASKS)):
-        at = F.explode(_places(F.col("words"), SPAN)).alias("at")
-        part = items.select("item", "words", at).select(
-            seed(F.col("words"), F.col("at"), mask).alias("hash"), "item", "at")
-        rows = part if rows is None else rows.unionByName(part)
-    n = F.size("words")
-    short = items.filter((n > 0) & (n < SPAN)).select(
-        F.xxhash64(-n, "words").alias("hash"), "item", F.lit(1).alias("at"))
-    return rows.unionByName(short)
+def item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """(hash, item, at): seeds of all items (item, words), whose words, up to SPAN, number ``lengths``."""
+    n = F.least(F.size("words"), F.lit(SPAN))
+    parts = [seeds(items.filter(n == k), "item", masks_of(k)) for k in lengths]
+    return reduce(DataFrame.unionByName, parts).select("hash", "item", F.col("place").alias("at"))
 
 
 def text_seeds(texts: DataFrame, lengths: list[int]) -> DataFrame:
     """(doc_id, hash, place): the seeds at all places of all texts (doc_id, words)."""
-    words = F.col("words")
-
-    def at_all(span: int, hash_at) -> Column:
-        return F.transform(_places(words, span), lambda at: F.struct(hash_at(at).alias("hash"), at.alias("place")))
-
-    arrays = [at_all(SPAN, partial(seed, words, mask=mask)) for mask in range(len(MASKS))]
-    arrays += [at_all(n, partial(_whole, words, n)) for n in lengths]
-    return unnest(texts, ["doc_id"], F.concat(*arrays), "_i", "s").select("doc_id", "s.*")
+    return seeds(texts, "doc_id", {m: places for n in lengths for m, places in masks_of(n).items()})
 
 
 def best_run(words: Column, item: Column, shift: Column) -> Column:
@@ -111,12 +107,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select("item_id", word_hashes(text_or_empty("text")).alias("words"))
     items = written(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "words").filter(F.size("words") > 0), "benchmark-words")
-    seeds = written(item_seeds(items), "benchmark-seeds")
-    seeds = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
-    lengths = [r[0] for r in items.select(F.size("words").alias("n")).filter(F.col("n") < SPAN).distinct().collect()]  # < SPAN rows
+    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(SPAN)).alias("n")).distinct().collect()] or [SPAN]  # <= SPAN rows
+    wanted = written(item_seeds(items, lengths), "benchmark-seeds")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SEEDS else wanted
     texts = docs.select("doc_id", word_hashes(text_or_empty("text")).alias("words"))
     shifts = (
-        text_seeds(texts, lengths).join(seeds, "hash")
+        text_seeds(texts, lengths).join(wanted, "hash")
         .select("doc_id", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     )
     shifts = written(shifts, "alignments").join(items.withColumnRenamed("words", "wanted"), "item")

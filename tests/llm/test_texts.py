@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -199,6 +200,66 @@ def test_decontamination(spark):
     assert decontamination.overlaps(docs.limit(0), benchmark).count() == 0
 
 
+def accepted_runs(n, longest=20):
+    """Runs of equal (1) and other (0) words that overlaps() accepts for an item of n words, those
+    over ``longest`` by their beginning: no beginning or end of a best run has a score of 0 or less."""
+    need, out = min(13, -(-4 * n // 5)), []
+
+    def grow(run, score):
+        if run and run[-1] and sum(run) >= need and all(sum(1 if x else -2 for x in run[k:]) > 0 for k in range(len(run))):
+            out.append(run)
+        if len(run) == min(n, longest):
+            return out.append(run) if n > longest else None
+        grow((*run, 1), score + 1)
+        if score > 2:
+            grow((*run, 0), score - 2)
+
+    grow((), 0)
+    return out
+
+
+def test_every_accepted_run_holds_a_seed():
+    for n in range(1, 22):
+        masks = decontamination.masks_of(n).values()
+        assert len(accepted_runs(n)) and all(
+            any(all(run[at + i] for i in m) for m in masks for at in range(len(run) - m[-1])) for run in accepted_runs(n))
+
+
+def brute_overlaps(words, item):
+    """The most equal words of a best-scoring run along any shift, if they are enough."""
+    best = 0
+    for shift in range(1 - len(item), len(words)):
+        score = same = top = own = 0
+        for i, w in enumerate(item):
+            if 0 <= i + shift < len(words):
+                if words[i + shift] == w:
+                    score, same = (score + 1, same + 1) if score > 0 else (1, 1)
+                    top, own = (score, same) if score > top else (top, own)
+                else:
+                    score -= 2
+        best = max(best, own)
+    return best if best >= min(13, -(-4 * len(item) // 5)) else None
+
+
+def test_decontamination_with_substitutions(spark):
+    rng = random.Random(8)
+    items = [[f"i{k}x{i}" for i in range(n)] for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 17, 40])]
+    texts = []
+    for item in items:
+        n = len(item)
+        places = [c for k in (0, 1, 2) for c in itertools.combinations(range(n), k)] if n < 16 else []
+        places += [[i for i in range(n) if i % 4 == 3], *([i for i in range(n) if rng.random() < 0.2] for _ in range(40))]
+        texts += [["lead", *("other" if i in gone else w for i, w in enumerate(item)), *["tail"] * rng.randrange(3)] for gone in places]
+    texts.append(items[8][2:])  # a shift before the text's first word
+    docs = make_docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_words for r in decontamination.overlaps(docs, benchmark).collect()}
+    # Words carry their item's number, so only that item can be in a text.
+    own = [int(next(w for w in t if w[0] == "i").split("x")[0][1:]) if any(w[0] == "i" for w in t) else None for t in texts]
+    want = {(i, k): brute_overlaps(t, items[k]) for i, (t, k) in enumerate(zip(texts, own)) if k is not None}
+    assert got == {key: n for key, n in want.items() if n}
+
+
 def test_reply_trees(spark):
     nodes = spark.createDataFrame([
         (1, 1, None, "user", "hi <|end|> [x] &lt;", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 5.0),
