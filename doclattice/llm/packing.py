@@ -124,6 +124,25 @@ def tokenizer(ranks_file: str, pattern: str, special: dict[str, int]):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encoder(ranks_file: str, pattern: str, special: dict[str, int]):
+    """text -> ids, whatever the text. The regex engine of the fast library gives up on very long runs
+    (a million blanks); such texts are encoded by the tokenizer file that lies beside the ranks."""
+    fast, allowed, whole = tokenizer(ranks_file, pattern, special), set(special), None
+
+    def encode(text: str) -> list[int]:
+        nonlocal whole
+        try:
+            return fast.encode(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:
+            if whole is None:
+                from tokenizers import Tokenizer
+
+                whole = Tokenizer.from_file(f"{ranks_file.removesuffix('.tiktoken')}.json")
+            return whole.encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
 def pieces(docs: DataFrame, ranks_file: str, pattern: str, special: dict[str, int] | None = None, width: int = 1024,
            with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all texts.
@@ -136,13 +155,12 @@ def pieces(docs: DataFrame, ranks_file: str, pattern: str, special: dict[str, in
     special = special or {}
 
     def run(batches):
-        coder = tokenizer(ranks_file, pattern, special)
-        allowed = set(special)
+        encode = encoder(ranks_file, pattern, special)
         for batch in batches:
             out = []
             ids_of = batch.column(0).to_pylist()
             for doc_id, text in zip(ids_of, batch.column(1).to_pylist()):
-                ids = np.array([*coder.encode(text or "", allowed_special=allowed, disallowed_special=()), END_OF_TEXT], "<u4")
+                ids = np.array([*encode(text or ""), END_OF_TEXT], "<u4")
                 cuts = [0, *range(len(ids) % width or width, len(ids) + 1, width)] if len(ids) > width else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     raw = ids[a:b].tobytes()
