@@ -39,6 +39,10 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def hash_of_text(text: str | Column = "text") -> Column:
+    return F.xxhash64(text_or_empty(text))
+
+
 def masks_of(n: int) -> dict[int, tuple[int, ...]]:
     """The masks, by number, of items of ``n`` words; SPAN stands for all longer ones."""
     return dict(enumerate(MASKS)) if n >= SPAN else {-n: SHORT_MASKS[n]}
@@ -52,24 +56,24 @@ def seeds_at(words: Column, at: Column, masks: dict[int, tuple[int, ...]]) -> Co
         for mask, places in masks.items()))
 
 
-def seeds(rows: DataFrame, key: str, masks: dict[int, tuple[int, ...]]) -> DataFrame:
-    """(key, hash, place): the seeds at all places (0-based) of all rows (key, words). Words become
+def seeds(rows: DataFrame, key: list[str], masks: dict[int, tuple[int, ...]]) -> DataFrame:
+    """(*key, hash, place): the seeds at all places (0-based) of all rows (*key, words). Words become
     rows first, so hashing runs in generated code and not in a lambda."""
-    at_all = unnest(rows, [key, "words"], F.col("words"), "place", "_word")
-    hashed = unnest(at_all, [key, "place"], seeds_at(F.col("words"), F.col("place"), masks), "_mask", "hash")
-    return hashed.filter(F.col("hash").isNotNull()).select(key, "hash", "place")
+    at_all = unnest(rows, [*key, "words"], F.col("words"), "place", "_word")
+    hashed = unnest(at_all, [*key, "place"], seeds_at(F.col("words"), F.col("place"), masks), "_mask", "hash")
+    return hashed.filter(F.col("hash").isNotNull()).select(*key, "hash", "place")
 
 
 def item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
     """(hash, item, at): seeds of all items (item, words), whose words, up to SPAN, number ``lengths``."""
     n = F.least(F.size("words"), F.lit(SPAN))
-    parts = [seeds(items.filter(n == k), "item", masks_of(k)) for k in lengths]
+    parts = [seeds(items.filter(n == k), ["item"], masks_of(k)) for k in lengths]
     return reduce(DataFrame.unionByName, parts).select("hash", "item", F.col("place").alias("at"))
 
 
 def text_seeds(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, hash, place): the seeds at all places of all texts (doc_id, words)."""
-    return seeds(texts, "doc_id", {m: places for n in lengths for m, places in masks_of(n).items()})
+    """(doc_id, hashed, hash, place): the seeds at all places of all texts (doc_id, hashed, words)."""
+    return seeds(texts, ["doc_id", "hashed"], {m: places for n in lengths for m, places in masks_of(n).items()})
 
 
 def best_run(words: Column, item: Column, shift: Column) -> Column:
@@ -97,41 +101,55 @@ def best_run(words: Column, item: Column, shift: Column) -> Column:
         s["words"].alias("words"), (s["from"] + at).alias("first"), (s["to"] + at).alias("last")))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_words, first_word, last_word): benchmark items that texts contain.
-
-    An item is contained if along some shift a run has LEAST_WORDS equal words, or LEAST_SHARE of the
-    words of a shorter item. One row for each doc_id and item_id, of its longest run. NULL and empty
-    texts and items contain nothing and are in nothing. Of benchmark rows that share an item_id each
-    counts; rows that share a doc_id (NULL included) count as one document's.
-    """
+def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, hashed, item_id, run): benchmark items along every shift by which a text contains them.
+    A text is known by its doc_id and hash, so rows that share an id, or have none, keep their own."""
     items = benchmark.select("item_id", word_hashes(text_or_empty("text")).alias("words"))
     items = written(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "words").filter(F.size("words") > 0), "benchmark-words")
     lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(SPAN)).alias("n")).distinct().collect()] or [SPAN]  # <= SPAN rows
     wanted = written(item_seeds(items, lengths), "benchmark-seeds")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SEEDS else wanted
-    texts = docs.select("doc_id", word_hashes(text_or_empty("text")).alias("words"))
+    texts = docs.select("doc_id", hash_of_text().alias("hashed"), word_hashes(text_or_empty("text")).alias("words"))
     shifts = (
         text_seeds(texts, lengths).join(wanted, "hash")
-        .select("doc_id", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
+        .select("doc_id", "hashed", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     )
     shifts = written(shifts, "alignments").join(items.withColumnRenamed("words", "wanted"), "item")
-    shifts = shifts.withColumnRenamed("doc_id", "_doc")
+    shifts = shifts.withColumnsRenamed({"doc_id": "_doc", "hashed": "_hashed"})
     n = F.size("wanted")
-    whole = docs.select("doc_id", text_or_empty("text").alias("_text"))
+    whole = docs.select("doc_id", hash_of_text().alias("hashed"), text_or_empty("text").alias("_text"))
+    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hashed") == F.col("hashed"))
     return (
         # Texts are joined as they are: only those with an alignment are cut into words again.
-        shifts.join(whole, F.col("_doc").eqNullSafe(F.col("doc_id")))
+        shifts.join(whole, same)
         .withColumn("words", word_hashes(F.col("_text")))
-        .select("doc_id", "item_id", n.alias("n"), best_run(F.col("words"), F.col("wanted"), F.col("shift")).alias("run"))
+        .select("doc_id", "hashed", "item_id", n.alias("n"), best_run(F.col("words"), F.col("wanted"), F.col("shift")).alias("run"))
         .filter(F.col("run.words") >= F.least(F.lit(LEAST_WORDS), F.ceil(F.col("n") * LEAST_SHARE)))
-        .groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
+        .drop("n")
+    )
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_words, first_word, last_word): benchmark items that texts contain.
+
+    An item is contained if along some shift a run has LEAST_WORDS equal words, or LEAST_SHARE of the
+    words of a shorter item. One row for each doc_id and item_id, of its longest run. NULL and empty
+    texts and items contain nothing and are in nothing. Of benchmark rows that share an item_id each
+    counts; rows that share a doc_id (NULL included) have their texts looked at one by one and give
+    one row for each item that any of them contains.
+    """
+    return (
+        contained(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
         .select("doc_id", "item_id", F.col("run.words").cast("long").alias("n_words"),
                 F.col("run.first").cast("long").alias("first_word"), F.col("run.last").cast("long").alias("last_word"))
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id has no overlap with the benchmark."""
-    found = written(overlaps(docs, benchmark).select(F.col("doc_id").alias("_doc")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]), "left_anti")
+    """The rows of ``docs``, all columns, of documents without overlap with the benchmark. Rows that
+    share a doc_id are one document; of rows without doc_id each is one of its own."""
+    own = F.when(F.col("doc_id").isNull(), F.col("hashed"))
+    found = contained(docs, benchmark).select(F.col("doc_id").alias("_doc"), own.alias("_own")).distinct()
+    found = written(found, "contaminated")
+    key = F.when(docs["doc_id"].isNull(), hash_of_text(docs["text"]))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & key.eqNullSafe(found["_own"]), "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from doclattice.llm.graph import components
 from doclattice.llm.hashing import Block, blocks, encoded, mix, range_sums, window_hashes
-from doclattice.llm.tables import written
+from doclattice.llm.tables import text_or_empty, written
 
 _U = np.uint64
 SHINGLE = 5
@@ -323,9 +323,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, less all but the smallest doc_id of each group of near
-    duplicates. Of rows with the same doc_id and text one stays; rows without doc_id stay."""
-    found = written(near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    duplicates. Of rows with the same doc_id and text one stays; rows without doc_id stay. Different
+    texts under one doc_id are told apart: only those that are near duplicates go."""
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text_or_empty("text"))).alias("_row")
+    keyed = docs.select("*", row)
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    found = written(found, "near-duplicates")
+    known = found.distinct().join(keyed.select("_row", "doc_id"), "_row")
+    stay = known.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("m")).select("m._row")
+    gone = written(found.select("_row").distinct().join(stay, "_row", "left_anti"), "near-duplicates-gone")
+    out = keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

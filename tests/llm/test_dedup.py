@@ -145,6 +145,14 @@ def test_near_duplicates_kept_rows(spark):
     assert near_dedup.near_duplicates(make_docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_under_one_id(spark):
+    near, other = "a b c d e f g h", "k l m n o p q r"
+    docs = make_docs(spark, [(7, near), (3, near), (7, other), (7, "s t u v w x y z"), (9, other), (3, "e f g h i j k"), (None, near)])
+    kept = near_dedup.one_of_each(docs).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [
+        (3, near), (7, other), (7, "s t u v w x y z"), (3, "e f g h i j k"), (None, near)]))
+
+
 def test_signature_misses():
     """Sets of similarity 0.71 stay on the right side of both thresholds."""
     rng = np.random.default_rng(5)

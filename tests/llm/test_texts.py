@@ -275,6 +275,15 @@ def test_decontamination_with_substitutions(spark):
     assert got == {key: n for key, n in want.items() if n}
 
 
+def test_decontamination_of_rows_without_id(spark):
+    item = " ".join(f"b{i}" for i in range(30))
+    docs = make_docs(spark, [(None, item), (None, "clean"), (None, None), (None, "of its own"), (1, item), (2, "clean")])
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    kept = decontamination.clean(docs, benchmark).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, "clean"), (None, None), (None, "of its own"), (2, "clean")]))
+    assert sorted(map(str, (r.doc_id for r in decontamination.overlaps(docs, benchmark).collect()))) == ["1", "None"]
+
+
 def test_reply_trees(spark):
     nodes = spark.createDataFrame([
         (1, 1, None, "user", "hi <|end|> [x] &lt;", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 5.0),
