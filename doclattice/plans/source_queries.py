@@ -22,12 +22,17 @@ def fresh_folder(t: Tables, name: str) -> str:
     return f"{root}/doclattice/files/{name}-{uuid.uuid4().hex}"
 
 
+#: Most documents of a text file, so that no file grows with its collection.
+FILE_DOCUMENTS = 1000
+
+
 def text_files(t: Tables, name: str) -> str:
-    """The documents of each collection as one text file per collection folder."""
+    """The documents of each collection as text files in one folder per collection."""
     path = fresh_folder(t, name)
     docs = t.documents.select("source", F.concat(F.lit("# "), F.col("doc_id").cast("string"),
                                                  F.lit("\n"), "text").alias("value"))
-    docs.repartition("source").write.partitionBy("source").text(path)
+    # Every task writes what it has of a collection: no task holds a whole one.
+    docs.write.partitionBy("source").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
     return path
 
 
@@ -55,9 +60,11 @@ def written_files(rows, path: str) -> None:
     group by 1""")
 def _(t: Tables):
     pages = files.text_pages(files.read_blobs(t.spark, text_files(t, "text"), "*.txt"))
-    return pages.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(
-        F.count("*").alias("files"), F.sum(F.length("text").cast("bigint")).alias("chars"),
-        F.bool_and(F.col("encoding") == "utf-8").alias("clean"))
+    texts = pages.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(
+        F.sum(F.length("text").cast("bigint")).alias("chars"), F.bool_and(F.col("encoding") == "utf-8").alias("clean"))
+    # A collection counts once, as in the SQL, over however many files it is spread.
+    return texts.groupBy("source").agg(
+        F.count("*").alias("files"), F.sum("chars").alias("chars"), F.bool_and("clean").alias("clean"))
 
 
 @query("src_03_dead_letters", """

@@ -76,3 +76,18 @@ def test_csv_text_in_a_value(spark):
     rows = [("a,b\n1,\"x, \"\"y\"\"\"\n\n2,\n",), ("",), ("only",), (None,)]
     out = spark.createDataFrame(rows, "t string").select(tabular.csv_text(F.col("t")).alias("p")).collect()
     assert [r.p for r in out] == ['Columns: a | b\n\n1 | x, "y"\n2 | nan', None, "Columns: only\n\n", None]
+
+
+def test_text_files_are_bounded(spark, data, monkeypatch):
+    import __spark_entry__
+
+    assert "src_01_text_files" in __spark_entry__.queries()  # loads the queries in their order
+    from doclattice.plans import source_queries
+    from doclattice.plans.registry import Tables
+
+    monkeypatch.setattr(source_queries, "FILE_DOCUMENTS", 3, raising=False)
+    tables = Tables(spark, data)
+    heads = spark.read.text(source_queries.text_files(tables, "bounded")).select(F.input_file_name().alias("path"), "value")
+    heads = heads.filter(F.col("value").rlike("^# [0-9]+$"))
+    assert heads.count() == tables.documents.filter("text is not null").count()
+    assert heads.groupBy("path").count().agg(F.max("count")).first()[0] <= 3
