@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclattice.llm import byte_dedup, chat, decontamination, language, near_dedup, packing, quality, secrets, toxicity, window_dedup
+from doclattice.llm import (byte_dedup, chat, decontamination, infill, language, near_dedup, packing, pieces, quality, secrets,
+                            toxicity, whitening, window_dedup)
 from doclattice.llm.batches import crc32_mod
 from doclattice.llm.tables import text_or_empty
 
@@ -230,3 +231,56 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_spaced_seed_decontamination")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+r AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (
+  SELECT *, array_to_string(u[:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+    array_to_string(u[greatest(x, y) + 1:], '') AS s FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return infill.fill_in_middle(docs).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
+def piece_model() -> bytes:
+    """The public 32k piece model, read by the driver; tasks get its bytes."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+@query("op12_piece_round_trip")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    model = piece_model()
+    found = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    return pieces.decode(found.select("doc_id", "ids"), model).select("doc_id", *pieces.digests())
+
+
+@query("op13_exact_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per vector and component; a deviation that no long holds is NULL."""
+    found = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    part = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("whitened")).alias("component"), "whitened", "explained"))
+    return found.filter(F.size("whitened") > 0).select("vec_id", "n", "deviation", "identity_error", part.alias("p")).select(
+        "vec_id", F.col("p.component").alias("component"), "n", F.expr("try_cast(deviation AS long)").alias("deviation"),
+        F.col("p.whitened").alias("whitened"), F.col("p.explained").alias("explained"), "identity_error")
