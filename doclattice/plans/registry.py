@@ -57,8 +57,9 @@ class Tables:
         context = self.spark.sparkContext
         return df.repartition(context.defaultParallelism, key) if context.master.startswith("local[") else df
 
-    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """An index table built once per session and folder, then read column by column.
+    def stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        """An index table built once per session and folder, then read column by column; ``by`` names
+        a column whose values become folders, so that a search reads only those it needs.
 
         Search runs against built chunk, postings and vector tables, as any deployment would,
         instead of cutting and tokenizing the corpus again for every use in a plan.
@@ -71,7 +72,8 @@ class Tables:
         if key not in _STORED:
             folder_id = hashlib.md5(self.folder.encode()).hexdigest()[:12]
             path = f"{root}/doclattice/{app}/{folder_id}/{name}"
-            build().write.mode("overwrite").parquet(path)
+            writer = build().write.mode("overwrite")
+            (writer.partitionBy(by) if by else writer).parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 

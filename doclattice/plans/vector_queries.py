@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
-from doclattice.operators import embedding, vectors
+from doclattice.operators import cells, embedding, vectors
 from doclattice.operators.chunking import TOPIC_THRESHOLD
 from doclattice.plans import views as v
 from doclattice.plans.registry import Tables, query
@@ -140,6 +140,66 @@ def _(t: Tables):
     return _ranked(vectors.approximate_top_k(q, stored_vectors(t), 5, dim=64))
 
 
+def sql_cells(name: str, items: str, q: str) -> None:
+    """CTEs of the cell index over ``items(item_id, embedding)`` and its probes for queries ``q``."""
+    unit = "list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding)))"
+    cos = "round(coalesce(list_inner_product({a}, {b}) / nullif(sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})), 0), 0), 9)"
+    CTE[f"{name}_unit"] = ((), f"""
+      select item_id, {unit} as e, least(1.0::double, {cells.CELLS_PER_ROOT} / sqrt(n), {cells.CENTRE_BYTES // 512}.0::double / n) as share
+      from {items}, (select count(*) as n from {items}) where list_inner_product(embedding, embedding) > 0""")
+    CTE[f"{name}_near"] = ((f"{name}_unit",), f"""
+      select s.item_id, arg_min(c.item_id, struct_pack(s := -{cos.format(a='s.e', b='c.e')}, i := c.item_id)) as cell
+      from (select * from {name}_unit where {v.sql_hash_unit("'fit'", 'item_id')} < share * {cells.FIT_ROWS}) s,
+        (select * from {name}_unit where {v.sql_hash_unit("'cell'", 'item_id')} < share) c group by 1""")
+    CTE[f"{name}_centres"] = ((f"{name}_near",), f"""
+      select cell, list(x order by d) as e from (
+        select cell, d, avg(x) as x from (select cell, unnest(range(64)) as d, unnest(e) as x
+          from {name}_near join {name}_unit using (item_id)) group by 1, 2) group by 1""")
+    CTE[f"{name}_index"] = ((f"{name}_centres",), f"""
+      select item_id, any_value(embedding) as embedding, arg_min(cell, struct_pack(s := -{cos.format(a='s.embedding', b='c.e')}, i := cell)) as cell
+      from {items} s, {name}_centres c group by item_id""")
+    CTE[f"{name}_probes"] = ((f"{name}_index",), f"""
+      select query_id, embedding, cell from (
+        select *, row_number() over (partition by query_id order by s desc, cell) as r from (
+          select query_id, embedding, cell, {cos.format(a='q.embedding', b='c.e')} as s from {q} q, {name}_centres c))
+      where r <= {cells.PROBES}""")
+    CTE[f"{name}_hits"] = ((f"{name}_probes",), f"""
+      select query_id, item_id, round(s, 6) + 0 as score, rank from (
+        select *, row_number() over (partition by query_id order by s desc, item_id) as rank from (
+          select query_id, item_id, {cos.format(a='q.embedding', b='i.embedding')} as s
+          from {name}_probes q join {name}_index i using (cell))) where rank <= 10""")
+
+
+CTE["chunk_items_v"] = (("chunk_vectors_v",), "select chunk_id as item_id, embedding from chunk_vectors_v")
+CTE["passages_v"] = (("query_vectors_v",), "select item_id as query_id, embedding from query_vectors_v")
+sql_cells("stored_cells", "stored_v", "(select item_id as query_id, embedding from stored_v)")
+sql_cells("chunk_cells", "chunk_items_v", "passages_v")
+
+
+def cells_v(t: Tables, name: str, vectors_of) -> tuple[DataFrame, DataFrame]:
+    """The stored index and its centres."""
+    centres = t.stored(f"{name}_centres", lambda: cells.fit_centres(vectors_of(t), embedding.DIM))
+    return t.stored(f"{name}_index", lambda: cells.build(vectors_of(t), centres), by="part"), centres
+
+
+def chunk_items(t: Tables) -> DataFrame:
+    return chunk_vectors_v(t).select(F.col("chunk_id").alias("item_id"), "embedding")
+
+
+@query("vec_04_cell_top_k", with_ctes(["stored_v", "stored_cells_hits"], "select * from stored_cells_hits"))
+def _(t: Tables):
+    """Neighbours of every stored vector by the cell index."""
+    index, centres = cells_v(t, "stored_cells", lambda t: stored_vectors(t).drop("label"))
+    return _ranked(cells.cell_top_k(stored_vectors(t).withColumnRenamed("item_id", "query_id"), index, centres, 10))
+
+
+@query("vec_04_cell_passages", with_ctes(["passages_v", "chunk_items_v", "chunk_cells_hits"], "select * from chunk_cells_hits"))
+def _(t: Tables):
+    """Chunks near the benchmark's passages by the cell index."""
+    index, centres = cells_v(t, "chunk_cells", chunk_items)
+    return _ranked(cells.cell_top_k(query_vectors_v(t), index, centres, 10))
+
+
 @query("vec_05_restricted_top_k", with_ctes(["centroids_v", "stored_v"], _TOP.format(
     cos=SQL_COS.format(a="q.embedding", b="s.embedding"), q="centroids_v", s="stored_v",
     where="""where s.item_id in (select doc_id from labels where quality = 1)
