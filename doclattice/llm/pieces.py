@@ -7,8 +7,9 @@ the byte offset of the source it came from, so a piece of the normalised text is
 bytes by two lookups. A model without a map changes nothing but blanks.
 
 Pieces are merged by falling score. No merge can cross two neighbouring characters that stand side by
-side in no piece of the vocabulary, so the text is cut there first and every distinct segment is merged
-once per task; segments of a block become arrays of ids and spans by one gather.
+side in no piece of the vocabulary, so the text is cut there first. Segments that a task has not met
+yet are merged side by side, one pair of each in every round; those it knows become ids and spans by
+one gather.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclattice.llm.hashing import blocks, encoded
+from doclattice.llm.hashing import blocks, encoded, mix, range_sums
 
 #: Text worked on at once; arrays take some fifty bytes for each byte of it.
 BLOCK = 1 << 20
 #: Segments and pieces that a task remembers before it begins anew.
 SEGMENTS, PIECES = 1 << 18, 1 << 21
+#: Segments up to this length are merged side by side in arrays, longer ones one by one with a heap.
+SHORT = 64
+_NEVER = 1 << 60
+_SYMBOL_BITS = 21  # ids and code points both fit
 _SPACE, _MARK = 0x20, 0x2581
 _BIGRAM_BITS = 22
 # Fixed values of the model format: piece kinds, the kind of model, and field numbers.
@@ -239,18 +244,38 @@ class PieceModel:
             raise ValueError("byte-pair models with byte fallback and without own symbols are supported")
         self.normalizer = Normalizer(normalizer, bool(trainer.get(24)))
         score = lambda p: float(np.frombuffer(p.get(2, b"\0\0\0\0"), "<f4")[0])
-        self.rank = {p[1].decode(): (-score(p), i) for i, p in enumerate(pieces) if p.get(3, NORMAL) == NORMAL}
+        normal = [(score(p), p[1].decode(), i) for i, p in enumerate(pieces) if p.get(3, NORMAL) == NORMAL]
+        place = {value: k for k, value in enumerate(sorted({own[0] for own in normal}, reverse=True))}
+        self.rank = {piece: (place[value], i) for value, piece, i in normal}
         self.byte_id = {int(p[1][3:5], 16): i for i, p in enumerate(pieces) if p.get(3) == BYTE}
         self.longest = max(map(len, self.rank))
         self.joined = np.zeros(1 << _BIGRAM_BITS, bool)
         codes = [codes_of([p.encode()]) for p in self.rank if len(p) > 1]
         for own in codes:
             self.joined[self._bigram(own)] = True
+        self._pairs()
         self._forget()
 
+    def _pairs(self) -> None:
+        """For pairs of symbols that make a piece: place in the order of scores, and the piece. A symbol
+        is the id of a piece, or 2**20 and the code point for a character that is none."""
+        self.char = np.arange(0x110000, dtype=np.int64) + (1 << 20)
+        for piece, (_, i) in self.rank.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = i
+        symbol = lambda p: self.rank[p][1] if p in self.rank else int(self.char[ord(p)]) if len(p) == 1 else None
+        rows = []
+        for piece, (place, i) in self.rank.items():
+            for cut in range(1, len(piece)):
+                left, right = symbol(piece[:cut]), symbol(piece[cut:])
+                if left is not None and right is not None:
+                    rows.append((left << _SYMBOL_BITS | right, place, i))
+        rows.sort()
+        self.pair, self.pair_place, self.pair_piece = np.array(rows, np.int64).reshape(-1, 3).T.copy()
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.begins, self.ends, self.offsets = [], [], [], [0]
+        self.table = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     @staticmethod
     def _bigram(codes: np.ndarray) -> np.ndarray:
@@ -258,8 +283,54 @@ class PieceModel:
         pair = codes[:-1].astype(np.uint64) << np.uint64(21) | codes[1:].astype(np.uint64)
         return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BIGRAM_BITS)).astype(np.int64)
 
-    def merged(self, text: str) -> list[tuple[int, int]]:
-        """(begin, end) of the pieces of a segment: the best pair first, the leftmost of equal ones."""
+    def _place(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and piece of pairs of symbols; pairs that make no piece have the place _NEVER."""
+        key = left << _SYMBOL_BITS | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        found = self.pair[at] == key
+        return np.where(found, self.pair_place[at], _NEVER), self.pair_piece[at]
+
+    def _merged_short(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, symbol, begin) of what is left when no pair of any segment can be joined. A round
+        joins the best pair of every segment, of equal ones the leftmost."""
+        length = np.array([len(s) for s in segments], np.int64)
+        symbol = self.char[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
+        owner = np.repeat(np.arange(len(segments)), length)
+        begin = np.arange(len(symbol)) - np.repeat(np.cumsum(length) - length, length)
+        done = []
+        place, piece = np.full(len(symbol), _NEVER), np.zeros(len(symbol), np.int64)
+        place[:-1], piece[:-1] = self._place(symbol[:-1], symbol[1:])
+        place[:-1][owner[:-1] != owner[1:]] = _NEVER
+        while len(symbol):
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            size = np.diff(np.append(first, len(owner)))
+            best = np.minimum.reduceat(place, first)
+            going = np.repeat(best < _NEVER, size)
+            if not going.all():
+                done.append((owner[~going], symbol[~going], begin[~going]))
+                owner, symbol, begin, place, piece, best = owner[going], symbol[going], begin[going], place[going], piece[going], np.repeat(best, size)[going]
+            else:
+                best = np.repeat(best, size)
+            if not len(symbol):
+                break
+            hit = np.flatnonzero(place == best)
+            hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])]
+            symbol[hit] = piece[hit]
+            stay = np.ones(len(symbol), bool)
+            stay[hit + 1] = False
+            hit = (np.cumsum(stay) - 1)[hit]
+            owner, symbol, begin, place, piece = owner[stay], symbol[stay], begin[stay], place[stay], piece[stay]
+            changed = np.unique(np.concatenate([hit, hit[hit > 0] - 1]))
+            after = np.minimum(changed + 1, len(symbol) - 1)
+            value, joined = self._place(symbol[changed], symbol[after])
+            place[changed] = np.where((after > changed) & (owner[after] == owner[changed]), value, _NEVER)
+            piece[changed] = joined
+        owner, symbol, begin = (np.concatenate(c) for c in zip(*done)) if done else (owner, symbol, begin)
+        order = np.lexsort((begin, owner))
+        return owner[order], symbol[order], begin[order]
+
+    def _merged_long(self, text: str) -> list[tuple[int, int]]:
+        """(begin, end) of the pieces of one segment, in time n log n."""
         n = len(text)
         end, before = list(range(1, n + 1)), list(range(-1, n))
         heap: list[tuple[float, int, int]] = []
@@ -288,25 +359,50 @@ class PieceModel:
             i = end[i]
         return out
 
-    def _learn(self, text: str) -> int:
-        for begin, stop in self.merged(text):
-            found = self.rank.get(text[begin:stop])
-            if found is not None:
-                new = [(found[1], begin, stop)]
-            else:  # a character as bytes: the last one has its place, the others are empty before it
-                own = text[begin:stop].encode()
-                new = [(self.byte_id[b], begin, begin) for b in own[:-1]] + [(self.byte_id[own[-1]], begin, stop)]
-            for piece, b, e in new:
-                self.ids.append(piece)
-                self.begins.append(b)
-                self.ends.append(e)
-        self.known[text] = at = len(self.offsets) - 1
-        self.offsets.append(len(self.ids))
-        return at
+    def _learn(self, segments: list[str]) -> None:
+        """Take in the pieces of new segments, short ones first."""
+        short, long = [x for x in segments if len(x) <= SHORT], [x for x in segments if len(x) > SHORT]
+        owner, symbol, begin = self._merged_short(short)
+        if long:
+            spans = [(k, a, b) for k, text in enumerate(long, len(short)) for a, b in self._merged_long(text)]
+            more = [self.rank[x][1] if (x := long[k - len(short)][a:b]) in self.rank else int(self.char[ord(x)]) for k, a, b in spans]
+            owner, begin = (np.append(old, np.array([s[c] for s in spans], np.int64)) for old, c in ((owner, 0), (begin, 1)))
+            symbol = np.append(symbol, np.array(more, np.int64))
+        end = np.append(begin[1:], 0)
+        length = np.array([len(x) for x in (*short, *long)], np.int64)
+        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        end[last] = length[owner[last]]
+        # characters that are no piece become bytes: the last one has their place, the others are empty before it
+        count = np.ones(len(symbol), np.int64)
+        other = np.flatnonzero(symbol >= 1 << 20)
+        own = [[self.byte_id[b] for b in chr(c - (1 << 20)).encode()] for c in symbol[other].tolist()]
+        count[other] = [len(x) for x in own]
+        ids, begins, ends = (np.repeat(c, count) for c in (symbol, begin, end))
+        stop = np.cumsum(count)
+        for k, x in zip(other.tolist(), own):
+            ids[stop[k] - len(x):stop[k]] = x
+            ends[stop[k] - len(x):stop[k] - 1] = begin[k]
+        counts = np.bincount(owner, weights=count, minlength=len(segments))
+        self.table = [np.append(old, new.astype(old.dtype)) for old, new in zip(self.table, (ids, begins, ends, counts))]
+        for text in (*short, *long):
+            self.known[text] = len(self.known)
+
+    @staticmethod
+    def _distinct(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One segment of every kind, and the kind of each segment. Segments are told apart by two
+        64-bit hashes and their length; where one hash does not tell enough, none are put together."""
+        values = mix(codes.astype(np.uint64) + np.uint64(1))
+        first, second = (range_sums(values, starts, stops, seed) for seed in (0, 1))
+        _, one, which = np.unique(first, return_index=True, return_inverse=True)
+        own = one[which]
+        if (second[own] == second).all() and (stops[own] - starts[own] == stops - starts).all():
+            return one, which
+        every = np.arange(len(starts))
+        return every, every
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begin, end, cut): pieces of text i are at cut[i]:cut[i + 1], spans in its bytes."""
-        if len(self.known) > SEGMENTS or len(self.ids) > PIECES:
+        if len(self.known) > SEGMENTS or len(self.table[0]) > PIECES:
             self._forget()
         codes, origin, cut = self.normalizer(texts)
         if not len(codes):
@@ -315,23 +411,25 @@ class PieceModel:
         new[1:] = ~self.joined[self._bigram(codes)]
         new[cut[:-1][cut[:-1] < len(codes)]] = True
         at = np.flatnonzero(new)
+        stops = np.append(at[1:], len(codes))
         string = codes.tobytes().decode("utf-32-le")
-        known, learn = self.known, self._learn
-        rows = np.empty(len(at), np.int64)
-        for k, (a, b) in enumerate(zip(at.tolist(), [*at[1:].tolist(), len(codes)])):
-            segment = string[a:b]
-            row = known.get(segment)
-            rows[k] = learn(segment) if row is None else row
-        offsets = np.array(self.offsets, np.int64)
-        count = offsets[rows + 1] - offsets[rows]
+        one, which = self._distinct(codes, at, stops)
+        segments = [string[a:b] for a, b in zip(at[one].tolist(), stops[one].tolist())]
+        new = [x for x in dict.fromkeys(segments) if x not in self.known]
+        if new:
+            self._learn(new)
+        rows = [self.known[x] for x in segments]
+        rows = np.array(rows, np.int64)[which]
+        ids, begins, ends, counts = self.table
+        count = counts[rows]
         first = np.cumsum(count) - count
-        pick = np.arange(count.sum()) + np.repeat(offsets[rows] - first, count)
+        pick = np.arange(count.sum()) + np.repeat((np.cumsum(counts) - counts)[rows] - first, count)
         text = np.searchsorted(cut, at, side="right") - 1
         # origin has one entry more a text, so places move on by the number of the text
         shift = np.repeat(at + text, count)
-        begin, end = np.array(self.begins, np.int64)[pick] + shift, np.array(self.ends, np.int64)[pick] + shift
+        begin, end = begins[pick] + shift, ends[pick] + shift
         pieces = np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
-        return (np.array(self.ids, np.int32)[pick], origin[begin].astype(np.int32), origin[end].astype(np.int32),
+        return (ids[pick], origin[begin].astype(np.int32), origin[end].astype(np.int32),
                 np.concatenate([[0], np.cumsum(pieces)]).astype(np.int32))
 
 
