@@ -33,13 +33,12 @@ def retrieve(hits: DataFrame, table_hits: DataFrame, max_tables: int = 3) -> Dat
     """Chunk hits, then at most three table hits per query behind them."""
     shape = ["query_id", "chunk_id", "doc_id", "document_name", "page_number", "content", "score",
              "search_method", "rank"]
-    last = hits.groupBy("query_id").agg(F.max("rank").alias("_last"))
-    tables = (
-        table_hits.filter(F.col("rank") <= max_tables)
-        .join(last, "query_id", "left")
-        .withColumn("rank", F.col("rank") + F.coalesce("_last", F.lit(0)))
-    )
-    return hits.select(shape).unionByName(tables.select(shape))
+    both = hits.select(*shape, F.lit(False).alias("_t")).unionByName(
+        table_hits.filter(F.col("rank") <= max_tables).select(*shape, F.lit(True).alias("_t")))
+    # One window over both kinds: a query has few hits, and neither side is planned twice.
+    last = F.max(F.when(~F.col("_t"), F.col("rank"))).over(Window.partitionBy("query_id"))
+    rank = F.when(F.col("_t"), F.col("rank") + F.coalesce(last, F.lit(0))).otherwise(F.col("rank"))
+    return both.withColumn("rank", rank).select(shape)
 
 
 def build_context(queries: DataFrame, hits: DataFrame) -> DataFrame:

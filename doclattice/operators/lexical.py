@@ -14,6 +14,10 @@ from doclattice.operators.vectors import rank_per_query
 K1 = 1.2
 LENGTH_WEIGHT = 0.75
 SCORE_DIGITS = 6
+#: Folders of a stored index, by hash of the term, and files a folder is cut into by hash of the chunk,
+#: so that the list of a very common term is not one file.
+TERM_PARTS = 32
+LIST_FILES = 4
 
 
 def _lexemes(text: Column, stop_words: Iterable[str], stem: Callable | None) -> Column:
@@ -49,6 +53,26 @@ def postings(
     )
 
 
+def term_part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
+
+
+def by_term(index: DataFrame) -> DataFrame:
+    """Postings with ``part``, to be stored in a folder per part: sorted by term, so a search opens the
+    folders of its terms only and skips the rest of a file by its statistics."""
+    piece = F.pmod(F.xxhash64("chunk_id"), F.lit(LIST_FILES))
+    return (
+        index.withColumn("part", term_part(F.col("term")))
+        .repartition(TERM_PARTS * LIST_FILES, "part", piece)
+        .sortWithinPartitions("part", "term", "chunk_id")
+    )
+
+
+def term_table(index: DataFrame) -> DataFrame:
+    """(term, df): in how many chunks a term occurs; stored beside the index."""
+    return index.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def index_missing(chunks: DataFrame, index: DataFrame, **options) -> DataFrame:
     """Postings of the chunks the index does not have yet."""
     done = index.select("chunk_id").distinct()
@@ -90,17 +114,21 @@ def keyword_matches(
     index: DataFrame,
     statistics: DataFrame,
     allowed: Callable[[DataFrame], DataFrame] | None = None,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """All chunks that contain every term of a query, with their BM25 score.
 
     Candidates come only from the rarest term of each query (a full match must contain it), so a
     frequent term never multiplies queries with its whole posting list. The candidates are then
     completed on (chunk, term), a key without hot values. ``allowed`` may drop candidates by
-    document filters before anything is scored.
+    document filters before anything is scored. An index with the column ``part`` (:func:`by_term`)
+    is read in the folders of the queries' terms only; ``frequencies`` (:func:`term_table`) saves the
+    count over the postings.
     """
-    vocabulary = terms.select("term").distinct()
-    used = index.join(vocabulary, "term", "left_semi")
-    frequency = used.groupBy("term").agg(F.count("*").alias("df"))
+    keys = ["part", "term"] if "part" in index.columns else ["term"]
+    vocabulary = terms.select("term", term_part(F.col("term")).alias("part")).distinct()
+    used = index.join(vocabulary.select(*keys), keys, "left_semi")
+    frequency = term_table(used) if frequencies is None else frequencies
     # A query with a term no chunk has cannot match: it loses that term here and is dropped.
     known = terms.join(frequency, "term")
     rarest = (
@@ -141,7 +169,8 @@ def keyword_search(
     allowed: Callable[[DataFrame], DataFrame] | None = None,
     stop_words: Iterable[str] = tx.ENGLISH_STOP_WORDS,
     stem: Callable[[Column], Column] | None = None,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Top k keyword matches per query: rank by score, then chunk id."""
-    found = keyword_matches(query_terms(queries, stop_words, stem), index, statistics, allowed)
+    found = keyword_matches(query_terms(queries, stop_words, stem), index, statistics, allowed, frequencies)
     return rank_per_query(found, k, "chunk_id").withColumn("search_method", F.lit("keyword"))

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from doclattice.functions import text as tx
 from doclattice.functions.rows import unnest
@@ -26,6 +28,8 @@ TABLE_CHARS = 1000
 COMPRESSED_SENTENCES = 5
 AGENT_CHARS = 500
 GRAM = 3
+#: Characters of queries that travel to all tasks as one automaton (some fifty bytes of memory each).
+PATTERN_CHARS = 1 << 20
 
 
 # -- filters ----------------------------------------------------------------------------------
@@ -106,6 +110,7 @@ def search(
     top_k: int = 10,
     filters: DataFrame | None = None,
     documents: DataFrame | None = None,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Candidate lists of twice ``top_k`` per query, fused in hybrid mode.
 
@@ -123,7 +128,7 @@ def search(
     if mode in ("hybrid", "semantic"):
         lists.append(semantic_search(query_vectors, chunk_vectors, depth))
     if mode in ("hybrid", "keyword"):
-        lists.append(lexical.keyword_search(queries, index, statistics, depth, allowed))
+        lists.append(lexical.keyword_search(queries, index, statistics, depth, allowed, frequencies=frequencies))
     return reciprocal_rank_fusion(lists) if mode == "hybrid" else lists[0]
 
 
@@ -251,7 +256,44 @@ def _grams(text: Column, size: int) -> Column:
 def substring_matches(queries: DataFrame, texts: DataFrame, id_cols: list[str]) -> DataFrame:
     """(query, text) pairs where the lower-cased text contains the lower-cased query.
 
-    Queries meet texts only through the query's rarest character trigram (the whole query if it is
+    Queries of up to ``PATTERN_CHARS`` characters in all become one automaton that reads every text
+    once, whatever their number. More than that is not sent to tasks; then queries and texts meet
+    through trigrams.
+    """
+    low = queries.select("query_id", F.lower("query_text").alias("_q")).filter("_q <> ''")
+    size = low.agg(F.sum(F.length("_q"))).first()[0] or 0
+    if size > PATTERN_CHARS:
+        return _trigram_matches(queries, texts, id_cols)
+    asked: dict[str, list] = {}
+    for row in low.collect():  # PATTERN_CHARS at most
+        asked.setdefault(row["_q"], []).append(row["query_id"])
+    found = [name for name in id_cols]
+    schema = T.StructType([queries.schema["query_id"], *(texts.schema[c] for c in found)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for pattern, ids in asked.items():
+            automaton.add_word(pattern, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, ids = [], []
+            for i, text in enumerate(batch.column(len(found)).to_pylist()):
+                if text and asked:
+                    hits = {id(own): own for _, own in automaton.iter(text)}
+                    for own in hits.values():
+                        ids.extend(own)
+                        rows.extend([i] * len(own))
+            at = pa.array(rows, pa.int64())
+            kind = to_arrow_type(schema["query_id"].dataType)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), *(batch.column(c).take(at) for c in range(len(found)))], schema.names)
+
+    return texts.select(*found, F.lower("text").alias("_t")).mapInArrow(scan, schema)
+
+
+def _trigram_matches(queries: DataFrame, texts: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Queries meet texts only through the query's rarest character trigram (the whole query if it is
     shorter), which every containing text must have; the containment test then decides.
     """
     low = F.lower("query_text")

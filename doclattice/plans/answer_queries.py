@@ -15,6 +15,11 @@ from doclattice.plans.views import CTE, with_ctes
 
 
 def retrieved_v(t: Tables) -> DataFrame:
+    """What the steps of an answer read: retrieved once for the batch of queries, and written."""
+    return t.stored("retrieved", lambda: retrieval(t))
+
+
+def retrieval(t: Tables) -> DataFrame:
     hits = sq.expanded_v(t).withColumn("page_number", F.lit(None).cast("bigint"))
     tables = search.table_search(sq.part_queries_v(t), sq.table_texts_v(t), 5).withColumn(
         "document_name", F.concat(F.lit("order/"), F.col("doc_id").cast("string"))
@@ -43,7 +48,7 @@ CTE["contexts_v"] = (("queries_v", "retrieved_v"), """
 
 @query("rag_01_retrieve", with_ctes(["retrieved_v"], "select * from retrieved_v"))
 def _(t: Tables):
-    return ids(retrieved_v(t))
+    return ids(retrieval(t))
 
 
 @query("rag_02_context", with_ctes(["contexts_v"], "select * from contexts_v"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
-from doclattice.operators import lexical, search, vectors
+from doclattice.operators import embedding, lexical, search, vectors
 from doclattice.plans import vector_queries as vq
 from doclattice.plans import views as v
 from doclattice.plans.registry import Tables, query
@@ -20,7 +20,11 @@ def queries_v(t: Tables) -> DataFrame:
 
 
 def index_v(t: Tables) -> DataFrame:
-    return t.stored("postings", lambda: lexical.postings(v.chunks_v(t)))
+    return t.stored("postings", lambda: lexical.by_term(lexical.postings(v.chunks_v(t))), by="part")
+
+
+def terms_v(t: Tables) -> DataFrame:
+    return t.stored("terms", lambda: lexical.term_table(index_v(t)))
 
 
 def stats_v(t: Tables) -> DataFrame:
@@ -28,7 +32,7 @@ def stats_v(t: Tables) -> DataFrame:
 
 
 def keyword_v(t: Tables, k: int = 2 * TOP) -> DataFrame:
-    return lexical.keyword_search(queries_v(t), index_v(t), stats_v(t), k)
+    return lexical.keyword_search(queries_v(t), index_v(t), stats_v(t), k, frequencies=terms_v(t))
 
 
 def semantic_v(t: Tables, k: int = 2 * TOP) -> DataFrame:
@@ -38,7 +42,7 @@ def semantic_v(t: Tables, k: int = 2 * TOP) -> DataFrame:
 def hybrid_v(t: Tables, top: int = TOP) -> DataFrame:
     return search.search(
         queries_v(t), index_v(t), stats_v(t), vq.query_vectors_v(t), vq.chunk_vectors_v(t),
-        "hybrid", top,
+        "hybrid", top, frequencies=terms_v(t),
     )
 
 
@@ -48,6 +52,11 @@ def hybrid_hits_v(t: Tables, top: int = TOP) -> DataFrame:
     return search.attach_chunks(hits, v.chunks_v(t), v.docs_v(t))
 
 
+def hits_v(t: Tables) -> DataFrame:
+    """The hits of the query batch, searched once and written: everything that works on hits reads them."""
+    return t.stored("hybrid_hits", lambda: hybrid_hits_v(t))
+
+
 # One lexeme list per chunk, then postings, statistics and all full matches.
 CTE["queries_v"] = ((), "select item_id as query_id, text as query_text from benchmark")
 CTE["lexemes_v"] = (("chunks_v",), f"""
@@ -126,7 +135,7 @@ def _(t: Tables):
 @query("sch_02_keyword_matches", with_ctes(["matches_v"], """
     select query_id, chunk_id, doc_id, score from matches_v"""))
 def _(t: Tables):
-    return lexical.keyword_matches(lexical.query_terms(queries_v(t)), index_v(t), stats_v(t))
+    return lexical.keyword_matches(lexical.query_terms(queries_v(t)), index_v(t), stats_v(t), frequencies=terms_v(t))
 
 
 @query("sch_03_bm25_top_k", with_ctes(["keyword_v"], """
@@ -147,7 +156,7 @@ def _(t: Tables):
         F.expr("timestamp_ntz'2023-11-30 00:00:00'").alias("date_to"),
     )
     allowed = search.document_filter(filters, v.docs_v(t))
-    hits = lexical.keyword_search(queries_v(t), index_v(t), stats_v(t), TOP, allowed)
+    hits = lexical.keyword_search(queries_v(t), index_v(t), stats_v(t), TOP, allowed, frequencies=terms_v(t))
     return ids(hits.drop("search_method"))
 
 
@@ -181,7 +190,7 @@ def _filtered(t: Tables, mode: str) -> DataFrame:
     if "doc_id" not in chunk_vectors.columns:
         chunk_vectors = chunk_vectors.join(v.chunks_v(t).select("chunk_id", "doc_id"), "chunk_id")
     return search.search(queries_v(t), index_v(t), stats_v(t), vq.query_vectors_v(t), chunk_vectors,
-                         mode, TOP, filters_v(t), v.docs_v(t))
+                         mode, TOP, filters_v(t), v.docs_v(t), terms_v(t))
 
 
 @query("sch_04_filtered_semantic", with_ctes(["allowed_semantic_v"], """
@@ -205,22 +214,16 @@ def _(t: Tables):
     lists_v as (select query_id, item_id, row_number() over (partition by query_id
           order by score desc, item_id) as rank from cos_v
         union all select query_id, item_id, row_number() over (partition by query_id
-          order by score, item_id) from cos_v where query_id = item_id % 10),
+          order by score, item_id) from cos_v),
     fused_v as (select query_id, item_id as chunk_id,
         round(sum(1.0::double / (60 + rank)), 9) as score from lists_v where rank <= 40 group by 1, 2)
     select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank,
       'hybrid' as search_method from fused_v""".replace("\n    , cos_v", ", cos_v", 1)))
 def _(t: Tables):
     first = vectors.exact_top_k(vq.label_centroids(t), vq.stored_vectors(t), 40)
-    # Second list: worst first among the items whose id ends in the query number.
-    flipped = vq.label_centroids(t).withColumn(
-        "embedding", F.transform("embedding", lambda x: -x)
-    ).join(
-        vq.stored_vectors(t).select((F.col("item_id") % 10).alias("query_id"), "item_id",
-                                    F.col("embedding").alias("e")), "query_id"
-    ).select("query_id", "item_id",
-             F.round(vectors.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
-    second = vectors.rank_per_query(flipped, 40)
+    # Second list: the vectors that point away most, by the flipped centroids.
+    flipped = vq.label_centroids(t).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    second = vectors.exact_top_k(flipped, vq.stored_vectors(t), 40)
     lists = [d.select("query_id", F.col("item_id").alias("chunk_id"), "rank")
              for d in (first, second)]
     return ids(search.reciprocal_rank_fusion(lists))
@@ -259,9 +262,18 @@ CTE["variants_v"] = (("queries_v",), f"""
 CTE["variant_terms_v"] = (("variants_v",), f"""
   select query_id, len(l) as n_terms, unnest(l) as term from (
     select query_id, list_distinct({v.sql_lexemes('query_text')}) as l from variants_v)""")
-CTE["variant_hits_v"] = (("variant_terms_v", "postings_v", "stats_v"), f"""
-  select query_id // 3 as original_id, query_id % 3 as branch, chunk_id, doc_id, score, rank
-  from ({sql_top('(' + sql_matches('variant_terms_v') + ')', 20)})""")
+CTE["variant_vectors_v"] = (("variants_v",), vq.sql_embedding("variants_v", "query_id", "query_text"))
+CTE["variant_keyword_v"] = (("variant_terms_v", "postings_v", "stats_v"), sql_top("(" + sql_matches("variant_terms_v") + ")", 20))
+CTE["variant_semantic_v"] = (("variant_vectors_v", "chunk_vectors_v"), sql_top("""(
+    select q.query_id, chunk_id, round(list_inner_product(q.embedding, c.embedding), 6) + 0 as score
+    from variant_vectors_v q, chunk_vectors_v c)""", 20))
+CTE["variant_hits_v"] = (("variant_keyword_v", "variant_semantic_v", "chunks_v"), """
+  select query_id // 3 as original_id, query_id % 3 as branch, chunk_id, doc_id, content, score,
+    row_number() over (partition by query_id order by score desc, chunk_id) as rank
+  from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as score from (
+      select query_id, chunk_id, rank from variant_semantic_v
+      union all select query_id, chunk_id, rank from variant_keyword_v) group by 1, 2)
+    join chunks_v using (chunk_id)""")
 
 
 def expansions_v(t: Tables) -> DataFrame:
@@ -278,34 +290,61 @@ def expansions_v(t: Tables) -> DataFrame:
 
 
 def variant_hits_v(t: Tables) -> DataFrame:
-    variants = search.fan_out(queries_v(t), expansions_v(t))
-    hits = lexical.keyword_search(
-        variants.select(F.col("variant_id").alias("query_id"), "query_text"),
-        index_v(t), stats_v(t), 2 * TOP,
-    )
-    return hits.select(
+    """Hybrid hits of every phrasing, with their texts; searched once and written."""
+    return t.stored("variant_hits", lambda: variant_search(t))
+
+
+def variant_search(t: Tables) -> DataFrame:
+    variants = search.fan_out(queries_v(t), expansions_v(t)).select(F.col("variant_id").alias("query_id"), "query_text")
+    asked = variants.select("query_id", embedding.hashed_embedding(F.col("query_text")).alias("embedding"))
+    hits = search.search(variants, index_v(t), stats_v(t), asked, vq.chunk_vectors_v(t), "hybrid", TOP, frequencies=terms_v(t))
+    return hits.join(v.chunks_v(t).select("chunk_id", "doc_id", "content"), "chunk_id").select(
         F.floor(F.col("query_id") / 3).alias("query_id"),
         (F.col("query_id") % 3).cast("bigint").alias("branch"),
-        "chunk_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"),
+        "chunk_id", "doc_id", "content", "score", F.col("rank").cast("bigint").alias("rank"),
     )
 
 
 @query("sch_07_multi_query", with_ctes(["variant_hits_v"], """
     select original_id as query_id, branch, chunk_id, doc_id, score, rank from variant_hits_v"""))
 def _(t: Tables):
-    return variant_hits_v(t)
+    return variant_search(t).drop("content")
+
+
+# Table search: the part names are the queries, the invoice tables the corpus.
+CTE["part_queries_v"] = ((), """
+  select min(p_partkey) as query_id, p_name as query_text from part group by p_name""")
+CTE["table_texts_v"] = (("tables_v",), f"""
+  select doc_id, page_number, 0::bigint as table_index, {v.sql_table_text('rows')} as text
+  from tables_v""")
+CTE["table_hits_v"] = (("part_queries_v", "table_texts_v"), """
+  select * from (select query_id, row_number() over (partition by query_id
+        order by doc_id, page_number, table_index) as rank, doc_id, page_number, table_index,
+      substr(text, 1, 1000) as content, 0.5::double as score
+    from part_queries_v join table_texts_v on contains(lower(text), lower(query_text)))
+  where rank <= 5""")
+
 
+# Tables that a query's first and second phrasing both find come behind the chunks of those branches.
+CTE["branch_hits_v"] = (("variant_hits_v", "table_hits_v"), """
+  select original_id as query_id, branch, chunk_id, doc_id, null::bigint as page_number, content, score, rank
+  from variant_hits_v
+  union all select query_id, unnest([1, 2]), null, doc_id, page_number, content, score, 100 + rank from table_hits_v""")
 
-@query("sch_08_first_occurrences", with_ctes(["variant_hits_v"], """
-    select query_id, chunk_id, doc_id, score, rank, branch from (
-      select original_id as query_id, chunk_id, doc_id, score, rank, branch, row_number() over
-        (partition by original_id, chunk_id order by branch, rank) as n from variant_hits_v)
+
+@query("sch_08_first_occurrences", with_ctes(["branch_hits_v"], """
+    select query_id, chunk_id, doc_id, page_number, content, score, rank, branch from (
+      select *, row_number() over (partition by query_id, coalesce('c' || chunk_id,
+          't:' || doc_id || ':' || page_number || ':' || md5(left(content, 200)))
+        order by branch, rank) as n from branch_hits_v)
     where n = 1"""))
 def _(t: Tables):
-    hits = variant_hits_v(t).withColumn("page_number", F.lit(None).cast("bigint")).withColumn(
-        "content", F.lit(None).cast("string")
-    )
-    return search.first_occurrences(hits).drop("page_number", "content")
+    shape = ["query_id", "branch", "chunk_id", "doc_id", "page_number", "content", "score", "rank"]
+    chunks = variant_hits_v(t).withColumn("page_number", F.lit(None).cast("bigint"))
+    tables = search.table_search(part_queries_v(t), table_texts_v(t), 5).withColumns({
+        "branch": F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))),
+        "rank": F.col("rank").cast("bigint") + 100})
+    return ids(search.first_occurrences(chunks.select(shape).unionByName(tables.select(shape))))
 
 
 CTE["reranked_v"] = (("hybrid_hits_v", "queries_v"), f"""
@@ -319,7 +358,7 @@ CTE["reranked_v"] = (("hybrid_hits_v", "queries_v"), f"""
 
 
 def reranked_v(t: Tables, top: int = 8) -> DataFrame:
-    return search.rerank(hybrid_hits_v(t), queries_v(t), top)
+    return search.rerank(hits_v(t), queries_v(t), top)
 
 
 @query("sch_09_rerank", with_ctes(["reranked_v"], """
@@ -350,20 +389,6 @@ def _(t: Tables):
     return ids(expanded_v(t), "query_id", "chunk_id", "rank", "content", "parent_child")
 
 
-# Table search: the part names are the queries, the invoice tables the corpus.
-CTE["part_queries_v"] = ((), """
-  select min(p_partkey) as query_id, p_name as query_text from part group by p_name""")
-CTE["table_texts_v"] = (("tables_v",), f"""
-  select doc_id, page_number, 0::bigint as table_index, {v.sql_table_text('rows')} as text
-  from tables_v""")
-CTE["table_hits_v"] = (("part_queries_v", "table_texts_v"), """
-  select * from (select query_id, row_number() over (partition by query_id
-        order by doc_id, page_number, table_index) as rank, doc_id, page_number, table_index,
-      substr(text, 1, 1000) as content, 0.5::double as score
-    from part_queries_v join table_texts_v on contains(lower(text), lower(query_text)))
-  where rank <= 5""")
-
-
 def part_queries_v(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_name").alias("query_text")).agg(
         F.min("p_partkey").alias("query_id")
@@ -415,7 +440,7 @@ def _(t: Tables):
       from hybrid_hits_v join docs_v using (doc_id))"""))
 def _(t: Tables):
     boosted = search.temporal_boost(
-        hybrid_hits_v(t), v.docs_v(t), F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+        hits_v(t), v.docs_v(t), F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     )
     return ids(boosted, "query_id", "chunk_id", "doc_id", "score", "rank")
 

@@ -338,3 +338,36 @@ def test_unpacked_steps(spark):
         "content:string,tool_result:string,duration_ms:double>>")
     rows = usage.step_rows(usage.unpacked_steps(runs)).orderBy("step").collect()
     assert [(r.step, len(r.content), len(r.tool_result or "")) for r in rows] == [(0, 2000, 0), (1, 1, 500)]
+
+
+def test_stored_index_is_pruned_and_not_recounted(spark, data):
+    """A search opens only the folders of its terms, and takes document frequencies from their table."""
+    from doclattice.plans import load_all
+    from doclattice.plans import search_queries as sq
+    from doclattice.plans.registry import Tables
+
+    load_all()
+    t = Tables(spark, data)
+    content = sq.v.chunks_v(t).filter("chunk_index = 0 and doc_id < 4")
+    few = content.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("content", " "), 1, 3)).alias("query_text"))
+    found = lexical.keyword_search(few, sq.index_v(t), sq.stats_v(t), 10, frequencies=sq.terms_v(t))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Scan parquet" in line and "tf#" in line or "Scan parquet" in line and "chunk_id#" in line]
+    assert scans and all("dynamicpruning" in line for line in scans)
+    plain = lexical.keyword_search(few, sq.index_v(t).drop("part"), sq.stats_v(t), 10)
+    same = lambda df: sorted(map(tuple, df.collect()))
+    assert same(found) == same(plain) and found.count()
+
+
+def test_substring_paths_agree(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [(i, i % 3, "".join(rng.choice("abÄ c\n") for _ in range(rng.randrange(0, 60)))) for i in range(120)] + [(200, 0, None), (201, 0, "")]
+    queries = [(i, "".join(rng.choice("abä c") for _ in range(rng.randrange(0, 5)))) for i in range(40)] + [(90, None), (91, "AB"), (92, "ab")]
+    q = spark.createDataFrame(queries, "query_id long, query_text string")
+    d = spark.createDataFrame(texts, "doc_id long, page_number int, text string")
+    want = sorted((i, a, b) for i, p in queries for a, b, text in texts if p and text and p.lower() in text.lower())
+    ids = ["doc_id", "page_number"]
+    assert sorted(map(tuple, search.substring_matches(q, d, ids).collect())) == want
+    monkeypatch.setattr(search, "PATTERN_CHARS", 0)  # the way for more queries than tasks are sent
+    assert sorted(map(tuple, search.substring_matches(q, d, ids).collect())) == want
+    assert search.substring_matches(q.limit(0), d, ids).count() == 0
