@@ -6,14 +6,18 @@ with a list of the classes that have it. Sets with a Jaccard similarity of 0.75
 coordinates on average, in fewer than ``MATCHES`` with a probability of about 1e-9. Pairs with
 ``MATCHES`` equal coordinates share one of the first ``COORDINATES - MATCHES + 1`` tokens of either
 (prefix merging), tokens ordered by how common they are: the commonest tokens of a document are
-skipped, so lines and passages that are everywhere post next to nothing. Collisions are then counted
-on one bit of each of ``BITS`` minima: a pair is kept if at most ``MOST_APART`` bits differ, which a
-similarity of 0.75 exceeds with a probability of about 1e-9, and 0.6 falls below in a few per cent.
-
-A list never becomes pairs. Every member is first compared with one member of the list (its leader,
-another one for every token); confirmed links join classes to components. Only members outside the
-component that is most frequent in their list are then compared with the members of the other
-components, bits being counted inside the join. What remains is confirmed on full sets.
+skipped, so lines and passages that are everywhere post next to nothing. Collisions of a candidate
+pair are counted over all coordinates, and it is retained from ``MATCHES`` on; what remains is
+confirmed on full sets.
+
+Lists do not become pairs. Every list has a leader, the member that is in the longest lists, and every
+class is compared with one: the leader it shares most lists with. Classes that match the same leader
+are a star; where links leave a star in several components, its members are compared on full sets in
+blocks of bounded size, which give links only. At last, members outside the main component of a list
+are compared with the members of its other components. Sketches, one bit of each of ``BITS`` minima,
+keep that join small: pairs further apart than ``MOST_APART`` bits (a similarity of 0.75 exceeds that
+with a probability of about 1e-10) never become rows, and a pair that meets in several lists is skipped
+in all but one.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclattice.llm.graph import components
@@ -39,9 +42,11 @@ PREFIX = COORDINATES - MATCHES + 1
 #: gives a right order of tokens; a fuller one only orders rare tokens less well.
 COUNTERS = 1 << 18
 _RUN = 4096  # counters to a row
-#: Bits that mark which documents' sets are wanted: a fixed number, so they travel to every task and no
-#: text is shuffled. More documents than that only let more sets through, which later joins drop.
-ID_BITS = 1 << 23
+#: Bits for each document whose set is wanted, and the most that travel to every task (32 MB), so that no
+#: text is shuffled. Where they are too few, more sets are made than needed, which later joins drop.
+ID_BITS_EACH, MOST_ID_BITS = 16, 1 << 28
+#: Classes and bytes of their sets in a block of a star.
+STAR_ROWS, STAR_BYTES = 256, 4 << 20
 #: Bytes of text worked on at once: their shingles stay in the processor's cache.
 CACHED = 1 << 19
 #: Linked from 100 * intersection >= SIMILARITY * union on.
@@ -144,8 +149,7 @@ def token_counts(classes: DataFrame) -> np.ndarray:
 
 
 def posted(classes: DataFrame) -> DataFrame:
-    """(token, node, leader): the prefix tokens of every class that another class has too. The
-    leader is the member with the least hash of node and token."""
+    """(token, node): the prefix tokens of every class that another class has too."""
     common = classes.sparkSession.sparkContext.broadcast(token_counts(classes))
 
     def run(batches):
@@ -160,20 +164,23 @@ def posted(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node)], ["token", "node"])
 
     rows = classes.select("node", "signature").mapInArrow(run, "token long, node long")
-    own = W.partitionBy("token")
-    return (
-        rows.withColumn("n", F.count(F.lit(1)).over(own))
-        .withColumn("leader", F.min(F.struct(F.xxhash64("token", "node"), "node")).over(own)["node"])
-        .filter("n > 1").select("token", "node", "leader")
-    )
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    return rows.join(shared, "token")
 
 
 def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds n_a, s_a, n_b, s_b: set sizes and sketches of both."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    """Adds n_a, s_a, n_b, s_b: set sizes and signatures of both."""
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
+def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that collide in at least MATCHES coordinates."""
+    both = _with_classes(pairs.select("a", "b"), classes).filter(_sizes_fit("n_a", "n_b"))
+    equal = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return both.filter(equal >= MATCHES).select("a", "b")
+
+
 def _apart_bits(a: str, b: str):
     """Number of bits in which two sketches differ."""
     return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64))
@@ -183,17 +190,21 @@ def _sizes_fit(a: str, b: str):
     return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def _id_bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(_U)) % _U(ID_BITS)).astype(np.int64)
+def _id_bit(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix(ids.view(_U)) % _U(size)).astype(np.int64)
 
 
 def wanted_bits(nodes: DataFrame) -> np.ndarray:
-    """One bit for every node's id, packed: partial bitmaps of the tasks, united by pieces."""
+    """One bit for every node's id, packed: partial bitmaps of the tasks, united by pieces. The number
+    of bits follows from the number of nodes, up to MOST_ID_BITS."""
+    size = 8 * _RUN
+    while size < min(ID_BITS_EACH * nodes.count(), MOST_ID_BITS):
+        size *= 2
 
     def run(batches):
-        marks = np.zeros(ID_BITS, bool)
+        marks = np.zeros(size, bool)
         for batch in batches:
-            marks[_id_bit(batch.column(0).to_numpy())] = True
+            marks[_id_bit(batch.column(0).to_numpy(), size)] = True
         pieces = np.packbits(marks).reshape(-1, _RUN)
         full = np.flatnonzero(pieces.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([pieces[i].tobytes() for i in full], pa.binary())], ["at", "bits"])
@@ -203,8 +214,8 @@ def wanted_bits(nodes: DataFrame) -> np.ndarray:
         return pa.table({"at": table.column("at").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
 
     rows = nodes.select("node").mapInArrow(run, "at long, bits binary").groupBy("at").applyInArrow(unite, "at long, bits binary")
-    out = np.zeros((ID_BITS // 8 // _RUN, _RUN), np.uint8)
-    for row in rows.collect():  # ID_BITS / 8 bytes in all
+    out = np.zeros((size // 8 // _RUN, _RUN), np.uint8)
+    for row in rows.collect():  # size / 8 bytes in all
         out[row["at"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
@@ -217,7 +228,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            at = _id_bit(ids)
+            at = _id_bit(ids, 8 * len(marks.value))
             mine = (marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             for own, texts in _blocks_of([batch.filter(pa.array(mine))]):
                 yield pa.RecordBatch.from_arrays([own, pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["node", "hashes"])
@@ -250,54 +261,155 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs that lie in different components."""
-    return _labelled(_labelled(pairs, labels, "a", "c_a"), labels, "b", "c_b").filter("c_a <> c_b").drop("c_a", "c_b")
-
-
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes (node, n_shingles, signature, sketch), enough of them to join
-    everything that belongs together: a pair is left out only if both are joined already."""
-    lists = written(posted(classes), "postings")
-    led = lists.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    led = _with_classes(led, classes).filter(_sizes_fit("n_a", "n_b")).withColumn("agree", -_apart_bits("s_a", "s_b"))
-    led = written(led.filter(F.col("agree") >= -MOST_APART).select("a", "b", "agree"), "led-pairs")
-
-    ends = led.select(F.col("a").alias("node")).unionByName(led.select(F.col("b").alias("node"))).distinct()
-    sets = written(full_sets(docs, ends), "shingle-sets")
-
-    # First the closest leader of every class, then the others, as far as they still matter.
-    pair = F.struct("agree", "a", "b")
-    best = led.select(F.col("a").alias("node"), pair.alias("p")).unionByName(led.select(F.col("b").alias("node"), pair.alias("p")))
-    best = best.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-    found = written(confirmed(best, sets), "found-links")
-    labels = components(found)
-    rest = written(_apart(led.join(best, ["a", "b"], "left_anti"), labels), "led-rest")
-    if not rest.isEmpty():
-        found = written(found.unionByName(confirmed(rest, sets)), "found-links")
-        labels = components(found)
-
-    # Members outside the main component of their list against the members of other components.
-    member = _labelled(lists.select("token", "node"), labels, "node", "component")
-    weight = member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = weight.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
-    mixed = main.filter("parts > 1").select("token", F.col("m.component").alias("main"))
-    member = member.join(mixed, "token").join(classes.select("node", "n_shingles", "sketch"), "node")
-    member = written(member, "mixed-lists")
+class _Links:
+    """Confirmed links, the sets they were confirmed on, and the components they make."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes, self.sets, self.found, self.labels = docs, classes, None, None, None
+
+    def add(self, links: DataFrame) -> None:
+        links = written(links.select("a", "b").distinct(), "found-links")
+        if not links.isEmpty():
+            self.found = links if self.found is None else self.found.unionByName(links)
+            self.labels = components(self.found)
+
+    def test(self, pairs: DataFrame) -> None:
+        """Confirm written pairs on their full sets and take in the links."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            ends = ends.join(self.sets.select("node"), "node", "left_anti")
+        ends = written(ends, "wanted-sets")
+        if self.sets is None or not ends.isEmpty():
+            new = written(full_sets(self.docs, ends), "shingle-sets")
+            self.sets = new if self.sets is None else self.sets.unionByName(new)
+        self.add(confirmed(pairs, self.sets))
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn("component", F.col("node"))
+        return _labelled(rows, self.labels, "node", "component")
+
+    def mixed(self, lists: DataFrame) -> DataFrame:
+        """(token, node, component, main): lists whose members are in several components, and the
+        component that most of them are in."""
+        lists = self.labelled(lists.select("token", "node"))
+        weight = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = weight.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
+        return written(lists.join(main.filter("parts > 1").select("token", F.col("m.component").alias("main")), "token"), "mixed-lists")
+
+
+def _leaders(lists: DataFrame) -> DataFrame:
+    """(node, leader): every class and, of the leaders of its lists, the one it shares most of them
+    with. The leader of a list is the member whose lists are longest in all: among near copies that is
+    the one with the fewest changes, which most others are similar to."""
+    longest = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    weight = lists.join(longest, "token").groupBy("node").agg(F.sum("n").alias("weight"))
+    first = F.max(F.struct("weight", F.xxhash64("node"), "node"))["node"].alias("leader")
+    leader = lists.join(weight, "node").groupBy("token").agg(first)
+    shared = lists.join(leader, "token").filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("node").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among classes that match one leader, ``stars(pivot, node, component, n_shingles)``.
+
+    Members outside the main component of a star are compared with its members of other components on
+    full sets, in blocks of bounded size: pairs never become rows, and a member gives at most one link
+    to each component in a block.
+    """
+    part = stars.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    main = part.groupBy("pivot").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"),
+        F.sum("n").alias("n"), F.sum("size").alias("size")).filter("parts > 1")
+    cut = F.greatest(F.ceil(F.col("n") / STAR_ROWS), F.ceil(8 * F.col("size") / STAR_BYTES)).cast("int")
+    member = stars.join(main.select("pivot", "main", cut.alias("cut")), "pivot")
+    member = member.join(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
+    member = written(member, "star-members")
+    every = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
+    x = member.filter("component <> main").select("pivot", F.col("own").alias("x"), every.alias("y"), "node", "component", "hashes")
+    y = member.select("pivot", every.alias("x"), F.col("own").alias("y"), "node", "component", "hashes")
+
+    def side(table: pa.Table):
+        return table.column("node").to_numpy(), table.column("component").to_numpy(), [np.frombuffer(h, _U) for h in table.column("hashes").to_pylist()]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        (na, ca, sa), (nb, cb, sb) = side(left), side(right)
+        if not len(na) or not len(nb):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        size_a, size_b = (np.array([len(v) for v in s]) for s in (sa, sb))
+        kinds, which = np.unique(np.concatenate([*sa, *sb]), return_inverse=True)
+        in_a, in_b = which[:size_a.sum()], which[size_a.sum():]
+        shared = np.zeros(len(kinds), bool)
+        shared[in_b] = True
+        shared &= np.bincount(in_a, minlength=len(kinds)) > 0
+        column = np.cumsum(shared) - 1
+        both = np.zeros((len(na), len(nb)), np.float32)
+        row_a, row_b = np.repeat(np.arange(len(na)), size_a), np.repeat(np.arange(len(nb)), size_b)
+        (row_a, in_a), (row_b, in_b) = ((r[shared[k]], column[k[shared[k]]]) for r, k in ((row_a, in_a), (row_b, in_b)))
+        for at in range(0, int(shared.sum()), 2048):  # columns of a 0/1 matrix, some at a time
+            mark = []
+            for n, r, k in ((len(na), row_a, in_a), (len(nb), row_b, in_b)):
+                here = (k >= at) & (k < at + 2048)
+                dense = np.zeros((n, 2048), np.float32)
+                dense[r[here], k[here] - at] = 1
+                mark.append(dense)
+            both += mark[0] @ mark[1].T
+        linked = (100 * both >= SIMILARITY * (size_a[:, None] + size_b[None, :] - both)) & (ca[:, None] != cb[None, :])
+        r, c = np.nonzero(linked)
+        _, once = np.unique(np.stack([r, cb[c]]), axis=1, return_index=True) if len(r) else (None, np.zeros(0, int))
+        a, b = na[r[once]], nb[c[once]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    keys = ["pivot", "x", "y"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
+def _other_pairs(lists: DataFrame, pivots: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): members outside the main component of a list and the members of its other components,
+    as far as their sketches agree and they do not match the same leader. A pair comes out of one list
+    only: that of the least token which both have (as they are in different components, all lists they
+    share are mixed)."""
+    tokens = lists.groupBy("node").agg(F.collect_list("token").alias("tokens"))  # at most PREFIX
+    member = lists.join(classes.select("node", "n_shingles", "sketch"), "node").join(tokens, "node").join(pivots, "node", "left")
+    member = written(member, "mixed-members")
     side = lambda c: member.select(
-        "token", "main", F.col("node").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        F.col("token").alias(f"t_{c}"), "main", F.col("node").alias(c), F.col("component").alias(f"c_{c}"), F.col("n_shingles").alias(f"n_{c}"),
+        F.col("sketch").alias(f"s_{c}"), F.col("tokens").alias(f"l_{c}"), F.col("pivot").alias(f"p_{c}"))
     x, y = side("a").filter("c_a <> main"), side("b").drop("main")
     once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    more = x.join(y, "token").filter((F.col("c_a") != F.col("c_b")) & once & _sizes_fit("n_a", "n_b"))
-    more = more.filter(_apart_bits("s_a", "s_b") <= MOST_APART).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(more.join(led.select("a", "b"), ["a", "b"], "left_anti"), "mixed-pairs")
-    if not more.isEmpty():
-        ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
-        missing = written(ends.join(sets.select("node"), "node", "left_anti"), "missing-sets")
-        if not missing.isEmpty():
-            sets = sets.unionByName(written(full_sets(docs, missing), "shingle-sets"))
-        found = written(found.unionByName(confirmed(more, sets)), "found-links")
-    return found
+    apart = (F.col("c_a") != F.col("c_b")) & F.coalesce(F.col("p_a") != F.col("p_b"), F.lit(True))
+    near = apart & once & _sizes_fit("n_a", "n_b") & (_apart_bits("s_a", "s_b") <= MOST_APART)
+    here = F.array_min(F.array_intersect("l_a", "l_b")) == F.col("t_a")
+    return x.join(y, (F.col("t_a") == F.col("t_b")) & near & here).select(*_ordered("a", "b"))
+
+
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Components (node, component) of the links between classes (node, n_shingles, signature, sketch);
+    None without links. Pairs are left out only if both are in one component already."""
+    lists = written(posted(classes), "postings")
+    known = _Links(docs, classes)
+    led = written(_leaders(lists), "leaders")
+    matching = written(_matching(led.select(*_ordered("node", "leader")).distinct(), classes), "matching-pairs")
+    if matching.isEmpty():
+        pivots = led.select("node", F.col("leader").alias("pivot")).limit(0)
+    else:
+        known.test(matching)
+        own = led.select("node", "leader", *_ordered("node", "leader")).join(matching, ["a", "b"])
+        heads = own.select(F.col("leader").alias("node"), F.col("leader").alias("pivot")).distinct()
+        rest = own.select("node", F.col("leader").alias("pivot")).join(heads.select("node"), "node", "left_anti")
+        pivots = written(heads.unionByName(rest), "pivots")
+        stars = known.labelled(pivots).join(classes.select("node", "n_shingles"), "node")
+        known.add(_star_links(stars, known.sets))
+    mixed = known.mixed(lists)
+    if not mixed.isEmpty():
+        more = written(_matching(_other_pairs(mixed, pivots, classes), classes), "matching-pairs")
+        if not more.isEmpty():
+            known.test(more)
+    return known.labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -314,8 +426,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = F.min(F.struct("doc_id", "n_shingles", "signature", "sketch")).alias("m")
     classes = full.groupBy("digest").agg(one).select("digest", F.col("m.doc_id").alias("node"), "m.n_shingles", "m.signature", "m.sketch")
     classes = written(classes, "classes")
-    labels = components(links(docs, classes))
-    named = written(_labelled(classes.select("digest", "node"), labels, "node", "component").select("digest", "component"), "class-components")
+    labels = links(docs, classes)
+    named = classes.select("digest", F.col("node").alias("component"))
+    if labels is not None:
+        named = written(_labelled(classes.select("digest", "node"), labels, "node", "component").select("digest", "component"), "class-components")
     out = own.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
