@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclattice.operators import classify, fields
 from doclattice.plans import sample_queries as sm
 from doclattice.plans import views as v
+from doclattice.plans.ingest_queries import _sql_clean
 from doclattice.plans.registry import Tables, query, store_root
 from doclattice.plans.search_queries import ids
 from doclattice.plans.views import with_ctes
@@ -137,15 +140,39 @@ def _(t: Tables):
     return files.read_json_lines(t.spark, path, "conv_id long, turn long, role string, text string")
 
 
+# A model that needs no weights: six scores hashed from the file's name.
+_SCORES = "[" + ", ".join(f"round({v.sql_hash_unit(v.sql_str('light'), 'name', str(i))}, 4)" for i in range(6)) + "]"
+_TYPES = "[" + ", ".join(v.sql_str(x) for x in classify.DOCUMENT_TYPES) + "]"
+
+
+def inbox_sinks() -> dict[str, ingest.Sink]:
+    """What every ingested page is handed to: classification and field extraction."""
+    name = F.regexp_extract("path", r"([a-z]\d+)\.[a-z]+$", 1)
+
+    def classified(pages: DataFrame) -> DataFrame:
+        scores = F.array(*[F.round(v.hash_unit(F.lit("light"), name, F.lit(i)), 4) for i in range(6)])
+        rows = pages.select("doc_id", scores.alias("p"))
+        return rows.select("doc_id", *[c.alias(n) for n, c in classify.label_scores(F.col("p")).items() if n != "scores"])
+
+    return {"classifications": classified, "fields": fields.extract_patterns}
+
+
 # The inbox: every document as a text file of its own, nations as CSV files by region, and files of
-# types nothing here can read. One row per type, outcome and reason.
-@query("str_01_incremental_ingest", """
+# types nothing here can read. One row per type, outcome and reason, and one for each document type
+# and field that the pages were handed on to.
+@query("str_01_incremental_ingest", f"""
     with f as (
       select 'txt' as kind, 'completed' as status, null as reason from documents
       union all select 'csv', 'completed', null from (select distinct n_regionkey from nation)
       union all select 'exe', 'failed', 'Unsupported file type: application/octet-stream' from region
-      union all select 'pdf', 'failed', 'No engine for: pdf' from region)
-    select kind, status, reason, count(*) as files from f group by 1, 2, 3""")
+      union all select 'pdf', 'failed', 'No engine for: pdf' from region),
+    n as (select 'd' || doc_id as name from documents union all select distinct 'n' || n_regionkey from nation),
+    c as (select {_TYPES}[list_position(p, list_max(p))] as t from (select {_SCORES} as p from n)),
+    x as (select doc_id, {_sql_clean("'# ' || doc_id || chr(10) || coalesce(text, '')")} as text from documents),
+    e as ({" union all ".join(f"select distinct doc_id, {v.sql_str(n)} as field, unnest(regexp_extract_all(text, {v.sql_str(p)})) as value from x" for n, p in fields.FIELD_PATTERNS.items())})
+    select kind, status, reason, count(*) as files from f group by 1, 2, 3
+    union all select 'classification', t, null, count(*) from c group by 2
+    union all select 'field', field, null, count(*) from e group by 2""")
 def _(t: Tables):
     inbox, root = fresh_folder(t, "inbox"), fresh_folder(t, "ingested")
     docs = t.documents.select(
@@ -159,8 +186,15 @@ def _(t: Tables):
         F.when(F.col("kind") == "pdf", "%PDF-1.7 body").otherwise("MZ body").alias("value"))
     written_files(docs.unionByName(csv).unionByName(odd), inbox)
     stream = ingest.new_files(t.spark, inbox, files_per_batch=400)
-    ingest.start_ingest(stream, root, f"{root}/state", available_now=True).awaitTermination()
+    ingest.start_ingest(stream, root, f"{root}/state", available_now=True, sinks=inbox_sinks()).awaitTermination()
     done = t.spark.read.parquet(f"{root}/status").filter("step = 1")
     kind = F.regexp_extract("path", r"\.([a-z]+)$", 1)
-    return done.join(t.spark.read.parquet(f"{root}/files").select("doc_id", kind.alias("kind")), "doc_id").groupBy(
+    files_of = done.join(t.spark.read.parquet(f"{root}/files").select("doc_id", kind.alias("kind")), "doc_id").groupBy(
         "kind", "status", F.col("error").alias("reason")).agg(F.count("*").alias("files"))
+
+    def handed_on(name: str, table: str, column: str) -> DataFrame:
+        return t.spark.read.parquet(f"{root}/{table}").groupBy(F.lit(name).alias("kind"), F.col(column).alias("status")).agg(
+            F.count("*").alias("files")).select("kind", "status", F.lit(None).cast("string").alias("reason"), "files")
+
+    return files_of.unionByName(handed_on("classification", "classifications", "category")).unionByName(
+        handed_on("field", "fields", "field_name"))

@@ -15,7 +15,6 @@ from doclattice.operators import answers
 from doclattice.plans import usage_queries as uq
 from doclattice.plans import views as v
 from doclattice.plans.registry import Tables, query, store_root
-from doclattice.plans.search_queries import ids
 from doclattice.plans.views import with_ctes
 from doclattice.streaming import limiter, usage
 
@@ -52,35 +51,41 @@ def event_stream(t: Tables) -> DataFrame:
     return stream
 
 
-def drained(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is available and read its result."""
+def drained(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream in append mode over all that is available and read its result."""
     root = store_root(t.spark)
     if root is None:
         raise ValueError("streams need a shared folder in spark.checkpoint.dir")
     out = f"{root}/doclattice/streams/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
-    if mode == "append":
-        run = writer.format("parquet").option("path", f"{out}/data").outputMode("append").start()
-    else:
-        run = writer.outputMode(mode).foreachBatch(
-            lambda df, n: df.write.mode("overwrite").parquet(f"{out}/data")
-        ).start()
+    run = writer.format("parquet").option("path", f"{out}/data").outputMode("append").start()
     run.awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def each_batch(t: Tables, stream: DataFrame, name: str, sink) -> str:
+    """Run ``sink(batch, number, path)`` on every batch of what is available; the path."""
+    root = store_root(t.spark)
+    if root is None:
+        raise ValueError("streams need a shared folder in spark.checkpoint.dir")
+    out = f"{root}/doclattice/streams/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
+    writer.foreachBatch(lambda df, n: sink(df, n, f"{out}/data")).start().awaitTermination()
+    return f"{out}/data"
+
+
 @query("str_02_rolling_counters", with_ctes(["usage_v"], """
     select strftime(time_bucket(interval '1 day', ts), '%Y-%m-%d %H:%M:%S') as window_start, kind,
       count(*) as n, round(avg(latency_ms), 4) as latency_avg,
       count(*) filter (confidence = 'high') as n_high from usage_v group by 1, 2"""))
 def _(t: Tables):
-    # Complete mode keeps also the window that the last watermark has not closed yet.
+    # The closing event moves the watermark past all windows but its own, so each is written once.
     u = v.hash_unit(F.lit("conf"), F.col("event_id"))
-    events = event_stream(t).filter("event_id >= 0").select(
+    events = event_stream(t).select(
         usage.instant(F.col("ts")).alias("ts"), F.col("event_type").alias("kind"), F.round("value", 1).alias("latency_ms"),
         F.when(u < 0.3, "high").when(u < 0.6, "medium").otherwise("low").alias("confidence"),
     )
-    out = drained(t, usage.rolling_counters(events, "1 day", LATENESS), "counters", "complete")
+    out = drained(t, usage.rolling_counters(events, "1 day", LATENESS), "counters")
     return out.select(F.date_format(usage.wall_time(F.col("window_start")), "yyyy-MM-dd HH:mm:ss")
                       .alias("window_start"),
                       "kind", "n", F.round("latency_avg", 4).alias("latency_avg"), "n_high")
@@ -125,9 +130,10 @@ def _(t: Tables):
 @query("str_05_first_arrivals", """
     select distinct user_id, event_type from events""")
 def _(t: Tables):
-    s = event_stream(t).filter("event_id >= 0").select("user_id", "event_type")
-    out = drained(t, usage.first_arrivals(s, ["user_id", "event_type"]), "first")
-    return out.select("user_id", "event_type")
+    keys = ["user_id", "event_type"]
+    s = event_stream(t).filter("event_id >= 0").select(*keys)
+    path = each_batch(t, s, "first", lambda batch, n, path: usage.keep_new(batch, n, path, keys))
+    return t.spark.read.parquet(path).select(*keys)
 
 
 @query("str_06_alarm_periods", with_ctes(["errors_v"], f"""
@@ -137,11 +143,17 @@ def _(t: Tables):
       p.period - 1 and p.period and q.value > 10) >= 2 as alarm from p
     """.replace("\n    , p as", ", p as", 1)))
 def _(t: Tables):
-    errors = event_stream(t).filter("event_type = 'error'").select(
-        usage.instant(F.col("ts")).alias("ts"), F.lit(1.0).alias("value"))
-    closed = drained(t, usage.alarm_periods(errors, "sum", uq._PERIOD, LATENESS), "alarms", "complete")
-    return ids(usage.consecutive_breaches(closed, ">", 10.0, uq._PERIOD, 2),
-               "period", "value", "breach", "alarm")
+    # The closing event is an alarm of its own.
+    samples = event_stream(t).filter("event_type in ('error', 'end')").select(
+        F.col("event_type").alias("alarm"), usage.instant(F.col("ts")).alias("ts"), F.lit(1.0).alias("value"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(store)
+    t.spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = drained(t, usage.alarm_stream(samples, "sum", ">", 10.0, uq._PERIOD, 2, LATENESS), "alarms")
+    finally:
+        t.spark.conf.set(store, before)
+    return out.filter("alarm = 'error'").select("period", "value", "breach", F.col("in_alarm").alias("alarm"))
 
 
 @query("str_07_popularity", """
@@ -150,4 +162,4 @@ def _(t: Tables):
 def _(t: Tables):
     accesses = event_stream(t).filter("event_id >= 0").select(
         F.get_json_object("props", "$.k").cast("bigint").alias("doc_id"))
-    return drained(t, usage.popularity(accesses), "popularity", "complete")
+    return usage.counted(t.spark, each_batch(t, accesses, "popularity", usage.count_batch))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,13 +42,53 @@ def routed(batch: DataFrame) -> DataFrame:
     return typed.withColumn("extractor", files.extractor_of(F.col("mime_type")))
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, root: str, max_mb: int = files.MAX_UPLOAD_MB) -> None:
+#: How often the work on a batch's pages is tried before they become dead letters.
+TRIES = 3
+Sink = Callable[[DataFrame], DataFrame]
+
+
+def fan_out(pages: DataFrame, batch_id: int, root: str, sinks: dict[str, Sink], tries: int = TRIES) -> None:
+    """Hand the pages of one batch to every sink, a function from pages to rows (classifications,
+    fields, ...), and write its rows as the batch's partition of the table of its name.
+
+    A sink that fails is tried again, ``tries`` times in all, without touching the others; ``attempts``
+    says how often each was tried. What still fails leaves its documents in ``dead_letters`` with the
+    reason. Doing a batch again replaces all of its partitions, so a repeat changes nothing.
+    """
+    spark, mark = pages.sparkSession, F.lit(batch_id).alias("batch_id")
+    log = []
+    for name, sink in sinks.items():
+        error = None
+        for attempt in range(1, tries + 1):
+            try:
+                writers.write_table(sink(pages).select("*", mark), f"{root}/{name}")
+                error = None
+                break
+            except Exception as failure:  # whatever a sink raises: retried here, recorded below
+                error = f"{type(failure).__name__}: {failure}".splitlines()[0][:200]
+        log.append((name, attempt, error))
+    writers.write_table(spark.createDataFrame(log, "sink string, tries int, error string").select("*", mark), f"{root}/attempts")
+    failed = [row for row in log if row[2] is not None]
+    if failed:
+        lost = F.explode(F.array(*[F.struct(F.lit(n).alias("sink"), F.lit(k).alias("tries"), F.lit(e).alias("error")) for n, k, e in failed]))
+        letters = pages.select("doc_id", "path", lost.alias("_l")).select("doc_id", "path", "_l.*", mark)
+        writers.write_table(letters, f"{root}/dead_letters")
+
+
+def redeliver(spark: SparkSession, root: str, batch_id: int, sinks: dict[str, Sink]) -> None:
+    """Give the pages of a batch to the sinks once more, as when a failing model is back."""
+    pages = spark.read.parquet(f"{root}/pages").filter(F.col("batch_id") == batch_id).drop("batch_id")
+    fan_out(pages, batch_id, root, sinks)
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, root: str, max_mb: int = files.MAX_UPLOAD_MB,
+                 sinks: dict[str, Sink] | None = None) -> None:
     """Write one batch below ``root``; a repeated batch overwrites its own partition only.
 
     Every file is read once, into ``files``: its page text, or why it has none (type, size, no
     text). ``pages``, ``rejected``, ``status``, ``chunks``, ``postings`` and ``embeddings`` follow from
-    written tables. Ids are 128-bit digests of the path, chunk ids add the chunk's number, so they
-    stay the same and do not collide.
+    written tables; ``sinks`` then get the pages (:func:`fan_out`). Ids are 128-bit digests of the path,
+    chunk ids add the chunk's number, so they stay the same and do not collide.
     """
     mark = F.lit(batch_id).alias("batch_id")
     spark = batch.sparkSession
@@ -86,14 +128,17 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, max_mb: int = files
     # The index and the vectors start from the written chunks: nothing is cut twice.
     writers.write_table(lexical.postings(own("chunks")).select("*", mark), f"{root}/postings")
     writers.write_table(embedding.embed_chunks(own("chunks")).select("*", mark), f"{root}/embeddings")
+    if sinks:
+        fan_out(own("pages").drop("batch_id"), batch_id, root, sinks)
 
 
 def start_ingest(
-    files_stream: DataFrame, root: str, checkpoint: str, available_now: bool = False
+    files_stream: DataFrame, root: str, checkpoint: str, available_now: bool = False,
+    sinks: dict[str, Sink] | None = None,
 ) -> StreamingQuery:
-    """Run the ingest; the checkpoint takes the place of queue acknowledgements and retries."""
+    """Run the ingest; the checkpoint takes the place of queue acknowledgements."""
     writer = files_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, n: ingest_batch(df, n, root)
+        lambda df, n: ingest_batch(df, n, root, sinks=sinks)
     )
     if available_now:
         writer = writer.trigger(availableNow=True)

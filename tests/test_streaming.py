@@ -1,11 +1,13 @@
 """Streams over several batches against one-pass versions of what they compute."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
-from doclattice.streaming import limiter, usage
+from doclattice.operators import fields
+from doclattice.streaming import ingest, limiter, usage
 
 START = datetime(2024, 1, 1)
 
@@ -52,3 +54,72 @@ def test_first_arrivals_over_batches(spark, tmp_path):
     out = run_batches(spark, str(tmp_path), "user_id long, event_type string", batches,
                       lambda s: usage.first_arrivals(s, ["user_id", "event_type"]))
     assert sorted(map(tuple, out)) == sorted({r for b in batches for r in b})
+
+
+@pytest.fixture
+def rocksdb(spark):
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(store, before)
+
+
+def test_alarm_stream_over_batches(spark, tmp_path, rocksdb):
+    """Consecutive breaches across batches, two alarms, a gap between periods, and late rows."""
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), START + timedelta(seconds=60 * p + rng.randrange(60)), 1.0) for p in list(range(25)) + list(range(28, 50)) for _ in range(rng.randrange(1, 9))]
+    rows.sort(key=lambda r: r[1])
+    late = [r for k, r in enumerate(rows[:150]) if k % 10 == 0]
+    batches = [[r for k, r in enumerate(rows[:150]) if k % 10], rows[150:] + late, [("end", START + timedelta(days=3), 1.0)]]
+    out = run_batches(spark, str(tmp_path), "alarm string, ts timestamp, value double", batches,
+                      lambda s: usage.alarm_stream(s, "sum", ">", 2.0, 60, 3, "1 hour"))
+    want, first = {}, int(START.replace(tzinfo=timezone.utc).timestamp()) // 60
+    for alarm, ts, value in rows:
+        key = (alarm, first + int((ts - START).total_seconds()) // 60)
+        want[key] = want.get(key, 0) + value
+    breach = lambda a, p: want.get((a, p), 0) > 2
+    got = {(r.alarm, r.period): (r.value, r.breach, r.in_alarm) for r in out if r.alarm != "end"}
+    assert got == {(a, p): (n, breach(a, p), all(breach(a, p - k) for k in range(3))) for (a, p), n in want.items()}
+    assert sum(v[2] for v in got.values())
+
+
+def test_new_keys_and_counts_stand_in_tables(spark, tmp_path):
+    """First arrivals over batches with keys that stay away for long, NULL keys, and a repeated batch."""
+    batches = [[(1, "a"), (1, "a"), (None, "a"), (2, "b")], [(3, "c")], [(3, "c"), (1, "a")], [(None, "a"), (4, None)]]
+    path = str(tmp_path / "keys")
+    for n in (0, 1, 2, 2, 3, 1):  # two batches come again
+        usage.keep_new(spark.createDataFrame(batches[n], "user_id long, event_type string"), n, path, ["user_id", "event_type"])
+    got = [(r.user_id, r.event_type) for r in spark.read.parquet(path).collect()]
+    assert sorted(got, key=str) == sorted({r for b in batches for r in b}, key=str)
+    path = str(tmp_path / "counts")
+    for n in (0, 1, 2, 2, 3, 1):
+        usage.count_batch(spark.createDataFrame(batches[n], "doc_id long, event_type string"), n, path)
+    rows = [r[0] for b in batches for r in b]
+    assert {r.doc_id: r.access_count for r in usage.counted(spark, path).collect()} == {k: rows.count(k) for k in set(rows)}
+
+
+def test_fan_out_retries_and_dead_letters(spark, tmp_path):
+    root = str(tmp_path)
+    pages = spark.createDataFrame([("d1", "p1", "mail me@example.org"), ("d2", "p2", "nothing")], "doc_id string, path string, text string")
+    calls = []
+
+    def flaky(rows):
+        calls.append(1)
+        if len(calls) < 3:
+            raise ConnectionError("busy")
+        return rows.select("doc_id")
+
+    def broken(rows):
+        return rows.select(F.raise_error(F.lit("no model")).cast("string").alias("doc_id"))
+
+    sinks = {"fields": fields.extract_patterns, "types": flaky, "scores": broken}
+    ingest.fan_out(pages, 0, root, sinks)
+    tries = {r.sink: (r.tries, r.error is None) for r in spark.read.parquet(f"{root}/attempts").collect()}
+    assert tries == {"fields": (1, True), "types": (3, True), "scores": (3, False)}
+    assert [r.field_value for r in spark.read.parquet(f"{root}/fields").collect()] == ["me@example.org"]
+    letters = spark.read.parquet(f"{root}/dead_letters")
+    assert sorted((r.doc_id, r.sink, r.tries) for r in letters.collect()) == [("d1", "scores", 3), ("d2", "scores", 3)]
+    ingest.fan_out(pages, 0, root, sinks)  # the batch again: the same tables
+    assert spark.read.parquet(f"{root}/fields").count() == 1 and spark.read.parquet(f"{root}/types").count() == 2
+    assert letters.count() == 2
