@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from doclattice.llm.hashing import Block, Ranges, blocks, byte_table, mix
-from doclattice.llm.parts import arrays, dealt, documents, in_parts, runs, shard_of
+from doclattice.llm.parts import arrays, dealt, documents, in_parts, runs, shard_of, shard_runs
 from doclattice.llm.window_dedup import least_places
 
 _U = np.uint64
@@ -138,7 +138,8 @@ def anchors(block: Block, width: int, gram: int) -> tuple[np.ndarray, ...]:
     salt = mix(((at - low).astype(_U) << _U(32)) + (high - low).astype(_U))
     wide = mix(first_hash(low, high + width) ^ salt)
     narrow = mix(Ranges(block.byte_values(1), 1)(low, high + width) + salt) >> _U(32)
-    return low, high, grams[at], wide, narrow.astype(np.uint32)
+    # Least hashes are small numbers: mixed again, they spread evenly over the shards.
+    return low, high, mix(grams[at] + _U(1)), wide, narrow.astype(np.uint32)
 
 
 class Anchors:
@@ -158,7 +159,7 @@ class Anchors:
         self.value = np.cumsum(new) - 1
         self.first = self.order[first]
         self.several = np.diff(np.append(first, len(self.order))) > 1
-        self.cut = np.searchsorted(shard_of(self.gram[self.first], shards), np.arange(shards + 1))
+        self.runs = shard_runs(shard_of(self.gram[self.first], shards))
 
 
 def settled(docs: DataFrame, shards: int, width: int, gram: int, most: int) -> DataFrame:
@@ -167,13 +168,13 @@ def settled(docs: DataFrame, shards: int, width: int, gram: int, most: int) -> D
     def ask(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         own = Anchors(documents(table)[2], width, gram, shards)
-        full = np.flatnonzero(np.diff(own.cut))
-        pick = [own.first[own.cut[s]:own.cut[s + 1]] for s in full]
+        full = [s for s, _, _ in own.runs]
+        pick = [own.first[a:b] for _, a, b in own.runs]
         column = lambda values: pa.array([values[p].tobytes() for p in pick], pa.binary())
         return pa.table({
             "shard": pa.array(full, pa.int32()), "part": pa.array([part] * len(full), pa.int32()),
             "gram": column(own.gram), "wide": column(own.wide), "narrow": column(own.narrow),
-            "several": pa.array([own.several[own.cut[s]:own.cut[s + 1]].tobytes() for s in full], pa.binary()),
+            "several": pa.array([own.several[a:b].tobytes() for _, a, b in own.runs], pa.binary()),
         })
 
     def merge(table: pa.Table) -> pa.Table:
@@ -224,8 +225,9 @@ def repeated(docs: DataFrame, states: DataFrame, shards: int, width: int, gram:
         texts = documents(table)[2]
         own = Anchors(texts, width, gram, shards)
         state = np.zeros(len(own.first), np.uint8)
-        for s, b in zip(replies.column("shard").to_pylist(), arrays(replies.column("states"), np.uint8)):
-            state[own.cut[s]:own.cut[s + 1]] = b
+        place = {s: (a, b) for s, a, b in own.runs}
+        for s, states in zip(replies.column("shard").to_pylist(), arrays(replies.column("states"), np.uint8)):
+            state[slice(*place[s])] = states
         again = np.zeros(len(own.order), bool)
         again[own.order] = ((state & REPEATED) > 0)[own.value]
         if again.any():
@@ -234,12 +236,11 @@ def repeated(docs: DataFrame, states: DataFrame, shards: int, width: int, gram:
         raw = data.tobytes()
         ship = own.first[((state & SHIP) > 0) & ((state & MANY) == 0)]
         ship = ship[np.argsort(own.gram[ship], kind="stable")]
-        cut = np.searchsorted(shard_of(own.gram[ship], shards), np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(cut)):
-            pick = ship[cut[s]:cut[s + 1]]
+        for s, a, b in shard_runs(shard_of(own.gram[ship], shards)):
+            pick = ship[a:b]
             low, high = own.low[pick], own.high[pick] + width
-            rows.append((int(s), b"", own.gram[pick].tobytes(), low.astype("<u4").tobytes(), (high - low).astype("<u4").tobytes(),
-                         b"".join([raw[a:b] for a, b in zip(low.tolist(), high.tolist())]), b"", b""))
+            rows.append((s, b"", own.gram[pick].tobytes(), low.astype("<u4").tobytes(), (high - low).astype("<u4").tobytes(),
+                         b"".join([raw[x:y] for x, y in zip(low.tolist(), high.tolist())]), b"", b""))
         many = own.first[((state & SHIP) > 0) & ((state & MANY) > 0)]
         if len(many):
             count = own.high[many] - own.low[many] + 1
@@ -248,10 +249,8 @@ def repeated(docs: DataFrame, states: DataFrame, shards: int, width: int, gram:
             narrow = (mix(Ranges(byte_table(1)[data], 1)(at, at + width)) >> _U(32)).astype("<u4")
             order = np.argsort(wide, kind="stable")
             at, wide, narrow = at[order], wide[order], narrow[order]
-            cut = np.searchsorted(shard_of(wide, shards), np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cut)):
-                a, b = cut[s], cut[s + 1]
-                rows.append((int(s), b"", b"", at[a:b].astype("<u4").tobytes(), b"", b"", wide[a:b].tobytes(), narrow[a:b].tobytes()))
+            for s, a, b in shard_runs(shard_of(wide, shards)):
+                rows.append((s, b"", b"", at[a:b].astype("<u4").tobytes(), b"", b"", wide[a:b].tobytes(), narrow[a:b].tobytes()))
         columns = list(zip(*rows)) or [()] * 8
         return pa.table({"shard": pa.array(columns[0], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()),
                          **{c: pa.array(v, pa.binary()) for c, v in zip(_COLUMNS, columns[1:])}})
@@ -319,7 +318,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 100, most: int
     found = repeated(docs, settled(docs, shards, width, gram, most), shards, width, gram)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, _, texts = documents(table)
+        ids, _, texts, _ = documents(table)
         data = np.frombuffer(b"\n".join(texts), np.uint8)
         border = np.zeros(len(data) + 1, np.int32)
         for s in arrays(replies.column("spans"), "<u4"):

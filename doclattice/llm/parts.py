@@ -2,14 +2,17 @@
 
 Operators that look for repeated content go to and fro between two layouts: *parts* hold whole
 documents, *shards* hold everything that has the same hash range. What travels are rows with packed
-numpy arrays, one for each pair of part and shard. A part is fixed by its documents' ids, so any task
-that sees it again (a later pass, or a retry after an executor was lost) numbers its content alike,
-and answers can be bits in the order of what was asked. All passes read the same exchange of the
+numpy arrays, one for each pair of part and shard that have something in common. A part is fixed by its
+documents' ids and texts, so any task that sees it again (a later pass, or a retry after an executor was
+lost) numbers its content alike, and answers can be bits in the order of what was asked; rows without
+id or with one id are spread over all parts. All passes read the same exchange of the
 documents, which Spark shuffles once.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,17 +30,19 @@ def in_parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame,
     size of all texts, counted in one scan."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(docs.sparkSession), size // part_bytes + 1)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     return docs.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), n
 
 
-def documents(table: pa.Table) -> tuple[list[int | None], np.ndarray, list[bytes]]:
-    """Ids, ids as sortable numbers (NULL first) and texts of a part, by id, then by text."""
+def documents(table: pa.Table) -> tuple[list[int | None], np.ndarray, list[bytes], np.ndarray]:
+    """Ids, ids as sortable numbers (NULL first), texts and digests of the texts of a part, by id, then
+    by digest."""
     ids, texts = table.column("doc_id").to_pylist(), [t.encode() for t in table.column("text").to_pylist()]
     least = -(1 << 63)
-    order = sorted(range(len(ids)), key=lambda i: (least if ids[i] is None else ids[i], texts[i]))
+    digests = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts]
+    order = sorted(range(len(ids)), key=lambda i: (least if ids[i] is None else ids[i], digests[i]))
     ids, texts = [ids[i] for i in order], [texts[i] for i in order]
-    return ids, np.array([least if i is None else i for i in ids], np.int64), texts
+    return ids, np.array([least if i is None else i for i in ids], np.int64), texts, np.array([digests[i] for i in order], np.uint64)
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -45,6 +50,12 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def shard_runs(shards: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of every run of equal numbers in a sorted list of shards."""
+    first = np.flatnonzero(runs(shards))
+    return list(zip(shards[first].tolist(), first.tolist(), np.append(first[1:], len(shards)).tolist()))
+
+
 def arrays(column, dtype) -> list[np.ndarray]:
     return [np.frombuffer(b or b"", dtype) for b in column.to_pylist()]
 

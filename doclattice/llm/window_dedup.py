@@ -2,9 +2,10 @@
 
 First pass: every window of ``width`` words is represented by its anchor, the least hashed word
 n-gram inside it (equal windows have equal anchors at equal places, so an anchor is met at least as
-often as each of its windows). Parts send their partial sketches as sparse counters to the shards of
-the counter space, which merge them by addition into count-min rows; the estimate is the least
-counter and never too small. Each part gets one bit per anchor it asked about.
+often as each of its windows). Every part counts its anchors in a count-min sketch of its own, ``ROWS``
+rows of counters, and sends the counters that are not zero. A shard holds a range of each row and adds
+the sketches of all parts; the estimate of an anchor is the least of its counters and never too small.
+Parts get one bit for each counter they sent: whether it passed one.
 
 Second pass: only windows whose anchor was estimated to be repeated send their exact digest (96 bits)
 to a shard that groups equal ones; all but the first occurrence are reported back. Third pass: parts
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from doclattice.llm.hashing import Block, mix, window_hashes
-from doclattice.llm.parts import arrays, dealt, documents, in_parts, runs, shard_of
+from doclattice.llm.parts import arrays, dealt, documents, in_parts, runs, shard_of, shard_runs
 
 _U = np.uint64
 ROWS = 2  # rows of counters in a sketch
+#: Counters of a row that one shard holds: some ten for each anchor of a part's size of text.
+CELLS = 1 << 20
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -47,54 +50,48 @@ def anchors(block: Block, hashes: np.ndarray, width: int, gram: int) -> tuple[np
     grams = window_hashes(hashes, np.arange(len(hashes) - gram + 1), gram)
     place = least_places(grams, width - gram + 1)[starts]
     new = runs(place)
-    return starts, np.cumsum(new) - 1, grams[place[new]]
+    # Least hashes are small numbers: mixed again, they spread evenly over counters and shards.
+    return starts, np.cumsum(new) - 1, mix(grams[place[new]] + _U(1))
 
 
-def asked(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the anchors by hash, the number of each one's value, and which of them go to the
-    sketch: no value more than twice, since the sketch need not tell 2 from more."""
-    order = np.argsort(found, kind="stable")
-    new = runs(found[order])
-    first = np.flatnonzero(new)
-    value = np.cumsum(new) - 1
-    sent = np.arange(len(order)) - first[value] < 2 if len(order) else np.zeros(0, bool)
-    return order, value, sent
+def partial_sketch(found: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row: the counters that anchors fall on (shard, then place in its range), how many
+    anchors fall on each, and which of them each anchor falls on."""
+    out = []
+    for row in range(ROWS):
+        slot = mix(found + _U(row) * _U(0x9E3779B97F4A7C15))
+        cell = shard_of(slot, shards) * CELLS + (slot & _U(CELLS - 1)).astype(np.int64)
+        cells, which, counts = np.unique(cell, return_inverse=True, return_counts=True)
+        out.append((cells, counts, which))
+    return out
 
 
 def sketched(docs: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
-    """(part, shard, bits): for each part's anchors, in hash order, whether they are repeated."""
+    """(part, shard, row, bits): for each counter of a part's sketch, whether all parts together pass one."""
 
     def ask(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        _, _, texts = documents(table)
-        block = Block(texts)
+        block = Block(documents(table)[2])
         block.split_words()
         _, _, found = anchors(block, block.word_hashes(), width, gram)
-        order, _, sent = asked(found)
-        hashes = found[order[sent]]
-        cut = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
-        full = np.flatnonzero(np.diff(cut))
-        cells = hashes.astype("<u4")
-        return pa.table({
-            "shard": pa.array(full, pa.int32()), "part": pa.array([part] * len(full), pa.int32()),
-            "cells": pa.array([cells[cut[s]:cut[s + 1]].tobytes() for s in full], pa.binary()),
-        })
+        rows = []
+        for row, (cells, counts, _) in enumerate(partial_sketch(found, shards)):
+            place, few = (cells % CELLS).astype("<u4"), np.minimum(counts, 255).astype(np.uint8)
+            rows += [(s, part, row, place[a:b].tobytes(), few[a:b].tobytes()) for s, a, b in shard_runs(cells // CELLS)]
+        columns = list(zip(*rows)) or [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("shard", "part", "row", "cells", "counts"), columns, kinds)})
 
     def merge(table: pa.Table) -> pa.Table:
-        own = arrays(table.column("cells"), "<u4")
-        cells = np.concatenate(own)
-        slots = _U((1 << max(10, (4 * len(cells)).bit_length())) - 1)
-        estimate = None
-        for row in range(ROWS):
-            slot = (mix(cells.astype(_U) + _U(row << 33)) & slots).astype(np.int64)
-            count = np.bincount(slot)[slot]
-            estimate = count if estimate is None else np.minimum(estimate, count)
-        cut = np.cumsum([0, *map(len, own)])
-        bits = [np.packbits(estimate[a:b] >= 2).tobytes() for a, b in zip(cut, cut[1:])]
-        return pa.table({"part": table.column("part"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
-
-    sent = docs.groupBy("part").applyInArrow(ask, "shard int, part int, cells binary")
-    return dealt(sent).applyInArrow(merge, "part int, shard int, bits binary")
+        cells, counts, rows = arrays(table.column("cells"), "<u4"), arrays(table.column("counts"), np.uint8), table.column("row").to_pylist()
+        total = np.zeros((ROWS, CELLS), np.int32)
+        for row, place, n in zip(rows, cells, counts):
+            total[row, place] += n  # a part names a counter once
+        bits = [np.packbits(total[row, place] > 1).tobytes() for row, place in zip(rows, cells)]
+        return pa.table({**{c: table.column(c) for c in ("part", "shard", "row")}, "bits": pa.array(bits, pa.binary())})
+
+    sent = docs.groupBy("part").applyInArrow(ask, "shard int, part int, row int, cells binary, counts binary")
+    return dealt(sent).applyInArrow(merge, "part int, shard int, row int, bits binary")
 
 
 def repeated(docs: DataFrame, marks: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
@@ -102,21 +99,18 @@ def repeated(docs: DataFrame, marks: DataFrame, shards: int, width: int, gram: i
 
     def ask(table: pa.Table, bits: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py() if len(table) else None
-        _, keys, texts = documents(table)
+        _, keys, texts, digests = documents(table)
         block = Block(texts)
         block.split_words()
         words = block.word_hashes()
         starts, anchor, found = anchors(block, words, width, gram)
-        order, value, sent = asked(found)
-        hashes = found[order[sent]]
-        cut = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
-        flags = np.zeros(len(hashes), bool)
-        for s, b in zip(bits.column("shard").to_pylist(), arrays(bits.column("bits"), np.uint8)):
-            flags[cut[s]:cut[s + 1]] = np.unpackbits(b, count=cut[s + 1] - cut[s])
-        hot_value = np.zeros(value[-1] + 1 if len(value) else 0, bool)
-        hot_value[value[sent]] = flags
-        hot = np.zeros(len(found), bool)
-        hot[order] = hot_value[value]
+        replies = {(r, s): b for r, s, b in zip(bits.column("row").to_pylist(), bits.column("shard").to_pylist(), arrays(bits.column("bits"), np.uint8))}
+        hot = np.ones(len(found), bool)
+        for row, (cells, _, which) in enumerate(partial_sketch(found, shards)):
+            flags = np.zeros(len(cells), bool)
+            for s, a, b in shard_runs(cells // CELLS):
+                flags[a:b] = np.unpackbits(replies[row, s], count=b - a)
+            hot &= flags[which]
         starts = starts[hot[anchor]] if len(starts) else starts
 
         high = window_hashes(words, starts, width)
@@ -128,31 +122,32 @@ def repeated(docs: DataFrame, marks: DataFrame, shards: int, width: int, gram: i
         mine[first] = True
         local = starts[~mine].astype("<u4")
         out = {"shard": [part % shards] if len(local) else [], "high": [b""] * bool(len(local)), "low": [b""] * bool(len(local)),
-               "starts": [local.tobytes()] if len(local) else [], "ids": [b""] * bool(len(local)), "counts": [b""] * bool(len(local))}
+               "starts": [local.tobytes()] if len(local) else [], **{c: [b""] * bool(len(local)) for c in ("ids", "ties", "counts")}}
         goes = shard_of(high[first], shards)
         by = np.argsort(goes, kind="stable")
-        cut = np.searchsorted(goes[by], np.arange(shards + 1))
         of = block.word_text[starts[first]] if len(first) else first
-        for s in np.flatnonzero(np.diff(cut)):
-            pick = by[cut[s]:cut[s + 1]]
+        for s, a, b in shard_runs(goes[by]):
+            pick = by[a:b]
             ids, counts = np.unique(of[pick], return_counts=True)
-            out["shard"].append(int(s))
+            out["shard"].append(s)
             out["high"].append(high[first[pick]].tobytes())
             out["low"].append(low[first[pick]].tobytes())
             out["starts"].append(starts[first[pick]].astype("<u4").tobytes())
             out["ids"].append(keys[ids].tobytes())
+            out["ties"].append(digests[ids].tobytes())
             out["counts"].append(counts.astype("<u4").tobytes())
         n = len(out["shard"])
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "part": pa.array([part] * n, pa.int32()),
-                         **{c: pa.array(out[c], pa.binary()) for c in ("high", "low", "starts", "ids", "counts")}})
+                         **{c: pa.array(out[c], pa.binary()) for c in ("high", "low", "starts", "ids", "ties", "counts")}})
 
     def group(table: pa.Table) -> pa.Table:
         starts = arrays(table.column("starts"), "<u4")
         high, low = arrays(table.column("high"), _U), arrays(table.column("low"), "<u4")
-        doc = [np.repeat(i, c) for i, c in zip(arrays(table.column("ids"), np.int64), arrays(table.column("counts"), "<u4"))]
+        counts = arrays(table.column("counts"), "<u4")
+        doc, tie = (np.concatenate([np.repeat(i, c) for i, c in zip(arrays(table.column(name), kind), counts)]) for name, kind in (("ids", np.int64), ("ties", _U)))
         row = np.repeat(np.arange(len(high)), [len(h) for h in high])
-        high, low, doc = np.concatenate(high), np.concatenate(low), np.concatenate(doc)
-        order = np.lexsort((doc, low, high))
+        high, low = np.concatenate(high), np.concatenate(low)
+        order = np.lexsort((tie, doc, low, high))
         later = np.zeros(len(order), bool)
         later[order] = ~runs(high[order], low[order]) if len(order) else later
         cut = np.searchsorted(row, np.arange(len(starts) + 1))
@@ -162,7 +157,7 @@ def repeated(docs: DataFrame, marks: DataFrame, shards: int, width: int, gram: i
         return pa.table({"part": table.column("part").take(pa.array(keep, pa.int64())), "starts": pa.array([back[i] for i in keep], pa.binary())})
 
     sent = docs.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(
-        ask, "shard int, part int, high binary, low binary, starts binary, ids binary, counts binary")
+        ask, "shard int, part int, high binary, low binary, starts binary, ids binary, ties binary, counts binary")
     return dealt(sent).applyInArrow(group, "part int, starts binary")
 
 
@@ -186,14 +181,14 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 10, part_bytes:
     Words are runs of anything but ASCII blanks, unchanged. Each word covered by a ``width``-word
     window that also starts earlier (smaller doc_id, or earlier in the same document) is removed;
     windows are judged on the input. NULL and empty texts have no words. Rows that share a doc_id
-    count as one document after another, by text; NULL ids come first. Other columns are ignored.
+    count as one document after another, by a digest of their text; NULL ids come first. Other columns are ignored.
     """
     docs, shards = in_parts(docs, part_bytes) if part_bytes else in_parts(docs)
     marks = sketched(docs, shards, width, gram)
     later = repeated(docs, marks, shards, width, gram)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, _, own = documents(table)
+        ids, _, own, _ = documents(table)
         block = Block(own)
         block.split_words()
         cover = np.zeros(len(block.word_text) + width + 1, np.int32)

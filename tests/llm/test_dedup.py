@@ -1,9 +1,13 @@
+import itertools
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from doclattice.llm import byte_dedup, near_dedup, window_dedup
 from doclattice.llm.graph import components
 from doclattice.llm.hashing import Block
+from doclattice.llm.parts import documents, in_parts, shard_of, shard_runs
 from tests.llm.common import LOWER, by_id, make_docs, odd_texts, sha, words
 
 
@@ -172,3 +176,56 @@ def test_components(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {3: 3, 4: 3, 5: 3, 9: 3, 10: 10, 20: 10, 30: 10} | {100 + i: 100 for i in range(41)}
     assert components(links.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_spread_over_parts(spark):
+    """Rows without id, or with one id, do not meet in one part; later ones lose what earlier ones hold."""
+    rng = np.random.default_rng(8)
+    shared = " ".join(f"s{k}" for k in range(70))
+    texts = [f"{shared} {' '.join(f'u{rng.integers(10**6)}' for _ in range(30))} {i}" for i in range(120)]
+    rows = [(None, t) for t in texts[:60]] + [(7, t) for t in texts[60:]]
+    docs, parts = in_parts(make_docs(spark, rows), 1500)
+    assert parts > 8 and docs.select("part").distinct().count() > 8
+    out = window_dedup.remove_repeats(make_docs(spark, rows), part_bytes=1500).collect()
+    assert sorted(r.n_removed for r in out) == [0] + [70] * 119  # one row of all keeps the passage
+    assert [r.doc_id for r in out if not r.n_removed] == [None]
+    out = byte_dedup.remove_repeats(make_docs(spark, rows), part_bytes=1500).collect()
+    assert min(r.n_removed for r in out) >= len(shared)
+
+
+def test_anchors_spread_evenly_over_shards():
+    rng = np.random.default_rng(9)
+    words_ = [b"w%d" % k for k in rng.integers(0, 3000, 60_000)]
+    block = Block([b" ".join(words_)])
+    block.split_words()
+    _, _, found = window_dedup.anchors(block, block.word_hashes(), 20, 10)
+    for hashes in (found, byte_dedup.anchors(block, 200, 100)[2]):
+        counts = np.bincount(shard_of(hashes, 20), minlength=20)
+        assert counts.max() < 2 * counts.mean() and counts.min() > counts.mean() / 2
+
+
+def test_sketches_are_merged_and_never_too_small(spark):
+    rows = odd_texts(5, n=30)
+    docs, shards = in_parts(make_docs(spark, rows), 1000)
+    marks = window_dedup.sketched(docs, shards, 20, 10).collect()
+    assert {m.row for m in marks} == set(range(window_dedup.ROWS)) and len({m.shard for m in marks}) > 1
+    hot = {}
+    for m in marks:
+        hot[m.part, m.row, m.shard] = np.unpackbits(np.frombuffer(m.bits, np.uint8)).astype(bool)
+    count, seen = {}, []
+    for part, group in itertools.groupby(sorted(docs.collect(), key=lambda r: (r.part, r.doc_id is not None, r.doc_id or 0)), lambda r: r.part):
+        own = list(group)
+        table = pa.table({"doc_id": pa.array([r.doc_id for r in own], pa.int64()), "text": [r.text for r in own]})
+        block = Block(documents(table)[2])
+        block.split_words()
+        found = window_dedup.anchors(block, block.word_hashes(), 20, 10)[2]
+        estimate = np.ones(len(found), bool)
+        for row, (cells, _, which) in enumerate(window_dedup.partial_sketch(found, shards)):
+            flags = np.concatenate([hot[part, row, s][:b - a] for s, a, b in shard_runs(cells // window_dedup.CELLS)]) if len(cells) else np.zeros(0, bool)
+            estimate &= flags[which]
+        seen.append((found, estimate))
+        for value in found.tolist():
+            count[value] = count.get(value, 0) + 1
+    assert all(e for found, estimate in seen for v, e in zip(found.tolist(), estimate.tolist()) if count[v] > 1)
+    extra = sum(e for found, estimate in seen for v, e in zip(found.tolist(), estimate.tolist()) if count[v] == 1)
+    assert extra < 0.05 * len(count)
