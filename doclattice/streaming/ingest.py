@@ -53,7 +53,8 @@ def fan_out(pages: DataFrame, batch_id: int, root: str, sinks: dict[str, Sink],
 
     A sink that fails is tried again, ``tries`` times in all, without touching the others; ``attempts``
     says how often each was tried. What still fails leaves its documents in ``dead_letters`` with the
-    reason. Doing a batch again replaces all of its partitions, so a repeat changes nothing.
+    reason. Doing a batch again replaces its partitions, so a repeat changes nothing; ``attempts`` then
+    tells the last outcome, old dead letters stay as a record.
     """
     spark, mark = pages.sparkSession, F.lit(batch_id).alias("batch_id")
     log = []
