@@ -106,36 +106,45 @@ def _joined(sents: Column) -> Column:
     return F.array_join(F.transform(sents, lambda x: x["s"]), " ")
 
 
-def _pack(sents: Column, size: int, carry: int) -> Column:
-    """Greedy fold of sentences into groups of at most ``size`` tokens, carrying ``carry`` over."""
-    start = F.struct(
-        _empty(f"array<{_SENTENCES}>").alias("done"),
-        _empty(_SENTENCES).alias("cur"),
-        F.lit(0).alias("n"),
-    )
+def _part(array: Column, first: Column, past: Column) -> Column:
+    """Elements ``first`` to ``past - 1``, picked one by one: a slice would read the whole array."""
+    return F.transform(F.sequence(first, past - 1), lambda i: F.get(array, i))
 
-    def merge(acc: Column, x: Column) -> Column:
-        full = (acc["n"] + x["n"] > size) & (F.size(acc["cur"]) > 0)
-        kept = _empty(_SENTENCES)
-        if carry > 0:
-            kept = F.when(
-                F.size(acc["cur"]) > carry, F.slice(acc["cur"], -carry, carry)
-            ).otherwise(kept)
-        base = F.when(full, kept).otherwise(acc["cur"])
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["cur"])))
-            .otherwise(acc["done"])
-            .alias("done"),
-            F.concat(base, F.array(x)).alias("cur"),
-            (F.when(full, _tokens(kept)).otherwise(acc["n"]) + x["n"]).alias("n"),
-        )
 
-    def finish(acc: Column) -> Column:
-        return F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(
-            acc["done"]
-        )
+def _pack(sents: Column, size: int, carry: int) -> Column:
+    """Greedy fold of sentences into groups of at most ``size`` tokens, carrying ``carry`` over.
 
-    return F.aggregate(sents, start, merge, finish)
+    The fold keeps numbers only: where each group begins and ends. Groups are then one slice each, so
+    no sentence is copied twice, however long the text.
+    """
+    number = lambda value, name: F.lit(value).cast("int").alias(name)
+    start = F.struct(_empty("array<struct<first:int,past:int>>").alias("groups"), number(0, "first"), number(0, "at"), number(0, "n"))
+    group = lambda acc: F.array(F.struct(acc["first"].alias("first"), acc["at"].alias("past")))
+
+    def breaks(counts: Column) -> Column:
+        def merge(acc: Column, x: Column) -> Column:
+            full = (acc["n"] + x > size) & (acc["at"] > acc["first"])
+            fresh = acc["at"]
+            kept = F.lit(0)
+            if carry > 0:
+                long = acc["at"] - acc["first"] > carry
+                fresh = F.when(long, acc["at"] - carry).otherwise(acc["at"])
+                kept = F.when(long, sum(F.get(counts, acc["at"] - k) for k in range(1, carry + 1))).otherwise(0)
+            return F.struct(
+                F.when(full, F.concat(acc["groups"], group(acc))).otherwise(acc["groups"]).alias("groups"),
+                F.when(full, fresh).otherwise(acc["first"]).alias("first"),
+                (acc["at"] + 1).alias("at"),
+                (F.when(full, kept).otherwise(acc["n"]) + x).cast("int").alias("n"),
+            )
+
+        return F.aggregate(counts, start, merge, lambda acc: F.when(
+            acc["at"] > acc["first"], F.concat(acc["groups"], group(acc))).otherwise(acc["groups"]))
+
+    def cut(own: Column) -> Column:
+        return tx.let(F.transform(own, lambda x: x["n"]), lambda counts: F.transform(
+            breaks(counts), lambda g: _part(own, g["first"], g["past"])))
+
+    return tx.let(sents, cut)
 
 
 def sentence_groups_to_chunks(df: DataFrame, keys: tuple[str, ...], groups: str) -> DataFrame:
@@ -180,8 +189,8 @@ def topic_groups(sents: Column, sims: Column, threshold: float = TOPIC_THRESHOLD
         F.sequence(F.lit(0), n - 1),
         lambda i: (i == 0) | (F.coalesce(F.get(sims, i - 1), F.lit(1.0)) < threshold),
     )
-    groups = tx.let(starts, lambda c: F.transform(
-        c, lambda p, j: F.slice(sents, p + 1, F.coalesce(F.get(c, j + 1), n) - p)))
+    groups = tx.let(sents, lambda own: tx.let(starts, lambda c: F.transform(
+        c, lambda p, j: _part(own, p, F.coalesce(F.get(c, j + 1), F.size(own))))))
     return F.when(n > 0, groups).otherwise(F.array(_empty(_SENTENCES)))
 
 
@@ -206,7 +215,7 @@ def merge_small_groups(
         n = F.size(bound)
         starts = F.aggregate(bound, start, merge, lambda acc: F.concat(F.array(F.lit(0)), acc["starts"]))
         return tx.let(starts, lambda c: F.transform(
-            c, lambda p, j: F.flatten(F.slice(bound, p + 1, F.coalesce(F.get(c, j + 1), n) - p))))
+            c, lambda p, j: F.flatten(_part(bound, p, F.coalesce(F.get(c, j + 1), n)))))
 
     return tx.let(groups, cut)
 

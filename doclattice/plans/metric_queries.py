@@ -241,7 +241,18 @@ def _(t: Tables):
         F.round(metrics.rouge_n(p, r, 2), 6).alias("rouge2"))
 
 
-@query("evl_10_rouge_l")
+# The longest common subsequence row by row: the row of the table after each word of b.
+_NEXT = ("list_reduce(range(1, len(a) + 1), lambda row, j: list_append(row, case when a[j] = b[i + 1] then last[j] + 1 "
+         "else greatest(last[j + 1], row[len(row)]) end), [0::bigint])")
+
+
+@query("evl_10_rouge_l", with_ctes(["rouge_words_v"], f"""
+    , lcs_v(id, i, last) as (
+      select id, 0::bigint, list_transform(range(0, len(a) + 1), lambda x: 0::bigint) from rouge_words_v
+      union all select l.id, i + 1, {_NEXT} from lcs_v l join rouge_words_v w on w.id = l.id where i < len(b)),
+    c as (select id, len(a) as na, len(b) as nb, last[len(last)] as common from lcs_v join rouge_words_v using (id) where i = len(b))
+    select example_id, round({_F.format(t='c')}, 6) as "rougeL" from examples_v left join c on c.id = example_id
+    """.replace("\n    , lcs_v", ", lcs_v", 1)).replace("with ", "with recursive ", 1))
 def _(t: Tables):
     p, r = F.col("prediction"), F.col("reference")
     return examples_v(t).select("example_id", F.round(metrics.rouge_l(p, r), 6).alias("rougeL"))

@@ -162,3 +162,21 @@ def test_model_embedding_plugin(spark):
     df = spark.createDataFrame([("abc",), (None,)], "s string")
     got = [list(r[0]) for r in df.select(model_embedding(F.col("s"), factory, batch=1)).collect()]
     assert got == [[3.0, 1.0], [0.0, 1.0]]
+
+
+def test_packing_time_follows_the_text(spark):
+    """A text of many megabytes: groups are slices, not growing copies."""
+    import time
+
+    sentence = "Alpha beta gamma delta epsilon zeta eta theta iota kappa. "
+
+    def seconds(copies):
+        page = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page_number"), F.repeat(F.lit(sentence), copies).alias("text"))
+        begin = time.perf_counter()
+        rows = chunking.sentence_chunks(page, size=40).agg(F.count("*"), F.sum("token_count"), F.max("token_count")).first()
+        assert rows[2] <= 40 and rows[1] >= 10 * copies
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    small, large = seconds(4_000), seconds(40_000)  # 0.2 and 2.3 MB
+    assert large < 20 * small + 5
