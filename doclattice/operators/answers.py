@@ -156,6 +156,21 @@ def cache_key(query_text: Column, filters_json: Column | None = None) -> Column:
     return F.concat(F.lit("rag:answer:"), F.sha2(raw, 256))
 
 
+def request_key(query_text: Column, filters_json: Column, conversation_id: Column) -> Column:
+    """Key of a request that may be answered from the cache; NULL inside a conversation, whose answers
+    depend on what was said before. ``filters_json`` has its names in order; NULL: no filters."""
+    return F.when(conversation_id.isNull(), cache_key(query_text, filters_json))
+
+
+def serve_from_cache(requests: DataFrame, answers: DataFrame, seconds: int = CACHE_SECONDS) -> DataFrame:
+    """:func:`cache_lookup` for requests and answers of which some have no key: those neither look
+    anything up nor are looked up, and stay out of the windows."""
+    found = cache_lookup(requests.filter("key is not null"), answers.filter("key is not null"), seconds)
+    alone = requests.filter("key is null").select(
+        F.col("request_id").cast("bigint").alias("request_id"), "key", "ts", F.lit(None).cast("bigint").alias("answer_id"))
+    return found.unionByName(alone)
+
+
 def cache_lookup(
     requests: DataFrame, answers: DataFrame, seconds: int = CACHE_SECONDS
 ) -> DataFrame:

@@ -135,6 +135,25 @@ def compare_fields(pairs: DataFrame, fields: DataFrame) -> DataFrame:
     )
 
 
+def compare_documents(pairs: DataFrame, documents: DataFrame, fields: DataFrame) -> DataFrame:
+    """Both sides of each pair (pair_id, doc_a, doc_b): names, types, texts, and how many fields are
+    added, removed, modified and the same. Pairs with a side that ``documents(doc_id, name,
+    document_type, text)`` lacks drop out; a type that is not known is ``Unknown``."""
+    def side(c: str) -> DataFrame:
+        return documents.select(
+            F.col("doc_id").alias(f"doc_{c}"), F.col("name").alias(f"name_{c}"),
+            F.coalesce("document_type", F.lit("Unknown")).alias(f"type_{c}"), F.col("text").alias(f"text_{c}"))
+
+    kinds = ("added", "removed", "modified", "same")
+    changes = compare_fields(pairs, fields).groupBy("pair_id").agg(*[
+        F.count_if(F.col("change") == k).alias(f"n_{k}") for k in kinds])
+    both = pairs.select("pair_id", "doc_a", "doc_b").join(side("a"), "doc_a").join(side("b"), "doc_b")
+    return both.join(changes, "pair_id", "left").select(
+        "pair_id", *[f"{n}_{c}" for n in ("name", "type", "text") for c in "ab"],
+        (F.col("type_a") == F.col("type_b")).alias("same_type"),
+        *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in kinds])
+
+
 def dashboard(documents: DataFrame, chunks: DataFrame, latest: int = 5) -> DataFrame:
     """Totals, counts per status and type, chunk sum and the newest documents, in long form."""
     def section(name: str, label: Column, value: Column) -> list[Column]:

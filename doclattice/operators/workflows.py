@@ -15,10 +15,9 @@ REQUIRED = ("vendor", "invoice_date", "due_date", "amount", "tax")
 SUMMARY_SENTENCES = {"one_line": 1, "executive": 4, "takeaways": 8}
 
 
-def _finding(kind: str, severity: Column | str, detail: Column) -> list[Column]:
+def _finding(found: Column, kind: str, severity: Column | str, detail: Column) -> Column:
     level = F.lit(severity) if isinstance(severity, str) else severity
-    return [F.col("doc_id"), F.lit(kind).alias("anomaly"), level.alias("severity"),
-            detail.alias("detail")]
+    return F.when(found, F.struct(F.lit(kind).alias("anomaly"), level.alias("severity"), detail.alias("detail")))
 
 
 def invoice_anomalies(
@@ -36,40 +35,36 @@ def invoice_anomalies(
         F.avg("amount").alias("_mean"), F.stddev_samp("amount").alias("_sd"),
         F.min("invoice_date").alias("_first"), F.count("*").alias("_n"),
     )
-    judged = invoices.join(vendors, "vendor")
+    key = list(duplicate_key)
+    copies = invoices.dropna(subset=key).groupBy(*key).agg(
+        F.count("*").alias("_copies"), F.min("doc_id").alias("_original")
+    ).filter("_copies > 1")
+    judged = invoices.join(vendors, "vendor", "left").join(copies, key, "left")
     z = F.round((F.col("amount") - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0)), 4)
     level = F.lit(None).cast("string")
     for name, limit in reversed(Z_LIMITS):
         level = F.when(F.abs("_z") >= limit, name).otherwise(level)
-    unusual = judged.withColumn("_z", z).filter(F.abs("_z") >= Z_LIMITS[-1][1]).select(
-        *_finding("unusual_amount", level, F.concat(F.lit("z="), F.format_string("%.4f", F.col("_z"))))
-    )
-    new_vendor = judged.filter(F.col("invoice_date") == F.col("_first")).select(
-        *_finding("new_vendor", "LOW", F.concat(F.lit("first invoice of "), F.col("vendor")))
-    )
-    key = list(duplicate_key)
-    copies = invoices.dropna(subset=key).groupBy(*key).agg(
-        F.count("*").alias("_n"), F.min("doc_id").alias("_original")
-    ).filter("_n > 1")
-    duplicates = invoices.join(copies, key).filter(F.col("doc_id") != F.col("_original")).select(
-        *_finding("duplicate", "HIGH", F.concat(F.lit("same as "), F.col("_original").cast("string")))
-    )
     absent = F.filter(
         F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]), lambda x: x.isNotNull()
     )
-    missing = invoices.withColumn("_m", absent).filter(F.size("_m") > 0).select(
-        *_finding("missing_fields", F.when(F.size("_m") > 1, "HIGH").otherwise("MEDIUM"),
-                  F.array_join("_m", ","))
-    )
     late = F.col("due_date") < F.col("invoice_date")
     future = F.lit(False) if as_of is None else F.col("invoice_date") > as_of
-    dates = invoices.filter(late | future).select(
-        *_finding("date_anomaly", F.when(late, "MEDIUM").otherwise("HIGH"),
-                  F.when(late, "due before invoice date").otherwise("invoice date in the future"))
-    )
-    return (
-        unusual.unionByName(new_vendor).unionByName(duplicates).unionByName(missing).unionByName(dates)
-    )
+    findings = [
+        _finding(F.abs("_z") >= Z_LIMITS[-1][1], "unusual_amount", level,
+                 F.concat(F.lit("z="), F.format_string("%.4f", F.col("_z")))),
+        _finding(F.col("invoice_date") == F.col("_first"), "new_vendor", "LOW",
+                 F.concat(F.lit("first invoice of "), F.col("vendor"))),
+        _finding(F.col("doc_id") != F.col("_original"), "duplicate", "HIGH",
+                 F.concat(F.lit("same as "), F.col("_original").cast("string"))),
+        _finding(F.size("_m") > 0, "missing_fields", F.when(F.size("_m") > 1, "HIGH").otherwise("MEDIUM"),
+                 F.array_join("_m", ",")),
+        _finding(late | future, "date_anomaly", F.when(late, "MEDIUM").otherwise("HIGH"),
+                 F.when(late, "due before invoice date").otherwise("invoice date in the future")),
+    ]
+    # All rules look at a row once; what they find are elements of one array.
+    found = F.filter(F.array(*findings), lambda x: x.isNotNull())
+    rows = judged.withColumn("_z", z).withColumn("_m", absent)
+    return unnest(rows, ["doc_id"], found, "_i", "_f").select("doc_id", "_f.*")
 
 
 def invoice_summary(invoices: DataFrame, top_vendors: int = 5) -> DataFrame:

@@ -162,6 +162,31 @@ def _(t: Tables):
     return found.select("request_id", "key", "answer_id", F.col("answer_id").isNotNull().alias("hit"))
 
 
+# Filters come with even numbers, conversations with every third user.
+_ASKED = """select event_id, ts, event_type, case when user_id % 3 > 0 then 'rag:answer:' || sha256('query ' || k ||
+      case when k % 2 = 0 then '|{"document_type":"en","limit":' || k || '}' else '' end) end as key
+    from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events)"""
+
+
+def keyed_events(t: Tables, kind: str, name: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    wanted = F.when(k % 2 == 0, F.to_json(F.struct(F.lit("en").alias("document_type"), k.alias("limit"))))
+    conversation = F.when(F.col("user_id") % 3 == 0, F.col("user_id"))
+    key = answers.request_key(F.concat(F.lit("Query "), k.cast("string"), F.lit(" ")), wanted, conversation)
+    return t.events.filter(F.col("event_type") == kind).select(F.col("event_id").alias(name), "ts", key.alias("key"))
+
+
+@query("rag_07_filtered_cache", f"""
+    with e as ({_ASKED})
+    select r.event_id as request_id, r.key, (
+      select max_by(a.event_id, (a.ts, a.event_id)) from e a where a.event_type = 'purchase' and a.key = r.key
+        and a.ts <= r.ts and a.ts > r.ts - interval 3600 second) as answer_id
+    from e r where r.event_type = 'view'""")
+def _(t: Tables):
+    found = answers.serve_from_cache(keyed_events(t, "view", "request_id"), keyed_events(t, "purchase", "answer_id"))
+    return found.select("request_id", "key", "answer_id")
+
+
 @query("rag_08_cached_messages", with_ctes(["lookup_v"], """
     select request_id, query_text as title, 0::bigint as turn, 'user' as role,
       query_text as content, cast(null as varchar) as confidence from lookup_v

@@ -119,12 +119,36 @@ def _(t: Tables):
     from a full join b on a.pair_id = b.pair_id and a.field_name = b.field_name
     """.replace("\n    , a as", ", a as", 1)))
 def _(t: Tables):
+    return catalog.compare_fields(order_pairs(t), v.invoice_fields_v(t))
+
+
+def order_pairs(t: Tables) -> DataFrame:
+    """Every order and the one with the next number."""
     pairs = t.orders.select(F.col("o_orderkey").alias("doc_a"),
                             (F.col("o_orderkey") + 1).alias("doc_b"))
     pairs = pairs.join(t.orders.select(F.col("o_orderkey").alias("doc_b")), "doc_b", "left_semi")
-    return catalog.compare_fields(
-        pairs.withColumn("pair_id", F.col("doc_a")), v.invoice_fields_v(t)
-    )
+    return pairs.withColumn("pair_id", F.col("doc_a"))
+
+
+@query("doc_10_compare_documents", with_ctes(["invoice_fields_v", "invoice_text_v", "invoices_v"], """
+    , d as (select t.doc_id, 'invoice ' || t.doc_id as name, t.text, case when i.status = 'P' then 'Unknown' else 'Invoice' end as type
+        from invoice_text_v t join invoices_v i using (doc_id)),
+    p as (select a.doc_id as pair_id, a.name as name_a, b.name as name_b, a.type as type_a, b.type as type_b,
+        a.text as text_a, b.text as text_b from d a join d b on b.doc_id = a.doc_id + 1),
+    c as (select coalesce(a.doc_id, b.doc_id - 1) as pair_id,
+        case when a.doc_id is null then 'added' when b.doc_id is null then 'removed'
+          when a.field_value = b.field_value then 'same' else 'modified' end as change
+      from invoice_fields_v a full join invoice_fields_v b on b.doc_id = a.doc_id + 1 and b.field_name = a.field_name),
+    n as (select pair_id, count(*) filter (change = 'added') as n_added, count(*) filter (change = 'removed') as n_removed,
+        count(*) filter (change = 'modified') as n_modified, count(*) filter (change = 'same') as n_same from c group by 1)
+    select pair_id, name_a, name_b, type_a, type_b, text_a, text_b, type_a = type_b as same_type,
+      coalesce(n_added, 0) as n_added, coalesce(n_removed, 0) as n_removed, coalesce(n_modified, 0) as n_modified,
+      coalesce(n_same, 0) as n_same from p left join n using (pair_id)""".replace("\n    , d as", ", d as", 1)))
+def _(t: Tables):
+    texts = v.invoice_text_v(t).join(v.invoices_v(t).select("doc_id", "status"), "doc_id").select(
+        "doc_id", F.concat(F.lit("invoice "), F.col("doc_id").cast("string")).alias("name"),
+        F.when(F.col("status") != "P", "Invoice").alias("document_type"), "text")
+    return catalog.compare_documents(order_pairs(t), texts, v.invoice_fields_v(t))
 
 
 @query("doc_11_dashboard", with_ctes(["docs_v", "chunks_v"], """

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from doclattice.operators import classify, fields
 from doclattice.plans import sample_queries as sm
@@ -140,6 +141,28 @@ def _(t: Tables):
     return files.read_json_lines(t.spark, path, "conv_id long, turn long, role string, text string")
 
 
+@query("src_02_csv_files", f"""
+    select file, (n - 1) // {tabular.PAGE_ROWS} + 1 as page_number, 'Columns: order | line | price | note' || chr(10) || chr(10)
+      || string_agg(l_orderkey || ' | ' || l_linenumber || ' | ' || printf('%.2f', l_extendedprice) || ' | ' || note, chr(10) order by n) as text
+    from (select *, l_orderkey % 16 as file, case when l_linenumber % 2 = 0 then 'a, "b"' else 'nan' end as note,
+        row_number() over (partition by l_orderkey % 16 order by l_orderkey, l_linenumber, printf('%.2f', l_extendedprice)) as n from lineitem)
+    group by 1, 2""")
+def _(t: Tables):
+    """Order lines written as delimited files with quoted fields and empty cells, and read back as pages."""
+    path, names = fresh_folder(t, "csv"), ("order", "line", "price", "note")
+    lines = t.lineitem.select(
+        (F.col("l_orderkey") % 16).alias("file"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"),
+        F.format_string("%.2f", F.col("l_extendedprice")).alias("price"),
+        F.when(F.col("l_linenumber") % 2 == 0, 'a, "b"').alias("note"))
+    lines.repartition(16, "file").sortWithinPartitions("file", "order", "line", "price").write.partitionBy("file").option(
+        "header", True).option("escape", '"').csv(path)
+    schema = StructType([StructField(n, StringType()) for n in names])
+    good, _ = tabular.read_csv(t.spark, path, schema, escape='"')
+    pages = tabular.tabular_pages(tabular.as_cells(good, list(names)), names)
+    return pages.select(F.regexp_extract("file", r"file=(\d+)/", 1).cast("bigint").alias("file"),
+                        F.col("page_number").cast("bigint").alias("page_number"), "text")
+
+
 # A model that needs no weights: six scores hashed from the file's name.
 _SCORES = "[" + ", ".join(f"round({v.sql_hash_unit(v.sql_str('light'), 'name', str(i))}, 4)" for i in range(6)) + "]"
 _TYPES = "[" + ", ".join(v.sql_str(x) for x in classify.DOCUMENT_TYPES) + "]"

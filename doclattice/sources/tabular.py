@@ -12,14 +12,14 @@ SEPARATOR = " | "
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | None = None, header: bool = True
+    spark: SparkSession, path: str, schema: StructType | None = None, header: bool = True, escape: str = "\\",
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters). Broken rows keep their text instead of failing the read.
 
     Dead letters carry ``file``, ``line`` and whatever columns could be parsed; Spark wants at
     least one of those read along with the line.
     """
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", header).option("mode", "PERMISSIVE").option("escape", escape)
     if schema is None:
         schema = reader.option("inferSchema", "true").csv(path).schema
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
