@@ -19,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclattice.llm.hashing import blocks, encoded, mix, range_sums
+from doclattice.llm.hashing import encoded, mix, range_sums
 
 #: Text worked on at once; arrays take some fifty bytes for each byte of it.
 BLOCK = 1 << 20
 #: Segments and pieces that a task remembers before it begins anew.
-SEGMENTS, PIECES = 1 << 18, 1 << 21
+SEGMENTS, PIECES = 1 << 18, 1 << 20
 #: Segments up to this length are merged side by side in arrays, longer ones one by one with a heap.
 SHORT = 64
 _NEVER = 1 << 60
@@ -433,6 +434,12 @@ class PieceModel:
                 np.concatenate([[0], np.cumsum(pieces)]).astype(np.int32))
 
 
+def _row_blocks(sizes: pa.Array) -> list[tuple[int, int]]:
+    """Consecutive rows of about BLOCK in size together; only these become Python values at once."""
+    edges = np.flatnonzero(np.diff(np.cumsum(np.asarray(sizes, np.int64)) // BLOCK, prepend=0)).tolist()
+    return [(a, b) for a, b in zip([0, *edges], [*edges, len(sizes)]) if a < b]
+
+
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """``docs`` with ids, begins and ends: the pieces of every text and their spans in its UTF-8 bytes.
 
@@ -449,10 +456,9 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceModel(sent.value)
         for batch in batches:
-            texts = encoded(batch.column(text_at).to_pylist())
-            for a, b in blocks(texts, BLOCK):
-                *values, cut = own.encode(texts[a:b])
+            for a, b in _row_blocks(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)):
                 part = batch.slice(a, b - a)
+                *values, cut = own.encode(encoded(part.column(text_at).to_pylist()))
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for v in values]
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, *new.names])
 
@@ -472,14 +478,11 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
         library = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
         for batch in batches:
             # lists of some pieces at a time: as Python numbers they take much more room
-            size = np.asarray(batch.column(ids_at).value_lengths().fill_null(0))
-            edges = np.flatnonzero(np.diff(np.cumsum(size) // BLOCK, prepend=0)).tolist()
-            for a, b in zip([0, *edges], [*edges, len(size)]):
-                if a < b:
-                    part = batch.slice(a, b - a)
-                    lists = [i or [] for i in part.column(ids_at).to_pylist()]
-                    text = pa.array(library.decode(lists, num_threads=1), pa.string())
-                    yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, "decoded"])
+            for a, b in _row_blocks(pc.fill_null(batch.column(ids_at).value_lengths(), 0)):
+                part = batch.slice(a, b - a)
+                lists = [i or [] for i in part.column(ids_at).to_pylist()]
+                text = pa.array(library.decode(lists, num_threads=1), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
