@@ -146,10 +146,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of documents without overlap with the benchmark. Rows that
-    share a doc_id are one document; of rows without doc_id each is one of its own."""
-    own = F.when(F.col("doc_id").isNull(), F.col("hashed"))
-    found = contained(docs, benchmark).select(F.col("doc_id").alias("_doc"), own.alias("_own")).distinct()
+    """The rows of ``docs``, all columns, less those whose text overlaps with the benchmark. Rows are
+    known by doc_id and text together: of rows that share a doc_id, or have none, only those with an
+    overlap of their own go."""
+    found = contained(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("hashed").alias("_hashed")).distinct()
     found = written(found, "contaminated")
-    key = F.when(docs["doc_id"].isNull(), hash_of_text(docs["text"]))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & key.eqNullSafe(found["_own"]), "left_anti")
+    same = docs["doc_id"].eqNullSafe(found["_doc"]) & (hash_of_text(docs["text"]) == found["_hashed"])
+    return docs.join(found, same, "left_anti")

@@ -439,7 +439,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, less all but the smallest doc_id of each group of near
     duplicates. Of rows with the same doc_id and text one stays; rows without doc_id stay. Different
     texts under one doc_id are told apart: only those that are near duplicates go."""
-    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text_or_empty("text"))).alias("_row")
+    # Ids that occur once tell rows apart exactly; where ids repeat, id and text do, by their hash.
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    row = F.col("doc_id").cast("long") if again.isEmpty() else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text_or_empty("text")))
+    row = row.alias("_row")
     keyed = docs.select("*", row)
     found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     found = written(found, "near-duplicates")
