@@ -10,9 +10,10 @@ they count as secrets, and add a span, if few owners hold them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclattice.functions.text import let
 from doclattice.llm.tables import text_or_empty, written
 
 # Kinds in their order, patterns, the group that holds the value, its least length.
@@ -31,6 +32,30 @@ SALT = 32
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string>"
 
 
+#: Numbers added up at once: a fold copies what it has at every step, so it runs in short blocks.
+RUN = 512
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each element of an array<int> the sum of those before it, as array<bigint>; in time that
+    follows the length of the array."""
+    zero = F.array(F.lit(0).cast("long"))
+    last = lambda a: F.element_at(a, -1)
+
+    def block(own: Column, b: Column) -> Column:
+        places = F.sequence(b * RUN, F.least((b + 1) * RUN, F.size(own)) - 1)
+        return F.aggregate(places, zero, lambda s, i: F.concat(s, F.array(last(s) + F.get(own, i))))
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, zero, lambda s, x: F.concat(s, F.array(last(s) + last(x))))
+        return let(starts, lambda at: F.flatten(F.transform(
+            blocks, lambda x, k: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v + F.get(at, k)))))
+
+    sums = let(numbers, lambda own: let(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(own) - 1) / RUN).cast("int")), lambda b: block(own, b)), joined))
+    return F.when(F.size(numbers) > 0, sums).otherwise(F.array().cast("array<bigint>"))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """array<SPAN> of one kind: leftmost non-overlapping matches, those with too short a value
     dropped after matching. Positions are code points, ends exclusive."""
@@ -46,23 +71,18 @@ def spans_of(text: Column, kind: str) -> Column:
         return F.coalesce(ok, F.lit(False))
 
     # Splitting with a limit of -1 keeps empty pieces: piece i stands before match i.
+    size = lambda x: F.coalesce(F.length(x), F.lit(0))
+
+    def walked(both: Column) -> Column:
+        begins = sums_before(F.transform(both, lambda m: size(m["gap"]) + size(m["match"])))
+        placed = F.zip_with(both, begins, lambda m, at: F.struct(
+            (at + F.length(m["gap"])).alias("start"), F.lit(rank).alias("rank"),
+            (at + F.length(m["gap"]) + size(m["match"])).alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")))
+        return F.filter(placed, lambda s: passes(s["value"]))
+
     joined = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), value.alias("value"))
-    walked = F.aggregate(
-        joined,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda s, m: F.struct(
-            (s["at"] + F.length(m["gap"]) + F.coalesce(F.length(m["match"]), F.lit(0))).alias("at"),
-            F.when(
-                passes(m["value"]),
-                F.concat(s["out"], F.array(F.struct(
-                    (s["at"] + F.length(m["gap"])).alias("start"), F.lit(rank).alias("rank"),
-                    (s["at"] + F.length(m["gap"]) + F.length(m["match"])).alias("end"),
-                    F.lit(kind).alias("kind"), m["value"].alias("value")))),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-    )["out"]
     # Most texts have no match: the walk is not even begun.
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(pattern), let(joined, walked)).otherwise(F.array()).cast(f"array<{SPAN}>")
 
 
 def candidates(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -100,19 +120,20 @@ def judged(docs: DataFrame, text: str = "text", repository: str = "doc_id", owne
     """
     found = candidates(docs, text, repository, owner)
     counts = ownership(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    # The base span that reaches furthest of those before a token, and the next one behind it.
+    is_base = F.col("rank") < len(BASE)
+    up = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    overlaps = (F.max(F.when(is_base, F.col("end"))).over(up) > F.col("start")) | (F.min(F.when(is_base, F.col("start"))).over(down) < F.col("end"))
     spans = (
-        found.withColumn("base", base)
-        .select("row", "base", F.explode("spans").alias("s"))
-        .withColumn("digest", F.sha2(F.col("s.value"), 256))
-        .withColumn("free", (F.col("s.rank") < len(BASE)) | ~F.exists(
-            "base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"])))
-        .filter("free")
-        .select("row", "s.start", "s.rank", "s.end", "s.kind", "digest",
+        found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
+        .withColumn("overlaps", F.coalesce(overlaps, F.lit(False)))
+        .filter(is_base | ~F.col("overlaps"))
+        .select("row", "start", "rank", "end", "kind", F.sha2("value", 256).alias("digest"),
                 F.pmod(F.col("row"), F.lit(SALT)).cast("int").alias("salt"))
         .join(counts, ["digest", "salt"])
         .withColumn("live", F.col("n_owners") < example_owners)
-        .filter((F.col("rank") < len(BASE)) | F.col("live"))
+        .filter(is_base | F.col("live"))
     )
     return found, spans.drop("salt")
 

@@ -306,3 +306,27 @@ def test_reply_trees(spark):
 def test_native_plans(spark, data, name):
     plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_a_text_full_of_secrets(spark):
+    """Many matches in one text: positions are running sums, not growing copies."""
+    import time
+
+    def seconds(n):
+        text = "".join(f"token={k:06d}x é " for k in range(n)) + "Aa1" * 10 + " " + "0123456789abcdef" * 2
+        begin = time.perf_counter()
+        row = secrets.scan(make_docs(spark, [(1, text)])).selectExpr(
+            "size(spans) as n", "spans[0].start as first", f"spans[{n - 1}].start as last", f"spans[{n - 1}].end as past").first()
+        assert (row.n, row.first, row.last, row.past) == (n + 2, 0, 16 * (n - 1), 16 * (n - 1) + 13)
+        return time.perf_counter() - begin
+
+    small, large = seconds(2_000), seconds(100_000)
+    assert large < 60 + 5 * small
+
+
+def test_sums_before(spark):
+    rng = random.Random(3)
+    rows = [([rng.randrange(9) for _ in range(n)],) for n in (0, 1, 2, 511, 512, 513, 1024, 1500)]
+    out = spark.createDataFrame(rows, "a array<int>").select("a", secrets.sums_before(F.col("a")).alias("s")).collect()
+    for r in out:
+        assert r.s == [sum(r.a[:k]) for k in range(len(r.a))]
