@@ -197,7 +197,9 @@ def test_secrets(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST_SEEDS, 0])
+def test_decontamination(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", broadcast)  # 0: seeds meet texts in a shuffle
     item = [f"b{i}" for i in range(30)]
     wrong = [w if i % 5 else "other" for i, w in enumerate(item)]
     text = lambda w: "Lead, in " + " ".join(w).upper() + "; and on."
@@ -302,7 +304,7 @@ def test_reply_trees(spark):
     assert chat.conversations(nodes.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op6_secret_ownership", "op9_reply_tree_chat"])
+@pytest.mark.parametrize("name", ["op5_spaced_seed_decontamination", "op6_secret_ownership", "op9_reply_tree_chat"])
 def test_native_plans(spark, data, name):
     plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
