@@ -29,7 +29,7 @@ from doclattice.llm.hashing import encoded, mix, range_sums
 #: Text worked on at once; arrays take some fifty bytes for each byte of it.
 BLOCK = 1 << 20
 #: Segments and pieces that a task remembers before it begins anew.
-SEGMENTS, PIECES = 1 << 18, 1 << 20
+SEGMENTS, PIECES = 1 << 19, 1 << 21
 #: Segments up to this length are merged side by side in arrays, longer ones one by one with a heap.
 SHORT = 64
 _NEVER = 1 << 60
@@ -275,8 +275,9 @@ class PieceModel:
         self.pair, self.pair_place, self.pair_piece = np.array(rows, np.int64).reshape(-1, 3).T.copy()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.table = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        # Known segments by two hashes, sorted by the first, with their rows in the table of pieces.
+        self.known = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        self.table = [np.zeros(0, np.int32) for _ in range(4)]  # ids, begins, ends; pieces of each segment
 
     @staticmethod
     def _bigram(codes: np.ndarray) -> np.ndarray:
@@ -360,8 +361,10 @@ class PieceModel:
             i = end[i]
         return out
 
-    def _learn(self, segments: list[str]) -> None:
-        """Take in the pieces of new segments, short ones first."""
+    def _learn(self, segments: list[str]) -> np.ndarray:
+        """Take in the pieces of new segments, short ones first: the row of each in the table."""
+        size = np.array([len(x) for x in segments], np.int64)
+        order = np.concatenate([np.flatnonzero(size <= SHORT), np.flatnonzero(size > SHORT)])
         short, long = [x for x in segments if len(x) <= SHORT], [x for x in segments if len(x) > SHORT]
         owner, symbol, begin = self._merged_short(short)
         if long:
@@ -384,26 +387,40 @@ class PieceModel:
             ids[stop[k] - len(x):stop[k]] = x
             ends[stop[k] - len(x):stop[k] - 1] = begin[k]
         counts = np.bincount(owner, weights=count, minlength=len(segments))
+        had = len(self.table[3])
         self.table = [np.append(old, new.astype(old.dtype)) for old, new in zip(self.table, (ids, begins, ends, counts))]
-        for text in (*short, *long):
-            self.known[text] = len(self.known)
-
-    @staticmethod
-    def _distinct(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One segment of every kind, and the kind of each segment. Segments are told apart by two
-        64-bit hashes and their length; where one hash does not tell enough, none are put together."""
+        rows = np.empty(len(segments), np.int64)
+        rows[order] = had + np.arange(len(segments))
+        return rows
+
+    def _rows(self, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The row of every segment in the table. Segments are told apart by two 64-bit hashes, which
+        hold their length; where the first alone does not tell them apart, they are learned one by one
+        and not remembered."""
         values = mix(codes.astype(np.uint64) + np.uint64(1))
-        first, second = (range_sums(values, starts, stops, seed) for seed in (0, 1))
-        _, one, which = np.unique(first, return_index=True, return_inverse=True)
-        own = one[which]
-        if (second[own] == second).all() and (stops[own] - starts[own] == stops - starts).all():
-            return one, which
-        every = np.arange(len(starts))
-        return every, every
+        length = (stops - starts).astype(np.uint64)
+        first, second = (mix(range_sums(values, starts, stops, seed) + length) for seed in (0, 1))
+        kinds, one, which = np.unique(first, return_index=True, return_inverse=True)
+        text = lambda k: codes[starts[k]:stops[k]].tobytes().decode("utf-32-le")
+        if not (second[one][which] == second).all():
+            return self._learn([text(k) for k in range(len(starts))])
+        place = np.searchsorted(self.known[0], kinds)
+        at = np.minimum(place, max(len(self.known[0]) - 1, 0))
+        rows, taken = np.full(len(kinds), -1), np.zeros(len(kinds), bool)
+        if len(self.known[0]):
+            taken = self.known[0][at] == kinds
+            same = taken & (self.known[1][at] == second[one])
+            rows[same] = self.known[2][at[same]]
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = self._learn([text(k) for k in one[new].tolist()])
+            keep = new[~taken[new]]
+            self.known = [np.insert(old, place[keep], own[keep]) for old, own in zip(self.known, (kinds, second[one], rows))]
+        return rows[which]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begin, end, cut): pieces of text i are at cut[i]:cut[i + 1], spans in its bytes."""
-        if len(self.known) > SEGMENTS or len(self.table[0]) > PIECES:
+        if len(self.known[0]) > SEGMENTS or len(self.table[0]) > PIECES:
             self._forget()
         codes, origin, cut = self.normalizer(texts)
         if not len(codes):
@@ -412,19 +429,11 @@ class PieceModel:
         new[1:] = ~self.joined[self._bigram(codes)]
         new[cut[:-1][cut[:-1] < len(codes)]] = True
         at = np.flatnonzero(new)
-        stops = np.append(at[1:], len(codes))
-        string = codes.tobytes().decode("utf-32-le")
-        one, which = self._distinct(codes, at, stops)
-        segments = [string[a:b] for a, b in zip(at[one].tolist(), stops[one].tolist())]
-        new = [x for x in dict.fromkeys(segments) if x not in self.known]
-        if new:
-            self._learn(new)
-        rows = [self.known[x] for x in segments]
-        rows = np.array(rows, np.int64)[which]
+        rows = self._rows(codes, at, np.append(at[1:], len(codes)))
         ids, begins, ends, counts = self.table
-        count = counts[rows]
+        count = counts[rows].astype(np.int64)
         first = np.cumsum(count) - count
-        pick = np.arange(count.sum()) + np.repeat((np.cumsum(counts) - counts)[rows] - first, count)
+        pick = np.arange(count.sum()) + np.repeat((np.cumsum(counts, dtype=np.int64) - counts)[rows] - first, count)
         text = np.searchsorted(cut, at, side="right") - 1
         # origin has one entry more a text, so places move on by the number of the text
         shift = np.repeat(at + text, count)
