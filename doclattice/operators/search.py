@@ -76,11 +76,13 @@ def with_filters(query_vectors: DataFrame, chunk_vectors: DataFrame, filters: Da
     return query_vectors.join(wanted, "query_id", "left"), chunk_vectors.join(attributes, "doc_id")
 
 
-def semantic_search(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
+def semantic_search(
+    query_vectors: DataFrame, chunk_vectors: DataFrame, k: int, digits: tuple[int, ...] = (lexical.SCORE_DIGITS,)
+) -> DataFrame:
+    """The ``k`` nearest chunks of each query by cosine, rounded as in :func:`vectors.exact_top_k`."""
     items = chunk_vectors.withColumnRenamed("chunk_id", "item_id")
-    return vectors.exact_top_k(query_vectors, items, k).select(
-        "query_id", F.col("item_id").alias("chunk_id"),
-        F.round("score", lexical.SCORE_DIGITS).alias("score"), "rank",
+    return vectors.exact_top_k(query_vectors, items, k, digits).select(
+        "query_id", F.col("item_id").alias("chunk_id"), "score", "rank",
         F.lit("semantic").alias("search_method"),
     )
 
@@ -111,6 +113,7 @@ def search(
     filters: DataFrame | None = None,
     documents: DataFrame | None = None,
     frequencies: DataFrame | None = None,
+    digits: tuple[int, ...] = (lexical.SCORE_DIGITS,),
 ) -> DataFrame:
     """Candidate lists of twice ``top_k`` per query, fused in hybrid mode.
 
@@ -126,7 +129,7 @@ def search(
         raise ValueError(f"unknown search mode {mode}")
     lists = []
     if mode in ("hybrid", "semantic"):
-        lists.append(semantic_search(query_vectors, chunk_vectors, depth))
+        lists.append(semantic_search(query_vectors, chunk_vectors, depth, digits))
     if mode in ("hybrid", "keyword"):
         lists.append(lexical.keyword_search(queries, index, statistics, depth, allowed, frequencies=frequencies))
     return reciprocal_rank_fusion(lists) if mode == "hybrid" else lists[0]

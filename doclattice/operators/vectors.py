@@ -77,7 +77,16 @@ def _allowed(queries: pa.Table, items: pa.Table) -> np.ndarray | None:
     return out
 
 
-def _best(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
+def _rounded(scores: np.ndarray, digits: tuple[int, ...]) -> np.ndarray:
+    """To each of ``digits`` in turn, halves away from zero."""
+    for n in digits:
+        scaled = scores * 10.0**n
+        whole = np.trunc(scaled)
+        scores = (whole + np.where(np.abs(scaled - whole) >= 0.5, np.sign(scaled), 0.0)) / 10.0**n
+    return scores + 0.0
+
+
+def _best(queries: pa.Table, items: pa.Table, k: int, digits: tuple[int, ...] = (SCORE_DIGITS,)) -> pa.Table:
     """Top k allowed items of each query by rounded score, then smaller id."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     if queries.num_rows and items.num_rows:
@@ -87,13 +96,14 @@ def _best(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
         allowed = _allowed(queries, items)
         for at in range(0, len(q_ids), SCORED_AT_ONCE):
             part = slice(at, at + SCORED_AT_ONCE)
-            scores = np.round(q_unit[part] @ v_unit.T, SCORE_DIGITS) + 0.0
+            scores = q_unit[part] @ v_unit.T
             if allowed is not None:
                 scores[~allowed[part]] = -np.inf
             n = min(k, scores.shape[1])
             least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-            row, col = np.nonzero((scores >= least) & (scores > -np.inf))
-            value = scores[row, col]
+            # Rounding can lift what is about a unit of the last digit below the k-th to its score.
+            row, col = np.nonzero((scores >= least - 2.5 * 10.0 ** -min(digits)) & (scores > -np.inf))
+            value = _rounded(scores[row, col], digits)
             order = np.lexsort((col, -value, row))  # items are by id, so columns break ties
             row, col, value = row[order], col[order], value[order]
             keep = np.arange(len(row)) - np.searchsorted(row, row) < k
@@ -107,16 +117,19 @@ def rank_per_query(pairs: DataFrame, k: int, item: str = "item_id") -> DataFrame
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def exact_top_k(
+    queries: DataFrame, vectors: DataFrame, k: int, digits: tuple[int, ...] = (SCORE_DIGITS,)
+) -> DataFrame:
     """``queries(query_id, embedding)`` x ``vectors(item_id, embedding)`` -> ranked cosine hits.
 
+    Scores are rounded to each of ``digits`` in turn before anything is ranked; equal ones go by id.
     Queries that also have the columns FILTERS get only vectors (with the columns ATTRIBUTES) of
     documents that fit.
     """
     extra = lambda df, names: [c for c in names if c in df.columns]
     queries = queries.select(F.col("query_id").cast("long"), "embedding", *extra(queries, FILTERS))
     vectors = vectors.select(F.col("item_id").cast("long"), "embedding", *extra(vectors, ATTRIBUTES))
-    return rank_per_query(_block_join(queries, vectors, [], k), k)
+    return rank_per_query(_block_join(queries, vectors, [], k, digits=digits), k)
 
 
 def _blocked(side: DataFrame, own: str, keys: list[str], counts: list[DataFrame]) -> DataFrame:
@@ -139,7 +152,7 @@ def _blocked(side: DataFrame, own: str, keys: list[str], counts: list[DataFrame]
 
 def _block_join(
     queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, block: int = BLOCK_ROWS,
-    query_block: int = QUERY_ROWS,
+    query_block: int = QUERY_ROWS, digits: tuple[int, ...] = (SCORE_DIGITS,),
 ) -> DataFrame:
     """Multiply query and vector blocks that share ``keys`` (all of them without keys)."""
 
@@ -154,7 +167,7 @@ def _block_join(
     q_side = _blocked(queries, "qb", keys, counts).groupBy(*group)
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best(left, right, k)
+        return _best(left, right, k, digits)
 
     return q_side.cogroup(v_side).applyInArrow(multiply, _PAIR)
 

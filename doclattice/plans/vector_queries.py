@@ -31,6 +31,8 @@ def sql_embedding(rows: str, key: str, text: str) -> str:
 CTE["chunk_vectors_v"] = (("chunks_v",), sql_embedding("chunks_v", "chunk_id", "content"))
 CTE["query_vectors_v"] = ((), sql_embedding("benchmark", "item_id", "text"))
 
+#: Scores are rounded to so many digits before they are ranked.
+DIGITS = (6,)
 # Cosine of two list<double> columns, rounded and free of negative zero.
 SQL_COS = "round(list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))), 6)"
 
@@ -117,7 +119,7 @@ _TOP = """
     cos=SQL_COS.format(a="q.embedding", b="s.embedding"), q="centroids_v", s="stored_v",
     where="", k=10)))
 def _(t: Tables):
-    return _ranked(vectors.exact_top_k(label_centroids(t), stored_vectors(t), 10))
+    return _ranked(vectors.exact_top_k(label_centroids(t), stored_vectors(t), 10, DIGITS))
 
 
 def _ranked(hits: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def _ranked(hits: DataFrame) -> DataFrame:
     s="(select chunk_id as item_id, embedding from chunk_vectors_v)", where="", k=20)))
 def _(t: Tables):
     items = chunk_vectors_v(t).select(F.col("chunk_id").alias("item_id"), "embedding")
-    return _ranked(vectors.exact_top_k(query_vectors_v(t), items, 20))
+    return _ranked(vectors.exact_top_k(query_vectors_v(t), items, 20, DIGITS))
 
 
 @query("vec_04_approximate_top_k")
@@ -210,7 +212,7 @@ def _(t: Tables):
     kept = vectors.restrict_vectors(
         stored_vectors(t).withColumn("doc_id", F.col("item_id")), ids, typed, "en"
     )
-    return _ranked(vectors.exact_top_k(label_centroids(t), kept, 10))
+    return _ranked(vectors.exact_top_k(label_centroids(t), kept, 10, DIGITS))
 
 
 @query("vec_06_missing_embeddings", with_ctes(["chunks_v"], """

@@ -45,6 +45,23 @@ def test_exact_search_equals_brute_force(spark):
     assert hits_of(vectors.rank_per_query(blocked, 5)) == want
 
 
+def test_hits_are_ranked_by_their_rounded_score(spark):
+    """Scores that are equal to six digits go by id, at the border of the list too."""
+    near = [(1, 1e-4), (2, 0.0), (3, 2e-4), (4, 0.5)]
+    v = spark.createDataFrame([(i, [1.0, y]) for i, y in near], "item_id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert hits_of(vectors.exact_top_k(q, v, 3)) == {0: [2, 1, 3]}
+    assert hits_of(vectors.exact_top_k(q, v, 3, (6,))) == {0: [1, 2, 3]}
+    assert hits_of(vectors.exact_top_k(q, v, 1, (6,))) == {0: [1]}
+    found = search.semantic_search(q, v.withColumnRenamed("item_id", "chunk_id"), 3).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in found] == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    # Rounded once: what nine digits would make a half stays below it.
+    low = 0.7630764996
+    v = spark.createDataFrame([(1, [low, (1 - low * low) ** 0.5])], "item_id long, embedding array<double>")
+    assert vectors.exact_top_k(q, v, 1, (6,)).first().score == 0.763076
+    assert vectors.exact_top_k(q, v, 1, (9, 6)).first().score == 0.763077
+
+
 def test_filtered_search_equals_brute_force(spark):
     from datetime import datetime
 
