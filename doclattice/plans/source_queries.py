@@ -208,8 +208,9 @@ def _(t: Tables):
         "kind", F.concat(F.lit("r"), F.col("k").cast("string")).alias("name"),
         F.when(F.col("kind") == "pdf", "%PDF-1.7 body").otherwise("MZ body").alias("value"))
     written_files(docs.unionByName(csv).unionByName(odd), inbox)
-    stream = ingest.new_files(t.spark, inbox, files_per_batch=400)
-    ingest.start_ingest(stream, root, f"{root}/state", available_now=True, sinks=inbox_sinks()).awaitTermination()
+    stream = ingest.new_files(t.spark, inbox)
+    with ingest.many_files(t.spark):
+        ingest.start_ingest(stream, root, f"{root}/state", available_now=True, sinks=inbox_sinks()).awaitTermination()
     done = t.spark.read.parquet(f"{root}/status").filter("step = 1")
     kind = F.regexp_extract("path", r"\.([a-z]+)$", 1)
     files_of = done.join(t.spark.read.parquet(f"{root}/files").select("doc_id", kind.alias("kind")), "doc_id").groupBy(

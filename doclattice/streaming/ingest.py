@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, max_mb: int = files
     writers.write_table(read, f"{root}/files")
 
     def own(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}").filter(F.col("batch_id") == batch_id)
+        # The batch's folder alone: the whole table would be listed again by every batch.
+        return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}/batch_id={batch_id}")
 
     kept = own("files")
     writers.write_table(kept.filter("reason is not null").select("doc_id", "path", "mime_type", "reason", mark), f"{root}/rejected")
@@ -123,6 +125,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, max_mb: int = files
         F.array(*map(F.lit, ("processing", "failed"))))
     writers.write_table(kept.select(
         "doc_id", F.posexplode(steps).alias("step", "status"), F.col("reason").alias("error"), mark), f"{root}/status")
+    if kept.filter("reason is null").isEmpty():
+        return
     chunks = chunking.reindex_chunks(chunking.fixed_size_chunks(own("pages"))).withColumn(
         "chunk_id", F.concat_ws("-", "doc_id", F.col("chunk_index").cast("string")))
     writers.write_table(chunks.select("*", mark), f"{root}/chunks")
@@ -133,6 +137,26 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, max_mb: int = files
         fan_out(own("pages").drop("batch_id"), batch_id, root, sinks)
 
 
+#: Inboxes hold many small files: a task reads, or looks up, many of them instead of a few or one.
+MANY_FILES = {
+    "spark.sql.files.openCostInBytes": "65536",
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
+}
+
+
+@contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """The session with MANY_FILES, which a file stream reads batch by batch while it runs."""
+    before = {key: spark.conf.get(key) for key in MANY_FILES}
+    try:
+        for key, value in MANY_FILES.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def start_ingest(
     files_stream: DataFrame, root: str, checkpoint: str, available_now: bool = False,
     sinks: dict[str, Sink] | None = None,

@@ -123,3 +123,21 @@ def test_fan_out_retries_and_dead_letters(spark, tmp_path):
     ingest.fan_out(pages, 0, root, sinks)  # the batch again: the same tables
     assert spark.read.parquet(f"{root}/fields").count() == 1 and spark.read.parquet(f"{root}/types").count() == 2
     assert spark.read.parquet(f"{root}/dead_letters").count() == 2
+
+
+def test_ingest_batches_read_their_own_folders(spark, tmp_path):
+    """A first batch without any page, later ones beside a batch whose files cannot be read any more."""
+    inbox, root = tmp_path / "inbox", str(tmp_path / "out")
+    inbox.mkdir()
+    for n, (name, body) in enumerate([("a.exe", "MZ"), ("b.txt", "one two"), ("c.txt", "three")]):
+        (inbox / name).write_text(body)
+        batch = spark.read.format("binaryFile").load(str(inbox / name))
+        ingest.ingest_batch(batch, n, root, sinks={"fields": fields.extract_patterns})
+        if n == 1:
+            for file in (tmp_path / "out" / "files" / "batch_id=1").glob("*.parquet"):
+                file.write_bytes(b"no table")
+    assert [r.reason for r in spark.read.parquet(f"{root}/rejected").collect()] == [
+        "Unsupported file type: application/octet-stream"]
+    assert sorted((r.batch_id, r.text) for r in spark.read.parquet(f"{root}/pages").collect()) == [(1, "one two"), (2, "three")]
+    assert sorted(r.content for r in spark.read.parquet(f"{root}/chunks").collect()) == ["one two", "three"]
+    assert spark.read.parquet(f"{root}/embeddings").count() == 2
