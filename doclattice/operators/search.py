@@ -30,6 +30,8 @@ AGENT_CHARS = 500
 GRAM = 3
 #: Characters of queries that travel to all tasks as one automaton (some fifty bytes of memory each).
 PATTERN_CHARS = 1 << 20
+#: Most table hits (some fifty bytes each) that are sent to all tasks to fetch their texts.
+SENT_HITS = 1 << 18
 
 
 # -- filters ----------------------------------------------------------------------------------
@@ -346,6 +348,8 @@ def table_search(queries: DataFrame, tables: DataFrame, k: int = 5) -> DataFrame
     found = substring_matches(queries, tables, ids)
     order = Window.partitionBy("query_id").orderBy(*ids)
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if queries.count() * k <= SENT_HITS:  # the few hits travel, the texts stay where they are
+        top = F.broadcast(top)
     return top.join(tables.select(*ids, "text"), ids).select(
         "query_id", "rank", F.lit(None).cast("bigint").alias("chunk_id"), "doc_id", "page_number",
         "table_index", F.substring("text", 1, TABLE_CHARS).alias("content"),

@@ -388,3 +388,19 @@ def test_substring_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(search, "PATTERN_CHARS", 0)  # the way for more queries than tasks are sent
     assert sorted(map(tuple, search.substring_matches(q, d, ids).collect())) == want
     assert search.substring_matches(q.limit(0), d, ids).count() == 0
+
+
+def test_table_hits_fetch_their_texts_without_moving_them(spark):
+    queries = spark.createDataFrame([(1, "red"), (2, "pie")], "query_id long, query_text string")
+    tables = spark.createDataFrame([(i, 0, 0, "a Red pie" if i % 2 else "none") for i in range(20)],
+                                   "doc_id long, page_number long, table_index long, text string")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        hits = search.table_search(queries, tables, 2)
+        assert "SortMergeJoin" not in hits._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_id, r["rank"], r.doc_id, r.content) for r in hits.collect()) == [
+            (q, n, d, "a Red pie") for q in (1, 2) for n, d in ((1, 1), (2, 3))]
+    finally:
+        spark.conf.set(limit, before)
