@@ -8,9 +8,11 @@ ndarray``; it is built once per Python worker.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +55,23 @@ def _as_list_array(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(matrix.reshape(-1), kind))
 
 
+def _hashed(words: pa.ListArray, dim: int) -> pa.ListArray:
+    """Buckets of lists of words, as :func:`word_bucket` has them; each different word is hashed once."""
+    coded = words.flatten().dictionary_encode()
+    known = [int(md5(w.encode()).hexdigest()[:7], 16) % dim for w in coded.dictionary.to_pylist()]
+    flat = np.array(known, np.int32)[coded.indices.to_numpy()]
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
-    """Default embedding. Hashing runs in the JVM, counting on whole Arrow batches."""
+    """Default embedding. Words are cut in the JVM, hashed and counted on whole Arrow batches."""
 
     @F.arrow_udf("array<double>")
-    def embed(buckets: pa.Array) -> pa.Array:
-        return _as_list_array(_unit_rows(_count_matrix(buckets, dim)), pa.float64())
+    def embed(words: pa.Array) -> pa.Array:
+        return _as_list_array(_unit_rows(_count_matrix(_hashed(words, dim), dim)), pa.float64())
 
-    return embed(text_buckets(F.coalesce(text, F.lit("")), dim))
+    return embed(tx.lexemes(F.coalesce(text, F.lit("")), stop_words=()))
 
 
 def model_embedding(text: Column, factory: EncoderFactory, batch: int = MODEL_BATCH) -> Column:

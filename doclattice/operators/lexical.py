@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclattice.functions import text as tx
-from doclattice.functions.rows import unnest
 from doclattice.operators.vectors import rank_per_query
 
 K1 = 1.2
@@ -18,6 +21,10 @@ SCORE_DIGITS = 6
 #: so that the list of a very common term is not one file.
 TERM_PARTS = 32
 LIST_FILES = 4
+#: Most candidates of a batch of queries (two numbers each) that are sent to all tasks.
+SENT_CANDIDATES = 1 << 20
+#: Chunks whose words are counted together.
+COUNTED_AT_ONCE = 2_000
 
 
 def _lexemes(text: Column, stop_words: Iterable[str], stem: Callable | None) -> Column:
@@ -32,25 +39,31 @@ def postings(
     stem: Callable[[Column], Column] | None = None,
     keep: tuple[str, ...] = ("chunk_id", "doc_id"),
 ) -> DataFrame:
-    """(chunk, term, tf, dl): counted inside the row over the sorted lexemes, so no shuffle."""
-    s, n = F.col("_s"), F.size("_s")
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
-    )
-    counted = F.transform(
-        F.col("_starts"),
-        lambda p, j: F.struct(
-            F.get(s, p).alias("term"),
-            (F.coalesce(F.get(F.col("_starts"), j + 1), n) - p).alias("tf"),
-        ),
-    )
-    sorted_terms = (
-        chunks.select(*keep, F.array_sort(_lexemes(F.col(text_col), stop_words, stem)).alias("_s"))
-        .withColumn("_starts", F.when(n > 0, starts))
-    )
-    return unnest(sorted_terms, [*keep, n.alias("dl")], counted, "_i", "_p").select(
-        *keep, "_p.term", "_p.tf", "dl"
-    )
+    """(chunk, term, tf, dl): counted inside the Arrow batch over word numbers, so no shuffle and no sort."""
+    terms = chunks.select(*keep, _lexemes(F.col(text_col), stop_words, stem).alias("_t"))
+    schema = T.StructType([
+        *(terms.schema[c] for c in keep), T.StructField("term", T.StringType()),
+        T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType()),
+    ])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNTED_AT_ONCE):
+                batch = whole.slice(at, COUNTED_AT_ONCE)
+                lists = batch.column(len(keep))
+                dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                words = pc.list_flatten(lists).dictionary_encode()
+                own = np.repeat(np.arange(len(dl), dtype=np.int64), dl)
+                size = max(len(words.dictionary), 1)
+                pairs, tf = np.unique(own * size + words.indices.to_numpy(), return_counts=True)
+                row = pairs // size
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(i).take(pa.array(row)) for i in range(len(keep))),
+                    words.dictionary.take(pa.array(pairs % size)),
+                    pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32()),
+                ], schema.names)
+
+    return terms.mapInArrow(count, schema)
 
 
 def term_part(term: Column) -> Column:
@@ -91,6 +104,14 @@ def corpus_statistics(
     )
 
 
+def index_statistics(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """:func:`corpus_statistics` of chunks whose postings are there: their counts add up to the lengths,
+    so no text is read again."""
+    lexemes = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_l"))
+    return chunks.agg(F.count("*").alias("n_chunks")).crossJoin(lexemes).select(
+        "n_chunks", (F.col("_l") / F.nullif("n_chunks", F.lit(0))).alias("avg_len"))
+
+
 def query_terms(
     queries: DataFrame,
     stop_words: Iterable[str] = tx.ENGLISH_STOP_WORDS,
@@ -123,7 +144,7 @@ def keyword_matches(
     completed on (chunk, term), a key without hot values. ``allowed`` may drop candidates by
     document filters before anything is scored. An index with the column ``part`` (:func:`by_term`)
     is read in the folders of the queries' terms only; ``frequencies`` (:func:`term_table`) saves the
-    count over the postings.
+    count over the postings, and lets a search with few candidates leave the postings where they are.
     """
     keys = ["part", "term"] if "part" in index.columns else ["term"]
     vocabulary = terms.select("term", term_part(F.col("term")).alias("part")).distinct()
@@ -133,18 +154,24 @@ def keyword_matches(
     known = terms.join(frequency, "term")
     rarest = (
         known.groupBy("query_id", "n_terms")
-        .agg(F.min(F.struct("df", "term"))["term"].alias("term"), F.count("*").alias("n_known"))
+        .agg(F.min(F.struct("df", "term")).alias("_r"), F.count("*").alias("n_known"))
         .filter("n_known = n_terms")
-        .select("query_id", "term")
+        .select("query_id", "_r.df", "_r.term")
     )
-    candidates = rarest.join(used.select("term", "chunk_id", "doc_id"), "term").select(
+    # Counts that are stored tell how many candidates there will be. If few, they travel to the postings.
+    few = frequencies is not None and (rarest.agg(F.sum("df")).first()[0] or 0) <= SENT_CANDIDATES
+    sent = F.broadcast if few else lambda df: df
+    candidates = used.select("term", "chunk_id", "doc_id").join(sent(rarest.drop("df")), "term").select(
         "query_id", "chunk_id", "doc_id"
     )
     if allowed is not None:
         candidates = allowed(candidates)
+    theirs = used.select("chunk_id", "term", "tf", "dl")
+    if few:
+        theirs = theirs.join(F.broadcast(candidates.select("chunk_id").distinct()), "chunk_id", "left_semi")
     scored = (
         candidates.join(known, "query_id")
-        .join(used.select("chunk_id", "term", "tf", "dl"), ["chunk_id", "term"])
+        .join(theirs, ["chunk_id", "term"])
         .withColumn(
             "_part",
             bm25(

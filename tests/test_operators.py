@@ -374,6 +374,39 @@ def test_unpacked_steps(spark):
     assert [(r.step, len(r.content), len(r.tool_result or "")) for r in rows] == [(0, 2000, 0), (1, 1, 500)]
 
 
+def test_index_is_counted_in_arrow_batches(spark):
+    """No word is sorted, hashed or counted by a lambda of its own; empty, missing and odd texts count as before."""
+    texts = ["b a b. Ünï ünï the", "", None, "the of", "a1 ٣x a1 a1 " * 3]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").withColumn("doc_id", F.col("chunk_id"))
+    index = lexical.postings(chunks)
+    got = {(r.chunk_id, r.term): (r.doc_id, r.tf, r.dl) for r in index.collect()}
+    assert got == {(0, "b"): (0, 2, 4), (0, "ünï"): (0, 2, 4), (4, "a1"): (4, 9, 12), (4, "٣x"): (4, 3, 12)}
+    assert [str(f.dataType) for f in index.schema] == ["LongType()", "LongType()", "StringType()", "IntegerType()", "IntegerType()"]
+    for some in (chunks.filter("chunk_id <> 2"), chunks.filter("chunk_id in (1, 3)"), chunks.filter("false")):
+        assert lexical.index_statistics(lexical.postings(some), some).first() == lexical.corpus_statistics(some).first()
+    for plan in (index, embedding.embed_chunks(chunks)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_sort" not in text and "md5" not in text
+    words = tx.lexemes(F.coalesce("content", F.lit("")), stop_words=())
+    for r in chunks.select(embedding.hashed_embedding(F.col("content")).alias("e"), embedding.text_buckets(F.col("content")).alias("b"), words.alias("w")).collect():
+        counts = np.bincount(r.b or [], minlength=embedding.DIM).astype(float)
+        assert np.allclose(r.e, counts / (np.linalg.norm(counts) or 1.0))
+
+
+def test_postings_stay_where_they_are_for_few_candidates(spark, monkeypatch):
+    texts = ["red fox runs", "red fox", "blue fox runs red", "fox", "red runs"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").withColumn("doc_id", F.col("chunk_id"))
+    asked = spark.createDataFrame([(0, "red fox"), (1, "runs"), (2, "green fox"), (3, "red runs red")], "query_id long, query_text string")
+    index = lexical.postings(chunks).localCheckpoint()
+    counts, found = lexical.index_statistics(index, chunks), []
+    for most, reads in ((lexical.SENT_CANDIDATES, True), (0, False)):
+        monkeypatch.setattr(lexical, "SENT_CANDIDATES", most)
+        hits = lexical.keyword_matches(lexical.query_terms(asked), index, counts, frequencies=lexical.term_table(index))
+        assert ("strategy=broadcast" in hits._jdf.queryExecution().analyzed().toString()) == reads
+        found.append(sorted(map(tuple, hits.collect())))
+    assert found[0] == found[1] and [(q, c) for q, c, *_ in found[0]] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (1, 4), (3, 0), (3, 2), (3, 4)]
+
+
 def test_stored_index_is_pruned_and_not_recounted(spark, data):
     """A search opens only the folders of its terms, and takes document frequencies from their table."""
     from doclattice.plans import load_all
