@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: States that all callers of a rate limit share.
+CALLER_STATES = 1024
+
+
 def rate_limit(
     requests: DataFrame, limit: int, seconds: int = 60, count_rejected: bool = True, lateness: str = "10 minutes"
 ) -> DataFrame:
@@ -21,48 +27,62 @@ def rate_limit(
     watermark (the newest time less ``lateness``) has passed it; then all that came before it is
     there, in whatever batch it arrived, and verdicts are given by (ts, request_id). Later ones are
     dropped by the watermark. At most ``limit`` admitted times are kept when rejected ones do not
-    count; otherwise only what is younger than the window. A caller's state ends when the watermark
-    is a window past its last request.
+    count; otherwise only what is younger than the window. A caller's times end when the watermark
+    is a window past the last of them.
+
+    Callers share states by hash: a call of the state function costs about as much as some thousand
+    verdicts, so their number must not grow with that of the callers.
     """
     width = seconds * 1_000_000
 
     def admit(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        waiting, ids, times = (list(x) for x in state.get) if state.exists else ([], [], [])
+        waiting, ids, callers, times, owners = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
         for rows in batches:
             waiting += rows["us"].tolist()
             ids += rows["request_id"].tolist()
+            callers += rows["caller"].tolist()
         passed = state.getCurrentWatermarkMs() * 1000
-        order = sorted(zip(waiting, ids))
-        ready = [x for x in order if x[0] < passed]
-        later = order[len(ready):]
-        window, filled, allowed = deque(times), [], []
-        for us, _ in ready:
+        order = sorted(zip(waiting, ids, callers), key=itemgetter(0, 1))
+        n = bisect_left(order, passed, key=itemgetter(0))
+        ready, later = order[:n], order[n:]
+        windows, filled, allowed = defaultdict(deque), [], []
+        for owner, us in zip(owners, times):
+            windows[owner].append(us)
+        for us, _, caller in ready:
+            window = windows[caller]
             while window and us - window[0] >= width:
                 window.popleft()
             filled.append(len(window))
             allowed.append(len(window) < limit)
             if allowed[-1] or count_rejected:
                 window.append(us)
-        ends = later[0][0] if later else (window[-1] + width if window else 0)
-        if later or (window and ends > passed):
-            state.update(([x[0] for x in later], [x[1] for x in later], list(window)))
+        # What comes later is not before the watermark: times a window behind it count no more.
+        kept = [(caller, us) for caller, window in windows.items() for us in window if us + width > passed]
+        if later or kept:
+            ends = later[0][0] if later else max(us for _, us in kept) + width
+            state.update(([x[0] for x in later], [x[1] for x in later], [x[2] for x in later],
+                          [us for _, us in kept], [caller for caller, _ in kept]))
             state.setTimeoutTimestamp(max(ends, passed) // 1000 + 1)
         else:
             state.remove()
         if ready:
             yield pd.DataFrame({
-                "request_id": [i for _, i in ready], "caller": [key[0]] * len(ready),
-                "ts": pd.to_datetime(np.array([us for us, _ in ready], "int64"), unit="us", utc=True),
+                "request_id": [i for _, i, _ in ready], "caller": [caller for *_, caller in ready],
+                "ts": pd.to_datetime(np.array([us for us, *_ in ready], "int64"), unit="us", utc=True),
                 "in_window": filled, "allowed": allowed,
             })
 
-    kind = requests.schema["caller"].dataType.simpleString()
+    kind = requests.schema["caller"].dataType
+    # As strings, callers keep all digits in pandas, and a missing one stays apart.
     timed = requests.withWatermark("ts", lateness).select(
-        "request_id", "caller", "ts", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("caller").applyInPandasWithState(
-        admit, f"request_id long, caller {kind}, ts timestamp, in_window long, allowed boolean",
-        "waiting array<long>, ids array<long>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout,
+        "request_id", F.col("caller").cast("string").alias("caller"), "ts", F.unix_micros("ts").alias("us"),
+        F.pmod(F.xxhash64("caller"), F.lit(CALLER_STATES)).alias("_state"))
+    verdicts = timed.groupBy("_state").applyInPandasWithState(
+        admit, "request_id long, caller string, ts timestamp, in_window long, allowed boolean",
+        "waiting array<long>, ids array<long>, callers array<string>, times array<long>, owners array<string>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
+    return verdicts.withColumn("caller", F.col("caller").cast(kind))
 
 
 def cached_answers(

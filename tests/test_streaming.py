@@ -49,6 +49,21 @@ def test_rate_limit_waits_for_late_rows(spark, tmp_path, count_rejected):
     assert {r.request_id: (r.in_window, r.allowed) for r in out if r.request_id >= 0} == brute_limit(rows, 3, 60, count_rejected)
 
 
+def test_rate_limit_shares_states(spark, tmp_path, monkeypatch):
+    """Callers in few states get the verdicts of their own; a missing caller and long numbers are callers too."""
+    monkeypatch.setattr(limiter, "CALLER_STATES", 2)
+    rng = random.Random(8)
+    who = [None, 2**60, 2**60 + 1, 1, 2, 3, 4]
+    rows = [(i, rng.choice(who), START + timedelta(seconds=rng.randrange(1200))) for i in range(400)]
+    rows.sort(key=lambda r: r[2])
+    out = run_batches(spark, str(tmp_path), "request_id long, caller long, ts timestamp",
+                      [rows[:200], rows[200:], [(-1, 99, START + timedelta(days=30))]],
+                      lambda s: limiter.rate_limit(s, 3, 60, True, "2 hours"))
+    found = [r for r in out if r.request_id >= 0]
+    assert {r.request_id: (r.in_window, r.allowed) for r in found} == brute_limit(rows, 3, 60, True)
+    assert {r.request_id: r.caller for r in found} == {i: c for i, c, _ in rows}
+
+
 def test_first_arrivals_over_batches(spark, tmp_path):
     batches = [[(k % 7, "a" if k % 2 else "b") for k in range(n, n + 10)] for n in (0, 3, 11)]
     out = run_batches(spark, str(tmp_path), "user_id long, event_type string", batches,
