@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-#: States that all callers of a rate limit share.
+#: States that all callers of a rate limit, or all keys of an answer cache, share.
 CALLER_STATES = 1024
 
 
@@ -88,19 +88,60 @@ def rate_limit(
 def cached_answers(
     requests: DataFrame, answers: DataFrame, seconds: int = 3600, lateness: str = "10 minutes"
 ) -> DataFrame:
-    """Stream-stream join of requests with earlier answers of the same key younger than the life.
+    """The answer that the cache holds for each request: the newest (largest ``answer_ts``, ``answer_id``)
+    of the same key that is not later than the request and younger than the life.
 
-    The time bound lets both states end with the watermark. A request may match several answers;
-    the newest one (largest ``answer_ts``, ``answer_id``) is the one the cache holds.
+    A request waits until the watermark has passed it, as in :func:`rate_limit`; only then it is
+    answered, once, so that the work does not grow with the pairs of requests and answers of a key.
+    Of the answers before the watermark the newest of each key is kept, until its life ends. Requests
+    without an answer give no row. Keys share states by hash.
     """
-    r = requests.withWatermark("ts", lateness)
-    a = answers.select(
-        F.col("key").alias("answer_key"), "answer_id", F.col("ts").alias("answer_ts")
-    ).withWatermark("answer_ts", lateness)
-    joined = r.join(
-        a,
-        (F.col("key") == F.col("answer_key"))
-        & (F.col("answer_ts") <= F.col("ts"))
-        & (F.col("answer_ts") > F.col("ts") - F.expr(f"interval {seconds} seconds")),
+    width = seconds * 1_000_000
+
+    def look_up(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        parts = list(batches)
+        if state.exists:
+            names, codes, us, ids, asked = state.get
+            parts.append(pd.DataFrame({"key": np.array(names, object)[np.array(codes, "int64")], "us": us, "id": ids, "asked": asked}))
+        rows = pd.concat(parts).dropna(subset=["key"])
+        code, names = pd.factorize(rows["key"])
+        us, ids, asked = rows["us"].to_numpy("int64"), rows["id"].to_numpy("int64"), rows["asked"].to_numpy(bool)
+        # Per key in order of time, answers before requests of the same time: the newest answer comes last.
+        order = np.lexsort((ids, asked, us, code))
+        code, us, ids, asked = code[order], us[order], ids[order], asked[order]
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = us < passed
+        newest = np.maximum.accumulate(np.where(asked, -1, np.arange(len(us))))
+        hits = np.nonzero(asked & ready & (newest >= 0))[0]
+        given = newest[hits]
+        fresh = (code[given] == code[hits]) & (us[given] > us[hits] - width)
+        hits, given = hits[fresh], given[fresh]
+        old = np.nonzero(~asked & ready)[0]
+        last = old[np.append(code[old[1:]] != code[old[:-1]], True)[:len(old)]]
+        kept = ~ready
+        kept[last[us[last] + width > passed]] = True
+        if kept.any():
+            used, codes = np.unique(code[kept], return_inverse=True)
+            state.update(([str(x) for x in names[used]], codes.tolist(), us[kept].tolist(), ids[kept].tolist(), asked[kept].tolist()))
+            waiting = us[kept & asked]
+            ends = int(waiting.min()) if len(waiting) else int(us[kept].max()) + width
+            state.setTimeoutTimestamp(max(ends, passed) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if len(hits):
+            yield pd.DataFrame({
+                "request_id": ids[hits], "key": names[code[hits]], "ts": pd.to_datetime(us[hits], unit="us", utc=True),
+                "answer_id": ids[given], "answer_ts": pd.to_datetime(us[given], unit="us", utc=True),
+            })
+
+    def timed(df: DataFrame, own: str, asked: bool) -> DataFrame:
+        return df.withWatermark("ts", lateness).select(
+            "ts", F.col("key").cast("string").alias("key"), F.unix_micros("ts").alias("us"), F.col(own).cast("long").alias("id"),
+            F.lit(asked).alias("asked"), F.pmod(F.xxhash64("key"), F.lit(CALLER_STATES)).alias("_state"))
+
+    both = timed(requests, "request_id", True).unionByName(timed(answers, "answer_id", False))
+    return both.groupBy("_state").applyInPandasWithState(
+        look_up, "request_id long, key string, ts timestamp, answer_id long, answer_ts timestamp",
+        "keys array<string>, codes array<int>, times array<long>, ids array<long>, asked array<boolean>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
-    return joined.select("request_id", "key", "ts", "answer_id", "answer_ts")

@@ -49,6 +49,34 @@ def test_rate_limit_waits_for_late_rows(spark, tmp_path, count_rejected):
     assert {r.request_id: (r.in_window, r.allowed) for r in out if r.request_id >= 0} == brute_limit(rows, 3, 60, count_rejected)
 
 
+def test_cached_answers_gives_each_request_its_newest_answer(spark, tmp_path, monkeypatch):
+    """One row a request, however many answers its key has; late rows, equal times and missing keys included."""
+    monkeypatch.setattr(limiter, "CALLER_STATES", 2)
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", "c", None]), START + timedelta(seconds=rng.randrange(900) * 4), rng.random() < 0.5)
+            for i in range(600)]
+    rows.sort(key=lambda r: r[2])
+    pieces = [rows[k * 150:(k + 1) * 150] for k in range(4)]
+    late = [r for r in pieces[2] if r[0] % 5 == 0]
+    batches = [pieces[1], pieces[0], [r for r in pieces[2] if r not in late], pieces[3] + late,
+               [(-1, None, START + timedelta(days=30), None)]]
+
+    def build(s):
+        asked, given = s.filter("asked or asked is null"), s.filter("not asked or asked is null")
+        return limiter.cached_answers(asked.withColumnRenamed("id", "request_id"),
+                                      given.withColumnRenamed("id", "answer_id"), 300, "2 hours")
+
+    out = run_batches(spark, str(tmp_path), "id long, key string, ts timestamp, asked boolean", batches, build)
+    want = {}
+    for i, key, ts, asked in rows:
+        held = [(t, n) for n, k, t, question in rows if not question and key is not None and k == key
+                and t <= ts < t + timedelta(seconds=300)]
+        if asked and held:
+            want[i] = (key, ts, max(held)[1], max(held)[0])
+    assert len(out) == len(want) and len(want) > 100
+    assert {r.request_id: (r.key, r.ts, r.answer_id, r.answer_ts) for r in out} == want
+
+
 def test_rate_limit_shares_states(spark, tmp_path, monkeypatch):
     """Callers in few states get the verdicts of their own; a missing caller and long numbers are callers too."""
     monkeypatch.setattr(limiter, "CALLER_STATES", 2)
