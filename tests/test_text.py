@@ -89,3 +89,30 @@ def test_plural_stem(spark):
     got = {r.w: r.s for r in df.select("w", tx.plural_stem(F.col("w")).alias("s")).collect()}
     assert got["flies"] == "fly" and got["cats"] == "cat" and got["class"] == "class"
     assert got["bus"] == "bus"
+
+
+def test_java_forms_match_what_the_patterns_match(spark):
+    """Random texts out of the parts that the patterns are about: the faster forms leave the same text."""
+    import random
+
+    rng = random.Random(24)
+    parts = ["\n", "\n\n\n", " ", "\t", "-", "12", "7", "/", "Page", "pg.", " of ", "DRAFT", "copy", "Do Not Distribute", "sAMPLE",
+             "INTERNAL USE ONLY", "confidential", "privileged", "Watermark", "not for distribution", "____", "__", "---", "--",
+             "===", "==", "....", "..", "\f", " ", "é", "©", "word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    groups = (tx.PAGE_NUMBER_PATTERNS, tx.WATERMARK_PATTERNS, tx.NOISE_PATTERNS)
+    for patterns in groups:
+        plain = F.col("text")
+        for p in patterns:
+            plain = F.regexp_replace(plain, "(?d)" + p, "")
+        assert df.filter(tx.remove_all(F.col("text"), patterns) != plain).count() == 0
+
+
+def test_cleaning_does_not_grow_with_the_cube_of_blank_lines(spark):
+    import time
+
+    df = spark.createDataFrame([("a\n" + " \n" * 2500 + "b",)], "text string")
+    start = time.time()
+    assert df.select(tx.remove_page_numbers(F.col("text"))).first()[0] == "a\n" + " \n" * 2500 + "b"
+    assert time.time() - start < 20
