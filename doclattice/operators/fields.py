@@ -40,6 +40,18 @@ FIELD_SCHEMAS = {
 }
 # ---------------------------------------------------------------------------------------------
 
+# Some of these patterns as Java's engine finds them faster, with the same matches: a class of the first
+# characters ahead, parts that never need to give anything back, letters of either case where letters are.
+# A number in a run of digits is tried from the run's start only.
+_JAVA_FORMS = {
+    FIELD_PATTERNS["phone"]: r"(?=[+(\d])" + FIELD_PATTERNS["phone"],
+    FIELD_PATTERNS["date"]: (
+        r"(?=[\dJFMASONDjfmasond])\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2}|"
+        r"(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[A-Za-z]*\s+\d{1,2},?\s+\d{4})\b"
+    ),
+    FIELD_PATTERNS["amount"]: r"(?=[$\d])(?:\$[\d,]++\.?+\d*+|(?<!\d)\d++(?:\.\d*+)?+\s*+(?:USD|EUR|GBP))",
+}
+
 # Default offline tagger: a pattern per entity label; any tagger may supply such rows instead.
 TAGGER_PATTERNS = {
     "DATE": r"\d{4}-\d{2}-\d{2}",
@@ -50,6 +62,10 @@ TAGGER_PATTERNS = {
 }
 
 
+def _matches(text_col: str, pattern: str) -> Column:
+    return F.regexp_extract_all(F.col(text_col), F.lit(_JAVA_FORMS.get(pattern, pattern)), F.lit(0))
+
+
 def extract_patterns(
     documents: DataFrame, text_col: str = "text", patterns: dict[str, str] = FIELD_PATTERNS
 ) -> DataFrame:
@@ -57,7 +73,7 @@ def extract_patterns(
     per_field = F.array(*[
         F.struct(
             F.lit(name).alias("field_name"),
-            F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(0))).alias("v"),
+            F.array_distinct(_matches(text_col, p)).alias("v"),
         )
         for name, p in patterns.items()
     ])

@@ -454,3 +454,27 @@ def test_table_hits_fetch_their_texts_without_moving_them(spark):
             (q, n, d, "a Red pie") for q in (1, 2) for n, d in ((1, 1), (2, 3))]
     finally:
         spark.conf.set(limit, before)
+
+
+def field_texts(spark, n=1500):
+    rng = random.Random(25)
+    parts = ["a.b%c", "@", "x.org", "mail-me", "+1", "1", "(555)", " 555", "-", ".", " ", "\n", "0199", "123", "12", "1999", "/", "Jan",
+             "sEPt", "december", ",", "$", "USD", "EUR", "GBP", " EUR", "https://", "é", "Supplier#", "INVOICE ", "net "]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_java_forms_of_field_patterns_find_the_same(spark):
+    df = field_texts(spark)
+    for pattern, form in fields._JAVA_FORMS.items():
+        plain, fast = (F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (pattern, form))
+        assert df.filter(F.size(plain) > 0).count() > 5 and df.filter(plain != fast).count() == 0
+
+
+def test_amounts_do_not_grow_with_the_cube_of_a_number(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "7" * 4000 + " $5")], "doc_id long, text string")
+    start = time.time()
+    found = fields.extract_patterns(df, patterns={"amount": fields.FIELD_PATTERNS["amount"]})
+    assert [r.field_value for r in found.collect()] == ["$5"] and time.time() - start < 20
