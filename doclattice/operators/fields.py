@@ -124,6 +124,28 @@ def entity_fields(entities: DataFrame) -> DataFrame:
              F.lit(ENTITY_CONFIDENCE).alias("confidence"))
 
 
+def merged_values(
+    documents: DataFrame, text_col: str = "text", patterns: dict[str, str] = FIELD_PATTERNS,
+    tags: dict[str, str] = TAGGER_PATTERNS,
+) -> DataFrame:
+    """Set union of what :func:`extract_patterns` and :func:`entity_fields` of :func:`tag_entities` give
+    per document and field, found in one reading of the text. Places of the entities are not asked for,
+    so the text is not split, and equal values of a field meet in the row."""
+    found = {name: [_matches(text_col, p)] for name, p in patterns.items()}
+    for label, p in tags.items():
+        if label in ENTITY_FIELDS:
+            values = F.transform(_matches(text_col, p), tx.strip)
+            found.setdefault(ENTITY_FIELDS[label], []).append(values)
+    per_field = F.array(*[
+        F.struct(F.lit(name).alias("field_name"),
+                 F.array_distinct(F.concat(*v) if len(v) > 1 else v[0]).alias("v"))
+        for name, v in found.items()
+    ])
+    matched = unnest(documents, ["doc_id"], per_field, "_n", "_f")
+    values = unnest(matched, ["doc_id", "_f.field_name"], "_f.v", "_n", "field_value")
+    return merge_extractions(values)
+
+
 def merge_extractions(*tables: DataFrame) -> DataFrame:
     """Set union of extracted values per document and field."""
     cols = ["doc_id", "field_name", "field_value"]

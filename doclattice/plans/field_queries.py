@@ -175,9 +175,7 @@ def _(t: Tables):
     select doc_id, field_name, field_value from regex_fields_v
     union select doc_id, field_name, field_value from entity_fields_v"""))
 def _(t: Tables):
-    return fields.merge_extractions(
-        fields.extract_patterns(texts_v(t)), fields.entity_fields(fields.tag_entities(texts_v(t)))
-    )
+    return fields.merged_values(texts_v(t))
 
 
 CTE["stored_fields_v"] = (("invoice_fields_v",), """

@@ -478,3 +478,11 @@ def test_amounts_do_not_grow_with_the_cube_of_a_number(spark):
     start = time.time()
     found = fields.extract_patterns(df, patterns={"amount": fields.FIELD_PATTERNS["amount"]})
     assert [r.field_value for r in found.collect()] == ["$5"] and time.time() - start < 20
+
+
+def test_merged_values_read_the_text_once(spark):
+    df = field_texts(spark, 600)
+    merged = fields.merged_values(df)
+    parts = fields.merge_extractions(fields.extract_patterns(df), fields.entity_fields(fields.tag_entities(df)))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, parts.collect())) and parts.count() > 300
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
