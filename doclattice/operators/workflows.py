@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,37 +85,65 @@ def invoice_summary(invoices: DataFrame, top_vendors: int = 5) -> DataFrame:
     return totals.unionByName(vendors)
 
 
+def _sentence_sums(lists: Column) -> Column:
+    """Per sentence of a document (an array of word arrays): how often its distinct words are in the
+    document, added up, and how many they are. Counted on word numbers of whole Arrow batches."""
+
+    @F.arrow_udf("array<struct<total:long,n:long>>")
+    def sums(documents: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(documents), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sentences = documents.flatten()
+        lengths = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = sentences.flatten().dictionary_encode()
+        known = max(len(words.dictionary), 1)
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.repeat(np.arange(len(lengths)), lengths)
+        document = np.repeat(np.arange(len(sizes)), sizes)
+        _, own, tf = np.unique(document[place] * known + code, return_inverse=True, return_counts=True)
+        pairs, first = np.unique(place * known + code, return_index=True)
+        total = np.bincount(pairs // known, weights=tf[own[first]], minlength=len(lengths)).astype(np.int64)
+        n = np.bincount(pairs // known, minlength=len(lengths))
+        found = pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(n, pa.int64())], ["total", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), found)
+
+    return sums(lists)
+
+
+def _scored(documents: DataFrame) -> DataFrame:
+    """(doc, sentences as an array of (score, pos, sentence)), all inside the row."""
+    sents = documents.select("doc_id", tx.sentences(F.col("text")).alias("_s"))
+    counted = sents.withColumn(
+        "_c", _sentence_sums(F.coalesce(F.transform("_s", lambda s: tx.lexemes(s)), F.array().cast("array<array<string>>"))))
+    score = lambda c: F.when(c["n"] > 0, F.round(c["total"] / c["n"], 6)).otherwise(0.0)
+    rows = F.zip_with("_s", "_c", lambda s, c: F.struct(score(c).alias("score"), s.alias("sentence")))
+    return counted.select("doc_id", F.transform(rows, lambda r, i: F.struct(
+        r["score"].alias("score"), i.alias("pos"), r["sentence"].alias("sentence"))).alias("_r"))
+
+
 def sentence_scores(documents: DataFrame) -> DataFrame:
     """(doc, pos, sentence, score): mean document frequency of the sentence's distinct lexemes.
 
-    Sentences are exploded once; word counts and sentence sums are aggregates on (doc, word) and
-    (doc, pos), keys without hot values.
+    A document is scored inside its row: no word leaves it, so nothing is shuffled.
     """
-    sents = unnest(documents, ["doc_id"], tx.sentences(F.col("text")), "pos", "sentence")
-    runs = tx.token_runs(tx.lexemes(F.col("sentence")))
-    words = unnest(sents, ["doc_id", "pos"], runs, "_i", "_r")
-    words = words.select("doc_id", "pos", F.col("_r.token").alias("w"), F.col("_r.n").alias("n"))
-    tf = words.groupBy("doc_id", "w").agg(F.sum("n").alias("tf"))
-    scores = words.join(tf, ["doc_id", "w"]).groupBy("doc_id", "pos").agg(
-        F.round(F.sum("tf") / F.count("*"), 6).alias("score")
-    )
-    return sents.join(scores, ["doc_id", "pos"], "left").na.fill(0.0, ["score"])
+    return unnest(_scored(documents), ["doc_id"], "_r", "_i", "_e").select(
+        "doc_id", F.col("_i").alias("pos"), "_e.sentence", "_e.score")
 
 
 def extractive_summaries(documents: DataFrame, levels: dict[str, int] = SUMMARY_SENTENCES) -> DataFrame:
     """Summary texts per document and level: the best sentences, in text order."""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
-    best = sentence_scores(documents).withColumn("_r", F.row_number().over(order)).filter(
-        F.col("_r") <= max(levels.values())
-    )
-    per_level = best.withColumn("level", F.explode(F.filter(
-        F.array(*[F.when(F.col("_r") <= n, F.lit(name)) for name, n in levels.items()]),
-        lambda x: x.isNotNull(),
-    )))
-    return per_level.groupBy("doc_id", "level").agg(
-        F.expr("listagg(sentence, ' ') within group (order by pos)").alias("summary"),
-        F.count("*").alias("n_sentences"),
-    )
+    ranked = F.array_sort(F.transform("_r", lambda r: F.struct(
+        (-r["score"]).alias("o"), r["pos"].alias("pos"), r["sentence"].alias("sentence"))))
+    best = _scored(documents).filter(F.size("_r") > 0).select(
+        "doc_id", F.slice(ranked, 1, max(levels.values())).alias("_b"))
+    in_order = lambda n: F.array_sort(F.transform(
+        F.slice("_b", 1, n), lambda b: F.struct(b["pos"].alias("pos"), b["sentence"].alias("sentence"))))
+    per_level = F.array(*[
+        F.struct(F.lit(name).alias("level"),
+                 F.array_join(F.transform(in_order(n), lambda b: b["sentence"]), " ").alias("summary"),
+                 F.least(F.size("_b"), F.lit(n)).cast("long").alias("n_sentences"))
+        for name, n in levels.items()
+    ])
+    return unnest(best, ["doc_id"], per_level, "_n", "_l").select("doc_id", "_l.*")
 
 
 def citation(name: Column, page: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
 from doclattice.operators import (answers, classify, embedding, fields, lexical, metrics, samples,
-                                  search, usage, vectors)
+                                  search, usage, vectors, workflows)
 from doclattice.plans.registry import Tables
 
 
@@ -486,3 +486,30 @@ def test_merged_values_read_the_text_once(spark):
     parts = fields.merge_extractions(fields.extract_patterns(df), fields.entity_fields(fields.tag_entities(df)))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, parts.collect())) and parts.count() > 300
     assert merged._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_summaries_move_no_words(spark):
+    """Sentences of all kinds against a plain count, and a plan without any shuffle."""
+    from collections import Counter
+
+    rng = random.Random(22)
+    words = ["Apple", "pie", "the", "Tree", "house", "Über", "x1", "--"]
+    texts = ["", None, "...", "No end"] + [
+        ". ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(7))).capitalize() for _ in range(rng.randrange(14)))
+        for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists = docs.select("doc_id", F.transform(tx.sentences(F.col("text")), lambda s: F.struct(
+        s.alias("s"), tx.lexemes(s).alias("w"))).alias("l")).collect()
+    want = {}
+    for doc, sents in lists:
+        tf = Counter(w for s in sents or [] for w in s["w"])
+        best = sorted((-round(sum(tf[w] for w in set(s["w"])) / len(set(s["w"])), 6) if s["w"] else 0.0, i) for i, s in enumerate(sents or []))
+        for name, n in workflows.SUMMARY_SENTENCES.items():
+            if best:
+                kept = sorted(i for _, i in best[:n])
+                want[doc, name] = (" ".join(sents[i]["s"] for i in kept), len(kept))
+    found = workflows.extractive_summaries(docs)
+    assert {(r.doc_id, r.level): (r.summary, r.n_sentences) for r in found.collect()} == want and len(want) > 300
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    scores = workflows.sentence_scores(docs)
+    assert scores.columns == ["doc_id", "pos", "sentence", "score"] and scores.count() == sum(len(s or []) for _, s in lists)
