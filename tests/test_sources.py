@@ -91,3 +91,18 @@ def test_text_files_are_bounded(spark, data, monkeypatch):
     heads = heads.filter(F.col("value").rlike("^# [0-9]+$"))
     assert heads.count() == tables.documents.filter("text is not null").count()
     assert heads.groupBy("path").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_parts_of_a_folder_are_numbered_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Part files of a folder are one file in the order of their names, whatever blocks their lines are cut into."""
+    monkeypatch.setattr(tabular, "BLOCK_ROWS", 3)
+    folder = tmp_path / "table"
+    folder.mkdir()
+    lines = [f"r{i}" for i in range(23)]
+    for n, (low, high) in enumerate([(0, 10), (10, 12), (12, 23)]):
+        (folder / f"part-0000{n}.csv").write_text("\n".join(["a", *lines[low:high]]) + "\n")
+    good, _ = tabular.read_csv(spark, str(folder))
+    cells = tabular.folder_parts(tabular.as_cells(good, ["a"]))
+    assert cells.groupBy("file", "block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 3
+    pages = {r.page_number: r.text for r in tabular.tabular_pages(cells, ("a",), 8).collect()}
+    assert pages == {k + 1: "Columns: a\n\n" + "\n".join(lines[k * 8:k * 8 + 8]) for k in range(3)}
