@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclattice.functions import text as tx
+from doclattice.functions.rows import unnest
 from doclattice.operators.vectors import rank_per_query
 
 K1 = 1.2
@@ -25,6 +26,8 @@ LIST_FILES = 4
 SENT_CANDIDATES = 1 << 20
 #: Chunks whose words are counted together.
 COUNTED_AT_ONCE = 2_000
+#: Most (query, term) pairs of a batch of queries that travel to the packed terms of the chunks.
+SENT_TERMS = 1 << 20
 
 
 def _lexemes(text: Column, stop_words: Iterable[str], stem: Callable | None) -> Column:
@@ -47,23 +50,141 @@ def postings(
     ])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, COUNTED_AT_ONCE):
-                batch = whole.slice(at, COUNTED_AT_ONCE)
-                lists = batch.column(len(keep))
-                dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                words = pc.list_flatten(lists).dictionary_encode()
-                own = np.repeat(np.arange(len(dl), dtype=np.int64), dl)
-                size = max(len(words.dictionary), 1)
-                pairs, tf = np.unique(own * size + words.indices.to_numpy(), return_counts=True)
-                row = pairs // size
+        for batch in _pieces(batches):
+            row, term, tf, dl = _counted(batch.column(len(keep)))
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(i).take(pa.array(row)) for i in range(len(keep))),
+                term, pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32()),
+            ], schema.names)
+
+    return terms.mapInArrow(count, schema)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, COUNTED_AT_ONCE):
+            yield whole.slice(at, COUNTED_AT_ONCE)
+
+
+def _counted(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Rows, different terms and their counts, row by row, and the length of every row."""
+    dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    words = pc.list_flatten(lists).dictionary_encode()
+    own = np.repeat(np.arange(len(dl), dtype=np.int64), dl)
+    size = max(len(words.dictionary), 1)
+    pairs, tf = np.unique(own * size + words.indices.to_numpy(), return_counts=True)
+    return pairs // size, words.dictionary.take(pa.array(pairs % size)), tf, dl
+
+
+def packed_terms(
+    chunks: DataFrame,
+    text_col: str = "content",
+    stop_words: Iterable[str] = tx.ENGLISH_STOP_WORDS,
+    stem: Callable[[Column], Column] | None = None,
+    keep: tuple[str, ...] = ("chunk_id", "doc_id"),
+) -> DataFrame:
+    """:func:`postings` with the terms of a chunk side by side in its row: (chunk, terms, tfs, dl).
+
+    Nothing is shuffled or sorted to build it, and a chunk that has all terms of a query is found in
+    its own row, so a batch of queries travels to the chunks and no posting leaves its task.
+    """
+    terms = chunks.select(*keep, _lexemes(F.col(text_col), stop_words, stem).alias("_t"))
+    schema = T.StructType([
+        *(terms.schema[c] for c in keep), T.StructField("terms", T.ArrayType(T.StringType())),
+        T.StructField("tfs", T.ArrayType(T.IntegerType())), T.StructField("dl", T.IntegerType()),
+    ])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            row, term, tf, dl = _counted(batch.column(len(keep)))
+            ends = pa.array(np.searchsorted(row, np.arange(len(dl) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(ends, term),
+                pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32())), pa.array(dl, pa.int32()),
+            ], schema.names)
+
+    return terms.mapInArrow(pack, schema)
+
+
+def is_packed(index: DataFrame) -> bool:
+    return "tfs" in index.columns
+
+
+def unpacked(index: DataFrame) -> DataFrame:
+    """Postings out of :func:`packed_terms`."""
+    keep = [c for c in index.columns if c not in ("terms", "tfs", "dl")]
+    pairs = F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))
+    return unnest(index, [*keep, "dl"], pairs, "_n", "_p").select(*keep, "_p.term", "_p.tf", "dl")
+
+
+def _codes(lists: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of the vocabulary stand: place among all terms, row, number of the word."""
+    code = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    at = np.nonzero(code >= 0)[0]
+    return at, np.repeat(np.arange(len(size)), size)[at], code[at]
+
+
+def _vocabulary_counts(index: DataFrame, vocabulary: pa.Array) -> DataFrame:
+    """(term, df) of the words of the vocabulary that any chunk has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            total += np.bincount(_codes(batch.column(0), vocabulary)[2], minlength=len(vocabulary))
+        found = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([vocabulary.take(pa.array(found)), pa.array(total[found])], ["term", "n"])
+
+    counts = index.select("terms").mapInArrow(count, "term string, n long")
+    return counts.groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def _packed_matches(asked: pa.Table, index: DataFrame, vocabulary: pa.Array) -> DataFrame:
+    """(query, chunk, term, tf, dl) of the chunks that have all terms of a query, found in their rows:
+    the chunks of the query's rarest term in the batch, less those without the next one, and so on."""
+    keep = ("chunk_id", "doc_id")
+    asked = asked.sort_by("query_id")
+    ids, first, n = np.unique(asked["query_id"].to_numpy(), return_index=True, return_counts=True)
+    words = pc.index_in(asked["term"], value_set=vocabulary).to_numpy()
+    whole = asked["n_terms"].to_numpy()[first] == n
+    schema = T.StructType([
+        T.StructField("query_id", T.LongType()), *(index.schema[c] for c in keep), T.StructField("n_terms", T.IntegerType()),
+        T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType()),
+    ])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keep))
+            at, row, code = _codes(lists, vocabulary)
+            by_word = np.argsort(code, kind="stable")  # rows stay in order within a word
+            at, row = at[by_word], row[by_word]
+            start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(vocabulary)))])
+            size = np.diff(start)
+            found = [(np.zeros(0, np.int64),) * 3]
+            possible = np.nonzero((np.minimum.reduceat(size[words], first) > 0) & whole)[0] if len(ids) else []
+            for q in possible:
+                own = words[first[q] : first[q] + n[q]]
+                own = own[np.argsort(size[own], kind="stable")]
+                rows = row[start[own[0]] : start[own[0] + 1]]
+                for w in own[1:]:
+                    theirs = row[start[w] : start[w + 1]]
+                    near = np.minimum(np.searchsorted(theirs, rows), len(theirs) - 1)
+                    rows = rows[theirs[near] == rows]
+                    if not len(rows):
+                        break
+                for w in own if len(rows) else ():
+                    place = start[w] + np.searchsorted(row[start[w] : start[w + 1]], rows)
+                    found.append((np.full(len(rows), q), rows, at[place]))
+            query, rows, place = (np.concatenate(c) for c in zip(*found))
+            if len(rows):
+                rows, place = pa.array(rows), pa.array(place)
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(i).take(pa.array(row)) for i in range(len(keep))),
-                    words.dictionary.take(pa.array(pairs % size)),
-                    pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32()),
+                    pa.array(ids[query], pa.int64()), *(batch.column(i).take(rows) for i in range(len(keep))),
+                    pa.array(n[query], pa.int32()), pc.list_flatten(lists).take(place),
+                    pc.list_flatten(batch.column(len(keep) + 1)).take(place), batch.column(len(keep) + 2).take(rows),
                 ], schema.names)
 
-    return terms.mapInArrow(count, schema)
+    return index.select(*keep, "terms", "tfs", "dl").mapInArrow(find, schema)
 
 
 def term_part(term: Column) -> Column:
@@ -107,6 +228,8 @@ def corpus_statistics(
 def index_statistics(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """:func:`corpus_statistics` of chunks whose postings are there: their counts add up to the lengths,
     so no text is read again."""
+    if is_packed(index):
+        return index.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_len"))
     lexemes = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_l"))
     return chunks.agg(F.count("*").alias("n_chunks")).crossJoin(lexemes).select(
         "n_chunks", (F.col("_l") / F.nullif("n_chunks", F.lit(0))).alias("avg_len"))
@@ -145,7 +268,19 @@ def keyword_matches(
     document filters before anything is scored. An index with the column ``part`` (:func:`by_term`)
     is read in the folders of the queries' terms only; ``frequencies`` (:func:`term_table`) saves the
     count over the postings, and lets a search with few candidates leave the postings where they are.
+
+    The queries travel to an index of :func:`packed_terms` instead, up to SENT_TERMS terms of them;
+    its full matches are found row by row, and only they leave their task.
     """
+    if is_packed(index):
+        asked = terms.select(F.col("query_id").cast("long"), "n_terms", "term").limit(SENT_TERMS + 1).toArrow()
+        if asked.num_rows <= SENT_TERMS:
+            vocabulary = pc.unique(asked["term"])
+            found = _packed_matches(asked, index, vocabulary)
+            known = _vocabulary_counts(index, vocabulary) if frequencies is None else frequencies
+            matches = (found if allowed is None else allowed(found)).join(F.broadcast(known), "term")
+            return _scored(matches, statistics)
+        index = unpacked(index)
     keys = ["part", "term"] if "part" in index.columns else ["term"]
     vocabulary = terms.select("term", term_part(F.col("term")).alias("part")).distinct()
     used = index.join(vocabulary.select(*keys), keys, "left_semi")
@@ -169,16 +304,17 @@ def keyword_matches(
     theirs = used.select("chunk_id", "term", "tf", "dl")
     if few:
         theirs = theirs.join(F.broadcast(candidates.select("chunk_id").distinct()), "chunk_id", "left_semi")
-    scored = (
-        candidates.join(known, "query_id")
-        .join(theirs, ["chunk_id", "term"])
-        .withColumn(
-            "_part",
-            bm25(
-                F.col("tf"), F.col("dl"), F.col("df"),
-                statistics.select("n_chunks").scalar(), statistics.select("avg_len").scalar(),
-            ),
-        )
+    return _scored(candidates.join(known, "query_id").join(theirs, ["chunk_id", "term"]), statistics)
+
+
+def _scored(matches: DataFrame, statistics: DataFrame) -> DataFrame:
+    """BM25 of the chunks with all terms, out of one row per query, chunk and term found."""
+    scored = matches.withColumn(
+        "_part",
+        bm25(
+            F.col("tf"), F.col("dl"), F.col("df"),
+            statistics.select("n_chunks").scalar(), statistics.select("avg_len").scalar(),
+        ),
     )
     return (
         scored.groupBy("query_id", "chunk_id", "doc_id", "n_terms")

@@ -407,6 +407,33 @@ def test_postings_stay_where_they_are_for_few_candidates(spark, monkeypatch):
     assert found[0] == found[1] and [(q, c) for q, c, *_ in found[0]] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (1, 4), (3, 0), (3, 2), (3, 4)]
 
 
+def test_packed_index_finds_the_same_without_a_shuffle_of_postings(spark, monkeypatch):
+    """Building and matching shuffle nothing; scores are those of the long postings, also of more queries than travel."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("red fox runs blue green the a owl".split(), k=rng.randint(0, 9))) for _ in range(300)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").withColumn("doc_id", F.col("chunk_id") % 7)
+    asked = spark.createDataFrame(
+        [(i, " ".join(rng.choices("red fox runs blue green owl".split(), k=rng.randint(1, 4)))) for i in range(40)]
+        + [(40, "absent fox"), (41, ""), (42, None)], "query_id long, query_text string")
+    terms = lexical.query_terms(asked)
+    index, packed = lexical.postings(chunks).localCheckpoint(), lexical.packed_terms(chunks)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, lexical.unpacked(packed).select(index.columns).collect())) == sorted(map(tuple, index.collect()))
+    stats = lexical.index_statistics(packed, chunks)
+    assert stats.first() == lexical.index_statistics(index, chunks).first()
+    packed = packed.localCheckpoint().repartition(5)
+    even = lambda c: c.filter("doc_id % 2 = 0")
+    same = lambda df: sorted(map(tuple, df.collect()))
+    for allowed in (None, even):
+        wanted = same(lexical.keyword_matches(terms, index, stats, allowed))
+        for most in (lexical.SENT_TERMS, 3):
+            monkeypatch.setattr(lexical, "SENT_TERMS", most)
+            assert same(lexical.keyword_matches(terms, packed, stats, allowed)) == wanted and wanted
+        monkeypatch.undo()
+    assert not same(lexical.keyword_matches(lexical.query_terms(asked.filter("query_id > 39")), packed, stats))
+    assert not same(lexical.keyword_matches(terms, packed.filter("false"), stats))
+
+
 def test_stored_index_is_pruned_and_not_recounted(spark, data):
     """A search opens only the folders of its terms, and takes document frequencies from their table."""
     from doclattice.plans import load_all
