@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as tx
+from doclattice.functions.words import words_of
 
 DIM = 64
 MODEL_BATCH = 64
@@ -65,13 +66,13 @@ def _hashed(words: pa.ListArray, dim: int) -> pa.ListArray:
 
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
-    """Default embedding. Words are cut in the JVM, hashed and counted on whole Arrow batches."""
+    """Default embedding. Words are cut, hashed and counted on whole Arrow batches."""
 
     @F.arrow_udf("array<double>")
-    def embed(words: pa.Array) -> pa.Array:
-        return _as_list_array(_unit_rows(_count_matrix(_hashed(words, dim), dim)), pa.float64())
+    def embed(lowered: pa.Array) -> pa.Array:
+        return _as_list_array(_unit_rows(_count_matrix(_hashed(words_of(lowered), dim), dim)), pa.float64())
 
-    return embed(tx.lexemes(F.coalesce(text, F.lit("")), stop_words=()))
+    return embed(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def model_embedding(text: Column, factory: EncoderFactory, batch: int = MODEL_BATCH) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclattice.functions import text as tx
-from doclattice.functions.rows import unnest
+from doclattice.functions.words import split_words, words_of
 from doclattice.operators.vectors import rank_per_query
 
 K1 = 1.2
@@ -31,7 +31,13 @@ SENT_TERMS = 1 << 20
 
 
 def _lexemes(text: Column, stop_words: Iterable[str], stem: Callable | None) -> Column:
-    found = tx.lexemes(text, stop_words)
+    drop = list(stop_words)
+
+    @F.arrow_udf("array<string>")
+    def cut(lowered: pa.Array) -> pa.Array:
+        return words_of(lowered, drop)
+
+    found = cut(F.lower(text))
     return F.transform(found, stem) if stem else found
 
 
@@ -43,7 +49,9 @@ def postings(
     keep: tuple[str, ...] = ("chunk_id", "doc_id"),
 ) -> DataFrame:
     """(chunk, term, tf, dl): counted inside the Arrow batch over word numbers, so no shuffle and no sort."""
-    terms = chunks.select(*keep, _lexemes(F.col(text_col), stop_words, stem).alias("_t"))
+    drop = list(stop_words)
+    read = _lexemes(F.col(text_col), drop, stem) if stem else F.lower(text_col)
+    terms = chunks.select(*keep, read.alias("_t"))
     schema = T.StructType([
         *(terms.schema[c] for c in keep), T.StructField("term", T.StringType()),
         T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType()),
@@ -51,10 +59,17 @@ def postings(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            row, term, tf, dl = _counted(batch.column(len(keep)))
+            lists = batch.column(len(keep)) if stem else words_of(batch.column(len(keep)), drop)
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            words = pc.list_flatten(lists).dictionary_encode()
+            own = np.repeat(np.arange(len(dl), dtype=np.int64), dl)
+            size = max(len(words.dictionary), 1)
+            pairs, tf = np.unique(own * size + words.indices.to_numpy(), return_counts=True)
+            row = pairs // size
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(i).take(pa.array(row)) for i in range(len(keep))),
-                term, pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32()),
+                words.dictionary.take(pa.array(pairs % size)),
+                pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32()),
             ], schema.names)
 
     return terms.mapInArrow(count, schema)
@@ -66,63 +81,54 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(at, COUNTED_AT_ONCE)
 
 
-def _counted(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Rows, different terms and their counts, row by row, and the length of every row."""
-    dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    words = pc.list_flatten(lists).dictionary_encode()
-    own = np.repeat(np.arange(len(dl), dtype=np.int64), dl)
-    size = max(len(words.dictionary), 1)
-    pairs, tf = np.unique(own * size + words.indices.to_numpy(), return_counts=True)
-    return pairs // size, words.dictionary.take(pa.array(pairs % size)), tf, dl
-
-
-def packed_terms(
+def chunk_words(
     chunks: DataFrame,
     text_col: str = "content",
     stop_words: Iterable[str] = tx.ENGLISH_STOP_WORDS,
     stem: Callable[[Column], Column] | None = None,
     keep: tuple[str, ...] = ("chunk_id", "doc_id"),
 ) -> DataFrame:
-    """:func:`postings` with the terms of a chunk side by side in its row: (chunk, terms, tfs, dl).
+    """The lexemes of a chunk side by side in its row, with blanks between: (chunk, words, dl).
 
     Nothing is shuffled or sorted to build it, and a chunk that has all terms of a query is found in
     its own row, so a batch of queries travels to the chunks and no posting leaves its task.
     """
-    terms = chunks.select(*keep, _lexemes(F.col(text_col), stop_words, stem).alias("_t"))
+    if stem:
+        found = _lexemes(F.col(text_col), stop_words, stem)
+        return chunks.select(*keep, F.array_join(found, " ").alias("words"), F.size(found).alias("dl"))
+    texts = chunks.select(*keep, F.lower(text_col).alias("_t"))
     schema = T.StructType([
-        *(terms.schema[c] for c in keep), T.StructField("terms", T.ArrayType(T.StringType())),
-        T.StructField("tfs", T.ArrayType(T.IntegerType())), T.StructField("dl", T.IntegerType()),
+        *(texts.schema[c] for c in keep), T.StructField("words", T.StringType()), T.StructField("dl", T.IntegerType()),
     ])
+    drop = list(stop_words)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            row, term, tf, dl = _counted(batch.column(len(keep)))
-            ends = pa.array(np.searchsorted(row, np.arange(len(dl) + 1)), pa.int32())
+            lists = words_of(batch.column(len(keep)), drop)
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(ends, term),
-                pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32())), pa.array(dl, pa.int32()),
+                *(batch.column(i) for i in range(len(keep))), pc.binary_join(lists, " "), pc.list_value_length(lists),
             ], schema.names)
 
-    return terms.mapInArrow(pack, schema)
+    return texts.mapInArrow(cut, schema)
 
 
-def is_packed(index: DataFrame) -> bool:
-    return "tfs" in index.columns
+def has_words(index: DataFrame) -> bool:
+    return "words" in index.columns
 
 
-def unpacked(index: DataFrame) -> DataFrame:
-    """Postings out of :func:`packed_terms`."""
-    keep = [c for c in index.columns if c not in ("terms", "tfs", "dl")]
-    pairs = F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))
-    return unnest(index, [*keep, "dl"], pairs, "_n", "_p").select(*keep, "_p.term", "_p.tf", "dl")
+def postings_of_words(index: DataFrame) -> DataFrame:
+    """:func:`postings` out of :func:`chunk_words`."""
+    keep = tuple(c for c in index.columns if c not in ("words", "dl"))
+    return postings(index, "words", stop_words=(), keep=keep)
 
 
 def _codes(lists: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of the vocabulary stand: place among all terms, row, number of the word."""
+    """Pairs of row and number of a word of the vocabulary, by word, then row, and how often they occur."""
     code = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    at = np.nonzero(code >= 0)[0]
-    return at, np.repeat(np.arange(len(size)), size)[at], code[at]
+    row = np.repeat(np.arange(len(size), dtype=np.int64), size)
+    pairs, tf = np.unique((code * np.int64(len(size)) + row)[code >= 0], return_counts=True)
+    return pairs % max(len(size), 1), pairs // max(len(size), 1), tf
 
 
 def _vocabulary_counts(index: DataFrame, vocabulary: pa.Array) -> DataFrame:
@@ -131,15 +137,15 @@ def _vocabulary_counts(index: DataFrame, vocabulary: pa.Array) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            total += np.bincount(_codes(batch.column(0), vocabulary)[2], minlength=len(vocabulary))
+            total += np.bincount(_codes(split_words(batch.column(0)), vocabulary)[1], minlength=len(vocabulary))
         found = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([vocabulary.take(pa.array(found)), pa.array(total[found])], ["term", "n"])
 
-    counts = index.select("terms").mapInArrow(count, "term string, n long")
+    counts = index.select("words").mapInArrow(count, "term string, n long")
     return counts.groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def _packed_matches(asked: pa.Table, index: DataFrame, vocabulary: pa.Array) -> DataFrame:
+def _matches_in_rows(asked: pa.Table, index: DataFrame, vocabulary: pa.Array) -> DataFrame:
     """(query, chunk, term, tf, dl) of the chunks that have all terms of a query, found in their rows:
     the chunks of the query's rarest term in the batch, less those without the next one, and so on."""
     keep = ("chunk_id", "doc_id")
@@ -153,11 +159,8 @@ def _packed_matches(asked: pa.Table, index: DataFrame, vocabulary: pa.Array) ->
     ])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(len(keep))
-            at, row, code = _codes(lists, vocabulary)
-            by_word = np.argsort(code, kind="stable")  # rows stay in order within a word
-            at, row = at[by_word], row[by_word]
+        for batch in _pieces(batches):
+            row, code, tf = _codes(split_words(batch.column(len(keep))), vocabulary)
             start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(vocabulary)))])
             size = np.diff(start)
             found = [(np.zeros(0, np.int64),) * 3]
@@ -173,18 +176,17 @@ def _packed_matches(asked: pa.Table, index: DataFrame, vocabulary: pa.Array) ->
                     if not len(rows):
                         break
                 for w in own if len(rows) else ():
-                    place = start[w] + np.searchsorted(row[start[w] : start[w + 1]], rows)
-                    found.append((np.full(len(rows), q), rows, at[place]))
+                    found.append((np.full(len(rows), q), rows, start[w] + np.searchsorted(row[start[w] : start[w + 1]], rows)))
             query, rows, place = (np.concatenate(c) for c in zip(*found))
             if len(rows):
-                rows, place = pa.array(rows), pa.array(place)
+                rows = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[query], pa.int64()), *(batch.column(i).take(rows) for i in range(len(keep))),
-                    pa.array(n[query], pa.int32()), pc.list_flatten(lists).take(place),
-                    pc.list_flatten(batch.column(len(keep) + 1)).take(place), batch.column(len(keep) + 2).take(rows),
+                    pa.array(n[query], pa.int32()), vocabulary.take(pa.array(code[place])),
+                    pa.array(tf[place], pa.int32()), batch.column(len(keep) + 1).take(rows),
                 ], schema.names)
 
-    return index.select(*keep, "terms", "tfs", "dl").mapInArrow(find, schema)
+    return index.select(*keep, "words", "dl").mapInArrow(find, schema)
 
 
 def term_part(term: Column) -> Column:
@@ -221,14 +223,14 @@ def corpus_statistics(
     """One row: number of chunks and their mean length in lexemes."""
     return chunks.agg(
         F.count("*").alias("n_chunks"),
-        F.avg(F.size(tx.lexemes(F.col(text_col), stop_words))).alias("avg_len"),
+        F.avg(F.size(_lexemes(F.col(text_col), stop_words, None))).alias("avg_len"),
     )
 
 
 def index_statistics(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """:func:`corpus_statistics` of chunks whose postings are there: their counts add up to the lengths,
     so no text is read again."""
-    if is_packed(index):
+    if has_words(index):
         return index.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_len"))
     lexemes = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_l"))
     return chunks.agg(F.count("*").alias("n_chunks")).crossJoin(lexemes).select(
@@ -269,18 +271,18 @@ def keyword_matches(
     is read in the folders of the queries' terms only; ``frequencies`` (:func:`term_table`) saves the
     count over the postings, and lets a search with few candidates leave the postings where they are.
 
-    The queries travel to an index of :func:`packed_terms` instead, up to SENT_TERMS terms of them;
+    The queries travel to an index of :func:`chunk_words` instead, up to SENT_TERMS terms of them;
     its full matches are found row by row, and only they leave their task.
     """
-    if is_packed(index):
+    if has_words(index):
         asked = terms.select(F.col("query_id").cast("long"), "n_terms", "term").limit(SENT_TERMS + 1).toArrow()
         if asked.num_rows <= SENT_TERMS:
             vocabulary = pc.unique(asked["term"])
-            found = _packed_matches(asked, index, vocabulary)
+            found = _matches_in_rows(asked, index, vocabulary)
             known = _vocabulary_counts(index, vocabulary) if frequencies is None else frequencies
             matches = (found if allowed is None else allowed(found)).join(F.broadcast(known), "term")
             return _scored(matches, statistics)
-        index = unpacked(index)
+        index = postings_of_words(index)
     keys = ["part", "term"] if "part" in index.columns else ["term"]
     vocabulary = terms.select("term", term_part(F.col("term")).alias("part")).distinct()
     used = index.join(vocabulary.select(*keys), keys, "left_semi")

@@ -407,7 +407,7 @@ def test_postings_stay_where_they_are_for_few_candidates(spark, monkeypatch):
     assert found[0] == found[1] and [(q, c) for q, c, *_ in found[0]] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (1, 4), (3, 0), (3, 2), (3, 4)]
 
 
-def test_packed_index_finds_the_same_without_a_shuffle_of_postings(spark, monkeypatch):
+def test_words_beside_chunks_find_the_same_without_a_shuffle_of_postings(spark, monkeypatch):
     """Building and matching shuffle nothing; scores are those of the long postings, also of more queries than travel."""
     rng = random.Random(5)
     texts = [" ".join(rng.choices("red fox runs blue green the a owl".split(), k=rng.randint(0, 9))) for _ in range(300)]
@@ -416,9 +416,9 @@ def test_packed_index_finds_the_same_without_a_shuffle_of_postings(spark, monkey
         [(i, " ".join(rng.choices("red fox runs blue green owl".split(), k=rng.randint(1, 4)))) for i in range(40)]
         + [(40, "absent fox"), (41, ""), (42, None)], "query_id long, query_text string")
     terms = lexical.query_terms(asked)
-    index, packed = lexical.postings(chunks).localCheckpoint(), lexical.packed_terms(chunks)
+    index, packed = lexical.postings(chunks).localCheckpoint(), lexical.chunk_words(chunks)
     assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(tuple, lexical.unpacked(packed).select(index.columns).collect())) == sorted(map(tuple, index.collect()))
+    assert sorted(map(tuple, lexical.postings_of_words(packed).select(index.columns).collect())) == sorted(map(tuple, index.collect()))
     stats = lexical.index_statistics(packed, chunks)
     assert stats.first() == lexical.index_statistics(index, chunks).first()
     packed = packed.localCheckpoint().repartition(5)
@@ -434,6 +434,22 @@ def test_packed_index_finds_the_same_without_a_shuffle_of_postings(spark, monkey
     assert not same(lexical.keyword_matches(terms, packed.filter("false"), stats))
 
 
+def test_words_of_arrow_batches_are_those_of_the_column_expression(spark):
+    """Chunks, postings and queries take or leave every code point alike, and up to U+052F as the column expression."""
+    texts = ["".join(f"a{chr(c)}b " for c in range(at, at + 256) if not 0xD800 <= c < 0xE000) for at in range(0, 0x110000, 256)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, "", " .", "the The", None])], "chunk_id long, content string")
+    df = df.withColumn("doc_id", F.col("chunk_id")).repartition(8).localCheckpoint()
+    words = {r.chunk_id: (r.words.split() if r.words else [], r.dl) for r in lexical.chunk_words(df).collect()}
+    for r in df.select("chunk_id", tx.lexemes("content").alias("w")).filter(f"chunk_id < 5 or chunk_id >= {len(texts)}").collect():
+        assert words[r.chunk_id] == (r.w or [], len(r.w or []))
+    own = lambda df, key: {tuple(r) for r in df.select(key, "term").collect()}
+    pairs = {(i, w) for i, (ws, _) in words.items() for w in ws}
+    assert own(lexical.postings(df), "chunk_id") == pairs
+    assert own(lexical.query_terms(df.withColumnsRenamed({"chunk_id": "query_id", "content": "query_text"})), "query_id") == pairs
+    stemmed = lexical.chunk_words(df, stem=tx.plural_stem)
+    assert own(lexical.postings_of_words(stemmed), "chunk_id") == own(lexical.postings(df, stem=tx.plural_stem), "chunk_id")
+
+
 def test_stored_index_is_pruned_and_not_recounted(spark, data):
     """A search opens only the folders of its terms, and takes document frequencies from their table."""
     from doclattice.plans import load_all
