@@ -1,13 +1,16 @@
 """Chunkers: page tables in, chunk tables out.
 
-All of them work inside a row with higher-order functions and explode at the end, so chunking
-itself needs no shuffle; only the document-wide re-index does, on the document key.
+All of them work inside a row with higher-order functions, windows of words on Arrow batches, and
+explode at the end, so chunking itself needs no shuffle; only the document-wide re-index does, on the document key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,44 @@ def fixed_size_chunks(
     if not 0 <= overlap < 1:
         raise ValueError("overlap must be in [0, 1)")
     step = size - int(size * overlap)
+    filled = non_blank_pages(pages, text_col)
+    if pieces is tx.word_pieces:
+        # Words by their ends, a batch at a time: no string of its own for every word.
+        windows, tokens = _word_windows(F.col(text_col), size, step), filled
+    else:
+        tokens = filled.select(*keys, pieces(F.col(text_col)).alias("_pieces"))
+        windows, tokens = _piece_windows(tokens, size, step)
+    return unnest(tokens, list(keys), windows, "chunk_index", "_w").select(
+        *keys, "chunk_index", "_w.*"
+    )
+
+
+def _word_windows(text: Column, size: int, step: int) -> Column:
+    @F.arrow_udf("array<struct<content:string,token_count:int,char_start:int,char_end:int>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        word = re.compile(f"[^{re.escape(tx.BLANK_CHARS)}]+")
+        for texts in batches:
+            contents, numbers, offsets = [], [], [0]
+            for value in texts:
+                whole = value.as_py() or ""
+                ends = [m.end() for m in word.finditer(whole)]
+                n = len(ends)
+                # The first window that reaches the end is the last one.
+                for at in range(0, max(n - size + step, 1) if n else 0, step):
+                    first = ends[at - 1] if at else 0
+                    past = ends[at + size - 1] if at + size < n else len(whole)
+                    contents.append(whole[first:past].strip(tx.BLANK_CHARS))
+                    numbers.append((min(size, n - at), first, past))
+                offsets.append(len(contents))
+            columns = np.array(numbers, np.int32).reshape(-1, 3).T
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(contents, pa.string()), *map(pa.array, columns)],
+                ["content", "token_count", "char_start", "char_end"]))
+
+    return cut(text)
+
+
+def _piece_windows(tokens: DataFrame, size: int, step: int) -> tuple[Column, DataFrame]:
     tok = F.col("_pieces")
     n = F.size(tok)
     last = F.when(n <= size, F.lit(0)).otherwise(
@@ -69,14 +110,7 @@ def fixed_size_chunks(
     windows = F.filter(
         F.transform(F.sequence(F.lit(0), last), window), lambda w: w["content"] != ""
     )
-    tokens = (
-        non_blank_pages(pages, text_col)
-        .select(*keys, pieces(F.col(text_col)).alias("_pieces"))
-        .withColumn("_segments", segments)
-    )
-    return unnest(tokens, list(keys), windows, "chunk_index", "_w").select(
-        *keys, "chunk_index", "_w.*"
-    )
+    return windows, tokens.withColumn("_segments", segments)
 
 
 def reindex_chunks(chunks: DataFrame, doc: str = "doc_id", page: str = "page_number") -> DataFrame:

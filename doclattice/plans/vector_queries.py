@@ -38,7 +38,8 @@ SQL_COS = "round(list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a
 
 
 def chunk_vectors_v(t: Tables) -> DataFrame:
-    return t.stored("vectors", lambda: embedding.embed_chunks(v.chunks_v(t)))
+    # What searches read: no hash of every content is made for them.
+    return t.stored("vectors", lambda: embedding.embed_chunks(v.chunks_v(t)).select("chunk_id", "doc_id", "embedding"))
 
 
 def query_vectors_v(t: Tables) -> DataFrame:

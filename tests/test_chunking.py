@@ -1,10 +1,12 @@
 """Chunkers: known cases and plain-Python folds over the documents."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from doclattice.functions import text as tx
 from doclattice.operators import chunking
 from doclattice.operators.embedding import model_embedding, neighbour_similarities
 from doclattice.plans.registry import Tables
@@ -43,6 +45,18 @@ def test_window_arithmetic(spark, n, size, overlap):
         assert text[r.char_start:r.char_end].strip() == r.content
 
 
+def test_word_windows_equal_the_column_form(spark):
+    """Windows of words come without a string for every word, and as the same pieces by column functions give them."""
+    rng = random.Random(8)
+    odd = ["a", "ü", "\U0001f600b", "\u200b", "\u180e", *tx.BLANK_CHARS, " ", " "]
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 90))) for _ in range(200)] + [None, " x" * 12, "x " * 12]
+    for size, overlap in ((5, 0.4), (12, 0.15), (1, 0.0)):
+        fast = chunking.fixed_size_chunks(pages(spark, *texts), size=size, overlap=overlap)
+        plain = chunking.fixed_size_chunks(pages(spark, *texts), size=size, overlap=overlap, pieces=lambda c: tx.word_pieces(c))
+        assert "regexp_extract_all" not in fast._jdf.queryExecution().optimizedPlan().toString()
+        assert fast.schema == plain.schema and chunks(fast) == chunks(plain)
+
+
 def test_overlap_of_one_is_rejected(spark):
     with pytest.raises(ValueError):
         chunking.fixed_size_chunks(pages(spark, "a"), overlap=1.0)
