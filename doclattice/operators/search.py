@@ -30,7 +30,7 @@ AGENT_CHARS = 500
 GRAM = 3
 #: Characters of queries that travel to all tasks as one automaton (some fifty bytes of memory each).
 PATTERN_CHARS = 1 << 20
-#: Most table hits (some fifty bytes each) that are sent to all tasks to fetch their texts.
+#: Most hits (some fifty bytes each) that are sent to all tasks to fetch their texts.
 SENT_HITS = 1 << 18
 
 
@@ -213,20 +213,30 @@ def rerank(
 
 # -- enrichment -------------------------------------------------------------------------------
 
-def attach_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Result shape: chunk text and position, and the document name."""
+def sent(hits: DataFrame, most: int | None) -> DataFrame:
+    """Hits that travel to the texts, so that these are not shuffled, if ``most`` says that they are few."""
+    return F.broadcast(hits) if most is not None and most <= SENT_HITS else hits
+
+
+def attach_chunks(
+    hits: DataFrame, chunks: DataFrame, documents: DataFrame, most_hits: int | None = None
+) -> DataFrame:
+    """Result shape: chunk text and position, and the document name. ``most_hits`` is for :func:`sent`."""
     extra = [c for c in ("content", "chunk_index", "page_number") if c in chunks.columns]
     return (
-        hits.drop("doc_id")
+        sent(hits.drop("doc_id"), most_hits)
         .join(chunks.select("chunk_id", "doc_id", *extra), "chunk_id")
         .join(documents.select("doc_id", F.col("name").alias("document_name")), "doc_id")
     )
 
 
-def expand_to_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
+def expand_to_neighbours(
+    hits: DataFrame, chunks: DataFrame, window: int = 1, most_hits: int | None = None
+) -> DataFrame:
     """Replace the content by that of the chunks around it, in order, if there is more than one.
 
-    The window is spelled out as wanted positions, so this is an equi-join on (document, index).
+    The window is spelled out as wanted positions, so this is an equi-join on (document, index);
+    ``most_hits`` is for :func:`sent`.
     """
     wanted = hits.select(
         "query_id", "chunk_id", "doc_id",
@@ -234,7 +244,7 @@ def expand_to_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) ->
                              F.col("chunk_index") + window)).alias("chunk_index"),
     )
     context = (
-        wanted.join(
+        sent(wanted, most_hits and most_hits * (2 * window + 1)).join(
             chunks.select("doc_id", "chunk_index", F.col("content").alias("_c")),
             ["doc_id", "chunk_index"],
         )
@@ -348,9 +358,7 @@ def table_search(queries: DataFrame, tables: DataFrame, k: int = 5) -> DataFrame
     found = substring_matches(queries, tables, ids)
     order = Window.partitionBy("query_id").orderBy(*ids)
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    if queries.count() * k <= SENT_HITS:  # the few hits travel, the texts stay where they are
-        top = F.broadcast(top)
-    return top.join(tables.select(*ids, "text"), ids).select(
+    return sent(top, queries.count() * k).join(tables.select(*ids, "text"), ids).select(
         "query_id", "rank", F.lit(None).cast("bigint").alias("chunk_id"), "doc_id", "page_number",
         "table_index", F.substring("text", 1, TABLE_CHARS).alias("content"),
         F.lit(TABLE_SCORE).alias("score"), F.lit("table").alias("search_method"),
@@ -425,7 +433,7 @@ def agent_search(
             return c.join(typed, "doc_id", "left_semi")
 
     hits = lexical.keyword_search(queries, index, statistics, k, allowed)
-    return attach_chunks(hits, chunks, documents).select(
+    return attach_chunks(hits, chunks, documents, queries.count() * k).select(
         "query_id", "rank", "doc_id", "document_name",
         F.substring("content", 1, AGENT_CHARS).alias("content"), F.col("score").alias("relevance"),
     )

@@ -434,6 +434,25 @@ def test_words_beside_chunks_find_the_same_without_a_shuffle_of_postings(spark,
     assert not same(lexical.keyword_matches(terms, packed.filter("false"), stats))
 
 
+def test_few_hits_travel_to_the_texts_of_chunks(spark, monkeypatch):
+    """Contents and neighbours are fetched without a shuffle of all texts; more hits than travel give the same."""
+    chunks = spark.range(60).select(
+        F.col("id").alias("chunk_id"), F.floor(F.col("id") / 4).alias("doc_id"), (F.col("id") % 4).cast("int").alias("chunk_index"),
+        F.concat(F.lit("text "), "id").alias("content")).localCheckpoint()
+    docs = chunks.select("doc_id", F.concat(F.lit("d"), "doc_id").alias("name")).distinct()
+    hits = spark.createDataFrame([(q, c, 0.5, 1) for q, c in ((1, 0), (1, 59), (2, 5), (2, 0))], "query_id long, chunk_id long, score double, rank int")
+    monkeypatch.setattr(search, "SENT_HITS", 12)
+    found = []
+    for most in (4, 13, None):
+        shaped = search.attach_chunks(hits, chunks, docs, most)
+        wide = search.expand_to_neighbours(shaped.localCheckpoint(), chunks, most_hits=most)
+        for df in (shaped, wide):
+            assert ("strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()) == (most == 4)
+        found.append(sorted(tuple(r[c] for c in sorted(wide.columns)) for r in wide.collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4
+    assert {r.content for r in wide.filter("chunk_id = 5").collect()} == {"text 4\ntext 5\ntext 6"}
+
+
 def test_words_of_arrow_batches_are_those_of_the_column_expression(spark):
     """Chunks, postings and queries take or leave every code point alike, and up to U+052F as the column expression."""
     texts = ["".join(f"a{chr(c)}b " for c in range(at, at + 256) if not 0xD800 <= c < 0xE000) for at in range(0, 0x110000, 256)]
