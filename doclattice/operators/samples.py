@@ -232,7 +232,9 @@ def prompt_text(instruction: Column, inp: Column, out: Column) -> Column:
 
 def _json_string(s: Column) -> Column:
     quoted = F.to_json(F.array(s))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    # Most strings have nothing to escape; a JSON writer is started for the others only.
+    odd = s.rlike(r'[\x00-\x1f"\\]')
+    return F.when(~odd, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def fields_as_json(fields: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclattice.functions.rows import unnest
+
 # ---------------------------------------------------------------------------------------------
 # Label lists and label maps of the public datasets.
 FORM_LABELS = ("O", "B-HEADER", "I-HEADER", "B-QUESTION", "I-QUESTION", "B-ANSWER", "I-ANSWER")
@@ -72,20 +74,24 @@ def receipt_fields(receipts: DataFrame) -> DataFrame:
     """(receipt, group, field, value) from nested JSON: groups hold an object or a list of objects;
     only non-empty strings count. Broken JSON gives no rows."""
     root = F.expr("try_parse_json(ground_truth)")
+    # Outer forms with a filter above, as in ``rows.unnest``: plain ones compute each array and map three
+    # times, and a filter below them parses every text twice.
     groups = F.expr(
-        "cast(coalesce(try_variant_get(_v, '$.gt_parse', 'variant'), _v) as map<string, variant>)"
+        "case when schema_of_variant(_v) like 'OBJECT%' then"
+        " cast(coalesce(try_variant_get(_v, '$.gt_parse', 'variant'), _v) as map<string, variant>) end"
     )
     as_list = F.expr(
         "coalesce(try_variant_get(_g, '$', 'array<variant>'), array(_g))"
     )
     return (
-        receipts.select("doc_id", root.alias("_v")).filter("schema_of_variant(_v) like 'OBJECT%'")
-        .select("doc_id", F.explode(groups).alias("group", "_g"))
-        .select("doc_id", "group", F.posexplode(as_list).alias("item", "_i"))
+        unnest(
+            receipts.select("doc_id", root.alias("_v"))
+            .select("doc_id", F.explode_outer(groups).alias("group", "_g")).filter("`group` is not null"),
+            ["doc_id", "group"], as_list, "item", "_i")
         .select("doc_id", "group", "item",
-                F.explode(F.expr("try_variant_get(_i, '$', 'map<string, variant>')"))
+                F.explode_outer(F.expr("try_variant_get(_i, '$', 'map<string, variant>')"))
                 .alias("key", "_x"))
-        .filter("schema_of_variant(_x) = 'STRING'")
+        .filter("key is not null and schema_of_variant(_x) = 'STRING'")
         .select("doc_id", "group", "item",
                 F.concat("group", F.lit("."), "key").alias("field_name"),
                 F.expr("cast(_x as string)").alias("field_value"))

@@ -1,9 +1,11 @@
 """File sources, sinks and the ingest stream on small files."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from doclattice.operators import chunking
-from doclattice.sources import files, tabular, writers
+from doclattice.sources import adapters, files, tabular, writers
 from doclattice.streaming import ingest
 
 
@@ -106,3 +108,20 @@ def test_parts_of_a_folder_are_numbered_in_small_blocks(spark, tmp_path, monkeyp
     assert cells.groupBy("file", "block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 3
     pages = {r.page_number: r.text for r in tabular.tabular_pages(cells, ("a",), 8).collect()}
     assert pages == {k + 1: "Columns: a\n\n" + "\n".join(lines[k * 8:k * 8 + 8]) for k in range(3)}
+
+
+def test_receipts_are_parsed_once(spark):
+    """Every text is parsed once and every list read once; odd groups and values give the rows they gave."""
+    from doclattice.operators import samples
+
+    texts = ['{"gt_parse": {"menu": [{"nm": " a ", "n": 1}, "x", null, {"nm": "", "p": "b"}], "t": {"q\\"": "c\\td"}, "z": null}}',
+             '{"m": {"k": "v"}}', "[1]", "broken", "{}", None]
+    raw = spark.createDataFrame(list(enumerate(texts)), "doc_id long, ground_truth string")
+    fields = adapters.receipt_fields(raw)
+    plan = fields._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "size(" not in plan
+    got = {(r.doc_id, r.group, r.item, r.field_name, r.field_value) for r in fields.collect()}
+    assert got == {(0, "menu", 0, "menu.nm", "a"), (0, "menu", 3, "menu.p", "b"), (0, "t", 0, 't.q"', "c\td"), (1, "m", 0, "m.k", "v")}
+    records = adapters.receipt_records(fields).select("doc_id", samples.fields_as_json("fields").alias("j"))
+    assert {r.doc_id: json.loads(r.j) for r in records.collect()} == {
+        0: {"menu.nm": "a", "menu.p": "b", 't.q"': "c\td"}, 1: {"m.k": "v"}}
