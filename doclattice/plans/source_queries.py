@@ -102,12 +102,12 @@ def _(t: Tables):
     union all select 'chunks', lang, count(*) from chunks_v group by 2
     union all select 'embeddings', lang, count(*) from chunks_v group by 2"""))
 def _(t: Tables):
-    from doclattice.plans.vector_queries import chunk_vectors_v
+    from doclattice.operators.embedding import embed_chunks
 
     root = fresh_folder(t, "corpus")
     lang = t.documents.select("doc_id", F.col("lang").alias("batch_id"))
     parts = [v.pages_v(t).join(lang, "doc_id"), v.chunks_v(t).withColumn("batch_id", F.col("lang")),
-             chunk_vectors_v(t).join(lang, "doc_id")]
+             embed_chunks(v.chunks_v(t)).join(lang, "doc_id")]
     writers.write_corpus(*parts, root)
     # One batch again: it replaces its own partition and leaves the others alone.
     writers.write_table(parts[1].filter("batch_id = 'en'"), f"{root}/chunks")
