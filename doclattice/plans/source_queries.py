@@ -40,22 +40,27 @@ def text_files(t: Tables, name: str) -> str:
     return path
 
 
-def written_files(rows, path: str) -> None:
-    """(kind, name, value) as files ``name.kind``: each row is a file of its own."""
+def written_files(rows, path: str, folders: int = 1) -> None:
+    """(kind, name, value) as files ``name.kind``: each row is a file of its own, a name always in the
+    same of ``folders`` folders of its kind."""
 
     def save(batches):
         import pyarrow as pa
         from pyarrow import fs
 
         target, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        made = set()
         for batch in batches:
-            for kind, name, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                target.create_dir(f"{base}/{kind}")
-                with target.open_output_stream(f"{base}/{kind}/{name}.{kind}") as out:
+            for kind, name, value, folder in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (kind, folder) not in made:
+                    target.create_dir(f"{base}/{kind}/{folder}")
+                    made.add((kind, folder))
+                with target.open_output_stream(f"{base}/{kind}/{folder}/{name}.{kind}") as out:
                     out.write(value.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
-    rows.select("kind", "name", "value").mapInArrow(save, "n long").agg(F.sum("n")).collect()
+    folder = F.crc32(F.coalesce("name", F.lit(""))) % folders
+    rows.select("kind", "name", "value", folder.alias("folder")).mapInArrow(save, "n long").agg(F.sum("n")).collect()
 
 
 @query("src_01_text_files", """
@@ -211,10 +216,11 @@ def _(t: Tables):
     odd = t.region.select(F.explode(F.array(F.lit("exe"), F.lit("pdf"))).alias("kind"), F.col("r_regionkey").alias("k")).select(
         "kind", F.concat(F.lit("r"), F.col("k").cast("string")).alias("name"),
         F.when(F.col("kind") == "pdf", "%PDF-1.7 body").otherwise("MZ body").alias("value"))
-    written_files(docs.unionByName(csv).unionByName(odd), inbox)
-    stream = ingest.new_files(t.spark, inbox)
-    with ingest.many_files(t.spark):
-        ingest.start_ingest(stream, root, f"{root}/state", available_now=True, sinks=inbox_sinks()).awaitTermination()
+    # As many folders as keep each to some FILE_DOCUMENTS files, as one task lists a folder.
+    written_files(docs.unionByName(csv).unionByName(odd), inbox, 1 + t.documents.count() // FILE_DOCUMENTS)
+    ingest.list_new(t.spark, inbox, root)
+    stream = ingest.listed_files(t.spark, root)
+    ingest.start_ingest(stream, root, f"{root}/state", available_now=True, sinks=inbox_sinks()).awaitTermination()
     done = t.spark.read.parquet(f"{root}/status").filter("step = 1")
     kind = F.regexp_extract("path", r"\.([a-z]+)$", 1)
     files_of = done.join(t.spark.read.parquet(f"{root}/files").select("doc_id", kind.alias("kind")), "doc_id").groupBy(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +16,8 @@ from doclattice.sources import files, tabular, writers
 
 
 def new_files(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
-    """Stream of files that appear under ``path``."""
+    """Stream of files that appear under ``path``. The driver lists and remembers every file: for large
+    inboxes :func:`list_new` and :func:`listed_files`."""
     return (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
@@ -25,6 +27,48 @@ def new_files(spark: SparkSession, path: str, files_per_batch: int = 10_000) ->
     )
 
 
+#: Most files of a part of a listing; batches read whole parts.
+PART_FILES = 1000
+
+
+def list_new(spark: SparkSession, path: str, root: str) -> None:
+    """Add the files below ``path`` that no earlier call has listed to the table ``root``/listed.
+
+    Folders are listed level by level in tasks, so the driver holds neither files nor folders. A folder
+    is listed by one task: a large inbox should spread its files over folders. As in a file stream of
+    Spark, a path is new once, hidden names and files without bytes are left out. A call that broke off
+    is made again: what it had added counts as listed.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, levels = spark.createDataFrame([(files.spark_path(path),)], "path string"), []
+    while not levels or not folders.isEmpty():
+        # As in Spark's listing, a folder may go meanwhile, but the inbox has to be there.
+        entries = files.folder_entries(folders.repartition(tasks), may_be_gone=bool(levels))
+        levels.append(f"{root}/walk/{len(levels)}")
+        entries.write.mode("overwrite").parquet(levels[-1])
+        folders = spark.read.parquet(levels[-1]).filter("folder").select("path")
+    found = spark.read.parquet(*levels).filter("not folder and length > 0").drop("folder")
+    try:
+        known = spark.read.schema(files.LISTED).parquet(f"{root}/listed")
+        found = found.join(known, "path", "left_anti")
+    except AnalysisException as missing:  # the first call
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # By day, as tasks without rows then write no part, which would be an empty batch.
+    found.withColumn("day", F.current_date()).write.mode("append").option(
+        "maxRecordsPerFile", PART_FILES).partitionBy("day").parquet(f"{root}/listed")
+
+
+def listed_files(spark: SparkSession, root: str, files_per_batch: int = 100_000) -> DataFrame:
+    """Stream of the files that :func:`list_new` adds. The driver sees parts of the listing, not files."""
+    listed = (
+        spark.readStream.schema(f"{files.LISTED}, day date")
+        .option("maxFilesPerTrigger", max(1, files_per_batch // PART_FILES))
+        .parquet(f"{root}/listed")
+    )
+    return files.read_listed(listed)
+
+
 #: Extractors that work on bytes alone; the others need an engine this package does not bring.
 READABLE = ("txt", "csv")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclattice.operators import fields
+from doclattice.sources import files
 from doclattice.streaming import ingest, limiter, usage
 
 START = datetime(2024, 1, 1)
@@ -184,3 +185,76 @@ def test_ingest_batches_read_their_own_folders(spark, tmp_path):
     assert sorted((r.batch_id, r.text) for r in spark.read.parquet(f"{root}/pages").collect()) == [(1, "one two"), (2, "three")]
     assert sorted(r.content for r in spark.read.parquet(f"{root}/chunks").collect()) == ["one two", "three"]
     assert spark.read.parquet(f"{root}/embeddings").count() == 2
+
+
+def test_list_new_lists_as_spark_does(spark, tmp_path, monkeypatch):
+    """Nested folders, hidden names, files without bytes, odd names; a second call adds what is new."""
+    monkeypatch.setattr(ingest, "PART_FILES", 2)
+    inbox, root = tmp_path / "in box", str(tmp_path / "out")
+    bodies = {"a.txt": b"one", "x/b.txt": b"two \xff", "x/y/c %20.csv": b"a,b\n1,2", "x/y/\u00e4.txt": b"f\xc3\xbcnf", "x/empty.txt": b"",
+              "x/.hidden": b"h", "_tmp/d.txt": b"d", "k=1/_e=2.txt": b"e", "_metadata_x/f.txt": b"f", "x/g.txt._COPYING_": b"g"}
+    for name, body in bodies.items():
+        (inbox / name).parent.mkdir(parents=True, exist_ok=True)
+        (inbox / name).write_bytes(body)
+    (inbox / "nothing").mkdir()
+
+    def listed():
+        ingest.list_new(spark, str(inbox), root)
+        return spark.read.parquet(f"{root}/listed").drop("day")
+
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(inbox))
+    want = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, files.read_listed(listed()).collect())) == want and len(want) == 6
+    assert sorted(map(tuple, listed().collect())) == [row[:3] for row in want]  # nothing is new
+    (inbox / "x" / "y" / "late.txt").write_bytes(b"late")
+    (inbox / "a.txt").write_bytes(b"changed")
+    assert listed().count() == 7 and listed().select("path").distinct().count() == 7
+    parts = listed().groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in parts) <= 2
+    with pytest.raises(Exception, match="No such file"):
+        ingest.list_new(spark, str(tmp_path / "no inbox"), root)
+
+
+def test_listed_files_in_batches(spark, tmp_path, monkeypatch):
+    """Batches of whole parts over two runs; an inbox without files is no batch."""
+    monkeypatch.setattr(ingest, "PART_FILES", 2)
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    (inbox / "f").mkdir(parents=True)
+
+    def run():
+        ingest.list_new(spark, f"file://{inbox}", root)
+        stream = ingest.listed_files(spark, root, files_per_batch=4)
+        ingest.start_ingest(stream, root, f"{root}/state", available_now=True).awaitTermination()
+
+    run()
+    for n in range(11):
+        (inbox / "f" / f"{n}.txt").write_text(f"text {n}")
+    run()
+    (inbox / "last.txt").write_text("text 11")
+    run()
+    run()
+    pages = spark.read.parquet(f"{root}/pages")
+    assert sorted(r.text for r in pages.collect()) == sorted(f"text {n}" for n in range(12))
+    sizes = [r["count"] for r in pages.groupBy("batch_id").count().orderBy("batch_id").collect()]
+    assert max(sizes) <= 4 and len(sizes) >= 4 and sizes[-1] == 1
+
+
+def test_inbox_is_listed_in_tasks(spark, data, tmp_path, monkeypatch):
+    """What the stream keeps on the driver are parts of a listing, and no folder of the inbox grows with the documents."""
+    import json
+
+    import __spark_entry__
+
+    query = __spark_entry__.queries()["str_01_incremental_ingest"]
+    from doclattice.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "FILE_DOCUMENTS", 20)
+    monkeypatch.setattr(source_queries, "fresh_folder", lambda t, name: str(tmp_path / name))
+    done = sum(r.files for r in query(spark, data).collect() if r.kind == "txt")
+    documents = spark.read.parquet(f"{data}/documents.parquet").count()
+    assert done == documents >= 200
+    folders = [len([x for x in folder.iterdir() if x.is_file()]) for folder in (tmp_path / "inbox").rglob("*") if folder.is_dir()]
+    assert sum(folders) > documents and max(folders) <= 60
+    kept = [json.loads(line) for log in (tmp_path / "ingested" / "state" / "sources" / "0").glob("[0-9]*")
+            for line in log.read_text().splitlines()[1:]]
+    assert 0 < len(kept) <= 20
